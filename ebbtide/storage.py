@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +33,25 @@ def durable(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_buckets(df: DataFrame, column: str, compression: str = "snappy") -> DataFrame:
+    """As ``durable``, but bucketed by a column: a later join on it moves no row of this table."""
+    spark = df.sparkSession
+    name = f"ebbtide_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", compression).option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    _written.append(path)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> int:
     """Remove the tables that ``durable`` wrote in this process; frames that read them end with it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
         path = hadoop.Path(_written.pop())
         gone += bool(path.getFileSystem(conf).delete(path, True))
