@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding, simhash
+from . import decontaminate, exact, mixing, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_archive_rows(_read(spark, sf_dir, "pages"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -32,8 +40,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mix": op2_mix,
+    "op3_warc": op3_warc,
     "op5_shards": op5_shards,
+    "op8_exact": op8_exact,
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op2_mix": mixing.MIX_SQL, "op9_decontaminate": decontaminate.CONTAMINATION_SQL}
+ORACLES: dict[str, str] = {"op2_mix": mixing.MIX_SQL, "op8_exact": exact.EXACT_SQL, "op9_decontaminate": decontaminate.CONTAMINATION_SQL}
