@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, sharding, simhash, warc
+from . import decontaminate, exact, language, mixing, secrets, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_archive_rows(_read(spark, sf_dir, "pages"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
 
@@ -37,13 +41,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_rows(_read(spark, sf_dir, "documents")).drop("n_candidates")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mix": op2_mix,
     "op3_warc": op3_warc,
+    "op4_language": op4_language,
     "op5_shards": op5_shards,
     "op8_exact": op8_exact,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {"op2_mix": mixing.MIX_SQL, "op8_exact": exact.EXACT_SQL, "op9_decontaminate": decontaminate.CONTAMINATION_SQL}
