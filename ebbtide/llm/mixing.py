@@ -66,6 +66,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
+    keep_row: bool = False,
 ) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, taken): one row per input row.
 
@@ -74,15 +75,15 @@ def mix(
     one or more is certain: quotient 0. Null text has size 0 and takes nothing; a null source is a source
     of its own, last in order. Ties go by id; rows that repeat an id share its random number. Source
     totals are partial sums, and ranks are cut in 4096 cells, so a hot source meets no single task.
+    ``keep_row`` adds the input row as a struct; it is then read a second time, and not stored between.
     """
-    base = durable(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            uniform(F.col(id_col), seed).alias("u"),
-        )
-    )
+    keys = [
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+        uniform(F.col(id_col), seed).alias("u"),
+    ]
+    base = durable(docs.select(*keys))
     sums = durable(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     mean = source_targets(sums, weights, share, most)
     of_source = sums.select(F.col("source").alias("of"), F.col("source_size").alias("all_size"), "n")
@@ -104,14 +105,18 @@ def mix(
     small = _sent(plan)
     chance = F.col("unit") * F.when(F.col("size") * F.col("n") <= F.col("source_size"), 2.0).otherwise(1.0)
     quotient = F.when(F.col("p") >= 1, 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-    ranked = (
-        base.join(small, F.col("source").eqNullSafe(F.col("of")), "left")
-        .withColumn("p", chance)
-        .withColumn("open", (F.col("p") > 0) & (F.col("size") > 0))
-        .withColumn("q", F.when(F.col("open"), quotient))
-        .withColumn("cell", F.floor(F.col("q") / (F.col("q") + 1) * CELLS).cast("int"))
-    )
-    cells = ranked.where("open").groupBy(F.col("source").alias("edge_source"), "cell").agg(
+    everything = docs.select(*keys, F.struct(*docs.columns).alias("row")) if keep_row else base
+
+    def ranked_rows(rows: DataFrame) -> DataFrame:
+        return (
+            rows.join(small, F.col("source").eqNullSafe(F.col("of")), "left")
+            .withColumn("p", chance)
+            .withColumn("open", (F.col("p") > 0) & (F.col("size") > 0))
+            .withColumn("q", F.when(F.col("open"), quotient))
+            .withColumn("cell", F.floor(F.col("q") / (F.col("q") + 1) * CELLS).cast("int"))
+        )
+
+    cells = ranked_rows(base).where("open").groupBy(F.col("source").alias("edge_source"), "cell").agg(
         F.first("extra").alias("edge_extra"), F.sum("size").alias("cell_size")
     )
     run = Window.partitionBy("edge_source").orderBy("cell")
@@ -122,7 +127,7 @@ def mix(
         .groupBy("edge_source")
         .agg(F.min(F.struct("cell", (F.col("cum") - F.col("cell_size")).alias("before"))).alias("edge"))
     )
-    ranked = ranked.join(_sent(edge), F.col("source").eqNullSafe(F.col("edge_source")), "left")
+    ranked = ranked_rows(everything).join(_sent(edge), F.col("source").eqNullSafe(F.col("edge_source")), "left")
     at_edge = F.col("open") & (F.col("cell") == F.col("edge.cell"))
     inside = F.col("open") & F.coalesce(F.col("cell") < F.col("edge.cell"), F.lit(True))
     cum = F.col("edge.before") + F.sum("size").over(Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
@@ -130,10 +135,16 @@ def mix(
     outer = ranked.where(~F.coalesce(at_edge, F.lit(False))).withColumn("more", F.coalesce(inside.cast("long"), F.lit(0)))
     copies = (F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0)).cast("long")
     return outer.unionAll(inner).select(
-        "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *["row"] * keep_row
     )
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each input row as often as it was taken, with its own columns."""
+    taken = mix(docs, keep_row=True, **how).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
 def _sent(sources: DataFrame, most: int = 20_000) -> DataFrame:
     """Marked to go to every task if it has at most ``most`` rows, which is counted; else as it is."""
     return F.broadcast(sources) if sources.limit(most + 1).count() <= most else sources

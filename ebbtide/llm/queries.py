@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, mixing, secrets, sharding, simhash, warc
+from . import decontaminate, exact, language, mixing, pii, quality, secrets, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_language": op4_language,
     "op5_shards": op5_shards,
+    "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op8_exact": op8_exact,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
