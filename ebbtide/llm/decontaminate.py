@@ -13,10 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import durable
+from ..storage import durable, durable_buckets
 from .text import LOWER, UPPER
 
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BLOCK = 32768  # rows that one bitmap covers
 END = ""  # the term that marks a row's end; its position is the row's number of words
 
 
@@ -69,7 +70,20 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
         F.concat(words_of(F.col(text_col)), F.array(F.lit(END))).alias("words"),
     )
     tokens = rows.select("row", "doc_id", F.posexplode("words").alias("pos", "word"))
-    return durable(tokens.select("row", "doc_id", folded(F.col("word")).alias("term"), "pos").join(known, "term"))
+    postings = tokens.select("row", "doc_id", folded(F.col("word")).alias("term"), "pos").join(known, "term")
+    # a task's rows make few blocks, so bucketing by block writes few files and moves nothing
+    return durable_buckets(postings.withColumn("block", F.expr(f"row div {BLOCK}")), "block")
+
+
+def _postings_of(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """Postings of the rows given. The rows go to the index as a bitmap for each block; the index stays where it is."""
+    place = F.expr(f"row % {BLOCK}")
+    words = rows.groupBy(F.expr(f"row div {BLOCK}").alias("block"), F.expr(f"cast(row % {BLOCK} div 64 as int)").alias("word"))
+    words = words.agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    marks = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    marks = marks.select("block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK // 64 - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0).cast("long"))).alias("bits"))
+    there = index.where(F.col("term") != END).join(durable(marks).hint("shuffle_hash"), "block")
+    return there.where(F.expr(f"shiftright(bits[cast(row % {BLOCK} div 64 as int)], cast(row % 64 as int)) & 1L = 1L")).select("row", "pos", "term")
 
 
 def _meet(index: DataFrame, starts: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
@@ -80,8 +94,7 @@ def _meet(index: DataFrame, starts: DataFrame, terms: DataFrame, slop: int) -> D
         wanted = wanted.withColumn("pos", F.explode(F.sequence(F.col("place") - slop, F.col("place") + slop)))
     else:
         wanted = wanted.withColumnRenamed("place", "pos")
-    there = index.where(F.col("term") != END).join(rows, "row", "left_semi").select("row", "pos", "term")
-    met = wanted.join(there, ["row", "pos", "term"])
+    met = wanted.join(_postings_of(index, rows), ["row", "pos", "term"])
     return met.groupBy("row", "win", "begin").agg(F.count_distinct("at").alias("met") if slop else F.count("*").alias("met"))
 
 
