@@ -35,7 +35,7 @@ def fn_round(sf: SeriesFrame, digits: int = 0) -> SeriesFrame:
         raise ValueError("digits: 0 to 15")
     scaled = F.col(V) * float(10**digits)
     away = F.signum(scaled) * F.floor(F.abs(scaled) + 0.5)
-    return sf.values(F.when(F.abs(V) >= 1e16, F.col(V)).otherwise(away / float(10**digits)))
+    return sf.values(F.when(F.abs(V) >= 1e16, F.col(V)).otherwise(away / float(10**digits) + 0.0))
 
 
 def fn_clamp_min(sf: SeriesFrame, bound: float) -> SeriesFrame:

@@ -219,7 +219,7 @@ POINTWISE = {
     "fn_log10": (point.fn_log10, "CASE WHEN value > 0 THEN log10(value) END"),
     "fn_ceil": (point.fn_ceil, "CAST(ceil(value) AS DOUBLE) + 0.0"),
     "fn_floor": (point.fn_floor, "CAST(floor(value) AS DOUBLE) + 0.0"),
-    "fn_round": (lambda x: point.fn_round(x, 1), "sign(value * 10) * floor(abs(value * 10) + 0.5) / 10"),
+    "fn_round": (lambda x: point.fn_round(x, 1), "sign(value * 10) * floor(abs(value * 10) + 0.5) / 10 + 0.0"),
     "fn_clamp_min": (lambda x: point.fn_clamp_min(x, -1), "greatest(value, -1.0)"),
     "fn_clamp_max": (lambda x: point.fn_clamp_max(x, 1), "least(value, 1.0)"),
     "fn_cutoff_min": (lambda x: point.fn_cutoff_min(x, -1), "CASE WHEN value >= -1 THEN value END"),
