@@ -77,9 +77,8 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
 
 def _postings_of(index: DataFrame, rows: DataFrame) -> DataFrame:
     """Postings of the rows given. The rows go to the index as a bitmap for each block; the index stays where it is."""
-    place = F.expr(f"row % {BLOCK}")
     words = rows.groupBy(F.expr(f"row div {BLOCK}").alias("block"), F.expr(f"cast(row % {BLOCK} div 64 as int)").alias("word"))
-    words = words.agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(row % 64 as int)))").alias("bits"))
     marks = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
     marks = marks.select("block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK // 64 - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0).cast("long"))).alias("bits"))
     there = index.where(F.col("term") != END).join(durable(marks).hint("shuffle_hash"), "block")
