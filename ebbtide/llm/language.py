@@ -22,7 +22,7 @@ from ..storage import durable
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 MOST_LANGUAGES = 64
-PIECE = 1 << 20
+PIECE = 1 << 17
 SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 SIZES = (2, 4)  # n-gram lengths, in letters, word ends included
 
@@ -122,18 +122,20 @@ def fit(
     return LanguageFilter.build(languages, np.asarray(kept.column("gram")).astype(np.int64).view(np.uint64), owners, bits)
 
 
-def predict(docs: DataFrame, text_col: str, model: LanguageFilter) -> DataFrame:
-    """All columns of ``docs``, with lang_pred and score added (a column of that name is replaced)."""
+def predict(docs: DataFrame, text_col: str, model: LanguageFilter, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default), with lang_pred and score added; a column of that name is replaced."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 2 ** bits slots, whatever the corpus
     held = docs.drop("lang_pred", "score")
-    schema = held.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    kept = held.columns if keep is None else keep
+    places = [held.columns.index(c) for c in kept]
+    schema = held.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     column = held.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = [sent.value.predict(x.as_py()) for x in batch.column(column)]
-            columns = [*batch.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
+            columns = [*(batch.column(k) for k in places), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
     return held.mapInArrow(of, schema)
@@ -153,4 +155,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), parts, part).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = fit(rows.where("not held_out"), "text", "lang", **fitting)
-    return predict(rows.drop("lang"), "text", model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows.drop("lang"), "text", model, ["doc_id", "held_out"])
