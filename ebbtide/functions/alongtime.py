@@ -116,8 +116,9 @@ def per_group(sf: SeriesFrame, fit: Callable[[np.ndarray, np.ndarray], np.ndarra
         rows["value"] = fit(rows["bucket_ms"].to_numpy(), rows["value"].to_numpy())
         return rows[[f.name for f in schema.fields]]
 
-    keys = [F.coalesce(F.col(k), F.lit("\0")) for k in sf.keys] or [F.lit(1)]
-    return sf.df.select(*sf.keys, "bucket_ms", "value").groupBy(*keys).applyInPandas(lambda _, rows: of(rows), schema)
+    name = F.to_json(F.array(*[F.coalesce(F.col(k), F.lit("\0")) for k in sf.keys])) if sf.keys else F.lit("all")
+    rows = sf.df.select(*sf.keys, "bucket_ms", "value", name.alias("group_of_rows"))
+    return rows.groupBy("group_of_rows").applyInPandas(lambda _, part: of(part), schema)
 
 
 def least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:

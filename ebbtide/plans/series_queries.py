@@ -64,25 +64,25 @@ register(
 
 # 2.2 predicates, each counted over all points by metric
 PREDICATES = {
-    "filter_all": (pr.filter_all(), "true"),
-    "filter_tag_eq": (pr.filter_tag_eq("role", "web"), "list_contains(role, 'web')"),
-    "filter_tag_wildcard": (pr.filter_tag_wildcard("role", "w*"), "len(list_filter(role, lambda x: x LIKE 'w%')) > 0"),
-    "filter_host_eq": (pr.filter_host_eq("host-7"), "host = 'host-7'"),
-    "filter_host_wildcard": (pr.filter_host_wildcard("host-1*"), "host LIKE 'host-1%'"),
-    "filter_bare_tag": (pr.filter_bare_tag("canary"), "len(canary) > 0"),
-    "filter_bare_tag_wildcard": (pr.filter_bare_tag("can*"), "len(canary) > 0"),
-    "filter_in": (pr.filter_in("env", ["e1", "e3"]), "list_has_any(env, ['e1', 'e3'])"),
-    "filter_in_wildcard": (pr.filter_in("role", ["w*", "db"]), "len(list_filter(role, lambda x: x LIKE 'w%' OR x = 'db')) > 0"),
-    "filter_not": (pr.filter_not(pr.filter_tag_eq("env", "e2")), "NOT list_contains(env, 'e2')"),
-    "filter_and": (pr.filter_and(pr.filter_tag_eq("env", "e2"), pr.filter_bare_tag("canary")), "list_contains(env, 'e2') AND len(canary) > 0"),
-    "filter_or": (pr.filter_or(pr.filter_tag_eq("env", "e2"), pr.filter_host_eq("")), "list_contains(env, 'e2') OR host = ''"),
-    "filter_repeated_params": (pr.filter_repeated_params(["env:e1", "env:e2", "role:web"]), "list_has_any(env, ['e1', 'e2']) AND list_contains(role, 'web')"),
-    "filter_hosts_and_tags": (pr.filter_hosts_and_tags(["host-1", "host-2"], pr.filter_tag_eq("role", "web")), "host IN ('host-1', 'host-2') AND list_contains(role, 'web')"),
+    "filter_all": (lambda: pr.filter_all(), "true"),
+    "filter_tag_eq": (lambda: pr.filter_tag_eq("role", "web"), "list_contains(role, 'web')"),
+    "filter_tag_wildcard": (lambda: pr.filter_tag_wildcard("role", "w*"), "len(list_filter(role, lambda x: x LIKE 'w%')) > 0"),
+    "filter_host_eq": (lambda: pr.filter_host_eq("host-7"), "host = 'host-7'"),
+    "filter_host_wildcard": (lambda: pr.filter_host_wildcard("host-1*"), "host LIKE 'host-1%'"),
+    "filter_bare_tag": (lambda: pr.filter_bare_tag("canary"), "len(canary) > 0"),
+    "filter_bare_tag_wildcard": (lambda: pr.filter_bare_tag("can*"), "len(canary) > 0"),
+    "filter_in": (lambda: pr.filter_in("env", ["e1", "e3"]), "list_has_any(env, ['e1', 'e3'])"),
+    "filter_in_wildcard": (lambda: pr.filter_in("role", ["w*", "db"]), "len(list_filter(role, lambda x: x LIKE 'w%' OR x = 'db')) > 0"),
+    "filter_not": (lambda: pr.filter_not(pr.filter_tag_eq("env", "e2")), "NOT list_contains(env, 'e2')"),
+    "filter_and": (lambda: pr.filter_and(pr.filter_tag_eq("env", "e2"), pr.filter_bare_tag("canary")), "list_contains(env, 'e2') AND len(canary) > 0"),
+    "filter_or": (lambda: pr.filter_or(pr.filter_tag_eq("env", "e2"), pr.filter_host_eq("")), "list_contains(env, 'e2') OR host = ''"),
+    "filter_repeated_params": (lambda: pr.filter_repeated_params(["env:e1", "env:e2", "role:web"]), "list_has_any(env, ['e1', 'e2']) AND list_contains(role, 'web')"),
+    "filter_hosts_and_tags": (lambda: pr.filter_hosts_and_tags(["host-1", "host-2"], pr.filter_tag_eq("role", "web")), "host IN ('host-1', 'host-2') AND list_contains(role, 'web')"),
 }
 for name, (pred, text) in PREDICATES.items():
     register(
         name,
-        lambda s, d, p=pred: points(s, d).where(p).groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")),
+        lambda s, d, p=pred: points(s, d).where(p()).groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")),
         f"WITH {POINTS_SQL} SELECT metric, count(*) AS n, round(sum(value), 6) AS total FROM pts WHERE {text} GROUP BY metric",
     )
 register(

@@ -90,3 +90,56 @@ CHECKS_SQL = """runs AS (
   SELECT epoch_us(ts) // 1000 AS t_ms, 'check.' || event_type AS check_name, 'host-' || (user_id % 20) AS host,
          CASE WHEN value < 20 THEN 'OK' WHEN value < 35 THEN 'WARNING' WHEN value < 60 THEN 'CRITICAL' ELSE 'UNKNOWN' END AS status,
          'e' || (user_id % 5) AS env, event_id FROM events)"""
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """Monitor transitions: one for each event, keyed by monitor, group and time."""
+    user, v = F.col("user_id"), F.col("value")
+    reason = F.when(F.col("event_type") == "signup", "new").when(F.col("event_type") == "view", "expired").when(F.col("event_type") == "purchase", "recovery")
+    to = F.when(F.col("event_type") == "purchase", "OK").when(v < 20, "OK").when(v < 35, "Warn").when(v < 60, "Alert").otherwise("No Data")
+    at = epoch_ms("ts")
+    return events.select(
+        (user % 5).alias("monitor_id"),
+        F.concat(F.lit("host:"), (user % 20).cast("string")).alias("group_key"),
+        at.alias("at_ms"),
+        to.alias("to_state"),
+        reason.otherwise("threshold").alias("reason"),
+        F.when(to.isin("Alert", "Warn"), at).alias("first_triggered_at"),
+        F.when(to.isin("Alert", "Warn"), at).alias("last_triggered_at"),
+        (at + 500).alias("inserted_at"),
+        "value",
+        "event_id",
+    )
+
+
+def evaluations(events: DataFrame) -> DataFrame:
+    """Monitor evaluations: every third has no value."""
+    user = F.col("user_id")
+    return events.select(
+        (user % 5).alias("monitor_id"),
+        F.concat(F.lit("host:"), (user % 20).cast("string")).alias("group_key"),
+        epoch_ms("ts").alias("at_ms"),
+        F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"),
+        F.when(F.col("event_id") % 3 != 0, "judged").otherwise("skipped").alias("outcome"),
+        "event_id",
+    )
+
+
+def notifications(events: DataFrame) -> DataFrame:
+    """Notifications of every fourth transition, each written twice."""
+    rows = transitions(events).where(F.col("event_id") % 4 == 0)
+    once = rows.select("monitor_id", "group_key", F.col("at_ms").alias("transition_at"), F.lit("stub").alias("channel"))
+    return once.unionAll(once)
+
+
+MONITORS_SQL = """ev AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events),
+trans AS (
+  SELECT user_id % 5 AS monitor_id, 'host:' || (user_id % 20) AS group_key, ms AS at_ms,
+         CASE WHEN event_type = 'purchase' THEN 'OK' WHEN value < 20 THEN 'OK' WHEN value < 35 THEN 'Warn' WHEN value < 60 THEN 'Alert' ELSE 'No Data' END AS to_state,
+         CASE event_type WHEN 'signup' THEN 'new' WHEN 'view' THEN 'expired' WHEN 'purchase' THEN 'recovery' ELSE 'threshold' END AS reason,
+         ms + 500 AS inserted_at, value, event_id FROM ev),
+evals AS (SELECT user_id % 5 AS monitor_id, 'host:' || (user_id % 20) AS group_key, ms AS at_ms,
+          CASE WHEN event_id % 3 <> 0 THEN value END AS value, CASE WHEN event_id % 3 <> 0 THEN 'judged' ELSE 'skipped' END AS outcome, event_id FROM ev),
+notes AS (SELECT monitor_id, group_key, at_ms AS transition_at FROM trans WHERE event_id % 4 = 0),
+latest AS (SELECT * FROM (SELECT *, CASE WHEN to_state IN ('Alert', 'Warn') THEN at_ms END AS last_triggered_at,
+           row_number() OVER (PARTITION BY monitor_id, group_key ORDER BY at_ms DESC, inserted_at DESC) AS rn FROM trans) WHERE rn = 1)"""
