@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable
 from .language import held_out
 
 WIDTH = 6  # bytes that a filter sees
@@ -138,7 +139,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         return [], np.zeros(0, np.int64)
     share = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1.0, per_label / n))])
     rank = F.xxhash64("label_id").bitwiseAND(F.lit((1 << 40) - 1))
-    drawn = known.where(rank / F.lit(float(1 << 40)) < share[F.col("label")])
+    drawn = durable(known.where(rank / F.lit(float(1 << 40)) < share[F.col("label")]))
+    if drawn.count() <= 8 * per_label:  # about two samples' size; then no text is shuffled to find them
+        drawn = F.broadcast(drawn)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     start = F.pmod(F.xxhash64(F.col(id_col), F.lit("at")), F.greatest(F.lit(1), F.octet_length(text) - TRAIN_BYTES + 1)).cast("int") + 1
     rows = (
