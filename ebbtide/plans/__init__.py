@@ -1,6 +1,6 @@
 """Registered queries. Importing this package registers them all."""
 
-from . import read_queries, series_queries
+from . import ingest_queries, product_queries, read_queries, series_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "read_queries", "series_queries"]
+__all__ = ["ORACLES", "QUERIES", "ingest_queries", "product_queries", "read_queries", "series_queries"]
