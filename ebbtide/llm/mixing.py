@@ -99,19 +99,19 @@ def mix(
         .withColumn("whole", F.floor("ratio"))
         .withColumn("rest", F.col("ratio") - F.col("whole"))
         .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("unit", F.col("rest") * F.col("source_size") / (F.col("source_size") + F.coalesce("short_size", F.lit(0))))
+        .withColumn("unit", F.try_divide(F.col("rest") * F.col("source_size"), F.col("source_size") + F.coalesce("short_size", F.lit(0))))
         .select(F.col("source").alias("of"), "source_size", "n", "target", "whole", "extra", "unit")
     )
     small = _sent(plan)
     chance = F.col("unit") * F.when(F.col("size") * F.col("n") <= F.col("source_size"), 2.0).otherwise(1.0)
-    quotient = F.when(F.col("p") >= 1, 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    quotient = F.when(F.col("p") >= 1, 0.0).otherwise(F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(F.col("p"), 1 - F.col("p"))))
     everything = docs.select(*keys, F.struct(*docs.columns).alias("row")) if keep_row else base
 
     def ranked_rows(rows: DataFrame) -> DataFrame:
         return (
             rows.join(small, F.col("source").eqNullSafe(F.col("of")), "left")
             .withColumn("p", chance)
-            .withColumn("open", (F.col("p") > 0) & (F.col("size") > 0))
+            .withColumn("open", F.coalesce((F.col("p") > 0) & (F.col("size") > 0), F.lit(False)))
             .withColumn("q", F.when(F.col("open"), quotient))
             .withColumn("cell", F.floor(F.col("q") / (F.col("q") + 1) * CELLS).cast("int"))
         )
