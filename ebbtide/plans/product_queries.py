@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog, product
+from ..operators.aggregate import rollup_1m
 from ..sources import telemetry
 from ..sources.telemetry import CHECKS_SQL, LOGS_SQL, MONITORS_SQL, POINTS_SQL, epoch_ms, table
+from ..storage import shared_dir
+from ..streaming import views
 from .common import DAY, FROM, points
 from .registry import register
 
@@ -117,3 +122,19 @@ register(
     lambda s, d: table(s, d, "lineitem").withColumn("t_ms", epoch_ms("l_shipdate")).groupBy("l_returnflag", "l_linestatus", (F.floor(F.col("t_ms") / (7 * DAY * 1000)) * (7 * DAY * 1000)).cast("long").alias("bucket_ms"), "l_suppkey").agg(F.sum("l_quantity").alias("value")).groupBy("l_returnflag", "l_linestatus", "bucket_ms").agg(F.round(F.avg("value"), 6).alias("value")),
     f"SELECT l_returnflag, l_linestatus, bucket_ms, round(avg(value), 6) AS value FROM (SELECT l_returnflag, l_linestatus, epoch_us(l_shipdate) // 1000 // {7 * DAY * 1000} * {7 * DAY * 1000} AS bucket_ms, l_suppkey, sum(l_quantity) AS value FROM lineitem GROUP BY ALL) GROUP BY ALL",
 )
+
+
+def written(s, d):
+    path = f"{shared_dir(s)}/ebbtide-facts-{uuid.uuid4().hex}"
+    rows = points(s, d).select("t_ms", "metric", "host", "value")
+    views.sink_fact(rows.where(F.col("t_ms") < NOW), path)
+    views.sink_fact(rows.where(F.col("t_ms") >= NOW), path)
+    return s.read.parquet(path).groupBy("metric", F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+register("sink_fact", written, f"WITH {POINTS_SQL} SELECT metric, CAST(CAST(epoch_ms(t_ms) AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(value), 6) AS total FROM pts GROUP BY ALL")
+register(
+    "merged_rollup",
+    lambda s, d: views.merged_rollup(rollup_1m(points(s, d).where("k < 50")).unionByName(rollup_1m(points(s, d).where("k >= 50")))).groupBy("metric").agg(F.sum("points").alias("points"), F.count("*").alias("rows"), F.round(F.sum("value_sum"), 6).alias("total")),
+    f"WITH {POINTS_SQL} SELECT metric, CAST(sum(points) AS BIGINT) AS points, count(*) AS rows, round(sum(s), 6) AS total FROM (SELECT metric, host, env, role, canary, t_ms // 60000, count(*) AS points, sum(value) AS s FROM pts GROUP BY ALL) GROUP BY metric",
+)
