@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable, durable_buckets
+from .text import bounded
 
 BLANKS = dict.fromkeys(map(ord, " \t\n\v\f\r"))
 SENDER_ROWS = 8192  # rows, or
@@ -105,7 +106,7 @@ def _sent(docs: DataFrame, owner_bits: int) -> DataFrame:
                 sender, row, first = sender + 1, row + last - first, last
 
     kind = "doc_id long, chars long, plain binary, text_sha256 string, row long, sender long, owner int, place int, list struct<k:int,n:int,bits:binary>"
-    return docs.mapInArrow(of, kind)
+    return bounded(docs).mapInArrow(of, kind)
 
 
 def _answers(lists: DataFrame, owner_bits: int) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable
+from .text import bounded
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -110,7 +111,7 @@ def fit(
                     value, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value)), pa.array(value.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    sums = durable(sample.mapInArrow(of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    sums = durable(bounded(sample).mapInArrow(of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     total = {r.lang: r.n for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     whole = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, float(n))]) if total else F.create_map()
     rated = sums.withColumn("rate", F.col("n") / whole[F.col("lang")]) if total else sums.withColumn("rate", F.lit(0.0))
@@ -138,7 +139,7 @@ def predict(docs: DataFrame, text_col: str, model: LanguageFilter, keep: list[st
             columns = [*(batch.column(k) for k in places), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-    return held.mapInArrow(of, schema)
+    return bounded(held).mapInArrow(of, schema)
 
 
 def held_out(id_col: Column, parts: int, part: int) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..storage import durable
 from .language import held_out
+from .text import bounded
 
 WIDTH = 6  # bytes that a filter sees
 STRIDE = 2
@@ -172,5 +173,5 @@ def quality_scores(
             scores = [sent.value.score((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
-    scored = rows.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "text").mapInArrow(of, "doc_id long, held_out boolean, score double")
+    scored = bounded(rows).select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "text").mapInArrow(of, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import bounded
+
 Query = bool | str | tuple  # True: every document; a trigram; ("and" | "or", query, ...)
 
 
@@ -185,4 +187,4 @@ def secret_rows(
 
     counts = "".join(f"n_{r.kind} long, " for r in base)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(of, f"doc_id long, {counts}base_sha256 string, spans string, n_candidates long")
+    return bounded(picked).mapInArrow(of, f"doc_id long, {counts}base_sha256 string, spans string, n_candidates long")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..storage import durable
 from .components import connected_components
+from .text import bounded
 
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
@@ -113,7 +114,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(of, "doc_id long, fp long")
+    return bounded(picked).mapInArrow(of, "doc_id long, fp long")
 
 
 def _search(members: np.ndarray, most: int) -> list[np.ndarray]:

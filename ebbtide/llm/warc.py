@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable
+from .text import bounded
 
 ARCHIVE_BYTES = 8 << 20  # payload after which the writer starts another archive
 PIECE = 1 << 16
@@ -145,7 +146,7 @@ def write_archives(rows: DataFrame, prefix: str = "part") -> DataFrame:
         if zip_ is not None:
             yield close()
 
-    return rows.select("record_id", "uri", "record_type", "refers_to", "digest", "payload_bytes", "payload").mapInArrow(of, ARCHIVE)
+    return bounded(rows).select("record_id", "uri", "record_type", "refers_to", "digest", "payload_bytes", "payload").mapInArrow(of, ARCHIVE)
 
 
 def normalise_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
