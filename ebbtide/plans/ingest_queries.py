@@ -29,7 +29,7 @@ def made(x) -> Column:
 
 def landing(spark, d: str, intake: str, body) -> DataFrame:
     ev = table(spark, d, "events").withColumn("ms", epoch_ms("ts")).withColumns({"sec": F.expr("ms div 1000"), "h": F.expr("user_id % 20"), "q": F.expr("event_id % 4")})
-    text = F.to_json(made(body))
+    text = F.expr(body) if isinstance(body, str) else F.to_json(made(body))
     broken = F.expr("event_id % 50 = 0")
     return ev.select(
         F.lit("default").alias("tenant_id"),
@@ -135,6 +135,40 @@ SIMPLE: dict[str, tuple] = {
     "norm_debugger_logs": ("debugger_logs", {"service": "event_type", "message": "'m'", "timestamp": "ms", "ddtags": "'env:x'", "debugger": {"snapshot": {"probe": {"id": "'p' || CAST(q AS STRING)"}}}}, {"service": "service", "probe_id": "probe_id", "t_ms": "t_ms"}, {"service": "event_type", "probe_id": "'p' || CAST(q AS STRING)", "t_ms": "ms"}),
     "norm_profiles_meta": ("profiles_meta", {"family": "event_type", "start": "CAST(ms AS STRING)", "end": "CAST(ms + 60000 AS STRING)", "attachments": ["'cpu.pprof'"], "tags_profiler": "'env:x,canary'"}, {"family": "family", "started": "start", "n": "size(attachments)", "env": "tags['env'][0]"}, {"family": "event_type", "started": "CAST(ms AS STRING)", "n": "1", "env": "'x'"}),
 }
+SIMPLE |= {
+    "norm_agent_checks": ("agent_checks", {"internalHostname": HOST, "agent_checks": [["'chk' || CAST(q AS STRING)", "event_type", "'i'", "'OK'", "''"]]}, {"name": "name", "source": "source", "status": "status", "host": "host"}, {"name": "'chk' || CAST(q AS STRING)", "source": "event_type", "status": "'OK'", "host": HOST}),
+    "norm_process_groups": ("process_groups", {"internalHostname": HOST, "processes": [["'u'", "CAST(q AS STRING)", "'1.5'", "'0'", "'0'", "event_type", "CAST(user_id AS STRING)"]]}, {"user": "user", "cpu": "cpu", "name": "name", "pids": "pids"}, {"user": "'u'", "cpu": "CAST(q AS DOUBLE)", "name": "event_type", "pids": "user_id"}),
+    "norm_pipeline_stats": ("pipeline_points", {"Service": "event_type", "Env": "'p'", "Stats": [{"Start": "ms", "Stats": [{"Hash": "9007199254740993L + event_id", "ParentHash": "event_id", "EdgeTags": ["'in'"]}, {"Hash": "event_id", "ParentHash": "0L", "EdgeTags": ["'out'"]}]}]}, {"service": "service", "hash": "hash", "parent_hash": "parent_hash", "bucket_start": "bucket_start"}, {"service": "event_type", "hash": "unnest([9007199254740993 + event_id, event_id])", "parent_hash": "unnest([event_id, 0])", "bucket_start": "ms"}),
+    "norm_pipeline_stats_backlogs": ("pipeline_backlogs", {"Service": "event_type", "Stats": [{"Start": "ms", "Backlogs": [{"Value": "user_id", "Tags": ["'t'"]}]}]}, {"service": "service", "value": "value", "bucket_start": "bucket_start"}, {"service": "event_type", "value": "user_id", "bucket_start": "ms"}),
+    "norm_dsm_messages": ("dsm_messages", {"topic": "event_type", "partition": "q", "offset": "event_id", "message": "'m'", "b": "1", "a": "2"}, {"topic": "topic", "partition": "partition", "pos": "offset", "names": "array_join(array_sort(map_keys(extra)), ',')"}, {"topic": "event_type", "partition": "q", "pos": "event_id", "names": "'a,b'"}),
+    "norm_process_stats": ("process_stats", {"hostName": HOST, "stats": [{"pid": "event_id", "cpu": {"totalPct": "value"}, "memory": {"rss": "user_id"}, "threads": "q"}]}, {"pid": "pid", "cpu": "cpu", "rss": "rss", "threads": "threads"}, {"pid": "event_id", "cpu": "value", "rss": "user_id", "threads": "q"}),
+    "norm_discoveries": ("discoveries", {"hostName": HOST, "groupSize": "3L", "processDiscoveries": [{"pid": "event_id", "command": {"exe": "event_type"}, "user": {"name": "'u'"}}]}, {"pid": "pid", "command": "command", "host": "host", "group_size": "group_size"}, {"pid": "event_id", "command": "event_type", "host": HOST, "group_size": "3"}),
+    "norm_snapshots": ("snapshots", {"hostName": HOST, "kind": "event_type", "groupId": "sec", "groupSize": "q", "agentVersion": "'7'"}, {"host": "host", "kind": "kind", "group_id": "group_id", "group_size": "group_size"}, {"host": HOST, "kind": "event_type", "group_id": "sec", "group_size": "q"}),
+    "norm_container_stats": ("container_stats", {"hostName": HOST, "source": "'stats'", "containerStats": [{"id": "'c' || CAST(q AS STRING)", "totalPct": "value", "memRss": "user_id"}]}, {"container_id": "container_id", "cpu": "cpu", "rss": "rss", "lim": "limit", "source": "source"}, {"container_id": "'c' || CAST(q AS STRING)", "cpu": "value", "rss": "user_id", "lim": "NULL", "source": "'stats'"}),
+    "norm_connections_payload": ("connections_payload", {"hostName": HOST, "tagsPool": ["'a'", "event_type"], "connections": [{"pid": "event_id", "tags": ["1", "0"]}]}, {"pid": "pid", "tags": "array_join(transform(tag_indexes, i -> pool[i]), ',')"}, {"pid": "event_id", "tags": "event_type || ',a'"}),
+    "norm_usm_db": ("usm_db", {"hostName": HOST, "connections": [{"pid": "event_id", "dbAggregations": [{"tableName": "event_type", "operation": "'select'", "count": "q"}]}]}, {"pid": "pid", "table_name": "table_name", "n": "count"}, {"pid": "event_id", "table_name": "event_type", "n": "q"}),
+    "norm_k8s_cluster": ("k8s_cluster", {"clusterId": "event_type", "cluster": {"nodeCount": "q", "kubeletVersions": {"v1": "q", "v2": "h"}, "cpuAllocatable": "user_id"}}, {"cluster_id": "cluster_id", "nodes": "nodes", "v2": "versions['v2']", "cpu": "cpu"}, {"cluster_id": "event_type", "nodes": "q", "v2": "h", "cpu": "user_id"}),
+    "norm_k8s_actions": ("k8s_actions", {"results": [{"actionId": "CAST(event_id AS STRING)", "resource": {"kind": "'Pod'", "name": "event_type"}, "status": "'ok'"}]}, {"action_id": "action_id", "kind": "kind", "name": "name", "status": "status"}, {"action_id": "CAST(event_id AS STRING)", "kind": "'Pod'", "name": "event_type", "status": "'ok'"}),
+    "norm_ecs_tasks": ("ecs_tasks", {"clusterName": "'c'", "tasks": [{"arn": "CAST(event_id AS STRING)", "family": "event_type", "knownStatus": "'RUNNING'", "containers": [{"name": "'a'"}, {"name": "'b'"}], "tags": TAGS}]}, {"arn": "arn", "family": "family", "status": "status", "n": "size(containers)", "cluster": "cluster"}, {"arn": "CAST(event_id AS STRING)", "family": "event_type", "status": "'RUNNING'", "n": "2", "cluster": "'c'"}),
+    "norm_ndm_ips": ("ndm_ips", {"namespace": "'n'", "ip_addresses": [{"interface_id": "'d:' || CAST(q AS STRING)", "ip_address": "'10.0.0.' || CAST(h AS STRING)", "prefixlen": "24L"}]}, {"interface": "interface", "ip": "ip", "prefix": "prefix"}, {"interface": "'d:' || CAST(q AS STRING)", "ip": "'10.0.0.' || CAST(h AS STRING)", "prefix": "24"}),
+    "norm_ndm_objects": ("ndm_objects", {"namespace": "'n'", "objects": [{"device_id": "'d'", "type": "event_type", "name": "CAST(h AS STRING)"}]}, {"kind": "kind", "name": "name", "namespace": "namespace"}, {"kind": "event_type", "name": "CAST(h AS STRING)", "namespace": "'n'"}),
+    "norm_ndm_configs": ("ndm_configs", {"namespace": "'n'", "configs": [{"device_id": "'d' || CAST(h AS STRING)", "config_type": "'running'", "config_content": "event_type", "timestamp": "sec", "tags": TAGS}]}, {"device_id": "device_id", "content": "content", "t_ms": "t_ms"}, {"device_id": "'d' || CAST(h AS STRING)", "content": "event_type", "t_ms": "sec * 1000"}),
+    "norm_rum_spans": ("rum_spans", {"env": "'p'", "spans": [{"trace_id": "CAST(event_id AS STRING)", "span_id": "CAST(user_id AS STRING)", "name": "event_type", "meta": {"view_id": "'v'"}, "duration": "h"}]}, {"trace_id": "trace_id", "span_id": "span_id", "name": "name", "view_id": "view_id", "env": "env"}, {"trace_id": "CAST(event_id AS STRING)", "span_id": "CAST(user_id AS STRING)", "name": "event_type", "view_id": "'v'", "env": "'p'"}),
+    "norm_rum_replay": ("rum_replay", {"view": {"id": "'v' || CAST(h AS STRING)"}, "session": {"id": "'s'"}, "start": "ms", "end": "ms + 10", "records_count": "q"}, {"view_id": "view_id", "length": "end - start", "records": "records"}, {"view_id": "'v' || CAST(h AS STRING)", "length": "10", "records": "q"}),
+    "norm_discovery": ("discovery", {"request_type": "'start'", "payload": {"service_name": "event_type", "host_name": HOST, "pid": "event_id", "ports": ["80L", "h"]}}, {"service": "service", "host": "host", "pid": "pid", "port": "ports[1]"}, {"service": "event_type", "host": HOST, "pid": "event_id", "port": "h"}),
+    "norm_health": ("health", {"events": [{"host": HOST, "check": "event_type", "status": "CASE WHEN q = 0 THEN 'bad' ELSE 'ok' END"}]}, {"host": "host", "chk": "check", "state": "state"}, {"host": HOST, "chk": "event_type", "state": "CASE WHEN q = 0 THEN 'bad' ELSE 'ok' END"}),
+    "norm_event_mgmt": ("event_mgmt", {"data": [{"attributes": {"title": "event_type", "category": "'change'", "aggregation_key": "CAST(q AS STRING)", "timestamp": "ms", "tags": TAGS}}]}, {"title": "title", "category": "category", "key": "key", "t_ms": "t_ms"}, {"title": "event_type", "category": "'change'", "key": "CAST(q AS STRING)", "t_ms": "ms"}),
+    "norm_software": ("software", {"hostname": HOST, "software": [{"name": "event_type", "version": "CAST(q AS STRING)", "publisher": "'p'"}]}, {"name": "name", "version": "version", "host": "host"}, {"name": "event_type", "version": "CAST(q AS STRING)", "host": HOST}),
+    "norm_lineage": ("lineage", {"job": {"name": "event_type"}, "run": {"runId": "CAST(event_id AS STRING)"}, "eventType": "'COMPLETE'", "eventTimeMs": "ms", "inputs": [{"name": "'a'"}, {"name": "'b'"}], "outputs": [{"name": "'c'"}]}, {"job": "job", "run": "run", "ins": "size(inputs)", "outs": "size(outputs)", "t_ms": "t_ms"}, {"job": "event_type", "run": "CAST(event_id AS STRING)", "ins": "2", "outs": "1", "t_ms": "ms"}),
+    "norm_ci_coverage": ("ci_coverage", {"coverages": [{"test_session_id": "CAST(h AS STRING)", "test_suite_id": "event_type", "files": [{"filename": "'a.py'"}, {"filename": "'b.py'"}]}]}, {"session": "session", "suite": "suite", "files": "size(files)"}, {"session": "CAST(h AS STRING)", "suite": "event_type", "files": "2"}),
+    "norm_ci_pipeline": ("ci_pipeline", {"data": [{"attributes": {"resource": {"name": "event_type", "level": "'job'", "status": "'success'", "start": "CAST(ms AS STRING)"}}}]}, {"pipeline": "pipeline", "level": "level", "status": "status", "started": "start"}, {"pipeline": "event_type", "level": "'job'", "status": "'success'", "started": "CAST(ms AS STRING)"}),
+    "norm_ci_settings": ("ci_settings", {"request": {"service": "event_type", "repository_url": "'git@x'"}, "response": {"tests_skipping": "q = 0"}}, {"service": "service", "repository": "repository", "skipping": "skipping"}, {"service": "event_type", "repository": "'git@x'", "skipping": "q = 0"}),
+    "norm_batch_metadata": ("batch_metadata", {"metadata": {"sender": HOST, "version": "CAST(q AS STRING)"}, "series": ["'a'", "'b'"]}, {"sender": "sender", "version": "version", "n": "size(series)"}, {"sender": HOST, "version": "CAST(q AS STRING)", "n": "2"}),
+    "norm_query_actions": ("query_actions", {"action": "event_type", "result": {"z": "1", "a": "q"}}, {"action": "action", "names": "array_join(array_sort(map_keys(result)), ',')", "a": "result['a']"}, {"action": "event_type", "names": "'a,z'", "a": "CAST(q AS STRING)"}),
+    "norm_debugger_diagnostics": ("debugger_diagnostics", {"service": "event_type", "timestamp": "ms", "debugger": {"diagnostics": {"probeId": "CAST(h AS STRING)", "status": "'INSTALLED'"}}}, {"service": "service", "probe_id": "probe_id", "status": "status", "t_ms": "t_ms"}, {"service": "event_type", "probe_id": "CAST(h AS STRING)", "status": "'INSTALLED'", "t_ms": "ms"}),
+    "norm_symdb": ("symdb", {"service": "event_type", "language": "'python'", "scopes": ["'m'"]}, {"service": "service", "language": "language", "n": "size(scopes)"}, {"service": "event_type", "language": "'python'", "n": "1"}),
+    "norm_rum_timeseries": ("rum_timeseries", {"type": "'timeseries'", "date": "ms", "view": {"id": "'v'"}, "timeseries": {"name": "event_type", "data": [{"timestamp": "ms", "value": "value"}]}}, {"name": "name", "n": "size(samples)", "v": "samples[0].value"}, {"name": "event_type", "n": "1", "v": "value"}),
+}
 for name, (intake, body, out, sql) in SIMPLE.items():
     signal(name, intake, body, out, sql)
 
@@ -185,3 +219,34 @@ def notes(s, d):
 
 
 register("norm_type_notes", notes, f"{GOOD} SELECT ms + 1000 AS received_ms, CASE WHEN q = 0 THEN 'status' ELSE '' END AS note FROM good")
+
+signal(
+    "norm_intake_events", "intake_events",
+    {"internalHostname": HOST, "events": {"api": [{"msg_title": "'t' || event_type", "msg_text": "'x'", "timestamp": "sec", "host": "CASE WHEN q = 0 THEN NULL ELSE 'own' END", "tags": TAGS}], "nagios": [{"msg_title": "'n'", "msg_text": "'y'", "timestamp": "sec", "host": "'own'", "tags": TAGS}]}},
+    {"source": "source", "title": "title", "host": "coalesce(host, agent_host)", "t_ms": "t_ms"},
+    {"source": "unnest(['api', 'nagios'])", "title": "unnest(['t' || event_type, 'n'])", "host": f"unnest([CASE WHEN q = 0 THEN {HOST} ELSE 'own' END, 'own'])", "t_ms": "sec * 1000"},
+)
+signal(
+    "norm_external_host_tags", "external_host_tags", """concat('{"external_host_tags":[["host-', h, '",{"vs":["a:', q, '","b"]}]]}')""",
+    {"host": "host", "source": "source", "tags": "array_join(pairs, ',')"},
+    {"host": HOST, "source": "'vs'", "tags": "'a:' || CAST(q AS STRING) || ',b'"},
+    lambda f: f.select("*", F.explode("by_source").alias("source", "pairs")),
+)
+for kind, (listed, field, code) in {"norm_usm_http": ("httpAggregations", "statsByStatusCode", "by_status"), "norm_usm_kafka": ("kafkaAggregations", "statsByErrorCode", "by_error")}.items():
+    named = {"path": "event_type", "method": "'GET'"} if "http" in kind else {"topic": "event_type"}
+    signal(
+        kind, kind.removeprefix("norm_"), {"hostName": HOST, "connections": [{"pid": "event_id", listed: [named | {field: {"200": {"count": "q"}, "500": {"count": "h"}}}]}]},
+        {"pid": "pid", "what": next(iter(named)), "code": "code", "n": "stat.count"}, {"pid": "event_id", "what": "event_type", "code": "unnest(['200', '500'])", "n": "unnest([q, h])"},
+        lambda f, c=code: f.select("*", F.explode(c).alias("code", "stat")),
+    )
+signal(
+    "norm_symbol_queries", "symbol_queries", {"data": {"arch": "'arm'", "buildIds": ["'b' || CAST(q AS STRING)", "'c' || CAST(h AS STRING)"]}},
+    {"build_id": "item_text", "arch": "arch"}, {"build_id": "unnest(['b' || CAST(q AS STRING), 'c' || CAST(h AS STRING)])", "arch": "'arm'"},
+    lambda f: f.withColumnRenamed("build_id", "item_text"),
+)
+TREE = """concat('{"metadata":{"container_id":"', event_id, '"},"tree":{"exe":"init","children":[{"exe":"', event_type, '","children":[{"exe":"leaf"}]},{"exe":"b"}]}}')"""
+signal(
+    "norm_cws_dump", "cws_dump", TREE, {"container": "container", "path": "array_join(path, '.')", "exe": "get_json_object(node, '$.exe')"},
+    {"container": "CAST(event_id AS STRING)", "path": "unnest(['0', '0.0', '0.0.0', '0.1'])", "exe": "unnest(['init', event_type, 'leaf', 'b'])"},
+    lambda f: norm.flatten_tree(f, "tree", ["container"]),
+)

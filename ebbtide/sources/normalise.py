@@ -29,6 +29,8 @@ class Spec:
     tags: str | None = None
     timestamp: tuple[str, int] | None = None  # path and its unit in milliseconds
     extra: bool = True
+    keyed: str | None = None  # ``items`` is a map from this column's values to lists of items
+    inner: str | None = None  # a list below each item, taken apart too; its fields' paths start at $.inner
     derive: dict[str, Callable[[], Column]] = field(default_factory=dict)
 
 
@@ -47,7 +49,7 @@ def tag_texts(raw: Column) -> Column:
 
 
 def first_of(body: str, paths: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.get_json_object(body, p) for p in paths])
+    return F.coalesce(*[F.col(body) if p == "$" else F.get_json_object(body, p) for p in paths])
 
 
 def typed(raw: Column, kind: str) -> Column:
@@ -63,7 +65,14 @@ def frames(landing: DataFrame, spec: Spec) -> DataFrame:
     whole = F.when(body.startswith("[") | body.startswith("{") & ~body.contains("}\n{"), F.array(body)).otherwise(F.split(body, "\n"))
     rows = rows.withColumn("doc", F.explode(F.filter(whole, lambda x: F.trim(x) != "")))
     listed = F.get_json_object("doc", spec.items) if spec.items else F.when(F.col("doc").startswith("["), F.col("doc")).otherwise(F.concat(F.lit("["), F.col("doc"), F.lit("]")))
-    return rows.withColumn("item", F.explode_outer(F.from_json(listed, "array<string>")))
+    if spec.keyed:
+        rows = rows.select("*", F.explode_outer(F.from_json(listed, "map<string,string>")).alias(f"f_{spec.keyed}", "listed"))
+        listed = F.col("listed")
+    rows = rows.withColumn("item", F.explode_outer(F.from_json(listed, "array<string>")))
+    if spec.inner:
+        inner = F.explode_outer(F.from_json(F.get_json_object("item", spec.inner), "array<string>"))
+        rows = rows.withColumn("inner", inner).withColumn("item", F.concat(F.lit('{"outer":'), F.col("item"), F.lit(',"inner":'), F.coalesce("inner", F.lit("null")), F.lit("}")))
+    return rows
 
 
 def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +88,7 @@ def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     reason = F.when(~F.coalesce(valid, F.lit(False)), F.when(F.get_json_object("doc", "$").isNull(), "decode_error").otherwise("unexpected_shape")).when(lacking, "unexpected_shape")
     wrong = [F.when(first_of("item", tuple(paths)).isNotNull() & F.col(f"f_{n}").isNull(), F.lit(n)) for n, (_, *paths) in spec.fields.items()]
     rows = rows.withColumn("reason", reason).withColumn("note", F.array_join(F.array_compact(F.array(*wrong)), ",") if wrong else F.lit(""))
-    out = {n: F.col(f"f_{n}") for n in columns}
+    out = {n: F.col(f"f_{n}") for n in [*columns, *([spec.keyed] if spec.keyed else [])]}
     if spec.tags:
         out["tags"] = multimap(tag_texts(first_of("item", (spec.tags,))))
     if spec.timestamp:
@@ -147,6 +156,46 @@ SPECS: dict[str, Spec] = {
     "debugger_logs": Spec("debugger_logs", {"service": (S, "$.service"), "probe_id": (S, "$.debugger.snapshot.probe.id"), "message": (S, "$.message")}, tags="$.ddtags", timestamp=("$.timestamp", 1)),
     "profiles_meta": Spec("profiles_meta", {"family": (S, "$.family"), "start": (S, "$.start"), "end": (S, "$.end"), "attachments": ("array<string>", "$.attachments")}, tags="$.tags_profiler"),
 }
+SPECS |= {
+    "intake_events": Spec("intake_events", {"title": (S, "$.msg_title"), "text": (S, "$.msg_text"), "host": (S, "$.host"), "alert_type": (S, "$.alert_type")}, "$.events", {"agent_host": (S, "$.internalHostname")}, keyed="source", tags="$.tags", timestamp=("$.timestamp", 1000)),
+    "agent_checks": Spec("agent_checks", {"name": (S, "$[0]"), "source": (S, "$[1]"), "instance": (S, "$[2]"), "status": (S, "$[3]"), "message": (S, "$[4]")}, "$.agent_checks", {"host": (S, "$.internalHostname")}, ("name",), extra=False),
+    "external_host_tags": Spec("external_host_tags", {"host": (S, "$[0]"), "by_source": ("map<string,array<string>>", "$[1]")}, "$.external_host_tags", required=("host",), extra=False),
+    "process_groups": Spec("process_groups", {"user": (S, "$[0]"), "cpu": (D, "$[1]"), "mem": (D, "$[2]"), "name": (S, "$[5]"), "pids": (L, "$[6]")}, "$.processes", {"host": (S, "$.internalHostname")}, extra=False),
+    "pipeline_points": Spec("pipeline_points", {"hash": (L, "$.inner.Hash"), "parent_hash": (L, "$.inner.ParentHash"), "edge_tags": ("array<string>", "$.inner.EdgeTags"), "bucket_start": (L, "$.outer.Start")}, "$.Stats", {"service": (S, "$.Service"), "env": (S, "$.Env")}, inner="$.Stats", extra=False),
+    "pipeline_backlogs": Spec("pipeline_backlogs", {"value": (L, "$.inner.Value"), "backlog_tags": ("array<string>", "$.inner.Tags"), "bucket_start": (L, "$.outer.Start")}, "$.Stats", {"service": (S, "$.Service")}, inner="$.Backlogs", extra=False),
+    "dsm_messages": Spec("dsm_messages", {"topic": (S, "$.topic"), "partition": (L, "$.partition"), "offset": (L, "$.offset"), "text": (S, "$.message")}),
+    "process_stats": Spec("process_stats", {"pid": (L, "$.pid"), "cpu": (D, "$.cpu.totalPct"), "rss": (L, "$.memory.rss"), "threads": (L, "$.threads")}, "$.stats", {"host": (S, "$.hostName")}, ("pid",)),
+    "discoveries": Spec("discoveries", {"pid": (L, "$.pid"), "command": (S, "$.command.exe"), "user": (S, "$.user.name")}, "$.processDiscoveries", {"host": (S, "$.hostName"), "group_size": (L, "$.groupSize")}, ("pid",)),
+    "snapshots": Spec("snapshots", {"host": (S, "$.hostName"), "kind": (S, "$.kind"), "group_id": (L, "$.groupId"), "group_size": (L, "$.groupSize"), "agent_version": (S, "$.agentVersion")}, required=("host",)),
+    "container_stats": Spec("container_stats", {"container_id": (S, "$.id"), "cpu": (D, "$.totalPct"), "rss": (L, "$.memRss"), "limit": (L, "$.memLimit")}, "$.containerStats", {"host": (S, "$.hostName"), "source": (S, "$.source")}, ("container_id",)),
+    "connections_payload": Spec("connections_payload", {"pid": (L, "$.pid"), "tag_indexes": ("array<int>", "$.tags")}, "$.connections", {"host": (S, "$.hostName"), "pool": ("array<string>", "$.tagsPool")}, ("pid",)),
+    "usm_http": Spec("usm_http", {"pid": (L, "$.outer.pid"), "path": (S, "$.inner.path"), "method": (S, "$.inner.method"), "by_status": ("map<string,struct<count:bigint>>", "$.inner.statsByStatusCode")}, "$.connections", {"host": (S, "$.hostName")}, inner="$.httpAggregations", extra=False),
+    "usm_kafka": Spec("usm_kafka", {"pid": (L, "$.outer.pid"), "topic": (S, "$.inner.topic"), "by_error": ("map<string,struct<count:bigint>>", "$.inner.statsByErrorCode")}, "$.connections", {"host": (S, "$.hostName")}, inner="$.kafkaAggregations", extra=False),
+    "usm_db": Spec("usm_db", {"pid": (L, "$.outer.pid"), "table_name": (S, "$.inner.tableName"), "operation": (S, "$.inner.operation"), "count": (L, "$.inner.count")}, "$.connections", {"host": (S, "$.hostName")}, inner="$.dbAggregations", extra=False),
+    "k8s_cluster": Spec("k8s_cluster", {"cluster_id": (S, "$.clusterId"), "nodes": (L, "$.cluster.nodeCount"), "versions": ("map<string,bigint>", "$.cluster.kubeletVersions"), "cpu": (L, "$.cluster.cpuAllocatable")}, required=("cluster_id",)),
+    "k8s_actions": Spec("k8s_actions", {"action_id": (S, "$.actionId"), "kind": (S, "$.resource.kind"), "name": (S, "$.resource.name"), "status": (S, "$.status")}, "$.results", required=("action_id",)),
+    "ecs_tasks": Spec("ecs_tasks", {"arn": (S, "$.arn"), "family": (S, "$.family"), "status": (S, "$.lastStatus", "$.knownStatus"), "containers": ("array<struct<name:string>>", "$.containers")}, "$.tasks", {"cluster": (S, "$.clusterName")}, ("arn",), tags="$.tags"),
+    "ndm_ips": Spec("ndm_ips", {"interface": (S, "$.interface_id"), "ip": (S, "$.ip_address"), "prefix": (L, "$.prefixlen")}, "$.ip_addresses", {"namespace": (S, "$.namespace")}),
+    "ndm_objects": Spec("ndm_objects", {"device_id": (S, "$.device_id"), "kind": (S, "$.type"), "name": (S, "$.name")}, "$.objects", {"namespace": (S, "$.namespace")}),
+    "ndm_configs": Spec("ndm_configs", {"device_id": (S, "$.device_id"), "kind": (S, "$.config_type"), "content": (S, "$.config_content")}, "$.configs", {"namespace": (S, "$.namespace")}, ("device_id",), tags="$.tags", timestamp=("$.timestamp", 1000)),
+    "rum_timeseries": Spec("rum_timeseries", {"kind": (S, "$.type"), "view_id": (S, "$.view.id"), "name": (S, "$.timeseries.name"), "samples": ("array<struct<timestamp:bigint,value:double>>", "$.timeseries.data")}, timestamp=("$.date", 1)),
+    "rum_spans": Spec("rum_spans", {"trace_id": (S, "$.trace_id"), "span_id": (S, "$.span_id"), "name": (S, "$.name"), "view_id": (S, "$.meta._dd\\.view\\.id", "$.meta.view_id"), "duration": (L, "$.duration")}, "$.spans", {"env": (S, "$.env")}, ("span_id",)),
+    "rum_replay": Spec("rum_replay", {"view_id": (S, "$.view.id"), "session_id": (S, "$.session.id"), "start": (L, "$.start"), "end": (L, "$.end"), "records": (L, "$.records_count")}),
+    "discovery": Spec("discovery", {"service": (S, "$.payload.service_name"), "host": (S, "$.payload.host_name"), "pid": (L, "$.payload.pid"), "ports": ("array<bigint>", "$.payload.ports"), "kind": (S, "$.request_type")}),
+    "health": Spec("health", {"host": (S, "$.host"), "check": (S, "$.issue.id", "$.check"), "state": (S, "$.issue.state", "$.status")}, "$.events"),
+    "event_mgmt": Spec("event_mgmt", {"title": (S, "$.attributes.title"), "category": (S, "$.attributes.category"), "key": (S, "$.attributes.aggregation_key")}, "$.data", tags="$.attributes.tags", timestamp=("$.attributes.timestamp", 1)),
+    "software": Spec("software", {"name": (S, "$.name"), "version": (S, "$.version"), "publisher": (S, "$.publisher")}, "$.software", {"host": (S, "$.hostname")}, ("name",)),
+    "lineage": Spec("lineage", {"job": (S, "$.job.name"), "run": (S, "$.run.runId"), "state": (S, "$.eventType"), "inputs": ("array<struct<name:string>>", "$.inputs"), "outputs": ("array<struct<name:string>>", "$.outputs")}, timestamp=("$.eventTimeMs", 1)),
+    "ci_coverage": Spec("ci_coverage", {"session": (S, "$.test_session_id"), "suite": (S, "$.test_suite_id"), "files": ("array<struct<filename:string>>", "$.files")}, "$.coverages"),
+    "ci_pipeline": Spec("ci_pipeline", {"pipeline": (S, "$.attributes.resource.name"), "level": (S, "$.attributes.resource.level"), "status": (S, "$.attributes.resource.status"), "start": (S, "$.attributes.resource.start")}, "$.data"),
+    "ci_settings": Spec("ci_settings", {"service": (S, "$.request.service"), "repository": (S, "$.request.repository_url"), "skipping": (B, "$.response.tests_skipping")}),
+    "batch_metadata": Spec("batch_metadata", {"sender": (S, "$.metadata.sender"), "version": (S, "$.metadata.version"), "series": ("array<string>", "$.series")}),
+    "query_actions": Spec("query_actions", {"action": (S, "$.action"), "result": ("map<string,string>", "$.result")}),
+    "symbol_queries": Spec("symbol_queries", {"build_id": (S, "$")}, "$.data.buildIds", {"arch": (S, "$.data.arch")}, extra=False),
+    "debugger_diagnostics": Spec("debugger_diagnostics", {"probe_id": (S, "$.debugger.diagnostics.probeId"), "status": (S, "$.debugger.diagnostics.status"), "service": (S, "$.service")}, timestamp=("$.timestamp", 1)),
+    "symdb": Spec("symdb", {"service": (S, "$.service"), "language": (S, "$.language"), "scopes": ("array<string>", "$.scopes")}),
+    "cws_dump": Spec("cws_dump", {"container": (S, "$.metadata.container_id"), "tree": (S, "$.tree")}),
+}
 METRIC_TYPES = ("UNSPECIFIED", "COUNT", "RATE", "GAUGE")
 CHECK_STATUS = ("OK", "WARNING", "CRITICAL", "UNKNOWN")
 LEVELS = {"emerg": "emergency", "fatal": "critical", "err": "error", "eror": "error", "warning": "warn", "notice": "info", "trace": "debug", "": "info"}  # fixed values
@@ -186,3 +235,14 @@ def pod_counts(resources: DataFrame) -> DataFrame:
 def rum_target(kind: Column) -> Column:
     """The table that a browser event belongs to."""
     return F.when(kind == "view", "views").when(kind.isin("action", "resource", "error", "long_task"), "events").when(kind == "telemetry", "telemetry").when(kind == "timeseries", "timeseries").otherwise("unknown")
+
+
+def flatten_tree(rows: DataFrame, tree: str, keep: list[str], children: str = "$.children", most: int = 16) -> DataFrame:
+    """(keep..., path, node): a JSON tree taken apart depth-first; ``path`` is the list of child indexes from the root."""
+    level = rows.select(*keep, F.array(F.lit(0)).alias("path"), F.col(tree).alias("node")).where("node is not null")
+    out = level
+    for _ in range(1, most):
+        below = F.posexplode(F.from_json(F.get_json_object("node", children), "array<string>")).alias("i", "child")
+        level = level.select(*keep, "path", below).select(*keep, F.array_append("path", F.col("i")).alias("path"), F.col("child").alias("node"))
+        out = out.unionAll(level)
+    return out
