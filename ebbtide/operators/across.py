@@ -36,7 +36,7 @@ def ranked_groups(sf: SeriesFrame, by: str, descending: bool) -> DataFrame:
     """(keys..., rank value, nth): ties go by group, N/A last."""
     ranks = sf.df.groupBy(*sf.keys).agg(reduction(by, sf.step_ms).alias("rank"))
     first = F.col("rank").desc_nulls_last() if descending else F.col("rank").asc_nulls_last()
-    return ranks.withColumn("nth", F.row_number().over(Window.orderBy(first, *[F.col(k).asc_nulls_last() for k in sf.keys])))
+    return ranks.withColumn("nth", F.row_number().over(Window.orderBy(first, *[F.col(k).asc_nulls_last() for k in sf.keys])).cast("long"))
 
 
 def fn_top(sf: SeriesFrame, n: int, by: str = "mean", order: str = "desc") -> SeriesFrame:

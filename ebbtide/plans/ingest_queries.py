@@ -75,7 +75,7 @@ signal(
     "norm_sketches", "sketches",
     {"sketches": [{"metric": "'d.' || event_type", "host": HOST, "tags": TAGS, "dogsketches": [{"ts": "sec", "cnt": "2L", "min": "value", "max": "value + 1", "avg": "value", "sum": "value * 2", "k": ["1338"], "n": ["2"]}]}]},
     {"metric": "metric", "t_ms": "p.ts * 1000", "count": "p.cnt", "lo": "p.min", "key": "p.k[0]"},
-    {"metric": "'d.' || event_type", "t_ms": "sec * 1000", "count": "2", "lo": "value", "key": "1338"},
+    {"metric": "'d.' || event_type", "t_ms": "sec * 1000", "count": "2::BIGINT", "lo": "value", "key": "1338"},
     lambda f: f.withColumn("p", F.explode("points")),
 )
 signal(
@@ -99,7 +99,7 @@ signal(
     lambda f: with_tags(f).withColumn("status", norm.log_status(F.col("status_raw"))),
 )
 signal("arrival_time_fallback", "logs", LOG, {"t_ms": "t_ms", "timestamp_source": "timestamp_source"}, {"t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "timestamp_source": "CASE WHEN q = 3 THEN 'arrival' ELSE 'sender' END"})
-signal("late_old_event_time", "logs", LOG, {"t_ms": "t_ms", "lag": "received_ms - t_ms", "day": "t_ms div 86400000"}, {"t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "lag": "CASE WHEN q = 3 THEN 0 ELSE 1000 END", "day": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END // 86400000"})
+signal("late_old_event_time", "logs", LOG, {"t_ms": "t_ms", "lag": "received_ms - t_ms", "day": "t_ms div 86400000"}, {"t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "lag": "CASE WHEN q = 3 THEN 0::BIGINT ELSE 1000::BIGINT END", "day": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END // 86400000"})
 SPAN = {"env": "'prod'", "agentVersion": "'7'", "spans": [{"trace_id": "9007199254740993L + event_id", "span_id": "event_id", "parent_id": "0L", "service": "event_type", "name": "'web'", "resource": "'GET'", "start": "ms", "duration": "user_id", "error": "q div 3", "meta": {"kind": "'server'"}, "metrics": {"rate": "value"}}, {"trace_id": "9007199254740993L + event_id", "span_id": "event_id + 1000000", "parent_id": "event_id", "service": "'db'", "name": "'sql'", "resource": "'q'", "start": "ms", "duration": "1L", "error": "0L", "meta": {"kind": "'client'"}, "metrics": {"rate": "0.0D"}}]}
 signal(
     "norm_spans", "spans", SPAN,
@@ -109,10 +109,10 @@ signal(
 signal("norm_span_attributes", "spans", SPAN, {"span_id": "span_id", "kind": "meta['kind']", "rate": "metrics['rate']"}, {"span_id": "unnest([event_id, event_id + 1000000])", "kind": "unnest(['server', 'client'])", "rate": "unnest([value, 0.0])"})
 SIMPLE: dict[str, tuple] = {
     "norm_events": ("events", {"title": "'t' || event_type", "text": "'x'", "host": HOST, "alert_type": "CASE WHEN q = 0 THEN 'bogus' ELSE 'error' END", "date_happened": "sec"}, {"title": "title", "alert": "CASE WHEN alert_type IN ('error', 'warning', 'info', 'success') THEN alert_type ELSE 'info' END", "t_ms": "t_ms"}, {"title": "'t' || event_type", "alert": "CASE WHEN q = 0 THEN 'info' ELSE 'error' END", "t_ms": "sec * 1000"}),
-    "norm_apm_stats": ("apm_stats", {"Start": "ms", "Duration": "10L", "Stats": [{"Service": "event_type", "Resource": "'r'", "Hits": "user_id", "Errors": "q", "Duration": "h"}]}, {"service": "service", "hits": "hits", "errors": "errors", "bucket_start": "bucket_start", "bucket_ns": "bucket_duration_ns"}, {"service": "event_type", "hits": "user_id", "errors": "q", "bucket_start": "ms", "bucket_ns": "10"}),
+    "norm_apm_stats": ("apm_stats", {"Start": "ms", "Duration": "10L", "Stats": [{"Service": "event_type", "Resource": "'r'", "Hits": "user_id", "Errors": "q", "Duration": "h"}]}, {"service": "service", "hits": "hits", "errors": "errors", "bucket_start": "bucket_start", "bucket_ns": "bucket_duration_ns"}, {"service": "event_type", "hits": "user_id", "errors": "q", "bucket_start": "ms", "bucket_ns": "10::BIGINT"}),
     "norm_processes": ("processes", {"hostName": HOST, "groupId": "sec", "groupSize": "2L", "processes": [{"pid": "event_id", "command": {"exe": "'/bin/' || event_type"}, "user": {"name": "'u'"}, "cpu": {"totalPct": "value"}, "memory": {"rss": "user_id"}}]}, {"pid": "pid", "command": "command", "host": "host", "cpu": "cpu", "rss": "rss", "group_id": "group_id"}, {"pid": "event_id", "command": "'/bin/' || event_type", "host": HOST, "cpu": "value", "rss": "user_id", "group_id": "sec"}),
     "norm_containers": ("containers", {"hostName": HOST, "containers": [{"id": "'c' || CAST(user_id AS STRING)", "image": "event_type", "cpu": "value", "memRss": "user_id", "state": "'run'", "tags": TAGS}]}, {"container_id": "container_id", "image": "image", "cpu": "cpu", "env": "tags['env'][0]"}, {"container_id": "'c' || CAST(user_id AS STRING)", "image": "event_type", "cpu": "value", "env": "'e' || CAST(user_id % 5 AS STRING)"}),
-    "norm_connections": ("connections", {"hostName": HOST, "connections": [{"pid": "event_id", "laddr": {"ip": "'10.0.0.' || CAST(h AS STRING)"}, "raddr": {"ip": "'10.1.0.' || CAST(q AS STRING)", "port": "443L"}, "lastBytesSent": "user_id"}]}, {"pid": "pid", "src": "src", "dst": "dst", "port": "port", "bytes_sent": "bytes_sent"}, {"pid": "event_id", "src": "'10.0.0.' || CAST(h AS STRING)", "dst": "'10.1.0.' || CAST(q AS STRING)", "port": "443", "bytes_sent": "user_id"}),
+    "norm_connections": ("connections", {"hostName": HOST, "connections": [{"pid": "event_id", "laddr": {"ip": "'10.0.0.' || CAST(h AS STRING)"}, "raddr": {"ip": "'10.1.0.' || CAST(q AS STRING)", "port": "443L"}, "lastBytesSent": "user_id"}]}, {"pid": "pid", "src": "src", "dst": "dst", "port": "port", "bytes_sent": "bytes_sent"}, {"pid": "event_id", "src": "'10.0.0.' || CAST(h AS STRING)", "dst": "'10.1.0.' || CAST(q AS STRING)", "port": "443::BIGINT", "bytes_sent": "user_id"}),
     "norm_k8s_resources": ("k8s_resources", {"kind": "'Pod'", "clusterId": "'k'", "items": [{"metadata": {"namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "uid": "'u' || CAST(user_id AS STRING)", "resourceVersion": "CAST(event_id AS STRING)", "labels": {"app": "event_type"}}, "status": {"phase": "CASE WHEN q = 0 THEN 'Failed' ELSE 'Running' END"}, "spec": {"replicas": "q"}}]}, {"kind": "kind", "namespace": "namespace", "name": "name", "version": "resource_version", "phase": "phase", "desired": "desired", "app": "labels['app']"}, {"kind": "'Pod'", "namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "version": "CAST(event_id AS STRING)", "phase": "CASE WHEN q = 0 THEN 'Failed' ELSE 'Running' END", "desired": "q", "app": "event_type"}),
     "norm_k8s_manifests": ("k8s_manifests", {"clusterId": "'k'", "manifests": [{"uid": "'u' || CAST(user_id AS STRING)", "kind": "CASE WHEN q = 0 THEN NULL ELSE 'Pod' END", "resourceVersion": "CAST(event_id AS STRING)", "content": {"kind": "'FromContent'"}}]}, {"uid": "uid", "kind": "kind", "version": "version"}, {"uid": "'u' || CAST(user_id AS STRING)", "kind": "CASE WHEN q = 0 THEN 'FromContent' ELSE 'Pod' END", "version": "CAST(event_id AS STRING)"}),
     "norm_container_events": ("container_events", {"host": HOST, "eventType": "'delete'", "events": [{"containerID": "'c' || CAST(user_id AS STRING)", "exitCode": "CASE WHEN q = 0 THEN NULL ELSE q END", "exitTimestamp": "sec"}]}, {"container_id": "container_id", "exit_code": "exit_code", "exited_at": "exited_at", "host": "host"}, {"container_id": "'c' || CAST(user_id AS STRING)", "exit_code": "CASE WHEN q = 0 THEN NULL ELSE q END", "exited_at": "sec", "host": HOST}),
@@ -142,19 +142,19 @@ SIMPLE |= {
     "norm_pipeline_stats_backlogs": ("pipeline_backlogs", {"Service": "event_type", "Stats": [{"Start": "ms", "Backlogs": [{"Value": "user_id", "Tags": ["'t'"]}]}]}, {"service": "service", "value": "value", "bucket_start": "bucket_start"}, {"service": "event_type", "value": "user_id", "bucket_start": "ms"}),
     "norm_dsm_messages": ("dsm_messages", {"topic": "event_type", "partition": "q", "offset": "event_id", "message": "'m'", "b": "1", "a": "2"}, {"topic": "topic", "partition": "partition", "pos": "offset", "names": "array_join(array_sort(map_keys(extra)), ',')"}, {"topic": "event_type", "partition": "q", "pos": "event_id", "names": "'a,b'"}),
     "norm_process_stats": ("process_stats", {"hostName": HOST, "stats": [{"pid": "event_id", "cpu": {"totalPct": "value"}, "memory": {"rss": "user_id"}, "threads": "q"}]}, {"pid": "pid", "cpu": "cpu", "rss": "rss", "threads": "threads"}, {"pid": "event_id", "cpu": "value", "rss": "user_id", "threads": "q"}),
-    "norm_discoveries": ("discoveries", {"hostName": HOST, "groupSize": "3L", "processDiscoveries": [{"pid": "event_id", "command": {"exe": "event_type"}, "user": {"name": "'u'"}}]}, {"pid": "pid", "command": "command", "host": "host", "group_size": "group_size"}, {"pid": "event_id", "command": "event_type", "host": HOST, "group_size": "3"}),
+    "norm_discoveries": ("discoveries", {"hostName": HOST, "groupSize": "3L", "processDiscoveries": [{"pid": "event_id", "command": {"exe": "event_type"}, "user": {"name": "'u'"}}]}, {"pid": "pid", "command": "command", "host": "host", "group_size": "group_size"}, {"pid": "event_id", "command": "event_type", "host": HOST, "group_size": "3::BIGINT"}),
     "norm_snapshots": ("snapshots", {"hostName": HOST, "kind": "event_type", "groupId": "sec", "groupSize": "q", "agentVersion": "'7'"}, {"host": "host", "kind": "kind", "group_id": "group_id", "group_size": "group_size"}, {"host": HOST, "kind": "event_type", "group_id": "sec", "group_size": "q"}),
-    "norm_container_stats": ("container_stats", {"hostName": HOST, "source": "'stats'", "containerStats": [{"id": "'c' || CAST(q AS STRING)", "totalPct": "value", "memRss": "user_id"}]}, {"container_id": "container_id", "cpu": "cpu", "rss": "rss", "lim": "limit", "source": "source"}, {"container_id": "'c' || CAST(q AS STRING)", "cpu": "value", "rss": "user_id", "lim": "NULL", "source": "'stats'"}),
+    "norm_container_stats": ("container_stats", {"hostName": HOST, "source": "'stats'", "containerStats": [{"id": "'c' || CAST(q AS STRING)", "totalPct": "value", "memRss": "user_id"}]}, {"container_id": "container_id", "cpu": "cpu", "rss": "rss", "lim": "limit", "source": "source"}, {"container_id": "'c' || CAST(q AS STRING)", "cpu": "value", "rss": "user_id", "lim": "NULL::BIGINT", "source": "'stats'"}),
     "norm_connections_payload": ("connections_payload", {"hostName": HOST, "tagsPool": ["'a'", "event_type"], "connections": [{"pid": "event_id", "tags": ["1", "0"]}]}, {"pid": "pid", "tags": "array_join(transform(tag_indexes, i -> pool[i]), ',')"}, {"pid": "event_id", "tags": "event_type || ',a'"}),
     "norm_usm_db": ("usm_db", {"hostName": HOST, "connections": [{"pid": "event_id", "dbAggregations": [{"tableName": "event_type", "operation": "'select'", "count": "q"}]}]}, {"pid": "pid", "table_name": "table_name", "n": "count"}, {"pid": "event_id", "table_name": "event_type", "n": "q"}),
     "norm_k8s_cluster": ("k8s_cluster", {"clusterId": "event_type", "cluster": {"nodeCount": "q", "kubeletVersions": {"v1": "q", "v2": "h"}, "cpuAllocatable": "user_id"}}, {"cluster_id": "cluster_id", "nodes": "nodes", "v2": "versions['v2']", "cpu": "cpu"}, {"cluster_id": "event_type", "nodes": "q", "v2": "h", "cpu": "user_id"}),
     "norm_k8s_actions": ("k8s_actions", {"results": [{"actionId": "CAST(event_id AS STRING)", "resource": {"kind": "'Pod'", "name": "event_type"}, "status": "'ok'"}]}, {"action_id": "action_id", "kind": "kind", "name": "name", "status": "status"}, {"action_id": "CAST(event_id AS STRING)", "kind": "'Pod'", "name": "event_type", "status": "'ok'"}),
     "norm_ecs_tasks": ("ecs_tasks", {"clusterName": "'c'", "tasks": [{"arn": "CAST(event_id AS STRING)", "family": "event_type", "knownStatus": "'RUNNING'", "containers": [{"name": "'a'"}, {"name": "'b'"}], "tags": TAGS}]}, {"arn": "arn", "family": "family", "status": "status", "n": "size(containers)", "cluster": "cluster"}, {"arn": "CAST(event_id AS STRING)", "family": "event_type", "status": "'RUNNING'", "n": "2", "cluster": "'c'"}),
-    "norm_ndm_ips": ("ndm_ips", {"namespace": "'n'", "ip_addresses": [{"interface_id": "'d:' || CAST(q AS STRING)", "ip_address": "'10.0.0.' || CAST(h AS STRING)", "prefixlen": "24L"}]}, {"interface": "interface", "ip": "ip", "prefix": "prefix"}, {"interface": "'d:' || CAST(q AS STRING)", "ip": "'10.0.0.' || CAST(h AS STRING)", "prefix": "24"}),
+    "norm_ndm_ips": ("ndm_ips", {"namespace": "'n'", "ip_addresses": [{"interface_id": "'d:' || CAST(q AS STRING)", "ip_address": "'10.0.0.' || CAST(h AS STRING)", "prefixlen": "24L"}]}, {"interface": "interface", "ip": "ip", "prefix": "prefix"}, {"interface": "'d:' || CAST(q AS STRING)", "ip": "'10.0.0.' || CAST(h AS STRING)", "prefix": "24::BIGINT"}),
     "norm_ndm_objects": ("ndm_objects", {"namespace": "'n'", "objects": [{"device_id": "'d'", "type": "event_type", "name": "CAST(h AS STRING)"}]}, {"kind": "kind", "name": "name", "namespace": "namespace"}, {"kind": "event_type", "name": "CAST(h AS STRING)", "namespace": "'n'"}),
     "norm_ndm_configs": ("ndm_configs", {"namespace": "'n'", "configs": [{"device_id": "'d' || CAST(h AS STRING)", "config_type": "'running'", "config_content": "event_type", "timestamp": "sec", "tags": TAGS}]}, {"device_id": "device_id", "content": "content", "t_ms": "t_ms"}, {"device_id": "'d' || CAST(h AS STRING)", "content": "event_type", "t_ms": "sec * 1000"}),
     "norm_rum_spans": ("rum_spans", {"env": "'p'", "spans": [{"trace_id": "CAST(event_id AS STRING)", "span_id": "CAST(user_id AS STRING)", "name": "event_type", "meta": {"view_id": "'v'"}, "duration": "h"}]}, {"trace_id": "trace_id", "span_id": "span_id", "name": "name", "view_id": "view_id", "env": "env"}, {"trace_id": "CAST(event_id AS STRING)", "span_id": "CAST(user_id AS STRING)", "name": "event_type", "view_id": "'v'", "env": "'p'"}),
-    "norm_rum_replay": ("rum_replay", {"view": {"id": "'v' || CAST(h AS STRING)"}, "session": {"id": "'s'"}, "start": "ms", "end": "ms + 10", "records_count": "q"}, {"view_id": "view_id", "length": "end - start", "records": "records"}, {"view_id": "'v' || CAST(h AS STRING)", "length": "10", "records": "q"}),
+    "norm_rum_replay": ("rum_replay", {"view": {"id": "'v' || CAST(h AS STRING)"}, "session": {"id": "'s'"}, "start": "ms", "end": "ms + 10", "records_count": "q"}, {"view_id": "view_id", "length": "end - start", "records": "records"}, {"view_id": "'v' || CAST(h AS STRING)", "length": "10::BIGINT", "records": "q"}),
     "norm_discovery": ("discovery", {"request_type": "'start'", "payload": {"service_name": "event_type", "host_name": HOST, "pid": "event_id", "ports": ["80L", "h"]}}, {"service": "service", "host": "host", "pid": "pid", "port": "ports[1]"}, {"service": "event_type", "host": HOST, "pid": "event_id", "port": "h"}),
     "norm_health": ("health", {"events": [{"host": HOST, "check": "event_type", "status": "CASE WHEN q = 0 THEN 'bad' ELSE 'ok' END"}]}, {"host": "host", "chk": "check", "state": "state"}, {"host": HOST, "chk": "event_type", "state": "CASE WHEN q = 0 THEN 'bad' ELSE 'ok' END"}),
     "norm_event_mgmt": ("event_mgmt", {"data": [{"attributes": {"title": "event_type", "category": "'change'", "aggregation_key": "CAST(q AS STRING)", "timestamp": "ms", "tags": TAGS}}]}, {"title": "title", "category": "category", "key": "key", "t_ms": "t_ms"}, {"title": "event_type", "category": "'change'", "key": "CAST(q AS STRING)", "t_ms": "ms"}),
@@ -175,7 +175,7 @@ for name, (intake, body, out, sql) in SIMPLE.items():
 K8S = {"kind": "'Pod'", "clusterId": "'k'", "items": [{"metadata": {"namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)"}, "status": {"containers": [{"ready": "q > 0", "restarts": "q"}, {"ready": "true", "restarts": "h"}]}}]}
 signal(
     "k8s_pod_counts", "k8s_resources", K8S, {"namespace": "namespace", "name": "name", "ready": "ready_containers", "total": "containers", "restarts": "restarts"},
-    {"namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "ready": "CASE WHEN q > 0 THEN 2 ELSE 1 END", "total": "2", "restarts": "q + h"}, norm.pod_counts,
+    {"namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "ready": "CASE WHEN q > 0 THEN 2::BIGINT ELSE 1::BIGINT END", "total": "2", "restarts": "q + h"}, norm.pod_counts,
 )
 SBOM = {"host": HOST, "entities": [{"id": "'i' || CAST(event_id AS STRING)", "type": "'image'", "cyclonedx": {"components": [{"bom-ref": "'r' || CAST(q AS STRING)", "name": "event_type", "version": "'1'"}, {"bom-ref": "'z'", "name": "'zlib'", "version": "'2'"}], "vulnerabilities": [{"id": "'CVE-' || CAST(h AS STRING)", "affects": [{"ref": "'r' || CAST(q AS STRING)"}]}]}}]}
 signal("norm_sbom", "sbom", SBOM, {"entity": "entity", "component": "c.name", "version": "c.version"}, {"entity": "'i' || CAST(event_id AS STRING)", "component": "unnest([event_type, 'zlib'])", "version": "unnest(['1', '2'])"}, lambda f: f.withColumn("c", F.explode("components")))

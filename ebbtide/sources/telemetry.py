@@ -77,7 +77,7 @@ POINTS_SQL = """pts AS (
   SELECT 'default' AS tenant_id, epoch_us(ts) // 1000 AS t_ms, 'events.' || event_type AS metric,
          CASE WHEN user_id % 20 = 0 THEN '' ELSE 'host-' || (user_id % 20) END AS host,
          CASE event_type WHEN 'error' THEN 'COUNT' WHEN 'click' THEN 'RATE' ELSE 'GAUGE' END AS metric_type,
-         CASE WHEN user_id % 3 = 0 THEN 0 ELSE 10 END AS ival, value / 7.0::DOUBLE AS value, user_id,
+         CASE WHEN user_id % 3 = 0 THEN 0::BIGINT ELSE 10::BIGINT END AS ival, value / 7.0::DOUBLE AS value, user_id,
          CASE WHEN user_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['e' || (user_id % 5)] END AS env,
          CASE WHEN user_id % 2 = 0 THEN ['api', 'web'] ELSE ['api'] END AS role,
          CASE WHEN user_id % 7 = 0 THEN [''] ELSE CAST([] AS VARCHAR[]) END AS canary,
