@@ -382,7 +382,7 @@ def replayed(s, d, **how):
 
 
 def hysteresis_free():
-    return {"critical": 7.0, "warning": 5.5, "critical_recovery": None, "new_group_delay": 0}
+    return {"critical": 7.0, "warning": 5.5, "critical_recovery": None, "new_group_delay": 0, "notify_no_data": False, "forget_after": 400 * DAY * 1000}
 
 
 register("state_step", replayed)
