@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import decontaminate, language, mixing, sharding, simhash
+from ebbtide.llm import decontaminate, language, mixing, nearcopies, sharding
 from ebbtide.storage import durable
 
 
@@ -22,10 +22,10 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
-    gone = durable(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id."""
+    rows = nearcopies.keyed(docs)
+    gone = durable(nearcopies.near_copies(rows).where("row <> keep").select("row"))
+    return rows.join(gone, "row", "left_anti").select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

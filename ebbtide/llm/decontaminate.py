@@ -75,14 +75,20 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     return durable_buckets(postings.withColumn("block", F.expr(f"row div {BLOCK}")), "block")
 
 
-def _postings_of(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """Postings of the rows given. The rows go to the index as a bitmap for each block; the index stays where it is."""
+def marked(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (block, row, ...) of a table bucketed by block whose row is among those given. These go to the table as a
+    bitmap for each block; the table stays where it is."""
     words = rows.groupBy(F.expr(f"row div {BLOCK}").alias("block"), F.expr(f"cast(row % {BLOCK} div 64 as int)").alias("word"))
     words = words.agg(F.expr("bit_or(shiftleft(1L, cast(row % 64 as int)))").alias("bits"))
     marks = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
     marks = marks.select("block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK // 64 - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0).cast("long"))).alias("bits"))
-    there = index.where(F.col("term") != END).join(durable(marks).hint("shuffle_hash"), "block")
-    return there.where(F.expr(f"shiftright(bits[cast(row % {BLOCK} div 64 as int)], cast(row % 64 as int)) & 1L = 1L")).select("row", "pos", "term")
+    there = table.join(durable(marks).hint("shuffle_hash"), "block")
+    return there.where(F.expr(f"shiftright(bits[cast(row % {BLOCK} div 64 as int)], cast(row % 64 as int)) & 1L = 1L"))
+
+
+def _postings_of(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """Postings of the rows given."""
+    return marked(index.where(F.col("term") != END), rows).select("row", "pos", "term")
 
 
 def _meet(index: DataFrame, starts: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
