@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
 
 def trace_by_id(spans: DataFrame, high: int, low: int) -> DataFrame:
     """All spans of a 128-bit trace id, kept as two longs so that no bit passes through a double."""
@@ -34,17 +36,22 @@ def pathway_graph(edges: DataFrame) -> DataFrame:
     return child.join(parent, ["trace_id", "parent_id"]).groupBy("from_node", "to_node").agg(F.count("*").alias("n"))
 
 
-def span_depths(spans: DataFrame, most: int = 32) -> DataFrame:
-    """(trace_id, span_id, depth, path): each span's place in its tree, by joining level after level."""
-    level = spans.where("parent_id is null").select("trace_id", "span_id", F.lit(0).alias("depth"), F.array("span_id").alias("path"))
-    out = level
-    for depth in range(1, most):
-        level = (
-            spans.alias("c").join(level.alias("p"), (F.col("c.trace_id") == F.col("p.trace_id")) & (F.col("c.parent_id") == F.col("p.span_id")))
-            .select("c.trace_id", "c.span_id", F.lit(depth).alias("depth"), F.array_append("p.path", F.col("c.span_id")).alias("path"))
-        )
-        out = out.unionAll(level)
-    return out
+def span_depths(spans: DataFrame, paths: bool = True) -> DataFrame:
+    """(trace_id, span_id, depth, path): each span's place in its tree, at any depth; the path only if asked for.
+
+    Each round doubles how far up a span has looked, so rounds grow with the logarithm of the depth. Spans that
+    reach no root are left out: below a missing parent, or in a cycle, where they look further than there are spans.
+    """
+    columns = ["trace_id", "span_id", "up", "depth"] + ["path"] * paths
+    now = spans.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("depth"), F.array("span_id").alias("path"))
+    now = durable(now.select(*columns))
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("up is not null").isEmpty():
+            break
+        met = now.where("up is not null").alias("c").join(now.alias("p"), (F.col("c.trace_id") == F.col("p.trace_id")) & (F.col("c.up") == F.col("p.span_id")))
+        further = met.select("c.trace_id", "c.span_id", "p.up", (F.col("c.depth") + F.col("p.depth")).alias("depth"), *[F.concat("p.path", "c.path").alias("path")] * paths)
+        now = durable(now.where("up is null").unionAll(further))
+    return now.where("up is null").drop("up")
 
 
 def snapshot_complete(frames: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ebbtide.functions import alongtime as along
 from ebbtide.functions import pointwise as point
 from ebbtide.functions import sketch
 from ebbtide.model import SeriesFrame
-from ebbtide.operators import across, fill, models
+from ebbtide.operators import across, fill, models, product
 from ebbtide.operators import predicates as pr
 from ebbtide.sources import normalise as norm
 from ebbtide.streaming import state
@@ -211,3 +211,14 @@ def test_stream_and_replay_agree(spark, tmp_path):
     want = state.replay(whole, D).toPandas().sort_values(key).reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want)
     assert len(got) > 10
+
+
+@pytest.mark.parametrize("paths", [True, False])
+def test_trees_of_any_depth(spark, paths):
+    rows = [(1, i, i - 1 if i > 1 else None) for i in range(1, 101)] + [(1, 200, 50), (2, 5, None), (2, 6, 99), (2, 7, 6), (3, 1, 2), (3, 2, 1), (3, 3, 1)]
+    got = product.span_depths(spark.createDataFrame(rows[::-1], "trace_id long, span_id long, parent_id long"), paths).collect()
+    want = {(1, i): i - 1 for i in range(1, 101)} | {(1, 200): 50, (2, 5): 0}
+    assert len(got) == len(want) and {(r.trace_id, r.span_id): r.depth for r in got} == want
+    if paths:
+        chain = {i: list(range(1, i + 1)) for i in range(1, 101)} | {200: list(range(1, 51)) + [200]}
+        assert {r.span_id: list(r.path) for r in got if r.trace_id == 1} == chain
