@@ -103,11 +103,16 @@ def _meet(index: DataFrame, starts: DataFrame, terms: DataFrame, slop: int) -> D
     return met.groupBy("row", "win", "begin").agg(F.count_distinct("at").alias("met") if slop else F.count("*").alias("met"))
 
 
-def _starts(index: DataFrame, tests: TestWindows, lists: int) -> DataFrame:
-    """Where windows may begin: the shifted lists of their ``lists`` rarest terms, intersected."""
+def _ranked(index: DataFrame, tests: TestWindows) -> DataFrame:
+    """The windows' terms (win, at, term, nth, n): the rarest is the first; n is null for a term that no row has."""
     lengths = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
     rank = Window.partitionBy("win").orderBy(F.col("n").asc_nulls_first(), "at")
-    ranked = durable(tests.terms.join(lengths, "term", "left").withColumn("nth", F.row_number().over(rank)).select("win", "at", "term", "nth", "n"))
+    return durable(tests.terms.join(lengths, "term", "left").withColumn("nth", F.row_number().over(rank)).select("win", "at", "term", "nth", "n"))
+
+
+def _starts(index: DataFrame, tests: TestWindows, lists: int) -> DataFrame:
+    """Where windows may begin: the shifted lists of their ``lists`` rarest terms, intersected."""
+    ranked = _ranked(index, tests)
     found = None
     for nth in range(1, lists + 1):
         keys = ranked.where(F.col("nth") == nth)
@@ -128,12 +133,23 @@ def phrase_matches(index: DataFrame, tests: TestWindows) -> DataFrame:
     return met.join(tests.windows.select("win", "size"), "win").where("met = size").select("row", "win", "begin", "size")
 
 
+def _near_starts(index: DataFrame, tests: TestWindows, slop: int, share: float) -> DataFrame:
+    """Where windows may begin if ``share`` of their terms stand within ``slop`` of their places, in a row's text or before it.
+
+    At most size - ceil(size * share) terms are missing, so that one of any more of them, here the rarest, is not.
+    """
+    ranked = _ranked(index, tests).join(tests.windows.select("win", "size"), "win")
+    keys = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * share) + 1) & F.col("n").isNotNull())
+    first = F.col("pos") - F.col("at")
+    return durable(index.join(keys, "term").select("row", "win", F.explode(F.sequence(first - slop, first + slop)).alias("begin")).distinct())
+
+
 def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 2, share: float = 0.8) -> DataFrame:
-    """(row, win, begin, size, met): places where at least ``share`` of a window's terms stand within ``slop`` words
-    of where they would stand if its rarest term were in place. Exact occurrences are among them. A window
-    whose rarest term no training row has is looked up by none and is not found.
+    """(row, win, begin, size, met): every begin from which at least ``share`` of a window's terms stand within ``slop``
+    words of their places. Exact occurrences are among them, as are begins beside them. A begin is negative
+    where a text lacks the window's first words.
     """
-    met = _meet(index, _starts(index, tests, 1), tests.terms, slop)
+    met = _meet(index, _near_starts(index, tests, slop, share), tests.terms, slop)
     return met.join(tests.windows.select("win", "size"), "win").where(F.col("met") >= F.col("size") * share).select("row", "win", "begin", "size", "met")
 
 
