@@ -1,8 +1,8 @@
 """A corpus, prepared in five stages: language, near duplicates, benchmark passages, mixture, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns
-of ``documents``; the driver writes each result as Parquet and reads it back for the next. A
-document is known by its id: rows that repeat an id stay or go together, and rows without one are kept.
+of ``documents``; the driver writes each result as Parquet and reads it back for the next. Near
+copies and benchmark passages are judged row by row, so rows that repeat an id or have none stay or go by their own texts.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marks = decontaminate.contamination(docs.select("doc_id", "text"), benchmark)
-    gone = durable(marks.where("contaminated").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = durable(docs.withColumn("row", F.monotonically_increasing_id()))
+    marks = decontaminate.contamination(rows.select("row", "text"), benchmark, id_col="row")
+    gone = durable(marks.where("contaminated").select(F.col("doc_id").alias("row")))
+    return rows.join(gone, "row", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

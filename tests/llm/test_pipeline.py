@@ -64,3 +64,22 @@ def test_mixture_and_shards(stages):
 
 def test_run_is_the_stages(spark):
     assert pipeline.run(spark, SMALL).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_copies_go_row_by_row(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ac")
+    rows = [(0, two), (1, two), (1, one), (2, one), (5, "same id"), (5, "same id"), (None, "no id"), (None, "no id"), (None, "some"), (9, "some")]
+    left = pipeline.near_duplicates(spark, rows_of(spark, [(i, t, "en", "s", 1) for i, t in rows]), SMALL)
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted([(0, two), (1, one), (5, "same id"), (None, "no id"), (9, "some")], key=key)
+
+
+def test_contaminated_rows_go_row_by_row(spark):
+    passage = next(r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if len((r.text or "").split()) >= 10)
+    rows = [(1, "a clean text"), (1, f"before {passage} after"), (None, passage), (None, "another clean text")]
+    left = pipeline.benchmark_passages(spark, rows_of(spark, [(i, t, "en", "s", 1) for i, t in rows]), SMALL)
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(1, "a clean text"), (None, "another clean text")}
