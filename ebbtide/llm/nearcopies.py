@@ -1,12 +1,15 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with one shingle set are one node. Nodes meet where the least hashes of a band agree: 32 bands of 4
-leave a pair of similarity 0.8 apart with a chance of (1 - 0.8^4)^32, about 5 in 10^8. Meetings whose set sizes
-rule the similarity out are dropped, and so are those of long texts whose 64-bit SimHashes differ in more
-than 26 bits (about 10 are expected at 0.8); the rest are compared by their whole sets.
+Texts with one shingle set are one node with a 64-bit SimHash. Nodes meet in two ways:
 
-In a bucket of more than 32 members not all pairs are formed: a search first links each to one that it is near.
-Members that the comparison leaves in different groups are then paired in full, so no meeting is skipped.
+* by the Golay keys of their SimHashes, as in ``simhash``: all that differ in four or fewer bits;
+* by the least hashes of a band, since at a similarity of 0.8 two SimHashes differ in about ten bits, more than
+  Golay keys can reach at a bounded number of keys: 32 bands of 4 leave such a pair apart with a chance of
+  (1 - 0.8^4)^32, about 5 in 10^8.
+
+Meetings whose set sizes rule the similarity out are dropped, and so are those of long texts whose SimHashes
+differ in more than 26 bits; the rest are compared by their whole sets. In a bucket of more than 32 members not all
+pairs are formed: its sets are brought together, in blocks, and a prefix filter leads to those to compare.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from pyspark.sql import functions as F
 from ..storage import durable, durable_buckets
 from .components import connected_components
 from .decontaminate import BLOCK, marked
+from .simhash import fingerprint_links
 from .text import bounded
 
 BANDS, WIDTH = 32, 4
 LARGE_RUN = 32
 FAR_BITS, LONG_SET = 26, 64  # SimHashes speak only for sets of LONG_SET shingles or more
 AT_ONCE = 1 << 12
+BLOCK_BYTES = 4 << 20  # of the sets of a large bucket that are compared with one another or with as many
 _rng = np.random.default_rng(7)
 FLIPS = _rng.integers(0, 1 << 64, BANDS * WIDTH, dtype=np.uint64)
 ODDS = _rng.integers(0, 1 << 64, BANDS * WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -109,31 +114,14 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
 
 
 def _candidates(share: float) -> Callable:
-    """(a, b, large): pairs of nodes, or a large bucket's key with each of its members."""
-
-    def search(at: np.ndarray, key: int, node, fp, n) -> Iterator[np.ndarray]:
-        rest = at[np.argsort(node[at] ^ key)]
-        while rest.size > 1:
-            todo, rest = [rest[0]], rest[1:]
-            while todo and rest.size:
-                here = todo.pop()
-                near = _near(fp, n, here, rest, share)
-                if near.any():
-                    found = rest[near]
-                    yield np.stack([np.full(found.size, node[here]), node[found]], axis=1)
-                    todo.extend(found)
-                    rest = rest[~near]
+    """(a, b, large): pairs of nodes of small buckets, or a large bucket's key with each of its members."""
 
     def of(keys, node, fp, n) -> Iterator[pa.RecordBatch]:
         fp = fp.view(np.uint64)
-        cut = _cuts(keys)
-        length = np.diff(cut)
-        pairs, large = [np.zeros((0, 2), dtype=np.int64)], [np.zeros((0, 2), dtype=np.int64)]
-        for k in np.flatnonzero(length > LARGE_RUN):
-            at = np.arange(cut[k], cut[k + 1])
-            pairs += search(at, int(keys[cut[k]]), node, fp, n)
-            large.append(np.stack([keys[at], node[at]], axis=1))
-        few = np.flatnonzero(np.repeat((length > 1) & (length <= LARGE_RUN), length))
+        length = np.diff(_cuts(keys))
+        size = np.repeat(length, length)
+        few = np.flatnonzero((size > 1) & (size <= LARGE_RUN))
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
         for step in range(1, LARGE_RUN):
             one, other = few[step:], few[:-step]
             same = keys[one] == keys[other]
@@ -142,34 +130,68 @@ def _candidates(share: float) -> Callable:
             one, other = one[same], other[same]
             near = _near(fp, n, one, other, share)
             pairs.append(np.stack([node[one[near]], node[other[near]]], axis=1))
-        found, large = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0), np.concatenate(large)
+        many = size > LARGE_RUN
+        found, large = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0), np.stack([keys[many], node[many]], axis=1)
         for x, flag in ((found, False), (large, True)):
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(x), flag))], ["a", "b", "large"])
 
     return of
 
 
-def _crossing(share: float) -> Callable:
-    """(a, b): all pairs of a bucket's members that may be similar and are in different groups."""
+def spanning_links(sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
+    """Links (i, j) of similar sets that join the sets as all such links would: a prefix-filtered search.
 
-    def of(keys, node, fp, n, root) -> Iterator[pa.RecordBatch]:
-        fp = fp.view(np.uint64)
-        cut = _cuts(keys)
-        for k in range(len(cut) - 1):
-            at = np.arange(cut[k], cut[k + 1])
-            groups, members = np.unique(root[at], return_counts=True)
-            if groups.size == 1:
-                continue
-            most = root[at] == groups[members.argmax()]
-            order = np.concatenate([at[~most], at[most]])
-            for i in range(int((~most).sum())):
-                rest = order[i + 1 :]
-                found = rest[_near(fp, n, order[i], rest, share) & (root[rest] != root[order[i]])]
-                if found.size:
-                    x = np.sort(np.stack([np.full(found.size, node[order[i]]), node[found]], axis=1), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+    Elements are ordered from the rarest among these sets. Two similar sets share one of their first
+    n - ceil(share * n) + 1 elements, so only sets that do are compared, and only where no link joins them yet.
+    """
+    sizes = np.array([x.size for x in sets])
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    rank = np.empty(names.size, dtype=np.int64)
+    rank[np.argsort(np.bincount(codes), kind="stable")] = np.arange(names.size)
+    coded = [np.sort(x) for x in np.split(rank[codes], np.cumsum(sizes)[:-1])]
+    group, links = np.arange(len(sets)), []
+    seen: dict[int, list[int]] = {}
+    flag = np.zeros(names.size, dtype=np.int64)
+    for i in np.argsort(sizes, kind="stable").tolist():
+        prefix = coded[i][: sizes[i] - int(np.ceil(share * sizes[i] - 1e-9)) + 1].tolist()
+        lists = [seen[x] for x in prefix if x in seen]
+        rest = np.unique(np.concatenate(lists)) if lists else np.zeros(0, dtype=np.int64)
+        rest = rest[sizes[rest] >= share * sizes[i] - 1e-9]
+        flag[coded[i]] = 1
+        while rest.size:
+            part, rest = rest[:AT_ONCE], rest[AT_ONCE:]
+            both = np.add.reduceat(flag[np.concatenate([coded[k] for k in part])], np.cumsum(sizes[part]) - sizes[part])
+            near = part[both >= share * (sizes[part] + sizes[i] - both) - 1e-9]
+            while near.size:
+                j = int(near[0])
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+                near = near[group[near] != group[i]]
+            rest = rest[group[rest] != group[i]]
+        flag[coded[i]] = 0
+        for x in prefix:
+            seen.setdefault(x, []).append(i)
+    return links
+
+
+def _large(large: DataFrame, nodes: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(a, b): verified links that join the members (key, node) of large buckets.
+
+    A bucket is cut in blocks of about ``BLOCK_BYTES`` of sets; a task sees two blocks, whatever the bucket.
+    """
+    sized = large.join(nodes.select("node", "n"), "node")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("blocks"))
+    cut = sized.join(blocks, "key").select("key", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    pairs = cut.select("key", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    members = pairs.select("key", "node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(sets, "node")
 
-    return of
+    def of(table: pa.Table) -> pa.Table:
+        node = np.asarray(table.column("node")).astype(np.int64)
+        found = spanning_links([np.frombuffer(x.as_buffer(), dtype="<u8") for x in table.column("hashes")], share)
+        links = np.sort(node[np.array(found, dtype=np.int64).reshape(-1, 2)], axis=1)
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+
+    return members.groupBy("key", "one", "two").applyInArrow(of, "a long, b long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
@@ -201,6 +223,16 @@ def _sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> Data
     return durable(bounded(there).mapInArrow(of, "node long, hashes binary"))
 
 
+def _printed(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose SimHashes meet by the Golay keys, four or fewer bits apart: the first node of each fingerprint
+    with the others of it, and with the first nodes of those it links to."""
+    first = durable(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("head")))
+    alike = nodes.where("n > 0").join(first, "fp").where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+    links = fingerprint_links(first)
+    ends = links.join(first.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    return alike.unionAll(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """The documents with a key for each row (``row``), written once; ``block`` is what the table is bucketed by."""
     # a task's rows make few blocks, so bucketing by block writes few files and moves nothing
@@ -218,18 +250,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = durable(prints.groupBy("node").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("row").alias("at"))).alias("best")))
     nodes = durable(prints.join(first.select("row"), "row", "left_semi").select("node", "fp", "n", "keys"))
     met = durable(_by_bucket(nodes.select(F.explode("keys").alias("key"), "node", "fp", "n"), _candidates(share), "a long, b long, large boolean"))
-    pairs = durable(met.where("not large").select("a", "b").distinct())
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    sets = _sets(docs, durable(first.join(asked, "node").select("row")), text_col, shingle)
-    links = _similar(pairs, sets, share)
-    roots = durable(connected_components(links))
     large = met.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    if not large.isEmpty():
-        members = large.join(nodes.select("node", "fp", "n"), "node").join(roots, "node", "left").select("key", "node", "fp", "n", F.coalesce("root", "node").alias("root"))
-        more = durable(_by_bucket(members, _crossing(share), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-        more = _similar(more, sets, share)
-        if not more.isEmpty():
-            roots = durable(connected_components(links.unionAll(more)))
+    pairs = durable(met.where("not large").select("a", "b").unionAll(_printed(nodes)).distinct())
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(large.select("node")).distinct()
+    sets = _sets(docs, durable(first.join(asked, "node").select("row")), text_col, shingle)
+    roots = durable(connected_components(_similar(pairs, sets, share).unionAll(_large(large, nodes, sets, share))))
     own = durable(first.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root")))
     named = durable(own.join(own.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.at").alias("keep")), "root").select("node", "keep"))
     return prints.join(named, "node").select("row", "doc_id", "keep")

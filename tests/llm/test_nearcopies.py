@@ -65,6 +65,33 @@ def test_a_large_family_in_one_bucket(spark):
     assert kept(spark, texts) == all_pairs(texts)
 
 
+def test_a_large_bucket_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK_BYTES", 40_000)  # some twenty sets
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(250)]
+    texts = [varied(rng, base, k % 9) for k in range(160)]
+    want = all_pairs(texts)
+    assert kept(spark, texts) == want and 1 < len(set(want)) < 160
+
+
+def test_spanning_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 9, 60):
+        base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, 50 - k, replace=False), rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in rng.integers(0, 12, size)]
+        root = np.arange(size)
+        for i in range(size):
+            for j in range(i):
+                both = np.intersect1d(sets[i], sets[j]).size
+                if both >= 0.8 * (sets[i].size + sets[j].size - both):
+                    root[root == root[i]] = root[j]
+        mine = np.arange(size)
+        for i, j in nearcopies.spanning_links(sets, 0.8):
+            assert mine[i] != mine[j]  # no link too many
+            mine[mine == mine[i]] = mine[j]
+        assert len(set(zip(root, mine))) == len(set(root)) == len(set(mine))
+
+
 def test_wordless_texts_are_one_group(spark):
     assert kept(spark, ["", " \t", "a b", "A  b", "a b c d e f"]) == [0, 0, 2, 2, 4]
 
