@@ -73,15 +73,19 @@ def mix(
     ``taken`` is copies times size. Within a source, documents up to its mean size are twice as likely to
     get the extra copy, so that few very long ones do not decide the sample. A probability of
     one or more is certain: quotient 0. Null text has size 0 and takes nothing; a null source is a source
-    of its own, last in order. Ties go by id; rows that repeat an id share its random number. Source
-    totals are partial sums, and ranks are cut in 4096 cells, so a hot source meets no single task.
+    of its own, last in order. Rows that repeat an id share its random number; rows without id draw by their
+    text. Ties go by id, then by text, so that reruns and other orders of the input agree; rows that have both
+    in common are alike. Source totals are partial sums, and ranks are cut in 4096 cells: a window
+    sorts the one cell of a source in which its sample ends, about a 4096th of its rows and what
+    shares a random number there.
     ``keep_row`` adds the input row as a struct; it is then read a second time, and not stored between.
     """
     keys = [
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        uniform(F.col(id_col), seed).alias("u"),
+        uniform(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), seed).alias("u"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("tie"),
     ]
     base = durable(docs.select(*keys))
     sums = durable(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
@@ -130,7 +134,7 @@ def mix(
     ranked = ranked_rows(everything).join(_sent(edge), F.col("source").eqNullSafe(F.col("edge_source")), "left")
     at_edge = F.col("open") & (F.col("cell") == F.col("edge.cell"))
     inside = F.col("open") & F.coalesce(F.col("cell") < F.col("edge.cell"), F.lit(True))
-    cum = F.col("edge.before") + F.sum("size").over(Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    cum = F.col("edge.before") + F.sum("size").over(Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, 0))
     inner = ranked.where(at_edge).withColumn("more", (cum - F.col("size") * 0.5 <= F.col("extra")).cast("long"))
     outer = ranked.where(~F.coalesce(at_edge, F.lit(False))).withColumn("more", F.coalesce(inside.cast("long"), F.lit(0)))
     copies = (F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0)).cast("long")
@@ -153,7 +157,7 @@ def _sent(sources: DataFrame, most: int = 20_000) -> DataFrame:
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+         (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
