@@ -20,18 +20,25 @@ from pyspark.sql import functions as F
 from ..storage import durable
 from .text import bounded
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")  # leaves letters, and numbers like one half
 UNKNOWN = "und"
-MOST_LANGUAGES = 64
 PIECE = 1 << 17
 SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 SIZES = (2, 4)  # n-gram lengths, in letters, word ends included
 
 
+def letters(text: str) -> str:
+    """The words of letters of a text, lowered and joined by one blank."""
+    line = NOT_LETTERS.sub(" ", text.lower())
+    if not line.replace(" ", "").isalpha():
+        line = "".join(c if c.isalpha() else " " for c in line)
+    return " ".join(line.split())
+
+
 def grams(text: str, sizes: tuple[int, ...] = SIZES) -> Iterator[np.ndarray]:
-    """Hashes of a text's letter n-grams, in pieces of bounded size. Words are lowered and joined by one blank."""
+    """Hashes of a text's letter n-grams, in pieces of bounded size."""
     for at in range(0, len(text), PIECE):
-        line = " " + NOT_LETTERS.sub(" ", text[max(0, at - max(sizes)) : at + PIECE].lower()).strip() + " "
+        line = f" {letters(text[max(0, at - max(sizes)) : at + PIECE])} "
         if line == "  ":
             continue
         c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -42,40 +49,45 @@ def grams(text: str, sizes: tuple[int, ...] = SIZES) -> Iterator[np.ndarray]:
             yield h * SALTS[0] ^ (h >> np.uint64(29))
 
 
+def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [((h * s) >> np.uint64(64 - bits)).astype(np.int64) for s in SALTS]
+
+
 @dataclass
 class LanguageFilter:
-    """The learned filter; ``masks`` has 2 ** bits slots."""
+    """The learned filter: ``masks`` has 2 ** bits slots of one byte for every eight languages."""
 
     languages: list[str]
     masks: np.ndarray
     false_rate: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    @staticmethod
-    def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
-        return [((h * s) >> np.uint64(64 - bits)).astype(np.int64) for s in SALTS]
+    @classmethod
+    def of_slots(cls, languages: list[str], at: np.ndarray, part: np.ndarray, mask: np.ndarray, bits: int) -> LanguageFilter:
+        """From (slot, which byte, bits of the byte)."""
+        masks = np.zeros((1 << bits, max(1, -(-len(languages) // 8))), dtype=np.uint8)
+        np.bitwise_or.at(masks, (at, part), mask)
+        ones = sum(np.unpackbits(masks[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, 1 << bits, 1 << 16))
+        return cls(languages, masks, (ones[: len(languages)] / (1 << bits)) ** len(SALTS))
 
     @classmethod
-    def build(cls, languages: list[str], hashes: np.ndarray, owners: np.ndarray, bits: int) -> LanguageFilter:
-        kind = np.uint8 if len(languages) <= 8 else np.uint64
-        masks = np.zeros(1 << bits, dtype=kind)
-        for at in cls.slots(hashes, bits):
-            np.bitwise_or.at(masks, at, owners.astype(kind))
-        fill = np.array([float(((masks >> kind(k)) & kind(1)).mean()) for k in range(len(languages))])
-        return cls(languages, masks, fill ** len(SALTS))
+    def build(cls, languages: list[str], hashes: np.ndarray, owner: np.ndarray, bits: int) -> LanguageFilter:
+        """From n-gram hashes and the number of a language that has each; an n-gram of several comes several times."""
+        at = np.concatenate(slots(hashes, bits))
+        owner = np.tile(owner.astype(np.int64), len(SALTS))
+        return cls.of_slots(languages, at, owner // 8, (1 << owner % 8).astype(np.uint8), bits)
 
     def languages_of(self, h: np.ndarray) -> np.ndarray:
-        """The mask of languages that contain each n-gram."""
-        bits = int(self.masks.size).bit_length() - 1
-        a, b, c = self.slots(h, bits)
+        """The mask of languages that contain each n-gram, a row of bytes for each."""
+        a, b, c = slots(h, int(len(self.masks)).bit_length() - 1)
         return self.masks[a] & self.masks[b] & self.masks[c]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts, total = np.zeros(len(self.languages)), 0
+        n = len(self.languages)
+        counts, total = np.zeros(n), 0
         for h in grams(text or ""):
-            got = self.languages_of(h)
             total += len(h)
-            counts += [np.count_nonzero(got & got.dtype.type(1 << k)) for k in range(len(self.languages))]
-        if not total or not self.languages:
+            counts += np.unpackbits(self.languages_of(h), axis=1, bitorder="little", count=n).sum(axis=0, dtype=np.int64) if n else 0
+        if not total or not n:
             return UNKNOWN, 0.0
         true = np.maximum(0, counts - total * self.false_rate) / (1 - np.minimum(self.false_rate, 0.999))
         best = int(true.argmax())
@@ -89,20 +101,20 @@ def fit(
 ) -> LanguageFilter:
     """Learn a filter from labelled rows (rows without label or text are left out).
 
-    ``per_language`` bounds the sample: about so many rows of each language, by a hash of the text, and all rows of
-    a language that has fewer. Every other bound follows from it. An n-gram belongs to a language if the
-    language's rate of it is at least ``keep_share`` of its highest rate among all, and it came ``least`` times.
+    ``per_language`` bounds the sample: about so many different texts of each language, by a hash of the text, and
+    all of a language that has fewer; copies count once. An n-gram belongs to a language if the language's rate
+    of it is at least ``keep_share`` of its highest rate among all, and it came ``least`` times. Any number of
+    languages has its bits. What reaches the driver is the filter, 2 ** ``bits`` slots at most; how full
+    it is, is measured and corrected for.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("name")).where("text is not null and lang is not null")
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct("name").alias("n")).collect()}
     languages = sorted(count)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask has {MOST_LANGUAGES} bits")
     if not languages:
-        return LanguageFilter([], np.zeros(1 << bits, dtype=np.uint8), np.zeros(0))
+        return LanguageFilter([], np.zeros((1 << bits, 1), dtype=np.uint8), np.zeros(0))
     limit = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1.0, per_language / n))])
-    rank = (F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).alias("rank")
-    sample = rows.withColumn("rank", rank).where(F.col("rank") < limit[F.col("lang")]).select("lang", "text")
+    rank = F.col("name").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    sample = rows.where(rank < limit[F.col("lang")]).groupBy("lang", "name").agg(F.any_value("text").alias("text")).select("lang", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,12 +127,21 @@ def fit(
     total = {r.lang: r.n for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     whole = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, float(n))]) if total else F.create_map()
     rated = sums.withColumn("rate", F.col("n") / whole[F.col("lang")]) if total else sums.withColumn("rate", F.lit(0.0))
-    top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("of"))
-    kept = top.selectExpr("gram", "transform(filter(of, x -> x.n >= %d and x.rate >= top * %s), x -> x.lang) as langs" % (least, keep_share))
-    kept = kept.where("size(langs) > 0").toArrow()  # bounded by the sample
-    at = {lang: k for k, lang in enumerate(languages)}
-    owners = np.array([sum(1 << at[x] for x in langs) for langs in kept.column("langs").to_pylist()], dtype=np.uint64)
-    return LanguageFilter.build(languages, np.asarray(kept.column("gram")).astype(np.int64).view(np.uint64), owners, bits)
+    top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("of"))  # a list of languages
+    kept = top.selectExpr("gram", "explode(filter(of, x -> x.n >= %d and x.rate >= top * %s)) as x" % (least, keep_share)).select("gram", "x.lang")
+    number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, k = (np.asarray(c).astype(np.int64) for c in batch.columns)
+            at = np.concatenate(slots(h.view(np.uint64), bits))
+            k = np.tile(k, len(SALTS))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(k // 8), pa.array(1 << k % 8)], ["slot", "part", "mask"])
+
+    filled = kept.select("gram", number.cast("long").alias("k")).mapInArrow(placed, "slot long, part long, mask long")
+    filled = filled.groupBy("slot", "part").agg(F.bit_or("mask").alias("mask")).toArrow()
+    at, part, mask = (np.asarray(filled.column(c)).astype(np.int64) for c in ("slot", "part", "mask"))
+    return LanguageFilter.of_slots(languages, at, part, mask.astype(np.uint8), bits)
 
 
 def predict(docs: DataFrame, text_col: str, model: LanguageFilter, keep: list[str] | None = None) -> DataFrame:
