@@ -18,6 +18,8 @@ from .text import LOWER, UPPER
 
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 32768  # rows that one bitmap covers
+SLICES = 32  # a term's places in the tables of test terms
+LONG_LISTS = 1000  # a list of more than this share of all postings is dealt in slices
 END = ""  # the term that marks a row's end; its position is the row's number of words
 
 
@@ -104,26 +106,42 @@ def _meet(index: DataFrame, starts: DataFrame, terms: DataFrame, slop: int) -> D
 
 
 def _ranked(index: DataFrame, tests: TestWindows) -> DataFrame:
-    """The windows' terms (win, at, term, nth, n): the rarest is the first; n is null for a term that no row has."""
+    """The windows' terms (win, at, term, nth, n): the rarest is the first; n is null for a term that no row has.
+
+    A term that very many windows hold is dealt to as many tasks as it has slices.
+    """
     lengths = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
+    dealt = durable(lengths).select("term", "n", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    terms = tests.terms.withColumn("slice", F.pmod("win", F.lit(SLICES)).cast("int"))
     rank = Window.partitionBy("win").orderBy(F.col("n").asc_nulls_first(), "at")
-    return durable(tests.terms.join(lengths, "term", "left").withColumn("nth", F.row_number().over(rank)).select("win", "at", "term", "nth", "n"))
+    return durable(terms.join(dealt, ["term", "slice"], "left").withColumn("nth", F.row_number().over(rank)).select("win", "at", "term", "nth", "n"))
+
+
+def _listed(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The postings of each key's term: index rows joined with keys (win, at, term, n).
+
+    A list of more than a 1000th of all postings is cut in slices of that size by row, and its keys go to each
+    slice; such lists are at most 1000, whatever the corpus, so every task is told of them.
+    """
+    lists = keys.groupBy("term").agg(F.max("n").alias("n"))
+    share = F.greatest(F.lit(1.0), index.agg((F.count("*") / LONG_LISTS).alias("share")).first()["share"] * F.lit(1.0))
+    long = F.broadcast(durable(lists.where(F.col("n") > share).select("term", F.ceil(F.col("n") / share).cast("int").alias("slices"))))
+    dealt = keys.join(long, "term", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices", "n")
+    places = index.join(long, "term", "left").withColumn("slice", F.pmod(F.xxhash64("row"), F.coalesce("slices", F.lit(1))).cast("int"))
+    return places.join(dealt, ["term", "slice"])
 
 
 def _starts(index: DataFrame, tests: TestWindows, lists: int) -> DataFrame:
     """Where windows may begin: the shifted lists of their ``lists`` rarest terms, intersected."""
     ranked = _ranked(index, tests)
-    found = None
-    for nth in range(1, lists + 1):
+    keys = ranked.where("nth = 1 and n is not null")  # a term that no row has: no match
+    found = _listed(index, keys.drop("nth")).select("row", "win", (F.col("pos") - F.col("at")).alias("begin")).where("begin >= 0")
+    for nth in range(2, lists + 1):
         keys = ranked.where(F.col("nth") == nth)
-        if nth == 1:
-            keys = keys.where("n is not null")  # a term that no row has: no match
-            found = index.join(keys, "term").select("row", "win", (F.col("pos") - F.col("at")).alias("begin")).where("begin >= 0")
-        else:
-            more = found.join(keys.select("win", "at", "term"), "win").select("row", "win", "begin", (F.col("begin") + F.col("at")).alias("pos"), "term")
-            listed = index.join(keys.select("term").distinct(), "term", "left_semi").select("row", "pos", "term")
-            single = found.join(tests.windows.where(F.col("size") < nth).select("win"), "win", "left_semi")
-            found = more.join(listed, ["row", "pos", "term"]).select("row", "win", "begin").unionAll(single.select("row", "win", "begin"))
+        more = found.join(keys.select("win", "at", "term"), "win").select("row", "win", "begin", (F.col("begin") + F.col("at")).alias("pos"), "term")
+        listed = index.join(keys.select("term").distinct(), "term", "left_semi").select("row", "pos", "term")
+        single = found.join(tests.windows.where(F.col("size") < nth).select("win"), "win", "left_semi")
+        found = more.join(listed, ["row", "pos", "term"]).select("row", "win", "begin").unionAll(single.select("row", "win", "begin"))
     return durable(found)
 
 
@@ -141,7 +159,7 @@ def _near_starts(index: DataFrame, tests: TestWindows, slop: int, share: float)
     ranked = _ranked(index, tests).join(tests.windows.select("win", "size"), "win")
     keys = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * share) + 1) & F.col("n").isNotNull())
     first = F.col("pos") - F.col("at")
-    return durable(index.join(keys, "term").select("row", "win", F.explode(F.sequence(first - slop, first + slop)).alias("begin")).distinct())
+    return durable(_listed(index, keys.select("win", "at", "term", "n")).select("row", "win", F.explode(F.sequence(first - slop, first + slop)).alias("begin")).distinct())
 
 
 def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 2, share: float = 0.8) -> DataFrame:
