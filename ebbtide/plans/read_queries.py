@@ -320,16 +320,16 @@ register("mon_model_cache", cached_models)
 
 
 def runs(s, d):
-    return telemetry.check_runs(table(s, d, "events")).where(F.col("check_name") == "check.error").withColumn("env", F.col("tags")["env"][0])
+    return telemetry.check_runs(table(s, d, "events")).withColumn("env", F.col("tags")["env"][0])
 
 
-SERIES = ["host", "env"]
-CHECKED = f"""WITH {CHECKS_SQL}, r AS (SELECT host, env, t_ms, status, row_number() OVER (PARTITION BY host, env, status = 'UNKNOWN' ORDER BY t_ms DESC) AS nth FROM runs WHERE check_name = 'check.error'),
- n AS (SELECT *, row_number() OVER w AS rn, lead(t_ms) OVER w AS next_ms, sum(CASE WHEN status <> 'UNKNOWN' THEN 1 ELSE 0 END) OVER w AS kn FROM r WHERE nth <= 4 WINDOW w AS (PARTITION BY host, env ORDER BY t_ms DESC)),
- s AS (SELECT host, env, max(CASE WHEN rn = 1 THEN status END) AS latest, max(t_ms) AS newest_ms, max(CASE WHEN rn = 1 THEN t_ms - next_ms END) AS gap_ms,
+SERIES = ["check_name", "host", "env"]
+CHECKED = f"""WITH {CHECKS_SQL}, r AS (SELECT check_name, host, env, t_ms, status, row_number() OVER (PARTITION BY check_name, host, env, status = 'UNKNOWN' ORDER BY t_ms DESC) AS nth FROM runs),
+ n AS (SELECT *, row_number() OVER w AS rn, lead(t_ms) OVER w AS next_ms, sum(CASE WHEN status <> 'UNKNOWN' THEN 1 ELSE 0 END) OVER w AS kn FROM r WHERE nth <= 4 WINDOW w AS (PARTITION BY check_name, host, env ORDER BY t_ms DESC)),
+ s AS (SELECT check_name, host, env, max(CASE WHEN rn = 1 THEN status END) AS latest, max(t_ms) AS newest_ms, max(CASE WHEN rn = 1 THEN t_ms - next_ms END) AS gap_ms,
   {", ".join(f"CAST(coalesce(min(CASE WHEN status <> 'UNKNOWN' AND kn <= 4 AND status <> '{k}' THEN kn END) - 1, sum(CASE WHEN status <> 'UNKNOWN' AND kn <= 4 THEN 1 ELSE 0 END)) AS BIGINT) AS {n}" for k, n in (("CRITICAL", "critical"), ("WARNING", "warning"), ("OK", "ok")))},
   CAST(coalesce(min(CASE WHEN status <> 'UNKNOWN' THEN rn END) - 1, count(*)) AS BIGINT) AS unknown,
-  CAST(coalesce(min(CASE WHEN rn <= 4 AND status <> 'OK' THEN rn END) - 1, sum(CASE WHEN rn <= 4 THEN 1 ELSE 0 END)) AS BIGINT) AS ok_since_unknown FROM n GROUP BY host, env)"""
+  CAST(coalesce(min(CASE WHEN rn <= 4 AND status <> 'OK' THEN rn END) - 1, sum(CASE WHEN rn <= 4 THEN 1 ELSE 0 END)) AS BIGINT) AS ok_since_unknown FROM n GROUP BY check_name, host, env)"""
 RANKED = "CASE {} WHEN 'CRITICAL' THEN 3 WHEN 'WARNING' THEN 2 WHEN 'UNKNOWN' THEN 1 ELSE 0 END"
 
 
@@ -338,14 +338,14 @@ def streaks(s, d):
 
 
 LIVE = f"(gap_ms IS NULL OR {TO} - newest_ms <= 2 * gap_ms + 60000)"
-register("check_newest_runs", lambda s, d: mon.check_newest_runs(runs(s, d), SERIES, 4), f"{CHECKED} SELECT host, env, t_ms, status FROM r WHERE nth <= 4")
+register("check_newest_runs", lambda s, d: mon.check_newest_runs(runs(s, d), SERIES, 4), f"{CHECKED} SELECT check_name, host, env, t_ms, status FROM r WHERE nth <= 4")
 register("check_streaks", streaks, f"{CHECKED} SELECT * FROM s")
-register("check_liveness", lambda s, d: mon.check_live(streaks(s, d), TO).select("host", "env", "newest_ms"), f"{CHECKED} SELECT host, env, newest_ms FROM s WHERE {LIVE}")
-register("check_groups", lambda s, d: mon.check_live(streaks(s, d), TO).groupBy("env").agg(F.count("*").alias("series"), F.max("newest_ms").alias("last_point")), f"{CHECKED} SELECT env, count(*) AS series, max(newest_ms) AS last_point FROM s WHERE {LIVE} GROUP BY env")
+register("check_liveness", lambda s, d: mon.check_live(streaks(s, d), TO).select("check_name", "host", "env", "newest_ms"), f"{CHECKED} SELECT check_name, host, env, newest_ms FROM s WHERE {LIVE}")
+register("check_groups", lambda s, d: mon.check_live(streaks(s, d), TO).groupBy("check_name", "env").agg(F.count("*").alias("series"), F.max("newest_ms").alias("last_point")), f"{CHECKED} SELECT check_name, env, count(*) AS series, max(newest_ms) AS last_point FROM s WHERE {LIVE} GROUP BY check_name, env")
 register(
     "check_worst",
-    lambda s, d: mon.check_worst(streaks(s, d), ["env"]),
-    f"{CHECKED} SELECT env, CASE max({RANKED.format('latest')}) WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'WARNING' WHEN 1 THEN 'UNKNOWN' ELSE 'OK' END AS worst, max(newest_ms) AS last_point, count(*) AS series FROM s GROUP BY env",
+    lambda s, d: mon.check_worst(streaks(s, d), ["check_name", "env"]),
+    f"{CHECKED} SELECT check_name, env, CASE max({RANKED.format('latest')}) WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'WARNING' WHEN 1 THEN 'UNKNOWN' ELSE 'OK' END AS worst, max(newest_ms) AS last_point, count(*) AS series FROM s GROUP BY check_name, env",
 )
 register(
     "check_recent_runs",
@@ -359,48 +359,93 @@ register(
 )
 
 
-def judged_streaks(s, d):
-    import pandas as pd
+CHECK = state.Definition(kind="check", critical=2, warning=2, ok=1, unknown=3)
 
-    def of(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"env": [key[0]], "state": [state.judge_streaks(None, rows.to_dict("records"), 2, 2, 1, 3)]})
 
-    return streaks(s, d).groupBy("env").applyInPandas(of, "env string, state string")
+def judged_streaks(s, d):
+    columns = ("critical", "warning", "ok", "unknown", "ok_since_unknown")
+    lists = streaks(s, d).groupBy("check_name", "env").agg(F.collect_list(F.struct(*columns)).alias("streaks"))
+    return lists.select("check_name", "env", state.judge_streaks(CHECK, F.lit(None).cast("string"), F.col("streaks")).alias("state"))
 
 
-register("judge_streaks", judged_streaks)
+register(
+    "judge_streaks",
+    judged_streaks,
+    f"{CHECKED} SELECT check_name, env, CASE WHEN bool_or(told AND critical >= 2) THEN 'Alert' WHEN bool_or(told AND warning >= 2) THEN 'Warn' WHEN bool_or(unknown >= 3) THEN 'No Data' WHEN bool_or(told) AND bool_and(NOT told OR ok >= 1) THEN 'OK' END AS state"
+    " FROM (SELECT *, unknown < 3 AND critical + warning + ok > 0 AS told FROM s) GROUP BY check_name, env",
+)
 
 
 def evaluated(s, d):
-    rows = mon.mon_groups(mon.mon_threshold(hourly_env(s, d, pred=pr.filter_host_wildcard("host-1*")), periods(s)), ("env",))
+    rows = mon.mon_groups(mon.mon_threshold(hourly_env(s, d), periods(s)), ("env",))
     return rows.select(F.lit(1).cast("long").alias("monitor_id"), "tick", "group_key", "value", F.col("tick").alias("last_point"), F.lit("judged").alias("status"))
 
 
-def replayed(s, d, **how):
+def states(s, d, **how):
     definition = state.Definition(**({"comparator": ">", "critical": 7.0, "warning": 5.5, "critical_recovery": 6.5, "window": REACH, "notify_no_data": True} | how))
-    return state.replay(state.complete_ticks(evaluated(s, d), periods(s)), definition)
+    return state.folded(state.complete_ticks(evaluated(s, d), periods(s)), definition)
+
+
+def state_sql(select: str, critical: float = 7.0, warning: float | None = 5.5, critical_recovery: float | None = 6.5, new_group_delay: int = 60_000, forget_after: int = DAY * 1000, on_missing_data: str | None = None, notify_no_data: bool = True) -> str:
+    """The same as a recursive query, a tick of every group in each round."""
+    held = f"base_state = 'Alert' AND v > {critical if critical_recovery is None else critical_recovery}"
+    warn = "" if warning is None else f"WHEN v > {warning} THEN 'Warn'"
+    quiet = "'No Data'" if on_missing_data == "show" else f"CASE WHEN {notify_no_data} AND st <> 'No Data' AND to_ms - pt >= {2 * REACH} THEN 'No Data' END"
+    crossed = f"CASE WHEN v > {critical} OR ({held}) THEN 'critical' " + ("" if warning is None else f"WHEN v > {warning} THEN 'warning' ") + ("" if critical_recovery is None else "WHEN base_state = 'Alert' THEN 'critical_recovery' ") + "END"
+    text = sql(
+        f""", {TICKS}, ev AS (SELECT tick, 'env:' || env AS k, avg(value) AS v FROM {ON.format("base")} WHERE env IS NOT NULL GROUP BY tick, env), f AS (SELECT k, min(tick) AS f FROM ev GROUP BY k),
+ slots AS (SELECT f.k, t.tick, t.from_ms, t.to_ms, ev.v, row_number() OVER (PARTITION BY f.k ORDER BY t.tick) AS rn FROM f JOIN t ON t.tick >= f.f LEFT JOIN ev ON ev.k = f.k AND ev.tick = t.tick),
+ m AS (
+  SELECT k, 0::BIGINT AS rn, NULL::VARCHAR AS st, NULL::BIGINT AS f1, NULL::BIGINT AS l1, NULL::BIGINT AS seen0, NULL::BIGINT AS seen, NULL::BIGINT AS pt, NULL::VARCHAR AS held, false AS moved, NULL::BIGINT AS at_ms,
+   NULL::VARCHAR AS from_state, NULL::VARCHAR AS to_state, NULL::VARCHAR AS reason, NULL::DOUBLE AS value, NULL::VARCHAR AS crossed, NULL::BIGINT AS m_from, NULL::BIGINT AS m_to, NULL::BIGINT AS m_f1, NULL::BIGINT AS m_l1 FROM f
+  UNION ALL
+  SELECT k, rn, CASE WHEN sit = 'expire' THEN NULL WHEN turns THEN goal ELSE st END, CASE WHEN sit = 'expire' OR (turns AND goal = 'OK') THEN NULL ELSE f2 END, CASE WHEN sit = 'expire' THEN NULL ELSE l2 END,
+   CASE WHEN sit = 'expire' THEN NULL ELSE seen0 END, CASE WHEN sit = 'expire' THEN NULL ELSE seen END, CASE WHEN sit = 'expire' THEN NULL ELSE pt END,
+   CASE WHEN sit = 'expire' THEN NULL WHEN turns THEN CASE WHEN goal = 'No Data' AND why = 'no_data_shown' THEN st END ELSE held END, turns, tick, st, goal, why, CASE WHEN sit = 'judge' THEN v END, CASE WHEN sit = 'judge' THEN cr END,
+   CASE WHEN sit <> 'expire' THEN from_ms END, CASE WHEN sit <> 'expire' THEN to_ms END, f2, l2
+  FROM (SELECT *, CASE WHEN turns AND fires AND coalesce(base_state, '') NOT IN ('Alert', 'Warn') THEN tick ELSE f1 END AS f2, CASE WHEN turns AND fires THEN tick ELSE l1 END AS l2
+   FROM (SELECT *, goal IN ('Alert', 'Warn') AS fires, goal IS NOT NULL AND (sit = 'expire' OR goal IS DISTINCT FROM st) AS turns,
+     CASE WHEN sit = 'expire' THEN 'expired' WHEN sit = 'silence' THEN '{"no_data_shown" if on_missing_data == "show" else "no_data"}' WHEN st IS NULL THEN 'new' WHEN st = 'No Data' AND held = goal THEN 'no_data_shown' WHEN goal = 'OK' THEN 'recovery' ELSE 'threshold' END AS why
+    FROM (SELECT *, {crossed} AS cr, CASE sit WHEN 'judge' THEN CASE WHEN v > {critical} OR ({held}) THEN 'Alert' {warn} ELSE 'OK' END WHEN 'silence' THEN {quiet} WHEN 'expire' THEN CASE WHEN st IS NOT NULL THEN 'OK' END END AS goal
+     FROM (SELECT *, coalesce(held, st) AS base_state,
+       CASE WHEN seen0 IS NULL THEN 'wait' WHEN v IS NULL AND tick - seen >= {forget_after} THEN 'expire' WHEN v IS NULL THEN CASE WHEN st IS NULL THEN 'wait' ELSE 'silence' END WHEN st IS NULL AND tick - seen0 < {new_group_delay} THEN 'wait' ELSE 'judge' END AS sit
+      FROM (SELECT m.k, s.rn, m.st, m.f1, m.l1, m.held, s.tick, s.from_ms, s.to_ms, s.v, CASE WHEN s.v IS NULL THEN m.seen0 ELSE coalesce(m.seen0, s.tick) END AS seen0, CASE WHEN s.v IS NULL THEN m.seen ELSE s.tick END AS seen, CASE WHEN s.v IS NULL THEN m.pt ELSE s.tick END AS pt
+       FROM m JOIN slots s ON s.k = m.k AND s.rn = m.rn + 1)))))
+ ) {select}""",
+        step=HOUR,
+    )
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+MOVED = "SELECT 1::BIGINT AS monitor_id, k AS group_key, at_ms, from_state, to_state, reason, round(value, 6) AS value, crossed, m_from AS from_ms, m_to AS to_ms, m_f1 AS first_triggered_at, m_l1 AS last_triggered_at FROM m WHERE moved"
+for name, how in {
+    "state_step": {},
+    "state_no_data": {"on_missing_data": "show", "critical": 9.0, "warning": None, "critical_recovery": None},
+    "state_new_group_delay": {"new_group_delay": 2 * DAY * 1000},
+    "state_expiry": {"forget_after": STEP * 1000},
+    "state_step_plain": {"critical_recovery": None, "new_group_delay": 0, "notify_no_data": False, "forget_after": 400 * DAY * 1000},
+}.items():
+    register(name, lambda s, d, h=how: rounded(state.transitions(states(s, d, **h)), "value"), state_sql(MOVED, **how))
+register(
+    "state_close",
+    lambda s, d: state.close(state.memory(states(s, d)), LAST_TICK, "deleted").select("monitor_id", "group_key", "at_ms", "from_state", "to_state", "reason", "first_triggered_at"),
+    state_sql(f"SELECT 1::BIGINT AS monitor_id, k AS group_key, {LAST_TICK}::BIGINT AS at_ms, st AS from_state, 'OK' AS to_state, 'deleted' AS reason, f1 AS first_triggered_at FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rn DESC) AS nth FROM m) WHERE nth = 1 AND st IS NOT NULL"),
+)
 
 
-def hysteresis_free():
-    return {"critical": 7.0, "warning": 5.5, "critical_recovery": None, "new_group_delay": 0, "notify_no_data": False, "forget_after": 400 * DAY * 1000}
+def redefined(s, d):
+    """Monitors whose threshold is their number of evaluations; later definitions round it to an even number, and some monitors are gone."""
+    counts = evals(s, d).groupBy("monitor_id").agg(F.count("*").alias("n"))
+    stored = counts.select("monitor_id", F.col("n").alias("critical")).select("monitor_id", state.definition_hash(["critical"]).alias("hash"))
+    later = counts.where("monitor_id % 3 <> 2").select("monitor_id", F.expr("n div 2 * 2").alias("critical"))
+    groups = mon.open_groups(trans(s, d)).select("monitor_id", "group_key", F.col("to_state").alias("state"), "first_triggered_at", "last_triggered_at")
+    return state.redefine(groups, stored, later, NOW).select("monitor_id", "group_key", "at_ms", "from_state", "reason")
 
 
-register("state_step", replayed)
-register("state_no_data", lambda s, d: replayed(s, d, on_missing_data="show", critical=9.0, warning=None, critical_recovery=None))
-register("state_new_group_delay", lambda s, d: replayed(s, d, new_group_delay=2 * DAY * 1000))
-register("state_expiry", lambda s, d: replayed(s, d, forget_after=STEP * 1000))
-register(
-    "state_step_plain",
-    lambda s, d: replayed(s, d, **hysteresis_free()).select("group_key", "at_ms", "from_state", "to_state"),
-    tick_sql("SELECT * FROM (SELECT tick, env, CASE WHEN avg(value) > 7 THEN 'Alert' WHEN avg(value) > 5.5 THEN 'Warn' ELSE 'OK' END AS st", where="host LIKE 'host-1%'").replace("GROUP BY tick, env", "WHERE env IS NOT NULL GROUP BY tick, env)").replace(
-        "SELECT * FROM (SELECT tick", "SELECT 'env:' || env AS group_key, tick AS at_ms, prev AS from_state, st AS to_state FROM (SELECT *, lag(st) OVER (PARTITION BY env ORDER BY tick) AS prev FROM (SELECT tick"
-    )
-    + ") WHERE prev IS DISTINCT FROM st",
-)
-register("state_close", lambda s, d: mon.latest_states(replayed(s, d).withColumn("inserted_at", F.col("at_ms"))).select("monitor_id", "group_key", F.col("to_state").alias("from_state"), F.lit("OK").alias("to_state"), F.lit("deleted").alias("reason")))
 register(
     "state_redefine",
-    lambda s, d: mon.open_groups(trans(s, d)).withColumn("hash", F.sha2(F.to_json(F.struct(F.lit(">").alias("comparator"), F.col("monitor_id"))), 256)).select("monitor_id", "group_key", "hash", F.lit("definition_changed").alias("reason")),
+    redefined,
+    monitors_sql(f"SELECT l.monitor_id, group_key, {NOW}::BIGINT AS at_ms, to_state AS from_state, CASE WHEN l.monitor_id % 3 = 2 THEN 'deleted' ELSE 'definition_changed' END AS reason FROM latest l JOIN (SELECT monitor_id, count(*) AS n FROM evals GROUP BY monitor_id) e USING (monitor_id) WHERE l.reason NOT IN ('expired', 'definition_changed', 'deleted') AND (l.monitor_id % 3 = 2 OR n % 2 = 1)"),
 )
 SEV = "CASE to_state WHEN 'Alert' THEN 3 WHEN 'Warn' THEN 2 WHEN 'No Data' THEN 1 ELSE 0 END"
 OF_SEV = "CASE max(" + SEV + ") WHEN 3 THEN 'Alert' WHEN 2 THEN 'Warn' WHEN 1 THEN 'No Data' ELSE 'OK' END"

@@ -1,7 +1,6 @@
 """Hand fixtures: gaps, ties, missing tags, filling, models and the state of groups."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,9 +90,9 @@ def test_calendar_shift_follows_the_clock():
 
 
 def test_basic_band(spark):
-    sf = frame(spark, [(i, 8.0 if i % 2 else 12.0) for i in range(11)], step=1, end=11)
+    sf = frame(spark, [(i, 20.5 if i % 3 else 17.5) for i in range(13)], step=1, end=13)
     last = models.anomalies_basic(sf, 3).orderBy(F.col("bucket_ms").desc()).first()
-    assert (last.lower, last.upper) == (4.0, 16.0)
+    assert (last.lower, last.upper) == pytest.approx((20.5 - 3 * 2**0.5, 20.5 + 3 * 2**0.5))  # a third of the twelve before lie 3 lower
 
 
 def test_mad_flags_by_share(spark):
@@ -159,58 +158,99 @@ def test_dead_letters_keep_no_probe_and_no_secret(spark):
 
 
 D = state.Definition(critical=10, warning=5, critical_recovery=8, new_group_delay=0, window=3600_000, notify_no_data=True)
+TICKS = "monitor_id long, group_key string, tick long, status string, value double, last_point long, from_ms long, to_ms long, recovery double, streaks " + state.STREAKS
 
 
-def run(definition, ticks):
-    g, out = None, []
-    for at, status, value in ticks:
-        g, row = state.step(definition, g, status, value, at if value is not None else None, at - 3600_000, at, at)
-        out.append(row and (row["to_state"], row["reason"]))
-    return g, out
+def moves(spark, d, ticks):
+    """(tick, to, reason, crossed) of one group's ticks (at, status, value[, recovery or streaks])."""
+    rows = []
+    for at, status, value, *more in ticks:
+        recovery, streaks = (more[0], None) if more and not isinstance(more[0], list) else (None, more[0] if more else None)
+        rows.append((1, "g", at, status, value, at if value is not None or streaks else None, at - 3600_000, at, recovery, streaks))
+    after = state.folded(spark.createDataFrame(rows, TICKS), d)
+    got = [(r.at_ms, r.to_state, r.reason, r.crossed) for r in state.transitions(after).collect()]
+    return got, state.memory(after).collect()
 
 
-def test_state_has_hysteresis_and_one_transition_a_tick():
-    _, out = run(D, [(0, "judged", 1), (1, "judged", 11), (2, "judged", 9), (3, "judged", 8), (4, "judged", 1)])
-    assert out == [("OK", "new"), ("Alert", "threshold"), None, ("Warn", "threshold"), ("OK", "recovery")]
+def test_state_has_hysteresis_and_one_transition_a_tick(spark):
+    got, _ = moves(spark, D, [(0, "judged", 1.0), (1, "judged", 11.0), (2, "judged", 9.0), (3, "judged", 8.0), (4, "judged", 1.0)])
+    assert got == [(0, "OK", "new", None), (1, "Alert", "threshold", "critical"), (3, "Warn", "threshold", "warning"), (4, "OK", "recovery", None)]
 
 
-def test_silence_becomes_no_data_and_then_expires():
+def test_warning_recovery_and_shares(spark):
+    d = state.Definition(critical=0.5, warning=0.25, warning_recovery=0.1, new_group_delay=0)
+    got, _ = moves(spark, d, [(0, "judged", 0.3), (1, "judged", 0.2), (2, "judged", 0.1)])
+    assert got == [(0, "Warn", "new", "warning"), (2, "OK", "recovery", "warning_recovery")]
+    got, _ = moves(spark, state.Definition(critical=0.5, critical_recovery=0.0, new_group_delay=0), [(0, "judged", 0.9, 0.9), (1, "judged", 0.1, 0.2), (2, "judged", 0.1, 0.0)])
+    assert got == [(0, "Alert", "new", "critical"), (2, "OK", "recovery", "critical_recovery")]
+
+
+def test_silence_becomes_no_data_and_then_expires(spark):
     hour = state.HOUR
-    g, out = run(D, [(0, "judged", 1), (hour, "absent", None), (2 * hour, "absent", None), (24 * hour, "absent", None)])
-    assert g is None and out == [("OK", "new"), None, ("No Data", "no_data"), ("OK", "expired")]
+    got, left = moves(spark, D, [(0, "judged", 1.0), (hour, "absent", None), (2 * hour, "absent", None), (24 * hour, "absent", None)])
+    assert not left and got == [(0, "OK", "new", None), (2 * hour, "No Data", "no_data", None), (24 * hour, "OK", "expired", None)]
 
 
-def test_shown_no_data_resumes_without_a_notice():
+def test_shown_no_data_resumes_without_a_notice(spark):
     d = state.Definition(critical=10, on_missing_data="show", new_group_delay=0)
-    _, out = run(d, [(0, "judged", 11), (1, "absent", None), (2, "judged", 12)])
-    assert out == [("Alert", "new"), ("No Data", "no_data_shown"), ("Alert", "no_data_shown")]
+    got, left = moves(spark, d, [(0, "judged", 11.0), (1, "absent", None), (2, "judged", 12.0)])
+    assert got == [(0, "Alert", "new", "critical"), (1, "No Data", "no_data_shown", None), (2, "Alert", "no_data_shown", "critical")]
+    assert (left[0].first_triggered_at, left[0].last_triggered_at, left[0].interrupted) == (0, 2, None)
+
+
+@pytest.mark.parametrize("how, want", [("resolve", [(2, "OK", "no_data", None)]), ("show_and_notify", [(2, "No Data", "no_data", None)]), ("default", []), (None, [])])
+def test_missing_data(spark, how, want):
+    got, _ = moves(spark, state.Definition(critical=10, on_missing_data=how, new_group_delay=0), [(0, "judged", 11.0), (1, "skipped", None, 0.0), (2, "absent", None)])
+    assert got[1:] == [(1, *w[1:]) for w in want]
+
 
+def test_timeout_and_sums_of_nothing(spark):
+    got, _ = moves(spark, state.Definition(critical=10, timeout=5, new_group_delay=0), [(0, "judged", 11.0), (4, "absent", None), (5, "absent", None)])
+    assert got[1:] == [(5, "OK", "timeout", None)]
+    got, _ = moves(spark, state.Definition(critical=10, on_missing_data="default", sum_threshold=True, new_group_delay=0), [(0, "judged", 11.0), (4, "absent", None)])
+    assert got[1:] == [(4, "OK", "recovery", None)]
 
-def test_new_groups_wait():
+
+def test_streaks_of_checks(spark):
+    s = lambda c=0, w=0, o=0, u=0, k=0: [(c, w, o, u, k)]
+    d = state.Definition(kind="check", critical=2, warning=2, ok=2, unknown=3, new_group_delay=0)
+    ticks = [(0, s(o=2)), (1, s(c=1)), (2, s(c=2)), (3, s(o=1)), (4, s(o=2)), (5, s(w=2)), (6, s(u=3)), (7, s(o=5, k=1)), (8, s(o=6, k=2)), (9, [])]
+    got, _ = moves(spark, d, [(at, "judged", None, x) for at, x in ticks])
+    assert got == [(0, "OK", "new", None), (2, "Alert", "threshold", "critical"), (4, "OK", "recovery", "critical_recovery"), (5, "Warn", "threshold", "warning"), (6, "No Data", "unknown_runs", None), (8, "OK", "recovery", None)]
+
+
+def test_new_groups_wait(spark):
     d = state.Definition(critical=10, new_group_delay=60_000)
-    assert run(d, [(0, "judged", 11), (59_999, "judged", 11), (60_000, "judged", 11)])[1] == [None, None, ("Alert", "new")]
+    assert moves(spark, d, [(0, "judged", 11.0), (59_999, "judged", 11.0), (60_000, "judged", 11.0)])[0] == [(60_000, "Alert", "new", "critical")]
 
 
 def test_definition_lists_all_problems():
     assert len(state.Definition(critical=1, warning=2, critical_recovery=3, on_missing_data="?").problems()) == 3
 
 
+def test_changed_and_deleted_monitors_close_their_groups(spark):
+    groups = spark.createDataFrame([(m, "g", "Alert", 5, 1, 2, 0, 5, 5, None) for m in (1, 2, 3)] + [(1, "new", None, 5, None, None, 5, 5, 5, None)], "monitor_id long, group_key string, " + ", ".join(f"{n} {t}" for n, t in state.MEMORY.items()))
+    old = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 5.0)], "monitor_id long, critical double")
+    stored = old.select("monitor_id", state.definition_hash(["critical"]).alias("hash"))
+    got = state.redefine(groups, stored, spark.createDataFrame([(1, 6.0), (2, 5.0)], "monitor_id long, critical double"), 9).collect()
+    assert sorted((r.monitor_id, r.group_key, r.at_ms, r.to_state, r.reason, r.first_triggered_at) for r in got) == [(1, "g", 9, "OK", "definition_changed", 1), (3, "g", 9, "OK", "deleted", 1)]
+
+
 def test_stream_and_replay_agree(spark, tmp_path):
+    """A group that falls silent halfway goes to No Data with no row of its own."""
     rng = np.random.default_rng(1)
-    rows = [(1, f"g{g}", t * 60_000, float(rng.uniform(0, 14)), t * 60_000, "judged", t * 60_000 - 3600_000, t * 60_000) for g in range(3) for t in range(40)]
-    schema = "monitor_id long, group_key string, tick long, value double, last_point long, status string, from_ms long, to_ms long"
-    whole = spark.createDataFrame(rows, schema)
-    for k in range(2):
-        whole.where((F.col("tick") >= k * 20 * 60_000) & (F.col("tick") < (k + 1) * 20 * 60_000)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = state.follow(stream, D).writeStream.format("memory").queryName("moves").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    key = ["group_key", "at_ms"]
-    got = spark.table("moves").toPandas().sort_values(key).reset_index(drop=True)
-    want = state.replay(whole, D).toPandas().sort_values(key).reset_index(drop=True)
-    pd.testing.assert_frame_equal(got, want)
-    assert len(got) > 10
+    minute = 60_000
+    rows = [(1, f"g{g}", t * minute, "judged", float(rng.uniform(0, 14)), t * minute, t * minute - 3600_000, t * minute) for g in range(3) for t in range(300) if g or t < 40]
+    rows.append((1, None, 300 * minute, None, None, None, 299 * minute, 300 * minute))
+    whole = spark.createDataFrame(rows, TICKS.split(", recovery")[0])
+    for k in range(3):
+        whole.where((F.col("tick") >= k * 110 * minute) & (F.col("tick") < (k + 1) * 110 * minute)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state.follow(stream, D, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "transitions")).drop("batch").collect())
+    periods = whole.select("monitor_id", "tick", "from_ms", "to_ms").distinct()
+    want = sorted(tuple(r) for r in state.replay(state.complete_ticks(whole.where("group_key is not null"), periods), D).collect())
+    assert got == want and len(got) > 100 and any(r[1] == "g0" and r[4] == "No Data" for r in got)
 
 
 @pytest.mark.parametrize("paths", [True, False])
