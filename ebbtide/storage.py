@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
-_tables: list[str] = []
+_written: ContextVar[list[tuple[str, str | None]]] = ContextVar("written", default=[])  # folders, with the table's name if it has one
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a local default only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share. Without one there is an error, not a guess."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"{tempfile.gettempdir()}/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``durable`` writes inside are removed at the end; others stay. Frames that read them end with it."""
+    outer = _written.get()
+    mine: list[tuple[str, str | None]] = []
+    _written.set(mine)
+    try:
+        yield
+    finally:
+        _written.set(outer)
+        _remove(spark, mine)
+
+
 def durable(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     The table outlives lost executors, has known size statistics, and is computed once
-    however often it is read. ``release`` removes every table written so.
+    however often it is read. ``release`` removes what was written so, and ``scope`` what was written inside it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ebbtide-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _written.append(path)
+    _written.get().append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,19 +53,25 @@ def durable_buckets(df: DataFrame, column: str, compression: str = "snappy") ->
     path = f"{shared_dir(spark)}/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("compression", compression).option("path", path).bucketBy(buckets, column).saveAsTable(name)
-    _written.append(path)
-    _tables.append(name)
+    _written.get().append((path, name))
     return spark.table(name)
 
 
 def release(spark: SparkSession) -> int:
-    """Remove the tables that ``durable`` wrote in this process; frames that read them end with it."""
+    """Remove what ``durable`` wrote in this context so far; returns the number of folders removed."""
+    mine = _written.get()
+    gone = _remove(spark, mine)
+    mine.clear()
+    return gone
+
+
+def _remove(spark: SparkSession, written: list[tuple[str, str | None]]) -> int:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    while _written:
-        path = hadoop.Path(_written.pop())
+    for place, name in written:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = hadoop.Path(place)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
