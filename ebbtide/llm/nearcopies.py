@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable, durable_buckets
-from .components import connected_components
+from ..operators.components import connected_components
 from .decontaminate import BLOCK, marked
 from .simhash import fingerprint_links
 from .text import bounded

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable
-from .components import connected_components
+from ..operators.components import connected_components
 from .text import bounded
 
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -113,8 +113,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             fp = np.array(values, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return bounded(picked).mapInArrow(of, "doc_id long, fp long")
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded(picked).mapInArrow(of, picked.select("doc_id").schema.add("fp", "long"))
 
 
 def _search(members: np.ndarray, most: int) -> list[np.ndarray]:
@@ -201,7 +201,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Copies share a fingerprint and are one node, so no pairs of copies arise. A null or wordless
     text has fingerprint zero and links like any other; a shorter text is one shingle. Rows that repeat an id
-    stay as they are. A null id never names a group unless all its members are null. Other columns are not read.
+    stay as they are, and ids may be of any type. A null id never names a group unless all its members are null. Other columns are not read.
     """
     prints = durable(fingerprints(docs, id_col, text_col, shingle))
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
