@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sketch import LOG_GAMMA
 from ..operators import monitors as mon
 from ..sources import normalise as norm
 from ..sources.telemetry import epoch_ms, table
@@ -17,6 +18,8 @@ EV = """ev AS (SELECT *, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS
 GOOD = f"WITH {EV}, good AS (SELECT * FROM ev WHERE event_id % 50 <> 0)"
 HOST = "'host-' || CAST(h AS STRING)"
 TAGS = ["'env:e' || CAST(user_id % 5 AS STRING)", "'role:api'", "'url:http://x'", "'canary'"]
+#: A bucket's number, as the distributions have it.
+KEY = f"CASE WHEN abs({{0}}) < 1e-9 THEN 0 WHEN {{0}} < 0 THEN -CAST(round_even(ln(abs({{0}})) / {LOG_GAMMA!r}, 0) + 1338 AS INT) ELSE CAST(round_even(ln(abs({{0}})) / {LOG_GAMMA!r}, 0) + 1338 AS INT) END"
 TAG_TEXT = "'canary,env:e' || CAST(user_id % 5 AS STRING) || ',role:api,url:http://x'"
 
 
@@ -27,9 +30,18 @@ def made(x) -> Column:
     return F.array(*map(made, x)) if isinstance(x, list) else F.expr(x)
 
 
+def joined(x) -> Column:
+    """JSON text of nested dicts, lists and expressions, of which the members of one list may differ."""
+    if isinstance(x, dict):
+        return F.concat(F.lit("{"), *[part for n, (k, v) in enumerate(x.items()) for part in (F.lit(f'{"," if n else ""}"{k}":'), joined(v))], F.lit("}"))
+    if isinstance(x, list):
+        return F.concat(F.lit("["), *[part for n, v in enumerate(x) for part in (F.lit("," if n else ""), joined(v))], F.lit("]"))
+    return F.regexp_replace(F.to_json(F.struct(F.expr(x).alias("x"))), r'^\{"x":|\}$', "")
+
+
 def landing(spark, d: str, intake: str, body) -> DataFrame:
     ev = table(spark, d, "events").withColumn("ms", epoch_ms("ts")).withColumns({"sec": F.expr("ms div 1000"), "h": F.expr("user_id % 20"), "q": F.expr("event_id % 4")})
-    text = F.expr(body) if isinstance(body, str) else F.to_json(made(body))
+    text = F.expr(body) if isinstance(body, str) else joined(body) if intake == "spans" else F.to_json(made(body))
     broken = F.expr("event_id % 50 = 0")
     return ev.select(
         F.lit("default").alias("tenant_id"),
@@ -64,13 +76,18 @@ signal(
 )
 signal("norm_tags", "series_v2", SERIES2, {"env": "tags['env'][0]", "url": "tags['url'][0]", "bare": "tags['canary'][0]"}, {"env": "'e' || CAST(user_id % 5 AS STRING)", "url": "'http://x'", "bare": "''"})
 signal("norm_extra", "series_v2", SERIES2, {"odd": "extra['odd']", "n": "size(extra)"}, {"odd": "CAST(event_id AS STRING)", "n": "1"})
+SERIES1 = """concat('{"series":[{"metric":"m.', event_type, '","type":"', CASE q WHEN 0 THEN 'rate' WHEN 1 THEN 'Count' WHEN 2 THEN 'FOO' ELSE '' END, '","host":"host-', h, '","device":"sda","unit":"byte","odd":{"deep":', h, '},"points":[[', sec, ',', value, '],[', sec, '],["x",1]],"tags":["a:b"]}]}')"""
 signal(
     "norm_series_v1", "series_v1",
-    {"series": [{"metric": "'m.' || event_type", "type": "'rate'", "host": HOST, "device": "'sda'", "points": [["CAST(sec AS DOUBLE)", "value"], ["CAST(sec AS DOUBLE)"]], "tags": TAGS}]},
-    {"metric": "metric", "t_ms": "t_ms", "value": "value", "metric_type": "metric_type", "host": "host", "device": "device"},
-    {"metric": "'m.' || event_type", "t_ms": "sec * 1000", "value": "value", "metric_type": "'RATE'", "host": HOST, "device": "'sda'"},
+    SERIES1,
+    {"metric": "metric", "t_ms": "t_ms", "value": "value", "metric_type": "metric_type", "host": "host", "device": "resources['device']", "unit": "unit", "odd": "get_json_object(extra['odd'], '$.deep')"},
+    {"metric": "'m.' || event_type", "t_ms": "sec * 1000", "value": "value", "metric_type": "CASE q WHEN 0 THEN 'RATE' WHEN 1 THEN 'COUNT' ELSE 'UNSPECIFIED' END", "host": HOST, "device": "'sda'", "unit": "'byte'", "odd": "CAST(h AS STRING)"},
     lambda f: norm.metric_rows(f, 1),
 )
+signal(
+    "norm_series_v1_bad_pairs", "series_v1", SERIES1, {"metric": "metric", "body": "body", "note": "note"},
+    {"metric": "'m.' || event_type", "body": "unnest(['[' || CAST(sec AS STRING) || ']', '[\"x\",1]'])", "note": "unnest(['points[1]: expected a [timestamp, value] pair of numbers', 'points[2]: expected a [timestamp, value] pair of numbers'])"}, norm.bad_pairs,
+)
 signal(
     "norm_sketches", "sketches",
     {"sketches": [{"metric": "'d.' || event_type", "host": HOST, "tags": TAGS, "dogsketches": [{"ts": "sec", "cnt": "2L", "min": "value", "max": "value + 1", "avg": "value", "sum": "value * 2", "k": ["1338"], "n": ["2"]}]}]},
@@ -78,12 +95,13 @@ signal(
     {"metric": "'d.' || event_type", "t_ms": "sec * 1000", "count": "2::BIGINT", "lo": "value", "key": "1338"},
     lambda f: f.withColumn("p", F.explode("points")),
 )
+K0, K1 = KEY.format("value"), KEY.format("(value + 1)")
 signal(
     "norm_distribution_points", "distribution_points",
-    {"series": [{"metric": "'d.' || event_type", "host": HOST, "points": [{"ts": "sec", "values": ["value", "value + 1"]}]}]},
-    {"metric": "metric", "t_ms": "p.ts * 1000", "value": "v"},
-    {"metric": "'d.' || event_type", "t_ms": "sec * 1000", "value": "unnest([value, value + 1])"},
-    lambda f: f.withColumn("p", F.explode("points")).withColumn("v", F.explode("p.values")),
+    {"series": [{"metric": "'d.' || event_type", "host": HOST, "points": [{"ts": "sec", "values": ["value", "value + 1", "value"]}]}]},
+    {"metric": "metric", "t_ms": "t_ms", "host": "host", "keys": "array_join(transform(bucket_keys, k -> cast(k as string)), ',')", "counts": "array_join(transform(bucket_counts, k -> cast(k as string)), ',')", "n": "count", "lo": "round(min, 6)", "hi": "round(max, 6)", "total": "round(sum, 6)"},
+    {"metric": "'d.' || event_type", "t_ms": "sec * 1000", "host": HOST, "keys": f"CASE WHEN {K0} = {K1} THEN CAST({K0} AS STRING) ELSE CAST({K0} AS STRING) || ',' || CAST({K1} AS STRING) END", "counts": f"CASE WHEN {K0} = {K1} THEN '3' ELSE '2,1' END", "n": "3::BIGINT", "lo": "round(value, 6)", "hi": "round(value + 1, 6)", "total": "round(value * 3 + 1, 6)"},
+    norm.distribution_rows,
 )
 signal(
     "norm_check_runs", "check_runs", {"check": "'c.' || event_type", "host_name": HOST, "status": "q + 1", "timestamp": "CASE WHEN q = 0 THEN 0L ELSE sec END", "tags": TAGS, "message": "'m'"},
@@ -98,22 +116,36 @@ signal(
     {"message": "'said ' || event_type", "host": HOST, "service": "event_type", "status": "CASE q WHEN 0 THEN 'error' WHEN 1 THEN 'warn' ELSE 'info' END", "t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "tag_text": "'canary,env:e' || CAST(user_id % 5 AS STRING)", "odd": "'x'"},
     lambda f: with_tags(f).withColumn("status", norm.log_status(F.col("status_raw"))),
 )
-signal("arrival_time_fallback", "logs", LOG, {"t_ms": "t_ms", "timestamp_source": "timestamp_source"}, {"t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "timestamp_source": "CASE WHEN q = 3 THEN 'arrival' ELSE 'sender' END"})
+signal("arrival_time_fallback", "logs", LOG, {"t_ms": "t_ms", "timestamp_source": "timestamp_source"}, {"t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "timestamp_source": "CASE WHEN q = 3 THEN 'arrival' ELSE 'timestamp_ms' END"})
 signal("late_old_event_time", "logs", LOG, {"t_ms": "t_ms", "lag": "received_ms - t_ms", "day": "t_ms div 86400000"}, {"t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "lag": "CASE WHEN q = 3 THEN 0::BIGINT ELSE 1000::BIGINT END", "day": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END // 86400000"})
-SPAN = {"env": "'prod'", "agentVersion": "'7'", "spans": [{"trace_id": "9007199254740993L + event_id", "span_id": "event_id", "parent_id": "0L", "service": "event_type", "name": "'web'", "resource": "'GET'", "start": "ms", "duration": "user_id", "error": "q div 3", "meta": {"kind": "'server'"}, "metrics": {"rate": "value"}}, {"trace_id": "9007199254740993L + event_id", "span_id": "event_id + 1000000", "parent_id": "event_id", "service": "'db'", "name": "'sql'", "resource": "'q'", "start": "ms", "duration": "1L", "error": "0L", "meta": {"kind": "'client'"}, "metrics": {"rate": "0.0D"}}]}
+COMPACT = """concat('{"@m":"said ', event_type, '","@l":"Warning","@t":"', date_format(timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), '","timestamp":"soon","dd_service":"', event_type, '","hostname":"","deep":{"a":', q, '}}')"""
+signal(
+    "norm_logs_compact", "logs", COMPACT,
+    {"message": "message", "service": "service", "status": "status", "t_ms": "t_ms", "source": "timestamp_source", "unread": "extra['timestamp']", "deep": "extra['deep']"},
+    {"message": "'said ' || event_type", "service": "event_type", "status": "'warn'", "t_ms": "ms", "source": "'compact_string'", "unread": "'soon'", "deep": "'{\"a\":' || CAST(q AS STRING) || '}'"},
+    lambda f: f.withColumn("status", norm.log_status(F.col("status_raw"))),
+)
+LINES = """concat('{"message":"one","n":{"a":', q, '}}\\r\\n{"message":"two"}\\r\\n{"message":"three"}\\r\\n')"""
+signal("norm_logs_lines", "logs", LINES, {"message": "message", "n": "extra['n']"}, {"message": "unnest(['one', 'two', 'three'])", "n": "unnest(['{\"a\":' || CAST(q AS STRING) || '}', NULL, NULL])"})
+FIRST_SPAN = {"trace_id": "9007199254740993L + event_id", "span_id": "event_id", "parent_id": "0L", "service": "event_type", "name": "'web'", "resource": "'GET'", "start": "ms", "duration": "user_id", "error": "q div 3", "meta": {"span.kind": "'server'", "_dd.p.tid": "'00000000000000ff'"}, "metrics": {"rate": "value"}, "attributes": {"route": {"string": "'/x'"}, "size": {"int": "h"}}, "odd": {"a": "q"}, "span_links": [{"trace_id": "event_id", "trace_id_high": "1L", "span_id": "2L", "flags": "3L"}, {"trace_id": "7L", "trace_id_high": "0L", "span_id": "8L", "flags": "0L"}], "span_events": [{"time_unix_nano": "ms", "name": "'exception'"}]}
+NEXT_SPAN = {"trace_id": "9007199254740993L + event_id", "span_id": "event_id + 1000000", "parent_id": "event_id", "service": "'db'", "name": "'sql'", "resource": "'q'", "start": "ms", "duration": "1L", "error": "0L", "meta": {"span.kind": "'client'", "_dd.p.tid": "'zz'"}, "metrics": {"rate": "0.0D"}}
+#: Chunks of unlike members: each as JSON text, put in where the list stands.
+CHUNKS = [{"priority": "1L", "origin": "'lambda'", "spans": [FIRST_SPAN]}, {"priority": "2L", "droppedTrace": "true", "odd": "'c'", "spans": [NEXT_SPAN]}]
+SPAN = {"env": "'prod'", "agentVersion": "'7'", "tracerPayloads": [{"languageName": "'py'", "appVersion": "'1.' || CAST(q AS STRING)", "tags": {"t": "'1'"}, "chunks": CHUNKS}]}
 signal(
     "norm_spans", "spans", SPAN,
-    {"trace_id": "trace_id", "span_id": "span_id", "parent_id": "nullif(parent_id, 0)", "env": "env", "kind": "meta['kind']"},
-    {"trace_id": "9007199254740993 + event_id", "span_id": "unnest([event_id, event_id + 1000000])", "parent_id": "unnest([NULL, event_id])", "env": "'prod'", "kind": "unnest(['server', 'client'])"},
+    {"trace_id": "trace_id", "trace_id_high": "trace_id_high", "span_id": "span_id", "parent_id": "nullif(parent_id, 0)", "env": "env", "kind": "kind", "language": "language", "app_version": "app_version", "priority": "priority", "dropped": "coalesce(dropped_trace, false)", "links": "array_join(transform(link_trace_id, x -> cast(x as string)), ',')", "flags": "array_join(transform(link_flags, x -> cast(x as string)), ',')", "events": "array_join(event_name, ',')", "odd": "coalesce(extra['odd'], extra['$1.odd'])"},
+    {"trace_id": "9007199254740993 + event_id", "trace_id_high": "unnest([255, 0])::BIGINT", "span_id": "unnest([event_id, event_id + 1000000])", "parent_id": "unnest([NULL, event_id])", "env": "'prod'", "kind": "unnest(['server', 'client'])", "language": "'py'", "app_version": "'1.' || CAST(q AS STRING)", "priority": "unnest([1, 2])::BIGINT", "dropped": "unnest([false, true])", "links": "unnest([CAST(event_id AS STRING) || ',7', ''])", "flags": "unnest(['3,0', ''])", "events": "unnest(['exception', ''])", "odd": "unnest(['{\"a\":' || CAST(q AS STRING) || '}', 'c'])"},
+    norm.span_rows,
 )
-signal("norm_span_attributes", "spans", SPAN, {"span_id": "span_id", "kind": "meta['kind']", "rate": "metrics['rate']"}, {"span_id": "unnest([event_id, event_id + 1000000])", "kind": "unnest(['server', 'client'])", "rate": "unnest([value, 0.0])"})
+signal("norm_span_attributes", "spans", SPAN, {"span_id": "span_id", "kind": "meta['span.kind']", "rate": "metrics['rate']", "route": "meta['route']", "size": "metrics['size']"}, {"span_id": "unnest([event_id, event_id + 1000000])", "kind": "unnest(['server', 'client'])", "rate": "unnest([value, 0.0])", "route": "unnest(['/x', NULL])", "size": "unnest([CAST(h AS DOUBLE), NULL])"}, norm.span_rows)
 SIMPLE: dict[str, tuple] = {
     "norm_events": ("events", {"title": "'t' || event_type", "text": "'x'", "host": HOST, "alert_type": "CASE WHEN q = 0 THEN 'bogus' ELSE 'error' END", "date_happened": "sec"}, {"title": "title", "alert": "CASE WHEN alert_type IN ('error', 'warning', 'info', 'success') THEN alert_type ELSE 'info' END", "t_ms": "t_ms"}, {"title": "'t' || event_type", "alert": "CASE WHEN q = 0 THEN 'info' ELSE 'error' END", "t_ms": "sec * 1000"}),
     "norm_apm_stats": ("apm_stats", {"Start": "ms", "Duration": "10L", "Stats": [{"Service": "event_type", "Resource": "'r'", "Hits": "user_id", "Errors": "q", "Duration": "h"}]}, {"service": "service", "hits": "hits", "errors": "errors", "bucket_start": "bucket_start", "bucket_ns": "bucket_duration_ns"}, {"service": "event_type", "hits": "user_id", "errors": "q", "bucket_start": "ms", "bucket_ns": "10::BIGINT"}),
     "norm_processes": ("processes", {"hostName": HOST, "groupId": "sec", "groupSize": "2L", "processes": [{"pid": "event_id", "command": {"exe": "'/bin/' || event_type"}, "user": {"name": "'u'"}, "cpu": {"totalPct": "value"}, "memory": {"rss": "user_id"}}]}, {"pid": "pid", "command": "command", "host": "host", "cpu": "cpu", "rss": "rss", "group_id": "group_id"}, {"pid": "event_id", "command": "'/bin/' || event_type", "host": HOST, "cpu": "value", "rss": "user_id", "group_id": "sec"}),
     "norm_containers": ("containers", {"hostName": HOST, "containers": [{"id": "'c' || CAST(user_id AS STRING)", "image": "event_type", "cpu": "value", "memRss": "user_id", "state": "'run'", "tags": TAGS}]}, {"container_id": "container_id", "image": "image", "cpu": "cpu", "env": "tags['env'][0]"}, {"container_id": "'c' || CAST(user_id AS STRING)", "image": "event_type", "cpu": "value", "env": "'e' || CAST(user_id % 5 AS STRING)"}),
     "norm_connections": ("connections", {"hostName": HOST, "connections": [{"pid": "event_id", "laddr": {"ip": "'10.0.0.' || CAST(h AS STRING)"}, "raddr": {"ip": "'10.1.0.' || CAST(q AS STRING)", "port": "443L"}, "lastBytesSent": "user_id"}]}, {"pid": "pid", "src": "src", "dst": "dst", "port": "port", "bytes_sent": "bytes_sent"}, {"pid": "event_id", "src": "'10.0.0.' || CAST(h AS STRING)", "dst": "'10.1.0.' || CAST(q AS STRING)", "port": "443::BIGINT", "bytes_sent": "user_id"}),
-    "norm_k8s_resources": ("k8s_resources", {"kind": "'Pod'", "clusterId": "'k'", "items": [{"metadata": {"namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "uid": "'u' || CAST(user_id AS STRING)", "resourceVersion": "CAST(event_id AS STRING)", "labels": {"app": "event_type"}}, "status": {"phase": "CASE WHEN q = 0 THEN 'Failed' ELSE 'Running' END"}, "spec": {"replicas": "q"}}]}, {"kind": "kind", "namespace": "namespace", "name": "name", "version": "resource_version", "phase": "phase", "desired": "desired", "app": "labels['app']"}, {"kind": "'Pod'", "namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "version": "CAST(event_id AS STRING)", "phase": "CASE WHEN q = 0 THEN 'Failed' ELSE 'Running' END", "desired": "q", "app": "event_type"}),
+    "norm_k8s_resources": ("k8s_resources", {"kind": "'Pod'", "clusterId": "'k'", "items": [{"metadata": {"ownerReferences": [{"kind": "'ReplicaSet'", "name": "event_type", "uid": "'o'"}], "namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "uid": "'u' || CAST(user_id AS STRING)", "resourceVersion": "CAST(event_id AS STRING)", "labels": {"app": "event_type"}}, "status": {"phase": "CASE WHEN q = 0 THEN 'Failed' ELSE 'Running' END", "conditions": [{"type": "'Ready'", "status": "CASE WHEN q = 0 THEN 'False' ELSE 'True' END"}], "hostIP": "'10.0.0.1'"}, "spec": {"replicas": "q"}}]}, {"kind": "kind", "namespace": "namespace", "name": "name", "version": "resource_version", "phase": "phase", "desired": "desired", "app": "labels['app']", "owner": "owners[0].name", "is_ready": "filter(conditions, c -> c.type = 'Ready')[0].status", "unread": "extra['status.hostIP']"}, {"kind": "'Pod'", "namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "version": "CAST(event_id AS STRING)", "phase": "CASE WHEN q = 0 THEN 'Failed' ELSE 'Running' END", "desired": "q", "app": "event_type", "owner": "event_type", "is_ready": "CASE WHEN q = 0 THEN 'False' ELSE 'True' END", "unread": "'10.0.0.1'"}),
     "norm_k8s_manifests": ("k8s_manifests", {"clusterId": "'k'", "manifests": [{"uid": "'u' || CAST(user_id AS STRING)", "kind": "CASE WHEN q = 0 THEN NULL ELSE 'Pod' END", "resourceVersion": "CAST(event_id AS STRING)", "content": {"kind": "'FromContent'"}}]}, {"uid": "uid", "kind": "kind", "version": "version"}, {"uid": "'u' || CAST(user_id AS STRING)", "kind": "CASE WHEN q = 0 THEN 'FromContent' ELSE 'Pod' END", "version": "CAST(event_id AS STRING)"}),
     "norm_container_events": ("container_events", {"host": HOST, "eventType": "'delete'", "events": [{"containerID": "'c' || CAST(user_id AS STRING)", "exitCode": "CASE WHEN q = 0 THEN NULL ELSE q END", "exitTimestamp": "sec"}]}, {"container_id": "container_id", "exit_code": "exit_code", "exited_at": "exited_at", "host": "host"}, {"container_id": "'c' || CAST(user_id AS STRING)", "exit_code": "CASE WHEN q = 0 THEN NULL ELSE q END", "exited_at": "sec", "host": HOST}),
     "norm_container_images": ("container_images", {"images": [{"digest": "CASE WHEN q = 0 THEN NULL ELSE 'sha' || CAST(h AS STRING) END", "id": "'id' || CAST(h AS STRING)", "name": "event_type", "size": "user_id - 100", "layers": [{"size": "user_id"}, {"size": "h"}], "tags": TAGS}]}, {"digest": "digest", "size": "greatest(size, 0)", "clamped": "size < 0", "layers": "aggregate(layers, 0L, (a, l) -> a + l.size)"}, {"digest": "CASE WHEN q = 0 THEN 'id' || CAST(h AS STRING) ELSE 'sha' || CAST(h AS STRING) END", "size": "greatest(user_id - 100, 0)", "clamped": "user_id < 100", "layers": "user_id + h"}),
@@ -177,17 +209,20 @@ signal(
     "k8s_pod_counts", "k8s_resources", K8S, {"namespace": "namespace", "name": "name", "ready": "ready_containers", "total": "containers", "restarts": "restarts"},
     {"namespace": "event_type", "name": "'p' || CAST(user_id AS STRING)", "ready": "CASE WHEN q > 0 THEN 2::BIGINT ELSE 1::BIGINT END", "total": "2", "restarts": "q + h"}, norm.pod_counts,
 )
-SBOM = {"host": HOST, "entities": [{"id": "'i' || CAST(event_id AS STRING)", "type": "'image'", "cyclonedx": {"components": [{"bom-ref": "'r' || CAST(q AS STRING)", "name": "event_type", "version": "'1'"}, {"bom-ref": "'z'", "name": "'zlib'", "version": "'2'"}], "vulnerabilities": [{"id": "'CVE-' || CAST(h AS STRING)", "affects": [{"ref": "'r' || CAST(q AS STRING)"}]}]}}]}
-signal("norm_sbom", "sbom", SBOM, {"entity": "entity", "component": "c.name", "version": "c.version"}, {"entity": "'i' || CAST(event_id AS STRING)", "component": "unnest([event_type, 'zlib'])", "version": "unnest(['1', '2'])"}, lambda f: f.withColumn("c", F.explode("components")))
+SBOM = {"host": HOST, "entities": [{"id": "'i' || CAST(event_id AS STRING)", "type": "'image'", "cyclonedx": {"components": [{"bom-ref": "'r' || CAST(q AS STRING)", "name": "event_type", "version": "'1'", "components": [{"bom-ref": "'z'", "name": "'zlib'", "version": "'2'"}]}], "vulnerabilities": [{"id": "'CVE-' || CAST(h AS STRING)", "ratings": [{"score": "value", "severity": "'high'"}], "affects": [{"ref": "'r' || CAST(q AS STRING)"}, {"ref": "'z'"}]}]}}]}
+signal(
+    "norm_sbom", "sbom", SBOM, {"entity": "entity", "component": "name", "version": "version", "depth": "depth", "parent": "parent_bom_ref"},
+    {"entity": "'i' || CAST(event_id AS STRING)", "component": "unnest([event_type, 'zlib'])", "version": "unnest(['1', '2'])", "depth": "unnest([0, 1])", "parent": "unnest(['', 'r' || CAST(q AS STRING)])"}, norm.sbom_components,
+)
+signal("norm_sbom_vulnerabilities", "sbom", SBOM, {"entity": "entity", "cve": "id", "severity": "ratings[0].severity", "n": "size(affects)"}, {"entity": "'i' || CAST(event_id AS STRING)", "cve": "'CVE-' || CAST(h AS STRING)", "severity": "'high'", "n": "2"}, norm.sbom_vulnerabilities)
 
 
 def affected(f: DataFrame) -> DataFrame:
-    hits = f.select("entity", F.explode("vulnerabilities").alias("v")).select("entity", F.col("v.id").alias("cve"), F.explode("v.affects.ref").alias("ref"))
-    parts = f.select("entity", F.explode("components").alias("c")).select("entity", F.col("c.`bom-ref`").alias("ref"), F.col("c.name").alias("component"))
-    return hits.join(parts, ["entity", "ref"])
+    hits = norm.sbom_vulnerabilities(f).select("entity", F.col("id").alias("cve"), F.explode("affects").alias("bom_ref"))
+    return hits.join(norm.sbom_components(f).select("entity", "bom_ref", F.col("name").alias("component")), ["entity", "bom_ref"])
 
 
-signal("sbom_affected_components", "sbom", SBOM, {"entity": "entity", "cve": "cve", "component": "component"}, {"entity": "'i' || CAST(event_id AS STRING)", "cve": "'CVE-' || CAST(h AS STRING)", "component": "event_type"}, affected)
+signal("sbom_affected_components", "sbom", SBOM, {"entity": "entity", "cve": "cve", "component": "component"}, {"entity": "'i' || CAST(event_id AS STRING)", "cve": "'CVE-' || CAST(h AS STRING)", "component": "unnest([event_type, 'zlib'])"}, affected)
 RUM = {"type": "CASE q WHEN 0 THEN 'view' WHEN 1 THEN 'action' WHEN 2 THEN 'telemetry' ELSE 'else' END", "date": "ms", "view": {"id": "'v' || CAST(user_id AS STRING)", "performance": {"loading_time": "h"}}, "session": {"id": "'s' || CAST(h AS STRING)"}, "_dd": {"document_version": "event_id"}, "action": {"target": {"name": "event_type"}}}
 TARGET = "CASE q WHEN 0 THEN 'views' WHEN 1 THEN 'events' WHEN 2 THEN 'telemetry' ELSE 'unknown' END"
 signal("norm_rum_classify", "rum", RUM, {"target": "target", "view_id": "view_id"}, {"target": TARGET, "view_id": "'v' || CAST(user_id AS STRING)"}, lambda f: f.withColumn("target", norm.rum_target(F.col("kind"))))
@@ -213,12 +248,14 @@ register("dead_letter_summary", lambda s, d: dead(s, d).groupBy("intake", "reaso
 WRONG = {"check": "'c'", "host_name": HOST, "status": "CASE WHEN q = 0 THEN 'bad' ELSE CAST(q AS STRING) END", "timestamp": "sec"}
 
 
-def notes(s, d):
-    rows = norm.frames(landing(s, d, "check_runs", WRONG).where(F.get_json_object("body", "$.check").isNotNull()), norm.SPECS["check_runs"])
-    return rows.select("received_ms", F.when(F.get_json_object("item", "$.status").try_cast("bigint").isNull(), "status").otherwise("").alias("note"))
-
-
-register("norm_type_notes", notes, f"{GOOD} SELECT ms + 1000 AS received_ms, CASE WHEN q = 0 THEN 'status' ELSE '' END AS note FROM good")
+signal("norm_type_notes", "check_runs", WRONG, {"received_ms": "received_ms", "note": "note", "status": "status_code", "kept": "extra['status']"}, {"received_ms": "ms + 1000", "note": "CASE WHEN q = 0 THEN 'status' ELSE '' END", "status": "CASE WHEN q <> 0 THEN q END", "kept": "CASE WHEN q = 0 THEN 'bad' END"})
+NESTED = {"type": "'view'", "date": "ms", "view": {"id": "'v'", "url": "'/' || event_type", "time_spent": "user_id", "performance": {"loading_time": "h", "cls": {"score": "value"}}}, "session": {"id": "'s'", "plan": "q"}, "usr": {"id": "h"}}
+signal(
+    "norm_extra_nested", "rum", NESTED, {"names": "array_join(array_sort(map_keys(extra)), ',')", "url": "extra['view.url']", "spent": "extra['view.time_spent']", "plan": "extra['session.plan']", "cls": "get_json_object(extra['view.performance.cls'], '$.score') is not null"},
+    {"names": "'session.plan,usr,view.performance.cls,view.time_spent,view.url'", "url": "'/' || event_type", "spent": "CAST(user_id AS STRING)", "plan": "CAST(q AS STRING)", "cls": "true"},
+)
+BESIDE = {"series": [{"metric": "'m'", "points": []}], "sender": {"version": "q"}, "sent_at": "ms"}
+register("norm_batch_keys", lambda s, d: norm.leftovers(landing(s, d, "series_v2", BESIDE), norm.SPECS["series_v2"]).selectExpr("received_ms", "get_json_object(extra['sender'], '$.version') AS version", "extra['sent_at'] AS sent_at", "size(extra) AS n"), f"{GOOD} SELECT ms + 1000 AS received_ms, CAST(q AS VARCHAR) AS version, CAST(ms AS VARCHAR) AS sent_at, 2 AS n FROM good")
 
 signal(
     "norm_intake_events", "intake_events",

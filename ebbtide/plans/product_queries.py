@@ -38,7 +38,7 @@ register("errors_by_resource", lambda s, d: product.errors_by_resource(spans(s,
 register("p95_by_resource", lambda s, d: product.quantile_by_resource(spans(s, d), 0.95).withColumn("duration", F.round("duration", 4)), f"WITH {SPANS_SQL} SELECT service, resource, round(quantile_cont(duration, 0.95), 4) AS duration FROM spans GROUP BY ALL")
 register("service_overview", lambda s, d: product.service_overview(spans(s, d)).withColumn("latency", F.round("latency", 4)), f"WITH {SPANS_SQL} SELECT service, count(*) AS hits, CAST(sum(error) AS BIGINT) AS errors, round(avg(duration), 4) AS latency FROM spans GROUP BY service")
 register("pathway_graph", lambda s, d: product.pathway_graph(spans(s, d)), f"WITH {SPANS_SQL} SELECT p.service AS from_node, c.service AS to_node, count(*) AS n FROM edges c JOIN edges p ON c.trace_id = p.trace_id AND c.parent_id = p.span_id GROUP BY ALL")
-register("process_tree", lambda s, d: product.span_depths(spans(s, d), paths=False).select("trace_id", "span_id", "depth", (F.col("depth") + 1).alias("length")), f"WITH {SPANS_SQL} SELECT trace_id, span_id, CAST(span_id - 1 AS INT) AS depth, CAST(span_id AS INT) AS length FROM spans WHERE span_id <= 32")
+register("process_tree", lambda s, d: product.span_depths(spans(s, d), paths=False).select("trace_id", "span_id", "depth", (F.col("depth") + 1).alias("length")), f"WITH {SPANS_SQL} SELECT trace_id, span_id, CAST(span_id - 1 AS INT) AS depth, CAST(span_id AS INT) AS length FROM spans")
 
 
 def frames(s, d):

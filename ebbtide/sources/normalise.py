@@ -1,25 +1,37 @@
 """Landing payloads to typed facts, with a dead-letter side: one job, driven by a spec for each signal.
 
-landing: (tenant_id, received_ms, intake, path, query map, body). A spec names the list that holds the items, the
-fields to take from each by paths with fallbacks, the tag field, and the rule for the timestamp. What does not parse,
-or lacks a required field, goes to the dead letters with a reason; keys that no field names are kept as JSON text.
+landing: (tenant_id, received_ms, intake, path, query map, body). A spec names the list that holds the items, lists
+below the items, the fields to take by paths with fallbacks, the tag field, and where a timestamp may be. Every
+JSON object is parsed once, into a map from key to text; a nested object is parsed from its own text. No list is copied
+into its items. What does not parse, or lacks a required field, goes to the dead letters with a reason. Nothing else
+is lost: keys that no field takes, at any level that fields reach into, are in ``extra`` under their dotted names, and
+so are values of a wrong type, which ``note`` names; keys beside the list are in ``leftovers``, once a body.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sketch import sketch_key
+from ..storage import durable
+
 PROBES = ("", "{}", "[]")
 SECRET_PARAMS = ("api_key", "application_key", "token")
+TEXTS = "map<string,string>"
 
 
 @dataclass(frozen=True)
 class Spec:
-    """``items``: JSON path of the list (None: the body is one item, or a list of items). ``fields``: name -> (type, paths...)."""
+    """``items``: JSON path of the list (None: the body is one item, or a list of items). ``fields``: name -> (type, paths...).
+
+    A path from ``$`` is in the item, from ``$1`` in the object that holds the item's list, and so on up; ``levels`` are the
+    lists below the first. ``times``: (path, milliseconds a unit, or 0 for RFC 3339 text, what to call it), the first good one counts.
+    """
 
     intake: str
     fields: dict[str, tuple[str, ...]]
@@ -27,10 +39,10 @@ class Spec:
     envelope: dict[str, tuple[str, ...]] = field(default_factory=dict)  # taken from the body for every item
     required: tuple[str, ...] = ()
     tags: str | None = None
-    timestamp: tuple[str, int] | None = None  # path and its unit in milliseconds
-    extra: bool = True
+    times: tuple[tuple[str, int, str], ...] = ()
     keyed: str | None = None  # ``items`` is a map from this column's values to lists of items
-    inner: str | None = None  # a list below each item, taken apart too; its fields' paths start at $.inner
+    levels: tuple[str, ...] = ()
+    defaults: dict[str, str] = field(default_factory=dict)  # query parameters that stand in for missing fields; their tags come first
     derive: dict[str, Callable[[], Column]] = field(default_factory=dict)
 
 
@@ -48,64 +60,207 @@ def tag_texts(raw: Column) -> Column:
     return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, r",\s*"))
 
 
-def first_of(body: str, paths: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.col(body) if p == "$" else F.get_json_object(body, p) for p in paths])
-
-
 def typed(raw: Column, kind: str) -> Column:
     if kind.startswith(("array", "map", "struct")):
         return F.from_json(raw, kind)
+    if kind == "u64":  # the 64 bits as a signed number
+        whole = raw.try_cast("decimal(20,0)")
+        wrapped = F.when(whole >= F.lit(str(1 << 63)).cast("decimal(20,0)"), whole - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(whole)
+        return F.when(raw.rlike("^[0-9]+$"), wrapped.try_cast("bigint"))
     return raw if kind == "string" else raw.try_cast(kind)
 
 
-def frames(landing: DataFrame, spec: Spec) -> DataFrame:
-    """A row for each item: the body as it came, and the item's own JSON text. Newline-framed bodies are split."""
-    rows = landing.where(F.col("intake") == spec.intake)
-    body = F.trim("body")
-    whole = F.when(body.startswith("[") | body.startswith("{") & ~body.contains("}\n{"), F.array(body)).otherwise(F.split(body, "\n"))
-    rows = rows.withColumn("doc", F.explode(F.filter(whole, lambda x: F.trim(x) != "")))
-    listed = F.get_json_object("doc", spec.items) if spec.items else F.when(F.col("doc").startswith("["), F.col("doc")).otherwise(F.concat(F.lit("["), F.col("doc"), F.lit("]")))
+def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
+    """``$1.a.b\\.c[0]`` -> (1, ("a", "b.c", 0))."""
+    up, rest = re.fullmatch(r"\$(\d*)(.*)", path).groups()
+    keys = [int(i) if i else k.replace("\\.", ".") for k, i in re.findall(r"\.((?:\\.|[^.\[])+)|\[(\d+)\]", rest)]
+    return int(up or 0), tuple(keys)
+
+
+class Objects:
+    """Adds to a frame, once each, the parsed objects that paths go through."""
+
+    def __init__(self, rows: DataFrame, roots: dict[int, str], paths: list[str], mark: str) -> None:
+        """``roots``: level -> column; a column of text is parsed, one that is a map already is used as it is."""
+        self.rows, self.names = rows, {}
+        places = {steps(p) for p in paths}
+        through = sorted({(up, keys[:n]) for up, keys in places for n in range(len(keys))}, key=lambda x: (x[0], len(x[1]), str(x[1])))
+        for up, keys in through:
+            name = f"{mark}_{len(self.names)}"
+            raw = self._at(up, keys) if keys else F.col(roots[up])
+            inside = {k[len(keys)] for u, k in places if u == up and len(k) > len(keys) and k[: len(keys)] == keys}
+            listed = all(isinstance(k, int) for k in inside)
+            parsed = raw if not keys and dict(rows.dtypes)[roots[up]] == TEXTS else F.from_json(raw, "array<string>" if listed else TEXTS)
+            self.rows = self.rows.withColumn(name, parsed)
+            self.names[(up, keys)] = name
+        self.roots, self.listed = roots, {x for x in self.names if dict(self.rows.dtypes)[self.names[x]].startswith("array")}
+
+    def _at(self, up: int, keys: tuple) -> Column:
+        held = F.col(self.names[(up, keys[:-1])])
+        return F.get(held, F.lit(keys[-1])) if isinstance(keys[-1], int) else F.try_element_at(held, F.lit(keys[-1]))
+
+    def text(self, path: str) -> Column:
+        up, keys = steps(path)
+        return self._at(up, keys) if keys else F.col(self.roots[up])
+
+    def first(self, paths: tuple[str, ...]) -> Column:
+        """The first that is there and not empty, else the first that is there."""
+        found = [self.text(p) for p in paths]
+        return F.coalesce(*found) if len(found) == 1 else F.coalesce(*[F.nullif(x, F.lit("")) for x in found], *found)
+
+    def untaken(self, taken: list[str], level: int = 0) -> list[Column]:
+        """Lists of (key, value): what no taken path covers, in each parsed object of a level."""
+        places = {steps(p)[1] for p in taken if steps(p)[0] == level}
+        out = []
+        for (up, keys), name in self.names.items():
+            if up != level or any(keys[: len(p)] == p for p in places):
+                continue
+            inside = {p[len(keys)] for p in places if len(p) > len(keys) and p[: len(keys)] == keys} | {k[len(keys)] for u, k in self.names if u == up and len(k) > len(keys) and k[: len(keys)] == keys}
+            before = "".join(f"{k}." for k in keys)
+            if (up, keys) in self.listed:
+                entries = F.zip_with(F.col(name), F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(name) - 1)), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+            else:
+                entries = F.map_entries(name)
+            out.append(_renamed(entries, [str(k) for k in inside], before))
+        return out
+
+
+def _renamed(entries: Column, known: list[str], before: str) -> Column:
+    """The entries of other keys than the known ones, with ``before`` put before their keys."""
+    rest = F.filter(entries, lambda e: ~e["key"].isin(*known) & e["value"].isNotNull()) if known else entries
+    return F.transform(rest, lambda e: F.struct(F.concat(F.lit(before), e["key"]).alias("key"), e["value"].alias("value")))
+
+
+PAIRS = "array<struct<key:string,value:string>>"
+
+
+def last_of(pairs: Column) -> Column:
+    """A map of (key, value) pairs; of pairs with one key the last counts."""
+    keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
+    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"])
+    return F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs)).otherwise(F.map_from_arrays(keys, last))
+
+
+def documents(landing: DataFrame, spec: Spec) -> DataFrame:
+    """A row for each JSON text of a body, parsed: framed by lines, of either ending, or whole. ``elements`` is its list of items."""
+    body = F.regexp_replace("body", r"^\s+|\s+$", "")
+    framed = ~body.startswith("[") & body.rlike(r"\}\s*[\r\n]\s*\{")
+    lines = F.when(framed, F.split(body, r"\s*[\r\n]+\s*")).otherwise(F.array(body))
+    rows = landing.where(F.col("intake") == spec.intake).select("tenant_id", "received_ms", "intake", "path", "query", F.explode(F.filter(lines, lambda x: x != "")).alias("doc"))
+    rows = rows.withColumn("top", F.from_json("doc", TEXTS))
+    if spec.items:
+        rows = Objects(rows, {0: "top"}, [spec.items], "at")
+        rows = rows.rows.withColumn("listed", rows.text(spec.items))
+    else:
+        rows = rows.withColumn("listed", F.when(F.col("doc").startswith("["), F.col("doc")).when(F.col("top").isNotNull(), F.concat(F.lit("["), F.col("doc"), F.lit("]"))))
+    return rows.withColumn("elements", F.from_json("listed", TEXTS if spec.keyed else "array<string>"))
+
+
+def frames(landing: DataFrame, spec: Spec) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows for the innermost items, with the envelope's fields as text and the outer objects without their lists; and what did not fit, as dead letters."""
+    docs = documents(landing, spec)
+    around = Objects(docs, {0: "top"}, [p for _, *ps in spec.envelope.values() for p in ps], "e")
+    docs = around.rows.withColumns({f"r_{n}": around.first(tuple(ps)) for n, (_, *ps) in spec.envelope.items()})
+    broken = F.col("top").isNull() & (~F.col("doc").startswith("[") | F.col("elements").isNull())
+    reason = F.when(broken, "decode_error").when(F.col("elements").isNull(), "unexpected_shape")
+    dead = [docs.withColumns({"reason": reason, "body": F.col("doc"), "note": F.lit("")}).where("reason is not null")]
+    base = ["tenant_id", "received_ms", "intake", "path", "query", *(f"r_{n}" for n in spec.envelope)]
     if spec.keyed:
-        rows = rows.select("*", F.explode_outer(F.from_json(listed, "map<string,string>")).alias(f"f_{spec.keyed}", "listed"))
-        listed = F.col("listed")
-    rows = rows.withColumn("item", F.explode_outer(F.from_json(listed, "array<string>")))
-    if spec.inner:
-        inner = F.explode_outer(F.from_json(F.get_json_object("item", spec.inner), "array<string>"))
-        rows = rows.withColumn("inner", inner).withColumn("item", F.concat(F.lit('{"outer":'), F.col("item"), F.lit(',"inner":'), F.coalesce("inner", F.lit("null")), F.lit("}")))
-    return rows
+        held = docs.select(*base, F.explode("elements").alias(f"f_{spec.keyed}", "listed"))
+        rows = held.select(*base, f"f_{spec.keyed}", F.explode(F.from_json("listed", "array<string>")).alias("item"))
+        base.append(f"f_{spec.keyed}")
+        dead.append(_unfit(held, F.from_json("listed", "array<string>").isNull(), "listed"))
+    else:
+        rows = docs.select(*base, F.explode("elements").alias("item"))
+    outer: list[str] = []
+    for n, key in enumerate(spec.levels):
+        name = f"up{len(spec.levels) - n}"
+        held = rows.withColumn("object", F.from_json("item", TEXTS)).withColumn("listed", F.try_element_at("object", F.lit(key)))
+        dead.append(_unfit(held, F.col("object").isNull() | (F.col("listed").isNotNull() & F.from_json("listed", "array<string>").isNull()), "item"))
+        rows = held.select(*base, *outer, _without("object", key).alias(name), F.explode(F.from_json("listed", "array<string>")).alias("item"))
+        outer.append(name)
+    return rows, dead
+
+
+def _without(held: str, key: str) -> Column:
+    return F.map_filter(held, lambda k, _: k != key)
+
+
+def _unfit(rows: DataFrame, when: Column, body: str) -> DataFrame:
+    return rows.where(when).withColumns({"reason": F.lit("unexpected_shape"), "body": F.col(body), "note": F.lit("")})
 
 
 def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """(facts, dead letters). Facts are typed; ``timestamp_source`` says whether the time is the sender's or arrival."""
-    rows = frames(landing, spec)
-    columns = {n: typed(first_of("item", paths), kind) for n, (kind, *paths) in spec.fields.items()}
-    columns |= {n: typed(first_of("doc", tuple(paths)), kind) for n, (kind, *paths) in spec.envelope.items()}
-    rows = rows.withColumns({f"f_{n}": c for n, c in columns.items()})
-    valid = F.get_json_object("doc", "$").isNotNull() & F.col("item").isNotNull()
+    """(facts, dead letters). Facts are typed; ``timestamp_source`` says whose clock the time is; ``note`` names members
+    of a wrong type, which stay as text in ``extra``."""
+    rows, dead = frames(landing, spec)
+    paths = [p for _, *ps in spec.fields.values() for p in ps]
+    times = [p for p, _, _ in spec.times]
+    tags = [spec.tags] if spec.tags else []
+    roots = {0: "item"} | {k + 1: f"up{k + 1}" for k in range(len(spec.levels))}
+    inside = Objects(rows, roots, [*paths, *times, *tags, *(f"${k}.-" for k in roots if k)], "o")
+    rows = inside.rows
+    raw = {n: inside.first(tuple(ps)) for n, (_, *ps) in spec.fields.items()}
+    kinds = {n: x[0] for n, x in (spec.fields | spec.envelope).items()}
+    rows = rows.withColumns({f"r_{n}": c for n, c in raw.items()}).withColumns({f"f_{n}": typed(F.col(f"r_{n}"), k) for n, k in kinds.items()})
     lacking = F.lit(False)
     for n in spec.required:
         lacking = lacking | F.col(f"f_{n}").isNull()
-    reason = F.when(~F.coalesce(valid, F.lit(False)), F.when(F.get_json_object("doc", "$").isNull(), "decode_error").otherwise("unexpected_shape")).when(lacking, "unexpected_shape")
-    wrong = [F.when(first_of("item", tuple(paths)).isNotNull() & F.col(f"f_{n}").isNull(), F.lit(n)) for n, (_, *paths) in spec.fields.items()]
-    rows = rows.withColumn("reason", reason).withColumn("note", F.array_join(F.array_compact(F.array(*wrong)), ",") if wrong else F.lit(""))
-    out = {n: F.col(f"f_{n}") for n in [*columns, *([spec.keyed] if spec.keyed else [])]}
+    # a member of a wrong type, and a spelling that another stands before, are kept
+    wrong = {n: F.col(f"r_{n}").isNotNull() & F.col(f"f_{n}").isNull() for n in kinds if kinds[n] != "string"}
+    shown = lambda p: "".join(f"{k}." for k in steps(p)[1]).rstrip(".") or "item"
+    note = F.concat_ws(",", *[F.when(w, shown((spec.fields | spec.envelope)[n][1])) for n, w in wrong.items()]) if wrong else F.lit("")
+    one = lambda key, value, when: F.struct(F.when(when, key).alias("key"), value.cast("string").alias("value"))
+    kept = [one(shown(spec.fields[n][1]), F.col(f"r_{n}"), w) for n, w in wrong.items() if n in spec.fields]
+    for n, (_, *ps) in spec.fields.items():
+        kept += [one(shown(p), inside.text(p), inside.text(p).isNotNull() & ~inside.text(p).eqNullSafe(F.col(f"r_{n}"))) for p in ps if len(ps) > 1]
+    out = {n: F.coalesce(F.col(f"f_{n}"), F.nullif(F.try_element_at("query", F.lit(spec.defaults[n])), F.lit(""))) if n in spec.defaults else F.col(f"f_{n}") for n in [*kinds, *([spec.keyed] if spec.keyed else [])]}
     if spec.tags:
-        out["tags"] = multimap(tag_texts(first_of("item", (spec.tags,))))
-    if spec.timestamp:
-        path, unit = spec.timestamp
-        sent = first_of("item", (path,)).try_cast("double")
-        good = sent.isNotNull() & (sent > 0)
-        out["t_ms"] = F.when(good, (sent * unit).cast("long")).otherwise(F.col("received_ms"))
-        out["timestamp_source"] = F.when(good, "sender").otherwise("arrival")
-    if spec.extra:
-        declared = {p.removeprefix("$.").split(".")[0].split("[")[0] for _, *ps in spec.fields.values() for p in ps} | ({spec.tags.removeprefix("$.")} if spec.tags else set())
-        declared |= {spec.timestamp[0].removeprefix("$.")} if spec.timestamp else set()
-        known = F.array(*map(F.lit, sorted(declared)))
-        out["extra"] = F.map_filter(F.from_json("item", "map<string,string>"), lambda k, _: ~F.array_contains(known, k))
-    facts = rows.where("reason is null").select("tenant_id", "received_ms", *[c.alias(n) for n, c in out.items()])
+        own = F.coalesce(tag_texts(inside.text(spec.tags)), F.array().cast("array<string>"))
+        given = F.coalesce(tag_texts(F.try_element_at("query", F.lit(spec.defaults["tags"]))), F.array().cast("array<string>")) if "tags" in spec.defaults else None
+        out["tags"] = multimap(own if given is None else F.concat(given, own))
+    used = F.lit(None).cast("string")
+    if spec.times:
+        sent = []
+        for path, unit, label in spec.times:
+            text = inside.text(path)
+            clock = F.when(text.rlike(r"^\d{4}-\d\d-\d\d[Tt ].*([Zz]|[+-]\d\d:\d\d)$"), F.unix_millis(text.try_cast("timestamp")))
+            ms = clock if unit == 0 else F.when(text.try_cast("double") > 0, (text.try_cast("double") * unit).try_cast("bigint"))
+            sent.append(F.when(ms.isNotNull(), F.struct(ms.alias("ms"), F.lit(label).alias("label"), F.lit(shown(path)).alias("key"))))
+        rows = rows.withColumn("sent", F.coalesce(*sent))
+        out["t_ms"] = F.coalesce("sent.ms", "received_ms")
+        out["timestamp_source"] = F.coalesce("sent.label", F.lit("arrival"))
+        used = F.col("sent.key")
+    lists = inside.untaken([*paths, *tags])
+    for k in roots:
+        if k:
+            outer = inside.untaken(paths, k)
+            lists += [_renamed(x, [], f"${k}.") for x in outer]
+    lists += [F.filter(F.array(*kept), lambda e: e["key"].isNotNull())] if kept else []
+    pairs = F.concat(*[F.coalesce(x, F.array().cast(PAIRS)) for x in lists]) if lists else F.array().cast(PAIRS)
+    rows = rows.withColumn("pairs", F.filter(pairs, lambda e: ~e["key"].eqNullSafe(used)))
+    out["note"], out["extra"] = note, last_of(F.col("pairs"))
+    facts = rows.where(~lacking).select("tenant_id", "received_ms", *[c.alias(n) for n, c in out.items()])
     for n, make in spec.derive.items():
         facts = facts.withColumn(n, make())
-    return facts, dead_letters(rows.where("reason is not null"))
+    lost = rows.where(lacking).withColumns({"reason": F.lit("unexpected_shape"), "body": F.coalesce("item", F.lit("null")), "note": note})
+    parts = [dead_letters(x) for x in [*dead, lost]]
+    for x in parts[1:]:
+        parts[0] = parts[0].unionByName(x)
+    return facts, parts[0]
+
+
+def leftovers(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(tenant_id, received_ms, intake, extra): once a body, its keys beside the list that no envelope field takes.
+
+    ``beside`` are keys that other specs of the same body take.
+    """
+    docs = documents(landing, spec).where("top is not null")
+    taken = [p for _, *ps in spec.envelope.values() for p in ps]
+    around = Objects(docs, {0: "top"}, [*taken, *([spec.items] if spec.items else []), "$.-"], "e")
+    lists = around.untaken([*taken, *([spec.items] if spec.items else []), *(f"$.{k}" for k in beside)])
+    rows = around.rows.withColumn("pairs", F.concat(*[F.coalesce(x, F.array().cast(PAIRS)) for x in lists])).where("size(pairs) > 0")
+    return rows.select("tenant_id", "received_ms", "intake", last_of(F.col("pairs")).alias("extra"))
 
 
 def dead_letters(rows: DataFrame) -> DataFrame:
@@ -117,35 +272,48 @@ def dead_letters(rows: DataFrame) -> DataFrame:
     return kept.select("tenant_id", "received_ms", "intake", "reason", path.alias("path"), query.alias("query"), "body", F.octet_length("body").alias("body_bytes"), "note")
 
 
-S, L, D, B = "string", "bigint", "double", "boolean"
+S, L, D, B, U = "string", "bigint", "double", "boolean", "u64"
 #: One spec for each signal. Paths after the type are tried in order.
 SPECS: dict[str, Spec] = {
     "series_v2": Spec("series_v2", {"metric": (S, "$.metric"), "type_code": (L, "$.type"), "unit": (S, "$.unit"), "interval": (L, "$.interval"), "points": ("array<struct<timestamp:bigint,value:double>>", "$.points"), "resources": ("array<struct<name:string,type:string>>", "$.resources")}, "$.series", required=("metric",), tags="$.tags"),
-    "series_v1": Spec("series_v1", {"metric": (S, "$.metric"), "type": (S, "$.type"), "host": (S, "$.host"), "device": (S, "$.device"), "interval": (L, "$.interval"), "points": ("array<array<double>>", "$.points")}, "$.series", required=("metric",), tags="$.tags"),
+    "series_v1": Spec("series_v1", {"metric": (S, "$.metric"), "type": (S, "$.type"), "host": (S, "$.host"), "device": (S, "$.device"), "interval": (L, "$.interval"), "source_type": (S, "$.source_type_name"), "unit": (S, "$.unit"), "points": ("array<string>", "$.points")}, "$.series", required=("metric",), tags="$.tags"),
     "sketches": Spec("sketches", {"metric": (S, "$.metric"), "host": (S, "$.host"), "points": ("array<struct<ts:bigint,cnt:bigint,min:double,max:double,avg:double,sum:double,k:array<int>,n:array<bigint>>>", "$.dogsketches")}, "$.sketches", required=("metric",), tags="$.tags"),
     "distribution_points": Spec("distribution_points", {"metric": (S, "$.metric"), "host": (S, "$.host"), "points": ("array<struct<ts:bigint,values:array<double>>>", "$.points")}, "$.series", required=("metric",), tags="$.tags"),
-    "check_runs": Spec("check_runs", {"check_name": (S, "$.check"), "host": (S, "$.host_name"), "status_code": (L, "$.status"), "message": (S, "$.message")}, required=("check_name",), tags="$.tags", timestamp=("$.timestamp", 1000)),
-    "events": Spec("events", {"title": (S, "$.title"), "text": (S, "$.text"), "host": (S, "$.host"), "alert_type": (S, "$.alert_type"), "priority": (S, "$.priority")}, required=("title",), tags="$.tags", timestamp=("$.date_happened", 1000)),
-    "logs": Spec("logs", {"message": (S, "$.message", "$.msg"), "host": (S, "$.hostname", "$.host"), "service": (S, "$.service", "$.app"), "source": (S, "$.ddsource", "$.source"), "status_raw": (S, "$.status", "$.level", "$.severity")}, tags="$.ddtags", timestamp=("$.timestamp", 1)),
-    "spans": Spec("spans", {"trace_id": (L, "$.trace_id"), "span_id": (L, "$.span_id"), "parent_id": (L, "$.parent_id"), "service": (S, "$.service"), "name": (S, "$.name"), "resource": (S, "$.resource"), "start": (L, "$.start"), "duration": (L, "$.duration"), "error": (L, "$.error"), "meta": ("map<string,string>", "$.meta"), "metrics": ("map<string,double>", "$.metrics")}, "$.spans", {"env": (S, "$.env"), "agent_version": (S, "$.agentVersion")}, ("trace_id", "span_id"), extra=False),
+    "check_runs": Spec("check_runs", {"check_name": (S, "$.check"), "host": (S, "$.host_name"), "status_code": (L, "$.status"), "message": (S, "$.message")}, required=("check_name",), tags="$.tags", times=(("$.timestamp", 1000, "sender"),)),
+    "events": Spec("events", {"title": (S, "$.title"), "text": (S, "$.text"), "host": (S, "$.host"), "alert_type": (S, "$.alert_type"), "priority": (S, "$.priority")}, required=("title",), tags="$.tags", times=(("$.date_happened", 1000, "sender"),)),
+    "logs": Spec("logs", {"message": (S, "$.message", "$.msg", "$.@m"), "host": (S, "$.hostname", "$.host"), "service": (S, "$.service", "$.app", "$.dd_service"), "source": (S, "$.ddsource", "$.source"), "status_raw": (S, "$.status", "$.level", "$.severity", "$.@l")}, tags="$.ddtags",
+        defaults={"source": "ddsource", "service": "service", "host": "hostname", "tags": "ddtags"}, times=(("$.timestamp", 1, "timestamp_ms"), ("$.timestamp", 0, "timestamp_string"), ("$.date", 1, "date_ms"), ("$.date", 0, "date_string"), ("$.@t", 0, "compact_string"))),
+    "spans": Spec(
+        "spans",
+        {
+            "trace_id": (U, "$.trace_id", "$.traceID"), "span_id": (U, "$.span_id", "$.spanID"), "parent_id": (U, "$.parent_id", "$.parentID"), "service": (S, "$.service"), "name": (S, "$.name"), "resource": (S, "$.resource"), "span_type": (S, "$.type"),
+            "start": (L, "$.start"), "duration": (L, "$.duration"), "error": (L, "$.error"), "meta": ("map<string,string>", "$.meta"), "metrics": ("map<string,double>", "$.metrics"), "attributes": ("map<string,map<string,string>>", "$.attributes"),
+            "links": ("array<struct<trace_id:decimal(20,0),trace_id_high:decimal(20,0),span_id:decimal(20,0),attributes:map<string,string>,tracestate:string,flags:bigint>>", "$.span_links", "$.spanLinks"),
+            "span_events": ("array<struct<time_unix_nano:bigint,name:string,attributes:string>>", "$.span_events", "$.spanEvents"),
+            "priority": (L, "$1.priority"), "origin": (S, "$1.origin"), "dropped_trace": (B, "$1.droppedTrace"), "chunk_tags": ("map<string,string>", "$1.tags"),
+            "container_id": (S, "$2.containerID"), "language": (S, "$2.languageName"), "language_version": (S, "$2.languageVersion"), "tracer_version": (S, "$2.tracerVersion"), "runtime_id": (S, "$2.runtimeID"), "tracer_env": (S, "$2.env"),
+            "tracer_hostname": (S, "$2.hostname"), "app_version": (S, "$2.appVersion"), "tracer_tags": ("map<string,string>", "$2.tags"),
+        },
+        "$.tracerPayloads", {"env": (S, "$.env"), "host": (S, "$.hostName"), "agent_version": (S, "$.agentVersion")}, ("trace_id", "span_id"), levels=("chunks", "spans"),
+    ),
     "apm_stats": Spec("apm_stats", {"service": (S, "$.Service"), "resource": (S, "$.Resource"), "hits": (L, "$.Hits"), "errors": (L, "$.Errors"), "duration_ns": (L, "$.Duration")}, "$.Stats", {"bucket_start": (L, "$.Start"), "bucket_duration_ns": (L, "$.Duration")}, ("service",)),
-    "processes": Spec("processes", {"pid": (L, "$.pid"), "command": (S, "$.command.exe"), "user": (S, "$.user.name"), "cpu": (D, "$.cpu.totalPct"), "rss": (L, "$.memory.rss")}, "$.processes", {"host": (S, "$.hostName"), "group_id": (L, "$.groupId"), "group_size": (L, "$.groupSize")}, ("pid",)),
+    "processes": Spec("processes", {"pid": (L, "$.pid"), "command": (S, "$.command.exe"), "user": (S, "$.user.name"), "parent_pid": (L, "$.command.ppid"), "args": ("array<string>", "$.command.args"), "cwd": (S, "$.command.cwd"), "uid": (L, "$.user.uid"), "created": (L, "$.createTime"), "state": (S, "$.state"), "container_id": (S, "$.containerId"), "cpu": (D, "$.cpu.totalPct"), "user_cpu": (D, "$.cpu.userPct"), "system_cpu": (D, "$.cpu.systemPct"), "threads": (L, "$.cpu.numThreads"), "rss": (L, "$.memory.rss"), "vms": (L, "$.memory.vms"), "open_files": (L, "$.openFdCount"), "read_rate": (D, "$.ioStat.readRate"), "write_rate": (D, "$.ioStat.writeRate")}, "$.processes", {"host": (S, "$.hostName"), "group_id": (L, "$.groupId"), "group_size": (L, "$.groupSize")}, ("pid",)),
     "containers": Spec("containers", {"container_id": (S, "$.id"), "image": (S, "$.image"), "cpu": (D, "$.cpu"), "rss": (L, "$.memRss"), "state": (S, "$.state")}, "$.containers", {"host": (S, "$.hostName")}, ("container_id",), tags="$.tags"),
     "connections": Spec("connections", {"pid": (L, "$.pid"), "src": (S, "$.laddr.ip"), "dst": (S, "$.raddr.ip"), "port": (L, "$.raddr.port"), "bytes_sent": (L, "$.lastBytesSent")}, "$.connections", {"host": (S, "$.hostName")}, ("pid",)),
-    "k8s_resources": Spec("k8s_resources", {"namespace": (S, "$.metadata.namespace"), "name": (S, "$.metadata.name"), "uid": (S, "$.metadata.uid"), "resource_version": (S, "$.metadata.resourceVersion"), "phase": (S, "$.status.phase"), "desired": (L, "$.spec.replicas", "$.replicasDesired"), "ready": (L, "$.status.readyReplicas"), "labels": ("map<string,string>", "$.metadata.labels"), "containers": ("array<struct<ready:boolean,restarts:bigint>>", "$.status.containers")}, "$.items", {"kind": (S, "$.kind"), "cluster_id": (S, "$.clusterId")}, ("name",)),
+    "k8s_resources": Spec("k8s_resources", {"namespace": (S, "$.metadata.namespace"), "name": (S, "$.metadata.name"), "uid": (S, "$.metadata.uid"), "resource_version": (S, "$.metadata.resourceVersion"), "phase": (S, "$.status.phase"), "desired": (L, "$.spec.replicas", "$.replicasDesired"), "ready": (L, "$.status.readyReplicas"), "labels": ("map<string,string>", "$.metadata.labels"), "annotations": ("map<string,string>", "$.metadata.annotations"), "owners": ("array<struct<kind:string,name:string,uid:string>>", "$.metadata.ownerReferences"), "conditions": ("array<struct<type:string,status:string,reason:string,message:string,lastTransitionTime:string>>", "$.status.conditions"), "available": (L, "$.status.availableReplicas"), "updated": (L, "$.status.updatedReplicas"), "node": (S, "$.spec.nodeName"), "qos": (S, "$.status.qosClass"), "capacity": ("map<string,string>", "$.status.capacity"), "containers": ("array<struct<ready:boolean,restarts:bigint>>", "$.status.containers")}, "$.items", {"kind": (S, "$.kind"), "cluster_id": (S, "$.clusterId")}, ("name",)),
     "k8s_manifests": Spec("k8s_manifests", {"uid": (S, "$.uid"), "kind": (S, "$.kind", "$.content.kind"), "version": (S, "$.resourceVersion"), "content": (S, "$.content")}, "$.manifests", {"cluster_id": (S, "$.clusterId")}, ("uid",)),
     "container_events": Spec("container_events", {"container_id": (S, "$.containerID"), "exit_code": (L, "$.exitCode"), "exited_at": (L, "$.exitTimestamp")}, "$.events", {"host": (S, "$.host"), "event_type": (S, "$.eventType")}, ("container_id",)),
     "container_images": Spec("container_images", {"digest": (S, "$.digest", "$.id"), "name": (S, "$.name"), "size": (L, "$.size"), "layers": ("array<struct<size:bigint>>", "$.layers")}, "$.images", required=("digest",), tags="$.tags"),
-    "dbm_events": Spec("dbm_events", {"host": (S, "$.host"), "track": (S, "$.ddsource"), "statement": (S, "$.db.statement"), "plan": (S, "$.db.plan.definition"), "signature": (S, "$.db.query_signature")}, tags="$.ddtags", timestamp=("$.timestamp", 1)),
+    "dbm_events": Spec("dbm_events", {"host": (S, "$.host"), "track": (S, "$.ddsource"), "statement": (S, "$.db.statement"), "plan": (S, "$.db.plan.definition"), "signature": (S, "$.db.query_signature")}, tags="$.ddtags", times=(("$.timestamp", 1, "sender"),)),
     "ndm_devices": Spec("ndm_devices", {"device_id": (S, "$.id"), "ip": (S, "$.ip_address"), "vendor": (S, "$.vendor"), "status": (L, "$.status")}, "$.devices", {"namespace": (S, "$.namespace")}, ("device_id",), tags="$.tags"),
     "ndm_interfaces": Spec("ndm_interfaces", {"device_id": (S, "$.device_id"), "index": (L, "$.index"), "name": (S, "$.name")}, "$.interfaces", {"namespace": (S, "$.namespace")}, ("device_id",)),
-    "snmp_traps": Spec("snmp_traps", {"oid": (S, "$.trap.snmpTrapOID"), "uptime": (L, "$.trap.uptime"), "variables": ("array<map<string,string>>", "$.trap.variables")}, tags="$.trap.ddtags", timestamp=("$.trap.timestamp", 1)),
-    "netflow": Spec("netflow", {"src": (S, "$.source.ip"), "dst": (S, "$.destination.ip"), "bytes": (L, "$.bytes"), "packets": (L, "$.packets"), "protocol": (S, "$.ip_protocol")}, timestamp=("$.flush_timestamp", 1)),
-    "network_paths": Spec("network_paths", {"origin": (S, "$.source.hostname"), "target": (S, "$.destination.hostname"), "hops": ("array<struct<ttl:bigint,ip_address:string,rtt:double>>", "$.hops")}, timestamp=("$.timestamp", 1)),
-    "rum": Spec("rum", {"kind": (S, "$.type"), "view_id": (S, "$.view.id"), "session_id": (S, "$.session.id"), "document_version": (L, "$._dd.document_version"), "name": (S, "$.action.name", "$.action.target.name", "$.resource.url", "$.error.message"), "loading_time": (L, "$.view.loading_time", "$.view.performance.loading_time")}, timestamp=("$.date", 1)),
-    "security_events": Spec("security_events", {"rule": (S, "$.agent.rule_id"), "category": (S, "$.evt.category"), "process": (S, "$.process.executable.path")}, tags="$.ddtags", timestamp=("$.timestamp", 1)),
-    "sbom": Spec("sbom", {"entity": (S, "$.id"), "kind": (S, "$.type"), "components": ("array<struct<`bom-ref`:string,name:string,version:string>>", "$.cyclonedx.components"), "vulnerabilities": ("array<struct<id:string,affects:array<struct<ref:string>>>>", "$.cyclonedx.vulnerabilities")}, "$.entities", {"host": (S, "$.host")}, ("entity",)),
-    "sds": Spec("sds", {"rule": (S, "$.rule"), "resource": (S, "$.resource"), "matches": (L, "$.matches"), "failed": (B, "$.failed")}, "$.results", {"scan_id": (S, "$.scanId")}),
+    "snmp_traps": Spec("snmp_traps", {"oid": (S, "$.trap.snmpTrapOID"), "uptime": (L, "$.trap.uptime"), "variables": ("array<map<string,string>>", "$.trap.variables")}, tags="$.trap.ddtags", times=(("$.trap.timestamp", 1, "sender"),)),
+    "netflow": Spec("netflow", {"src": (S, "$.source.ip"), "dst": (S, "$.destination.ip"), "bytes": (L, "$.bytes"), "packets": (L, "$.packets"), "protocol": (S, "$.ip_protocol")}, times=(("$.flush_timestamp", 1, "sender"),)),
+    "network_paths": Spec("network_paths", {"origin": (S, "$.source.hostname"), "target": (S, "$.destination.hostname"), "hops": ("array<struct<ttl:bigint,ip_address:string,rtt:double>>", "$.hops")}, times=(("$.timestamp", 1, "sender"),)),
+    "rum": Spec("rum", {"kind": (S, "$.type"), "view_id": (S, "$.view.id"), "session_id": (S, "$.session.id"), "document_version": (L, "$._dd.document_version"), "name": (S, "$.action.name", "$.action.target.name", "$.resource.url", "$.error.message"), "loading_time": (L, "$.view.loading_time", "$.view.performance.loading_time")}, times=(("$.date", 1, "sender"),)),
+    "security_events": Spec("security_events", {"rule": (S, "$.agent.rule_id"), "category": (S, "$.evt.category"), "process": (S, "$.process.executable.path")}, tags="$.ddtags", times=(("$.timestamp", 1, "sender"),)),
+    "sbom": Spec("sbom", {"entity": (S, "$.id"), "kind": (S, "$.type"), "in_use": (B, "$.inUse"), "status": (S, "$.status"), "error": (S, "$.error"), "bom": (S, "$.cyclonedx")}, "$.entities", {"host": (S, "$.host"), "source": (S, "$.source"), "env": (S, "$.ddEnv")}, ("entity",)),
+    "sds": Spec("sds", {"rule": (S, "$.rule"), "resource": (S, "$.resource"), "matches": (L, "$.matches"), "failed": (B, "$.failed"), "found": ("array<struct<path:string,start:bigint,end:bigint,confidence:string>>", "$.matchDetails")}, "$.results", {"scan_id": (S, "$.scanId")}),
     "synthetics": Spec("synthetics", {"test_id": (S, "$.testId"), "location": (S, "$.location"), "passed": (B, "$.passed"), "duration": (D, "$.duration")}, "$.results", required=("test_id",)),
     "telemetry": Spec("telemetry", {"name": (S, "$.name"), "value": (S, "$.value"), "origin": (S, "$.origin")}, "$.payload.configuration", {"service": (S, "$.application.service_name"), "request_type": (S, "$.request_type")}, ("name",)),
     "ci_tests": Spec("ci_tests", {"kind": (S, "$.type"), "test": (S, "$.content.meta.test\\.name", "$.content.resource"), "suite": (S, "$.content.meta.suite", "$.content.service"), "status": (S, "$.content.meta.status"), "start": (L, "$.content.start"), "duration": (L, "$.content.duration")}, "$.events", {"env": (S, "$.metadata.env"), "runtime": (S, "$.metadata.runtime")}),
@@ -153,52 +321,52 @@ SPECS: dict[str, Spec] = {
     "git_commits": Spec("git_commits", {"sha": (S, "$.id")}, "$.data", {"repository": (S, "$.meta.repository_url")}, ("sha",)),
     "hosts": Spec("hosts", {"host": (S, "$.internalHostname"), "os": (S, "$.os"), "agent_version": (S, "$.agentVersion"), "platform": (S, "$.systemStats.platform"), "python": (S, "$.systemStats.pythonV")}, required=("host",)),
     "agent_metadata": Spec("agent_metadata", {"host": (S, "$.hostname"), "uuid": (S, "$.uuid"), "payload": ("map<string,string>", "$.agent_metadata", "$.host_metadata", "$.check_metadata")}, required=("host",)),
-    "debugger_logs": Spec("debugger_logs", {"service": (S, "$.service"), "probe_id": (S, "$.debugger.snapshot.probe.id"), "message": (S, "$.message")}, tags="$.ddtags", timestamp=("$.timestamp", 1)),
+    "debugger_logs": Spec("debugger_logs", {"service": (S, "$.service"), "probe_id": (S, "$.debugger.snapshot.probe.id"), "message": (S, "$.message")}, tags="$.ddtags", times=(("$.timestamp", 1, "sender"),)),
     "profiles_meta": Spec("profiles_meta", {"family": (S, "$.family"), "start": (S, "$.start"), "end": (S, "$.end"), "attachments": ("array<string>", "$.attachments")}, tags="$.tags_profiler"),
 }
 SPECS |= {
-    "intake_events": Spec("intake_events", {"title": (S, "$.msg_title"), "text": (S, "$.msg_text"), "host": (S, "$.host"), "alert_type": (S, "$.alert_type")}, "$.events", {"agent_host": (S, "$.internalHostname")}, keyed="source", tags="$.tags", timestamp=("$.timestamp", 1000)),
-    "agent_checks": Spec("agent_checks", {"name": (S, "$[0]"), "source": (S, "$[1]"), "instance": (S, "$[2]"), "status": (S, "$[3]"), "message": (S, "$[4]")}, "$.agent_checks", {"host": (S, "$.internalHostname")}, ("name",), extra=False),
-    "external_host_tags": Spec("external_host_tags", {"host": (S, "$[0]"), "by_source": ("map<string,array<string>>", "$[1]")}, "$.external_host_tags", required=("host",), extra=False),
-    "process_groups": Spec("process_groups", {"user": (S, "$[0]"), "cpu": (D, "$[1]"), "mem": (D, "$[2]"), "name": (S, "$[5]"), "pids": (L, "$[6]")}, "$.processes", {"host": (S, "$.internalHostname")}, extra=False),
-    "pipeline_points": Spec("pipeline_points", {"hash": (L, "$.inner.Hash"), "parent_hash": (L, "$.inner.ParentHash"), "edge_tags": ("array<string>", "$.inner.EdgeTags"), "bucket_start": (L, "$.outer.Start")}, "$.Stats", {"service": (S, "$.Service"), "env": (S, "$.Env")}, inner="$.Stats", extra=False),
-    "pipeline_backlogs": Spec("pipeline_backlogs", {"value": (L, "$.inner.Value"), "backlog_tags": ("array<string>", "$.inner.Tags"), "bucket_start": (L, "$.outer.Start")}, "$.Stats", {"service": (S, "$.Service")}, inner="$.Backlogs", extra=False),
+    "intake_events": Spec("intake_events", {"title": (S, "$.msg_title"), "text": (S, "$.msg_text"), "host": (S, "$.host"), "alert_type": (S, "$.alert_type")}, "$.events", {"agent_host": (S, "$.internalHostname")}, keyed="source", tags="$.tags", times=(("$.timestamp", 1000, "sender"),)),
+    "agent_checks": Spec("agent_checks", {"name": (S, "$[0]"), "source": (S, "$[1]"), "instance": (S, "$[2]"), "status": (S, "$[3]"), "message": (S, "$[4]")}, "$.agent_checks", {"host": (S, "$.internalHostname")}, ("name",)),
+    "external_host_tags": Spec("external_host_tags", {"host": (S, "$[0]"), "by_source": ("map<string,array<string>>", "$[1]")}, "$.external_host_tags", required=("host",)),
+    "process_groups": Spec("process_groups", {"user": (S, "$[0]"), "cpu": (D, "$[1]"), "mem": (D, "$[2]"), "name": (S, "$[5]"), "pids": (L, "$[6]")}, "$.processes", {"host": (S, "$.internalHostname")}),
+    "pipeline_points": Spec("pipeline_points", {"hash": (L, "$.Hash"), "parent_hash": (L, "$.ParentHash"), "edge_tags": ("array<string>", "$.EdgeTags"), "bucket_start": (L, "$1.Start")}, "$.Stats", {"service": (S, "$.Service"), "env": (S, "$.Env")}, levels=("Stats",)),
+    "pipeline_backlogs": Spec("pipeline_backlogs", {"value": (L, "$.Value"), "backlog_tags": ("array<string>", "$.Tags"), "bucket_start": (L, "$1.Start")}, "$.Stats", {"service": (S, "$.Service")}, levels=("Backlogs",)),
     "dsm_messages": Spec("dsm_messages", {"topic": (S, "$.topic"), "partition": (L, "$.partition"), "offset": (L, "$.offset"), "text": (S, "$.message")}),
     "process_stats": Spec("process_stats", {"pid": (L, "$.pid"), "cpu": (D, "$.cpu.totalPct"), "rss": (L, "$.memory.rss"), "threads": (L, "$.threads")}, "$.stats", {"host": (S, "$.hostName")}, ("pid",)),
     "discoveries": Spec("discoveries", {"pid": (L, "$.pid"), "command": (S, "$.command.exe"), "user": (S, "$.user.name")}, "$.processDiscoveries", {"host": (S, "$.hostName"), "group_size": (L, "$.groupSize")}, ("pid",)),
     "snapshots": Spec("snapshots", {"host": (S, "$.hostName"), "kind": (S, "$.kind"), "group_id": (L, "$.groupId"), "group_size": (L, "$.groupSize"), "agent_version": (S, "$.agentVersion")}, required=("host",)),
     "container_stats": Spec("container_stats", {"container_id": (S, "$.id"), "cpu": (D, "$.totalPct"), "rss": (L, "$.memRss"), "limit": (L, "$.memLimit")}, "$.containerStats", {"host": (S, "$.hostName"), "source": (S, "$.source")}, ("container_id",)),
     "connections_payload": Spec("connections_payload", {"pid": (L, "$.pid"), "tag_indexes": ("array<int>", "$.tags")}, "$.connections", {"host": (S, "$.hostName"), "pool": ("array<string>", "$.tagsPool")}, ("pid",)),
-    "usm_http": Spec("usm_http", {"pid": (L, "$.outer.pid"), "path": (S, "$.inner.path"), "method": (S, "$.inner.method"), "by_status": ("map<string,struct<count:bigint>>", "$.inner.statsByStatusCode")}, "$.connections", {"host": (S, "$.hostName")}, inner="$.httpAggregations", extra=False),
-    "usm_kafka": Spec("usm_kafka", {"pid": (L, "$.outer.pid"), "topic": (S, "$.inner.topic"), "by_error": ("map<string,struct<count:bigint>>", "$.inner.statsByErrorCode")}, "$.connections", {"host": (S, "$.hostName")}, inner="$.kafkaAggregations", extra=False),
-    "usm_db": Spec("usm_db", {"pid": (L, "$.outer.pid"), "table_name": (S, "$.inner.tableName"), "operation": (S, "$.inner.operation"), "count": (L, "$.inner.count")}, "$.connections", {"host": (S, "$.hostName")}, inner="$.dbAggregations", extra=False),
+    "usm_http": Spec("usm_http", {"pid": (L, "$1.pid"), "path": (S, "$.path"), "method": (S, "$.method"), "by_status": ("map<string,struct<count:bigint>>", "$.statsByStatusCode")}, "$.connections", {"host": (S, "$.hostName")}, levels=("httpAggregations",)),
+    "usm_kafka": Spec("usm_kafka", {"pid": (L, "$1.pid"), "topic": (S, "$.topic"), "by_error": ("map<string,struct<count:bigint>>", "$.statsByErrorCode")}, "$.connections", {"host": (S, "$.hostName")}, levels=("kafkaAggregations",)),
+    "usm_db": Spec("usm_db", {"pid": (L, "$1.pid"), "table_name": (S, "$.tableName"), "operation": (S, "$.operation"), "count": (L, "$.count")}, "$.connections", {"host": (S, "$.hostName")}, levels=("dbAggregations",)),
     "k8s_cluster": Spec("k8s_cluster", {"cluster_id": (S, "$.clusterId"), "nodes": (L, "$.cluster.nodeCount"), "versions": ("map<string,bigint>", "$.cluster.kubeletVersions"), "cpu": (L, "$.cluster.cpuAllocatable")}, required=("cluster_id",)),
     "k8s_actions": Spec("k8s_actions", {"action_id": (S, "$.actionId"), "kind": (S, "$.resource.kind"), "name": (S, "$.resource.name"), "status": (S, "$.status")}, "$.results", required=("action_id",)),
     "ecs_tasks": Spec("ecs_tasks", {"arn": (S, "$.arn"), "family": (S, "$.family"), "status": (S, "$.lastStatus", "$.knownStatus"), "containers": ("array<struct<name:string>>", "$.containers")}, "$.tasks", {"cluster": (S, "$.clusterName")}, ("arn",), tags="$.tags"),
     "ndm_ips": Spec("ndm_ips", {"interface": (S, "$.interface_id"), "ip": (S, "$.ip_address"), "prefix": (L, "$.prefixlen")}, "$.ip_addresses", {"namespace": (S, "$.namespace")}),
     "ndm_objects": Spec("ndm_objects", {"device_id": (S, "$.device_id"), "kind": (S, "$.type"), "name": (S, "$.name")}, "$.objects", {"namespace": (S, "$.namespace")}),
-    "ndm_configs": Spec("ndm_configs", {"device_id": (S, "$.device_id"), "kind": (S, "$.config_type"), "content": (S, "$.config_content")}, "$.configs", {"namespace": (S, "$.namespace")}, ("device_id",), tags="$.tags", timestamp=("$.timestamp", 1000)),
-    "rum_timeseries": Spec("rum_timeseries", {"kind": (S, "$.type"), "view_id": (S, "$.view.id"), "name": (S, "$.timeseries.name"), "samples": ("array<struct<timestamp:bigint,value:double>>", "$.timeseries.data")}, timestamp=("$.date", 1)),
+    "ndm_configs": Spec("ndm_configs", {"device_id": (S, "$.device_id"), "kind": (S, "$.config_type"), "content": (S, "$.config_content")}, "$.configs", {"namespace": (S, "$.namespace")}, ("device_id",), tags="$.tags", times=(("$.timestamp", 1000, "sender"),)),
+    "rum_timeseries": Spec("rum_timeseries", {"kind": (S, "$.type"), "view_id": (S, "$.view.id"), "name": (S, "$.timeseries.name"), "samples": ("array<struct<timestamp:bigint,value:double>>", "$.timeseries.data")}, times=(("$.date", 1, "sender"),)),
     "rum_spans": Spec("rum_spans", {"trace_id": (S, "$.trace_id"), "span_id": (S, "$.span_id"), "name": (S, "$.name"), "view_id": (S, "$.meta._dd\\.view\\.id", "$.meta.view_id"), "duration": (L, "$.duration")}, "$.spans", {"env": (S, "$.env")}, ("span_id",)),
     "rum_replay": Spec("rum_replay", {"view_id": (S, "$.view.id"), "session_id": (S, "$.session.id"), "start": (L, "$.start"), "end": (L, "$.end"), "records": (L, "$.records_count")}),
     "discovery": Spec("discovery", {"service": (S, "$.payload.service_name"), "host": (S, "$.payload.host_name"), "pid": (L, "$.payload.pid"), "ports": ("array<bigint>", "$.payload.ports"), "kind": (S, "$.request_type")}),
     "health": Spec("health", {"host": (S, "$.host"), "check": (S, "$.issue.id", "$.check"), "state": (S, "$.issue.state", "$.status")}, "$.events"),
-    "event_mgmt": Spec("event_mgmt", {"title": (S, "$.attributes.title"), "category": (S, "$.attributes.category"), "key": (S, "$.attributes.aggregation_key")}, "$.data", tags="$.attributes.tags", timestamp=("$.attributes.timestamp", 1)),
+    "event_mgmt": Spec("event_mgmt", {"title": (S, "$.attributes.title"), "category": (S, "$.attributes.category"), "key": (S, "$.attributes.aggregation_key")}, "$.data", tags="$.attributes.tags", times=(("$.attributes.timestamp", 1, "sender"),)),
     "software": Spec("software", {"name": (S, "$.name"), "version": (S, "$.version"), "publisher": (S, "$.publisher")}, "$.software", {"host": (S, "$.hostname")}, ("name",)),
-    "lineage": Spec("lineage", {"job": (S, "$.job.name"), "run": (S, "$.run.runId"), "state": (S, "$.eventType"), "inputs": ("array<struct<name:string>>", "$.inputs"), "outputs": ("array<struct<name:string>>", "$.outputs")}, timestamp=("$.eventTimeMs", 1)),
+    "lineage": Spec("lineage", {"job": (S, "$.job.name"), "run": (S, "$.run.runId"), "state": (S, "$.eventType"), "inputs": ("array<struct<name:string>>", "$.inputs"), "outputs": ("array<struct<name:string>>", "$.outputs")}, times=(("$.eventTimeMs", 1, "sender"),)),
     "ci_coverage": Spec("ci_coverage", {"session": (S, "$.test_session_id"), "suite": (S, "$.test_suite_id"), "files": ("array<struct<filename:string>>", "$.files")}, "$.coverages"),
     "ci_pipeline": Spec("ci_pipeline", {"pipeline": (S, "$.attributes.resource.name"), "level": (S, "$.attributes.resource.level"), "status": (S, "$.attributes.resource.status"), "start": (S, "$.attributes.resource.start")}, "$.data"),
     "ci_settings": Spec("ci_settings", {"service": (S, "$.request.service"), "repository": (S, "$.request.repository_url"), "skipping": (B, "$.response.tests_skipping")}),
     "batch_metadata": Spec("batch_metadata", {"sender": (S, "$.metadata.sender"), "version": (S, "$.metadata.version"), "series": ("array<string>", "$.series")}),
     "query_actions": Spec("query_actions", {"action": (S, "$.action"), "result": ("map<string,string>", "$.result")}),
-    "symbol_queries": Spec("symbol_queries", {"build_id": (S, "$")}, "$.data.buildIds", {"arch": (S, "$.data.arch")}, extra=False),
-    "debugger_diagnostics": Spec("debugger_diagnostics", {"probe_id": (S, "$.debugger.diagnostics.probeId"), "status": (S, "$.debugger.diagnostics.status"), "service": (S, "$.service")}, timestamp=("$.timestamp", 1)),
+    "symbol_queries": Spec("symbol_queries", {"build_id": (S, "$")}, "$.data.buildIds", {"arch": (S, "$.data.arch")}),
+    "debugger_diagnostics": Spec("debugger_diagnostics", {"probe_id": (S, "$.debugger.diagnostics.probeId"), "status": (S, "$.debugger.diagnostics.status"), "service": (S, "$.service")}, times=(("$.timestamp", 1, "sender"),)),
     "symdb": Spec("symdb", {"service": (S, "$.service"), "language": (S, "$.language"), "scopes": ("array<string>", "$.scopes")}),
     "cws_dump": Spec("cws_dump", {"container": (S, "$.metadata.container_id"), "tree": (S, "$.tree")}),
 }
 METRIC_TYPES = ("UNSPECIFIED", "COUNT", "RATE", "GAUGE")
 CHECK_STATUS = ("OK", "WARNING", "CRITICAL", "UNKNOWN")
-LEVELS = {"emerg": "emergency", "fatal": "critical", "err": "error", "eror": "error", "warning": "warn", "notice": "info", "trace": "debug", "": "info"}  # fixed values
+LEVELS = {"emerg": "emergency", "fatal": "critical", "err": "error", "eror": "error", "warning": "warn", "notice": "info", "trace": "debug", "verbose": "debug", "information": "info", "": "info"}  # fixed values
 
 
 def named(code: Column, names: tuple[str, ...]) -> Column:
@@ -222,8 +390,80 @@ def metric_rows(series: DataFrame, version: int = 2) -> DataFrame:
             "tenant_id", "metric", (F.col("p.timestamp") * 1000).alias("t_ms"), F.col("p.value").alias("value"), named(F.col("type_code"), METRIC_TYPES).alias("metric_type"),
             F.coalesce(F.col("interval"), F.lit(0)).alias("interval"), F.coalesce(host, F.lit("")).alias("host"), rest.alias("resources"), "tags",
         )
-    rows = series.withColumn("p", F.explode("points")).where(F.size("p") == 2)
-    return rows.select("tenant_id", "metric", (F.col("p")[0] * 1000).cast("long").alias("t_ms"), F.col("p")[1].alias("value"), F.upper(F.coalesce("type", F.lit("gauge"))).alias("metric_type"), F.coalesce("interval", F.lit(0)).alias("interval"), F.coalesce("host", F.lit("")).alias("host"), "device", "tags")
+    word = F.upper("type")
+    rows = series.withColumn("raw", F.explode("points")).withColumn("p", F.from_json("raw", "array<double>")).where(pair_of_numbers())
+    resources = F.when(F.coalesce("device", F.lit("")) != "", F.create_map(F.lit("device"), F.col("device"))).otherwise(F.create_map().cast(TEXTS))
+    return rows.select(
+        "tenant_id", "metric", (F.col("p")[0].cast("long") * 1000).alias("t_ms"), F.col("p")[1].alias("value"), F.when(word.isin(*METRIC_TYPES), word).otherwise("UNSPECIFIED").alias("metric_type"),
+        F.coalesce("interval", F.lit(0)).alias("interval"), F.coalesce("host", F.lit("")).alias("host"), resources.alias("resources"), "source_type", "unit", "tags", "extra", "note",
+    )
+
+
+def pair_of_numbers() -> Column:
+    return F.coalesce(F.get("p", F.lit(0)).isNotNull() & F.get("p", F.lit(1)).isNotNull(), F.lit(False))
+
+
+def bad_pairs(series: DataFrame) -> DataFrame:
+    """Dead letters for the points of version 1 that are no [timestamp, value] pair of numbers; a series is kept through its other points."""
+    rows = series.select("tenant_id", "received_ms", "metric", F.posexplode("points").alias("at", "raw")).withColumn("p", F.from_json("raw", "array<double>"))
+    note = F.concat(F.lit("points["), F.col("at").cast("string"), F.lit("]: expected a [timestamp, value] pair of numbers"))
+    return rows.where(~pair_of_numbers()).select("tenant_id", "received_ms", F.lit("series_v1").alias("intake"), F.lit("unexpected_shape").alias("reason"), "metric", F.col("raw").alias("body"), note.alias("note"))
+
+
+def distribution_rows(series: DataFrame) -> DataFrame:
+    """A sketch for each point's values: (tenant_id, metric, host, tags, t_ms, bucket_keys, bucket_counts, count, min, max, avg, sum)."""
+    values = F.filter("p.values", lambda v: v.isNotNull())
+    rows = series.withColumn("p", F.explode("points")).withColumn("v", values).withColumn("k", F.array_sort(F.transform("v", sketch_key))).where(F.size("v") > 0)
+    keys = F.array_distinct("k")
+    total = F.aggregate("v", F.lit(0.0), lambda s, v: s + v)
+    return rows.select(
+        "tenant_id", "metric", F.coalesce("host", F.lit("")).alias("host"), "tags", (F.col("p.ts") * 1000).alias("t_ms"), keys.alias("bucket_keys"),
+        F.transform(keys, lambda x: F.size(F.filter("k", lambda y: y == x)).cast("long")).alias("bucket_counts"), F.size("v").cast("long").alias("count"),
+        F.array_min("v").alias("min"), F.array_max("v").alias("max"), (total / F.size("v")).alias("avg"), total.alias("sum"),
+    )
+
+
+def span_rows(spans: DataFrame) -> DataFrame:
+    """Spans with both halves of the trace id, the kind, typed attributes put with meta and metrics, and links and events as aligned arrays."""
+    signed = lambda c: F.when(c >= F.lit(str(1 << 63)).cast("decimal(20,0)"), c - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(c).cast("bigint")
+    tid = F.try_element_at("meta", F.lit("_dd.p.tid"))
+    high = F.when(tid.rlike("^[0-9A-Fa-f]{1,16}$"), signed(F.conv(tid, 16, 10).cast("decimal(20,0)"))).otherwise(F.lit(0).cast("bigint"))
+    strings, numbers = split_attributes(F.col("attributes"))
+    meta = last_of(F.concat(F.coalesce(F.map_entries("meta"), F.array().cast(PAIRS)), strings))
+    pairs = "array<struct<key:string,value:double>>"
+    metrics = last_of(F.concat(F.coalesce(F.map_entries("metrics"), F.array().cast(pairs)), numbers))
+    each = lambda column, of: F.transform(F.coalesce(F.col(column), F.array()), of)
+    return spans.withColumns(
+        {
+            "trace_id_high": high, "kind": F.coalesce(F.try_element_at("meta", F.lit("span.kind")), F.lit("")),
+            "link_trace_id": each("links", lambda x: signed(x["trace_id"])), "link_trace_id_high": each("links", lambda x: signed(x["trace_id_high"])), "link_span_id": each("links", lambda x: signed(x["span_id"])),
+            "link_attributes": each("links", lambda x: F.to_json(x["attributes"])), "link_tracestate": each("links", lambda x: x["tracestate"]), "link_flags": each("links", lambda x: x["flags"]),
+            "event_time": each("span_events", lambda x: x["time_unix_nano"]), "event_name": each("span_events", lambda x: x["name"]), "event_attributes": each("span_events", lambda x: x["attributes"]),
+        }
+    ).withColumns({"meta": meta, "metrics": metrics}).drop("links", "span_events")
+
+
+def split_attributes(attributes: Column) -> tuple[Column, Column]:
+    """Attributes tagged by type ({"string": v}, {"int": n}...) -> pairs of texts and flags, and pairs of numbers."""
+    entries = F.coalesce(F.map_entries(attributes), F.array().cast("array<struct<key:string,value:map<string,string>>>"))
+    text = lambda e: F.coalesce(F.try_element_at(e["value"], F.lit("string")), F.try_element_at(e["value"], F.lit("bool")))
+    number = lambda e: F.coalesce(F.try_element_at(e["value"], F.lit("int")), F.try_element_at(e["value"], F.lit("double"))).try_cast("double")
+    pairs = lambda of: F.filter(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), of(e).alias("value"))), lambda e: e["value"].isNotNull())
+    return pairs(text), pairs(number)
+
+
+def sbom_components(entities: DataFrame) -> DataFrame:
+    """(entity, bom_ref, parent_bom_ref, depth, name, version, purl): every component, at any depth, with the one it is part of."""
+    nodes = flatten_tree(entities, "bom", ["entity"], "$.components", "$.bom-ref").where(F.size("path") > 1)
+    at = lambda key: F.get_json_object("node", f"$.{key}")
+    return nodes.select("entity", at("bom-ref").alias("bom_ref"), F.coalesce("parent", F.lit("")).alias("parent_bom_ref"), (F.size("path") - 2).alias("depth"), at("name").alias("name"), at("version").alias("version"), at("purl").alias("purl"))
+
+
+def sbom_vulnerabilities(entities: DataFrame) -> DataFrame:
+    """(entity, id, description, ratings, affects): a row for each vulnerability, with the references of what it affects."""
+    kind = "array<struct<id:string,description:string,ratings:array<struct<score:double,severity:string>>,affects:array<struct<ref:string>>>>"
+    rows = entities.select("entity", F.explode(F.from_json(F.get_json_object("bom", "$.vulnerabilities"), kind)).alias("v"))
+    return rows.select("entity", F.col("v.id").alias("id"), F.col("v.description").alias("description"), F.col("v.ratings").alias("ratings"), F.col("v.affects.ref").alias("affects"))
 
 
 def pod_counts(resources: DataFrame) -> DataFrame:
@@ -237,12 +477,15 @@ def rum_target(kind: Column) -> Column:
     return F.when(kind == "view", "views").when(kind.isin("action", "resource", "error", "long_task"), "events").when(kind == "telemetry", "telemetry").when(kind == "timeseries", "timeseries").otherwise("unknown")
 
 
-def flatten_tree(rows: DataFrame, tree: str, keep: list[str], children: str = "$.children", most: int = 16) -> DataFrame:
-    """(keep..., path, node): a JSON tree taken apart depth-first; ``path`` is the list of child indexes from the root."""
-    level = rows.select(*keep, F.array(F.lit(0)).alias("path"), F.col(tree).alias("node")).where("node is not null")
+def flatten_tree(rows: DataFrame, tree: str, keep: list[str], children: str = "$.children", label: str | None = None) -> DataFrame:
+    """(keep..., path, parent, node): a JSON tree taken apart at any depth; ``path`` is the list of child indexes from the root,
+    ``parent`` the label of the node above. One level a round, each written, until a level is empty; a node's text is in its row only.
+    """
+    named = lambda c: F.get_json_object(c, label) if label else F.lit(None).cast("string")
+    level = durable(rows.select(*keep, F.array(F.lit(0)).alias("path"), F.lit(None).cast("string").alias("parent"), F.col(tree).alias("node")).where("node is not null"))
     out = level
-    for _ in range(1, most):
+    while not level.isEmpty():
         below = F.posexplode(F.from_json(F.get_json_object("node", children), "array<string>")).alias("i", "child")
-        level = level.select(*keep, "path", below).select(*keep, F.array_append("path", F.col("i")).alias("path"), F.col("child").alias("node"))
+        level = durable(level.select(*keep, "path", named(F.col("node")).alias("parent"), below).select(*keep, F.array_append("path", F.col("i")).alias("path"), "parent", F.col("child").alias("node")))
         out = out.unionAll(level)
     return out

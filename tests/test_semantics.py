@@ -262,3 +262,47 @@ def test_trees_of_any_depth(spark, paths):
     if paths:
         chain = {i: list(range(1, i + 1)) for i in range(1, 101)} | {200: list(range(1, 51)) + [200]}
         assert {r.span_id: list(r.path) for r in got if r.trace_id == 1} == chain
+
+
+LANDING = "tenant_id string, received_ms long, intake string, path string, query map<string,string>, body string"
+
+
+def landed(spark, intake, *bodies, query=None):
+    return spark.createDataFrame([("t", 7, intake, "/x", query or {}, b) for b in bodies], LANDING)
+
+
+def test_trees_of_any_depth_are_taken_apart(spark):
+    tree = '{"n":0}'
+    for k in range(1, 41):
+        tree = f'{{"n":{k},"children":[{tree}]}}'
+    rows = spark.createDataFrame([("c", tree), ("d", None)], "id string, tree string")
+    got = norm.flatten_tree(rows, "tree", ["id"], label="$.n").selectExpr("id", "size(path) - 1 as depth", "parent", "get_json_object(node, '$.n') as n").collect()
+    assert sorted((r.depth, int(r.n), r.parent) for r in got) == [(d, 40 - d, str(41 - d) if d else None) for d in range(41)]
+
+
+def test_lines_of_either_ending_and_one_bad_line(spark):
+    facts, dead = norm.normalise(landed(spark, "logs", '{"message":"a"}\r\n{"message":"b"}\n{"mess\r\n{"message":"c"}'), norm.SPECS["logs"])
+    assert sorted(r.message for r in facts.collect()) == ["a", "b", "c"]
+    assert [(r.reason, r.body) for r in dead.collect()] == [("decode_error", '{"mess')]
+
+
+def test_query_parameters_stand_in(spark):
+    row = norm.normalise(landed(spark, "logs", '{"message":"a","ddtags":"x:1"}', query={"service": "s", "ddsource": "src", "ddtags": "env:e"}), norm.SPECS["logs"])[0].first()
+    assert (row.service, row.source, row.host, row.tags) == ("s", "src", None, {"env": ["e"], "x": ["1"]})
+
+
+def test_nothing_undeclared_is_lost(spark):
+    body = '{"series":[{"metric":"m","type":"x","tags":["a"],"odd":null,"new":{"k":[1,2]},"points":[]},7,{"type":1}],"by":{"who":1},"at":5}'
+    landing = landed(spark, "series_v2", body, '{"series":{}}', '{"other":1}', '{"series":[]}')
+    facts, dead = norm.normalise(landing, norm.SPECS["series_v2"])
+    row = facts.first()
+    assert facts.count() == 1 and row.note == "type" and row.extra == {"new": '{"k":[1,2]}', "type": "x"}
+    assert sorted((r.reason, r.body) for r in dead.collect()) == [("unexpected_shape", '7'), ("unexpected_shape", '{"other":1}'), ("unexpected_shape", '{"series":{}}'), ("unexpected_shape", '{"type":1}')]
+    assert {tuple(sorted(r.extra.items())) for r in norm.leftovers(landing, norm.SPECS["series_v2"]).collect()} == {(("at", "5"), ("by", '{"who":1}')), (("other", "1"),)}
+
+
+def test_unsigned_ids_keep_their_bits(spark):
+    span = '{"traceID":18446744073709551615,"spanID":9223372036854775808,"parentID":-1,"meta":{"_dd.p.tid":"ffffffffffffffff"}}'
+    facts, _ = norm.normalise(landed(spark, "spans", f'{{"tracerPayloads":[{{"chunks":[{{"spans":[{span}]}}]}}]}}'), norm.SPECS["spans"])
+    row = norm.span_rows(facts).first()
+    assert (row.trace_id, row.trace_id_high, row.span_id, row.parent_id, row.note) == (-1, -1, -(1 << 63), None, "parent_id")
