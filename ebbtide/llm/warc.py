@@ -6,7 +6,9 @@ record as a gzip member of its own, and an index of where each member starts and
 is. One file is one task's work, because a gzip stream has no other entry; the writer
 therefore closes an archive after a stated number of payload bytes.
 
-Archives travel as rows of a binary column, so they can be kept in any store that Spark reads or writes.
+Archives travel as rows of a binary column, so they can be kept in any store that Spark reads or writes; the index
+is a table of its own beside them. Archives that break off or hold something else give the records before the
+break, and their name and the reason to a dead-letter table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import durable
+from ..storage import durable, durable_buckets
+from .decontaminate import BLOCK, marked
 from .text import bounded
 
 ARCHIVE_BYTES = 8 << 20  # payload after which the writer starts another archive
@@ -26,6 +29,9 @@ PIECE = 1 << 16
 LEVEL = 3
 GZIP = 31  # zlib's window bits for the gzip format
 
+#: Fixed values. Headers that are read here, as they are written; senders may write them in any case.
+NAMES = {x.lower(): x for x in ("Content-Length", "WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "X-Payload-Length")}
+
 ARCHIVE = "archive string, content binary"
 INDEX = "archive string, nth long, at long, length long, record_id string, record_type string"
 RECORD = "archive string, nth long, headers map<string,string>, payload binary"
@@ -83,7 +89,9 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = bytes(held[:end]).decode("utf-8", "surrogatepass").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        headers = {NAMES.get(k.strip().lower(), k.strip()): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not headers.get("Content-Length", "").isdigit():
+            raise ValueError("a WARC record has no length")
         full = end + 4 + int(headers["Content-Length"]) + 4
         while len(held) < full:
             if not more():
@@ -149,34 +157,37 @@ def write_archives(rows: DataFrame, prefix: str = "part") -> DataFrame:
     return bounded(rows).select("record_id", "uri", "record_type", "refers_to", "digest", "payload_bytes", "payload").mapInArrow(of, ARCHIVE)
 
 
-def normalise_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Monolithic (archive, content) -> the same archives with a member per record, and their index.
+def normalise_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Monolithic (archive, content) -> the same archives with a member per record, their index, and (archive, reason)
+    of those that broke, with the records before the break in the first two.
 
-    Both come from one pass, kept in the shared folder. Archives already in members, or empty, pass too.
+    All come from one pass. The archives are kept bucketed by name, so that readers bring index entries to them and
+    not the other way round; the index is a table of its own. Archives already in members, or empty, pass too.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out = bytearray()
-                index = [
-                    {"nth": n, "at": at, "length": size, "record_id": h.get("WARC-Record-ID"), "record_type": h.get("WARC-Type")}
-                    for n, (at, size, h) in enumerate(normalise(_pieces(content.as_py() or b""), out.extend))
-                ]
+                out, index, reason = bytearray(), [], None
+                try:
+                    for n, (at, size, h) in enumerate(normalise(_pieces(content.as_py() or b""), out.extend)):
+                        index.append({"nth": n, "at": at, "length": size, "record_id": h.get("WARC-Record-ID"), "record_type": h.get("WARC-Type")})
+                except (ValueError, zlib.error) as broken:
+                    reason = str(broken)
                 yield pa.RecordBatch.from_pydict(
-                    {"archive": [name], "content": [bytes(out)], "entries": [index]},
-                    schema=pa.schema([("archive", pa.string()), ("content", pa.binary()), ("entries", entries)]),
+                    {"archive": [name], "content": [bytes(out)], "entries": [index], "reason": [reason]},
+                    schema=pa.schema([("archive", pa.string()), ("content", pa.binary()), ("entries", entries), ("reason", pa.string())]),
                 )
 
     entries = pa.list_(pa.struct([("nth", pa.int64()), ("at", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string())]))
-    kind = "archive string, content binary, entries array<struct<nth:long,at:long,length:long,record_id:string,record_type:string>>"
-    both = durable(archives.select("archive", "content").mapInArrow(of, kind))
-    return both.select("archive", "content"), both.select("archive", F.inline("entries"))
+    kind = "archive string, content binary, entries array<struct<nth:long,at:long,length:long,record_id:string,record_type:string>>, reason string"
+    both = durable_buckets(archives.select("archive", "content").mapInArrow(of, kind), "archive", "none")
+    return both.select("archive", "content"), durable(both.select("archive", F.inline("entries"))), both.where("reason is not null").select("archive", "reason")
 
 
 def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
     """Each indexed member, cut out of its archive by offset and inflated alone: (archive, nth, headers, payload)."""
-    wanted = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("at", "length", "nth"))).alias("members"))
+    wanted = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("at", "length", "nth"))).alias("members"))  # of one archive
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +204,7 @@ def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
                         out["payload"].append(payload_of(raw))
                     yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("archive", pa.string()), ("nth", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]))
 
-    return archives.join(wanted, "archive").select("archive", "content", "members").mapInArrow(of, RECORD)
+    return archives.join(wanted.hint("shuffle_hash"), "archive").select("archive", "content", "members").mapInArrow(of, RECORD)
 
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -213,25 +224,20 @@ def page_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url"
     """Pages as records to write: of equal payloads the largest id is the response, the others revisit it, without payload.
 
     Null html is empty. Null ids rank below all others; rows that repeat an id and a payload are alike
-    and have one type. Equality is by length and SHA-1, as the revisit profile has it.
+    and have one type. Equality is by length and SHA-1, as the revisit profile has it. Only digests are shuffled:
+    responses are marked in the table of bodies where it stands, and revisits need no body.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("record_id"),
-        F.col(uri_col).cast("string").alias("uri"),
-        html.alias("body"),
-    ).withColumns({"payload_bytes": F.octet_length("body").cast("long"), "sha": F.sha1("body")})
-    first = rows.groupBy("sha", "payload_bytes").agg(F.max("record_id").alias("first_id"))
-    own = F.col("record_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, ["sha", "payload_bytes"]).select(
-        "record_id",
-        "uri",
-        F.when(own, "response").otherwise("revisit").alias("record_type"),
-        F.when(~own, F.col("first_id")).alias("refers_to"),
-        base32_of_hex(F.col("sha")).alias("digest"),
-        "payload_bytes",
-        F.when(own, F.col("body")).alias("payload"),
-    )
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("record_id"), F.col(uri_col).cast("string").alias("uri"), html.alias("payload"))
+    known = numbered.withColumns({"block": F.expr(f"row div {BLOCK}"), "payload_bytes": F.octet_length("payload").cast("long"), "sha": F.sha1("payload")})
+    rows = durable_buckets(known, "block", "zstd")
+    slim = rows.select("row", "record_id", "uri", "payload_bytes", "sha")
+    first = durable(slim.groupBy("sha", "payload_bytes").agg(F.max("record_id").alias("first_id")))
+    typed = durable(slim.join(first, ["sha", "payload_bytes"]).withColumn("own", F.col("record_id").eqNullSafe(F.col("first_id"))))
+    columns = ["record_id", "uri", "record_type", "refers_to", base32_of_hex(F.col("sha")).alias("digest"), "payload_bytes", "payload"]
+    responses = marked(rows, typed.where("own").select("row")).withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")})
+    revisits = typed.where("not own").withColumns({"record_type": F.lit("revisit"), "refers_to": F.col("first_id"), "payload": F.lit(None).cast("binary")})
+    return responses.select(*columns).unionAll(revisits.select(*columns))
 
 
 def page_archive_rows(pages: DataFrame) -> DataFrame:
@@ -241,7 +247,7 @@ def page_archive_rows(pages: DataFrame) -> DataFrame:
     measured anew; a revisit has its own headers.
     """
     whole = durable(write_archives(page_records(pages)), "none")
-    archives, index = normalise_archives(whole)
+    archives, index, _ = normalise_archives(whole)
     got = read_records(archives, index)
     number = lambda name: F.regexp_extract(F.col("headers")[name], r"<urn:page:(-?\d+)>", 1)
     answer = F.col("headers")["WARC-Type"] == "response"
