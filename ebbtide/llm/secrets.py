@@ -1,10 +1,10 @@
 """Secret scans over a trigram inverted index.
 
-Each rule is a regular expression. From its syntax tree comes a Boolean query over trigrams that every
-match must contain: a run of single letters gives the AND of its trigrams, a choice the OR of its branches.
-The index is sharded by document, as search engines shard theirs: every batch of documents has postings from
-trigram to its documents. A rule's query intersects and unites postings; its regular expression then
-runs over the candidates only. A rule without mandatory trigrams runs over every text.
+The index holds all trigrams of all texts: a posting list for each trigram and block of documents, written to a table
+once and asked by any rule thereafter. Each rule is a regular expression. From its syntax tree comes a Boolean query
+over trigrams that every match must contain: a run of single letters gives the AND of its trigrams, a choice the
+OR of its branches. A query intersects and unites the lists of a block; the regular expression then runs over
+the candidates only. A rule without mandatory trigrams runs over every text.
 """
 
 from __future__ import annotations
@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable, durable_buckets
 from .text import bounded
 
+BLOCK = 32768  # rows of a posting list's block
+POSTINGS = 2_000_000  # that a task holds before it writes their lists
+PIECE = 1 << 20
 Query = bool | str | tuple  # True: every document; a trigram; ("and" | "or", query, ...)
 
 
@@ -113,33 +117,85 @@ def trigrams_in(query: Query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams_in, query[1:]))
 
 
-class TrigramIndex:
-    """Postings of the rules' trigrams over one batch of texts: a row of bits for each trigram."""
-
-    def __init__(self, grams: set[str]) -> None:
-        self.grams = {g: i for i, g in enumerate(sorted(grams))}
-        self.slot = np.zeros(1 << 24, dtype=np.uint8 if len(grams) < 255 else np.uint16)
-        for g, i in self.grams.items():
-            self.slot[int.from_bytes(g.encode(), "big")] = i + 1
-        self.postings = np.zeros((len(self.grams), 0), dtype=bool)
-
-    def fill(self, texts: list[bytes]) -> None:
-        self.postings = np.zeros((len(self.grams), len(texts)), dtype=bool)
-        for n, text in enumerate(texts):
-            codes = np.frombuffer(text, dtype=np.uint8)
-            for at in range(0, max(0, len(codes) - 2), 1 << 20):
-                c = codes[at : at + (1 << 20) + 2].astype(np.int32)
-                found = self.slot[(c[:-2] << 16) | (c[1:-1] << 8) | c[2:]]
-                hits = np.unique(found[found > 0])
-                self.postings[hits.astype(np.int64) - 1, n] = True
-
-    def answer(self, query: Query) -> np.ndarray:
-        if query is True:
-            return np.ones(self.postings.shape[1], dtype=bool)
+def grams_of(text: str) -> np.ndarray:
+    """The distinct trigrams of a whole text, as numbers of 24 bits; letters A-Z count as a-z."""
+    codes = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    found = [np.zeros(0, dtype=np.int32)]
+    for at in range(0, max(0, len(codes) - 2), PIECE):
+        c = codes[at : at + PIECE + 2].astype(np.int32)
+        found.append(np.unique((c[:-2] << 16) | (c[1:-1] << 8) | c[2:]))
+    return found[1] if len(found) == 2 else np.unique(np.concatenate(found))
+
+
+def numbered(gram: str) -> int:
+    return int.from_bytes(gram.encode(), "big")
+
+
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, block, doc_id, text): every row under a number of its own, written once, bucketed by block."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return durable_buckets(rows.withColumn("block", F.expr(f"row div {BLOCK}")), "block", "zstd")
+
+
+def trigram_index(texts: DataFrame) -> DataFrame:
+    """(gram, block, rows): the rows of a block, two bytes each, that hold a trigram; a block may have several lists of one.
+
+    Lists are made from about two million postings at a time, so a task's memory does not grow with its texts.
+    """
+
+    def lists(grams: list[np.ndarray], rows: list[int]) -> Iterator[pa.RecordBatch]:
+        gram = np.concatenate(grams)
+        row = np.repeat(np.array(rows, dtype=np.int64), [len(g) for g in grams])
+        for block in np.unique(row // BLOCK):
+            here = row // BLOCK == block
+            order = np.argsort(gram[here], kind="stable")
+            ordered, places = gram[here][order], (row[here] % BLOCK)[order].astype("<u2")
+            cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            ends = np.append(cut, len(ordered)).astype(np.int32) * 2
+            blob = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(places.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(ordered[cut]), pa.array(np.full(len(cut), block)), blob], ["gram", "block", "rows"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, rows, size = [], [], 0
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams.append(grams_of(text.as_py() or ""))
+                rows.append(row)
+                size += len(grams[-1])
+                if size >= POSTINGS:
+                    yield from lists(grams, rows)
+                    grams, rows, size = [], [], 0
+        if size:
+            yield from lists(grams, rows)
+
+    return durable(bounded(texts.select("row", "text")).mapInArrow(of, "gram int, block long, rows binary"), "zstd")
+
+
+def candidates(index: DataFrame, asked: list[Query]) -> DataFrame:
+    """(block, masks): for each row of a block a mask of the queries that it meets; blocks in which none is met may be absent.
+
+    Only the lists of the queries' trigrams are read.
+    """
+    wanted = sorted(set().union(*map(trigrams_in, asked)))
+
+    def answer(query: Query, held: dict[int, np.ndarray]) -> np.ndarray:
         if isinstance(query, str):
-            return self.postings[self.grams[query]]
+            return held.get(numbered(query), np.zeros(BLOCK, dtype=bool))
         unite = np.logical_and if query[0] == "and" else np.logical_or
-        return unite.reduce([self.answer(q) for q in query[1:]])
+        return unite.reduce([answer(q, held) for q in query[1:]])
+
+    def of(table: pa.Table) -> pa.Table:
+        held: dict[int, np.ndarray] = {}
+        for gram, rows in zip(table.column("gram").to_pylist(), table.column("rows"), strict=True):
+            held.setdefault(gram, np.zeros(BLOCK, dtype=bool))[np.frombuffer(rows.as_buffer(), dtype="<u2")] = True
+        masks = np.zeros(BLOCK, dtype=np.int64)
+        for k, query in enumerate(asked):
+            if query is not True:
+                masks |= answer(query, held).astype(np.int64) << k
+        return pa.table({"block": table.column("block").slice(0, 1), "masks": pa.array([masks], pa.list_(pa.int64()))})
+
+    lists = index.where(F.col("gram").isin([numbered(g) for g in wanted]))
+    return lists.groupBy("block").applyInArrow(of, "block long, masks array<long>")
 
 
 def matches(rule: Rule, compiled: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
@@ -148,43 +204,50 @@ def matches(rule: Rule, compiled: re.Pattern, text: str) -> Iterator[tuple[int,
             yield m.start(), m.end()
 
 
+def scan(texts: DataFrame, index: DataFrame, base: tuple[Rule, ...], more: tuple[Rule, ...]) -> DataFrame:
+    """The rules' matches in ``kept_texts``, found through their ``trigram_index``; up to 63 rules at once. Columns as of ``secret_rows``."""
+    rules = (*base, *more)
+    if len(rules) > 63:
+        raise ValueError("scan 63 rules at a time")
+    asked = [trigram_query(r.pattern) for r in rules]
+    always = sum(1 << k for k, q in enumerate(asked) if q is True)
+    # masks go to the blocks of their texts; the texts stay where they are
+    met = texts.join(durable(candidates(index, asked)).hint("shuffle_hash"), "block", "left")
+    picked = met.select("doc_id", "text", F.coalesce(F.expr(f"masks[cast(row % {BLOCK} as int)]"), F.lit(0).cast("long")).alias("mask"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [re.compile(r.pattern) for r in rules]
+        for batch in batches:
+            out: dict[str, list] = {f"n_{r.kind}": [] for r in base}
+            digests, spans, tried = [], [], []
+            for text, mask in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text, found = text.as_py() or "", []
+                for k, rule in enumerate(rules):
+                    if (mask | always) >> k & 1:
+                        found += [(a, k, b) for a, b in matches(rule, compiled[k], text)]
+                found.sort()
+                tried.append(mask.bit_count())
+                for k, r in enumerate(base):
+                    out[f"n_{r.kind}"].append(sum(y[1] == k for y in found))
+                line = [(f"{rules[k].kind}:{a}:{b}", k < len(base)) for a, k, b in found]
+                digests.append(hashlib.sha256(",".join(s for s, own in line if own).encode()).hexdigest())
+                spans.append(",".join(s for s, _ in line))
+            columns = [batch.column(0), *(pa.array(v, pa.int64()) for v in out.values()), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(tried, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *out, "base_sha256", "spans", "n_candidates"])
+
+    kind = picked.select("doc_id").schema
+    for name in (f"n_{r.kind}" for r in base):
+        kind = kind.add(name, "long")
+    return bounded(picked).mapInArrow(of, kind.add("base_sha256", "string").add("spans", "string").add("n_candidates", "long"))
+
+
 def secret_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple[Rule, ...] = BASE_RULES, more: tuple[Rule, ...] = MORE_RULES
 ) -> DataFrame:
     """(doc_id, n_<base kind>..., base_sha256, spans, n_candidates): one row per input row.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind as listed. Null text is empty;
-    null and repeated ids pass through. A batch's texts are held with their postings; no rows move.
+    null and repeated ids, of any type, pass through. To ask more rules later, keep the texts and the index.
     """
-    rules = (*base, *more)
-    asked = [trigram_query(r.pattern) for r in rules]
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TrigramIndex(set().union(*map(trigrams_in, asked)))
-        compiled = [re.compile(r.pattern) for r in rules]
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                batch = whole.slice(first, 1024)
-                texts = [x.as_py() or "" for x in batch.column(1)]
-                index.fill([x.encode("utf-8", "surrogatepass").lower() for x in texts])
-                found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-                tried = np.zeros(len(texts), dtype=np.int64)
-                for k, (rule, query) in enumerate(zip(rules, asked, strict=True)):
-                    for n in np.flatnonzero(index.answer(query)):
-                        tried[n] += query is not True
-                        found[n] += [(a, k, b) for a, b in matches(rule, compiled[k], texts[n])]
-                out: dict[str, list] = {f"n_{r.kind}": [] for r in base}
-                digests, spans = [], []
-                for x in found:
-                    x.sort()
-                    for k, r in enumerate(base):
-                        out[f"n_{r.kind}"].append(sum(y[1] == k for y in x))
-                    line = [(f"{rules[k].kind}:{a}:{b}", k < len(base)) for a, k, b in x]
-                    digests.append(hashlib.sha256(",".join(s for s, own in line if own).encode()).hexdigest())
-                    spans.append(",".join(s for s, _ in line))
-                columns = [batch.column(0), *(pa.array(v, pa.int64()) for v in out.values()), pa.array(digests), pa.array(spans), pa.array(tried)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *out, "base_sha256", "spans", "n_candidates"])
-
-    counts = "".join(f"n_{r.kind} long, " for r in base)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return bounded(picked).mapInArrow(of, f"doc_id long, {counts}base_sha256 string, spans string, n_candidates long")
+    texts = kept_texts(docs, id_col, text_col)
+    return scan(texts, trigram_index(texts), base, more)
