@@ -32,7 +32,11 @@ LOOSE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+A-Za-z.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
 }
-LOOSE_GATE = {"email": r"[\[(](?:at|AT)[\])]", "phone": r"[0-9]{3}[.-][0-9]{4}"}
+LOOSE |= {
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\x20\.\x20?|\x20?[\[(](?:\.|dot|DOT)[\])]\x20?)[0-9]{1,3}){3}(?![0-9.])",
+    "card": r"(?<![0-9._/])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9._/])",
+}
+LOOSE_GATE = {"ip": r"[0-9]\x20?(?:\.\x20|[\[(](?:\.|dot|DOT)[\])]|\x20\.)", "card": r"[0-9]{4}[._/][0-9]{4}[._/]", "email": r"[\[(](?:at|AT)[\])]", "phone": r"[0-9]{3}[.-][0-9]{4}"}
 #: Gazetteers: top-level domains, calling codes, card issuers' first digits, words that announce a kind.
 DOMAINS = r"(?i)[.)\]\x20](?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|it|nl|ch|at|us|ca|co)$"
 CALLING = r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])"
@@ -48,6 +52,7 @@ VOTERS = 5
 FEATURES = 1 + 2 * VOTERS + 3  # a constant, a yes and a no for each labeler, three of shape
 EM_ROUNDS, FIT_ROUNDS = 25, 200
 CONTEXT = 32
+SPAN_BLOCK = 256  # matches of a text that are placed together
 
 
 def found_spans(text: Column, pattern: str) -> Column:
@@ -56,6 +61,8 @@ def found_spans(text: Column, pattern: str) -> Column:
     pairs = F.arrays_zip(hits.alias("value"), F.slice(gaps, 1, F.size(hits)).alias("before"), F.slice(gaps, 2, F.size(hits)).alias("after"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
 
+    width = lambda x: F.length(x["before"]) + F.length(x["value"])
+
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + F.length(x["before"])
         end = start + F.length(x["value"])
@@ -68,7 +75,12 @@ def found_spans(text: Column, pattern: str) -> Column:
         )
         return F.struct(end.alias("at"), F.array_append(done["out"], one).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda done: done["out"])
+    # in blocks, since an array grows by being copied: first the place of each block, then the spans of each
+    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.size(pairs) / SPAN_BLOCK)), lambda k: k * SPAN_BLOCK < F.size(pairs)), lambda k: F.slice(pairs, (k * SPAN_BLOCK + 1).cast("int"), F.lit(SPAN_BLOCK)))
+    long = lambda block: F.aggregate(block, F.lit(0), lambda s, x: s + width(x))
+    place = lambda done, n: F.struct((done["at"] + n).alias("at"), F.array_append(done["out"], done["at"]).alias("out"))
+    starts = F.aggregate(F.transform(blocks, long), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), place, lambda done: done["out"])
+    return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step, lambda done: done["out"])))
 
 
 def luhn(digits: Column) -> Column:
@@ -101,16 +113,18 @@ def _vote(yes: Column, no: Column) -> Column:
 def judged(kind: str, x: Column, loose: bool) -> Column:
     """A candidate with its votes (0 nothing, 1 yes, 2 no) and shape bits."""
     value, digits = x["value"], F.regexp_replace(x["value"], "[^0-9]", "")
+    parts = F.filter(F.split(value, "[^0-9]+"), lambda p: p != "")
+    in_range = (F.size(parts) == 4) & F.forall(parts, lambda p: (F.length(p) <= 3) & (F.coalesce(p.substr(1, 3).cast("int"), F.lit(999)) <= 255)) if loose else valid(kind, value)
     glued = x["before"].rlike(r"[\p{L}0-9_]$") | x["after"].rlike(r"^[\p{L}0-9_]")
     listed = {
         "email": _vote(value.rlike(DOMAINS), F.lit(False)),
-        "ip": _vote(value.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\."), value.rlike(r"^0")),
+        "ip": _vote(value.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])(?![0-9])"), value.rlike(r"^0")),
         "card": _vote(digits.rlike(ISSUERS), digits.rlike(r"^[01789]")),
         "phone": _vote(value.rlike(CALLING), ~value.rlike(CALLING)),
     }[kind]
     checked = {
         "email": _vote(value.rlike(r"^[^@]{1,64}@[^@]{4,255}$") if not loose else F.lit(True), F.length(value) > 320),
-        "ip": _vote(valid(kind, value), ~valid(kind, value)),
+        "ip": _vote(in_range, ~in_range),
         "card": _vote(valid(kind, value), ~valid(kind, value)),
         "phone": _vote(F.length(digits).between(9, 15), ~F.length(digits).between(9, 15)),
     }[kind]
