@@ -44,12 +44,12 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): one row per input row.
 
     A row's size is its text's UTF-8 bytes plus ``overhead``. Shards get equal bytes to within one row;
-    slots count from 0 without gaps. Null text is empty (size 16, checksum 0); null ids sort first; repeated rows
+    slots count from 0 without gaps. Null text is empty (size 16, checksum 0); null ids sort first, ids that are no numbers last; repeated rows
     are told apart by a row number. An empty table gives no rows. What reaches the driver is splitters and
     range totals, whose number depends on ``shards`` only.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    number = F.col(id_col).cast("long")
+    number = F.col(id_col).cast("string").try_cast("long")
     base = durable(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -57,8 +57,8 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.crc32(text).alias("text_crc32"),
             F.concat(
                 F.md5(text),
-                F.when(number.isNull(), "-").when(number < 0, "0").otherwise("1"),
-                F.lpad(F.hex(F.coalesce(number, F.lit(0))), 16, "0"),
+                F.when(F.col(id_col).isNull(), "-").when(number.isNull(), "2").when(number < 0, "0").otherwise("1"),
+                F.coalesce(F.lpad(F.hex(number), 16, "0"), F.md5(F.col(id_col).cast("string")), F.lit("")),
                 F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"),
             ).alias("key"),
         )
