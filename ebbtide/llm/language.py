@@ -30,9 +30,9 @@ SIZES = (2, 4)  # n-gram lengths, in letters, word ends included
 def letters(text: str) -> str:
     """The words of letters of a text, lowered and joined by one blank."""
     line = NOT_LETTERS.sub(" ", text.lower())
-    if not line.replace(" ", "").isalpha():
-        line = "".join(c if c.isalpha() else " " for c in line)
-    return " ".join(line.split())
+    if not line.isascii() and not line.replace(" ", "").isalpha():
+        line = " ".join("".join(c if c.isalpha() else " " for c in line).split())
+    return line.strip()
 
 
 def grams(text: str, sizes: tuple[int, ...] = SIZES) -> Iterator[np.ndarray]:
@@ -53,9 +53,12 @@ def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h * s) >> np.uint64(64 - bits)).astype(np.int64) for s in SALTS]
 
 
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)  # bits of each byte
+
+
 @dataclass
 class LanguageFilter:
-    """The learned filter: ``masks`` has 2 ** bits slots of one byte for every eight languages."""
+    """The learned filter: ``masks`` has a slice of 2 ** bits bytes for every eight languages."""
 
     languages: list[str]
     masks: np.ndarray
@@ -64,10 +67,11 @@ class LanguageFilter:
     @classmethod
     def of_slots(cls, languages: list[str], at: np.ndarray, part: np.ndarray, mask: np.ndarray, bits: int) -> LanguageFilter:
         """From (slot, which byte, bits of the byte)."""
-        masks = np.zeros((1 << bits, max(1, -(-len(languages) // 8))), dtype=np.uint8)
-        np.bitwise_or.at(masks, (at, part), mask)
-        ones = sum(np.unpackbits(masks[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, 1 << bits, 1 << 16))
-        return cls(languages, masks, (ones[: len(languages)] / (1 << bits)) ** len(SALTS))
+        masks = np.zeros((max(1, -(-len(languages) // 8)), 1 << bits), dtype=np.uint8)
+        np.bitwise_or.at(masks, (part, at), mask)
+        made = cls(languages, masks)
+        made.false_rate = (made.popcounts(masks) / (1 << bits)) ** len(SALTS)
+        return made
 
     @classmethod
     def build(cls, languages: list[str], hashes: np.ndarray, owner: np.ndarray, bits: int) -> LanguageFilter:
@@ -77,17 +81,20 @@ class LanguageFilter:
         return cls.of_slots(languages, at, owner // 8, (1 << owner % 8).astype(np.uint8), bits)
 
     def languages_of(self, h: np.ndarray) -> np.ndarray:
-        """The mask of languages that contain each n-gram, a row of bytes for each."""
-        a, b, c = slots(h, int(len(self.masks)).bit_length() - 1)
-        return self.masks[a] & self.masks[b] & self.masks[c]
+        """The mask of languages that contain each n-gram, a slice of bytes for every eight."""
+        a, b, c = slots(h, int(self.masks.shape[1]).bit_length() - 1)
+        return np.stack([x[a] & x[b] & x[c] for x in self.masks])
+
+    def popcounts(self, masks: np.ndarray) -> np.ndarray:
+        """How many of the masks have each language's bit."""
+        return np.concatenate([np.bincount(x, minlength=256) @ BITS for x in masks])[: len(self.languages)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        n = len(self.languages)
-        counts, total = np.zeros(n), 0
+        counts, total = np.zeros(len(self.languages)), 0
         for h in grams(text or ""):
             total += len(h)
-            counts += np.unpackbits(self.languages_of(h), axis=1, bitorder="little", count=n).sum(axis=0, dtype=np.int64) if n else 0
-        if not total or not n:
+            counts += self.popcounts(self.languages_of(h))
+        if not total or not self.languages:
             return UNKNOWN, 0.0
         true = np.maximum(0, counts - total * self.false_rate) / (1 - np.minimum(self.false_rate, 0.999))
         best = int(true.argmax())
@@ -111,7 +118,7 @@ def fit(
     count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct("name").alias("n")).collect()}
     languages = sorted(count)
     if not languages:
-        return LanguageFilter([], np.zeros((1 << bits, 1), dtype=np.uint8), np.zeros(0))
+        return LanguageFilter([], np.zeros((1, 1 << bits), dtype=np.uint8))
     limit = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1.0, per_language / n))])
     rank = F.col("name").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     sample = rows.where(rank < limit[F.col("lang")]).groupBy("lang", "name").agg(F.any_value("text").alias("text")).select("lang", "text")
