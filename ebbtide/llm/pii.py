@@ -223,13 +223,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Spans are kind:start:end in code points, end exclusive, by kind as listed, then start. Null text is empty; an
     empty table gives no rows; null and repeated ids pass through. A base match that fails its check counts
-    as a candidate and is never a base span; only the classifier could add a proposed one.
+    as a candidate and is never a base span; only the classifier can add a proposed one, and none that fails
+    its kind's check.
     """
     found = durable(candidates(docs, id_col, text_col))
     models = {r.kind: r.weights for r in fit(found).collect()}  # at most one row of 14 numbers for each kind
     weights = F.array(*[F.array(*map(F.lit, models.get(k, [-1.0] + [0.0] * (FEATURES - 1)))) for k in range(len(KINDS))])
     loose = lambda x: F.floor(x["code"] / (8 * 3 ** (VOTERS - 1))) % 3 == 0
-    accepted = F.filter("found", lambda x: loose(x) & (_logistic(_dot(F.get(weights, x["kind"]), features(x["code"]))) >= least))
+    failed = lambda x: F.floor(x["code"] / (8 * 3 ** (VOTERS - 2))) % 3 == 2
+    accepted = F.filter("found", lambda x: loose(x) & ~failed(x) & (_logistic(_dot(F.get(weights, x["kind"]), features(x["code"]))) >= least))
     base = F.array_sort(F.filter("found", lambda x: x["base"]))
     free = F.filter(accepted, lambda x: ~F.exists(base, lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"])))
     names = F.array(*map(F.lit, KINDS))
