@@ -32,6 +32,13 @@ def mon_ticks(spark: SparkSession, monitors: list[int], from_ms: int, to_ms: int
     return rows.select(F.explode(F.array(*map(F.lit, monitors)).cast("array<bigint>")).alias("monitor_id"), "tick")
 
 
+def ticks_between(rows: DataFrame, at: str, every_ms: int) -> DataFrame:
+    """(monitor_id, tick): each monitor's aligned ticks from its first row to its last."""
+    first = (F.ceil(F.min(at) / every_ms) * every_ms).cast("long")
+    spans = rows.groupBy("monitor_id").agg(first.alias("first"), F.max(at).alias("last")).where("first <= last")
+    return spans.select("monitor_id", F.explode(F.sequence("first", "last", F.lit(every_ms))).alias("tick"))
+
+
 def tick_every_ms(reach_ms: int) -> int:
     """A minute for windows under a day, ten up to two days, thirty beyond."""
     return 60_000 * (1 if reach_ms < 86_400_000 else 10 if reach_ms <= 172_800_000 else 30)

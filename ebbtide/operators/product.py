@@ -93,3 +93,57 @@ def event_shape(docs: DataFrame, column: str) -> DataFrame:
         .otherwise("string")
     )
     return pairs.groupBy("key", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def without_digest(images: DataFrame) -> DataFrame:
+    """(image, name): images known only by a local id, since no registry has given them a content digest."""
+    return images.where(~F.coalesce(F.col("digest").startswith("sha"), F.lit(False))).select(F.col("digest").alias("image"), "name").distinct()
+
+
+def repaired_kinds(manifests: DataFrame) -> DataFrame:
+    """Manifests with a kind on each: its own, else the newest that the object was ever sent with."""
+    known = manifests.where(F.coalesce("kind", F.lit("")) != "").groupBy("uid").agg(F.max_by("kind", F.struct("received_ms", "version")).alias("known"))
+    return manifests.join(known, "uid", "left").withColumn("kind", F.coalesce(F.nullif("kind", F.lit("")), "known")).drop("known")
+
+
+def fleet_versions(hosts: DataFrame) -> DataFrame:
+    """(agent_version, hosts): how many hosts run each version, by the newest report of each."""
+    newest = hosts.groupBy("host").agg(F.max_by("agent_version", F.struct("received_ms", "agent_version")).alias("agent_version"))
+    return newest.groupBy("agent_version").agg(F.count("*").alias("hosts"))
+
+
+def test_run(tests: DataFrame) -> DataFrame:
+    """(suite, tests, failed, slowest, total): a run's suites, failures first in the reader's order."""
+    failed = F.sum((F.col("status") == "fail").cast("long"))
+    return tests.groupBy("suite").agg(F.count_distinct("test").alias("tests"), failed.alias("failed"), F.max("duration").alias("slowest"), F.sum("duration").alias("total"))
+
+
+def rule_hits(results: DataFrame) -> DataFrame:
+    """(rule, resources, matches, failed): what each scanning rule found, and how many scans of it failed."""
+    good = F.when(~F.coalesce("failed", F.lit(False)), F.col("matches"))
+    return results.groupBy("rule").agg(F.count_distinct("resource").alias("resources"), F.coalesce(F.sum(good), F.lit(0)).alias("matches"), F.count_if("failed").alias("failed"))
+
+
+def statement_volume(events: DataFrame, every_ms: int) -> DataFrame:
+    """(track, bucket_ms, events, signatures, bytes): how much each database track sends."""
+    bucket = (F.floor(F.col("t_ms") / every_ms) * every_ms).cast("long")
+    return events.groupBy("track", bucket.alias("bucket_ms")).agg(F.count("*").alias("events"), F.count_distinct("signature").alias("signatures"), F.sum(F.octet_length("statement")).alias("bytes"))
+
+
+def exit_lateness(exits: DataFrame) -> DataFrame:
+    """(exit_code, exits, late_ms, latest_ms): how long after a container's end its event arrives."""
+    late = F.col("received_ms") - F.col("exited_at") * 1000
+    return exits.groupBy("exit_code").agg(F.count("*").alias("exits"), F.avg(late).alias("late_ms"), F.max(late).alias("latest_ms"))
+
+
+def late_points(points: DataFrame, arrived: str, every_ms: int, delay_ms: int) -> DataFrame:
+    """(metric, late, points): points that arrive after their bucket was evaluated, ``delay_ms`` after its end."""
+    read_at = (F.floor(F.col("t_ms") / every_ms) + 1) * every_ms + delay_ms
+    return points.groupBy("metric").agg(F.count_if(F.col(arrived) > read_at).alias("late"), F.count("*").alias("points"))
+
+
+def past_cursor(rows: DataFrame, cursors: DataFrame, key: str, at: str, now_ms: int, overlap_ms: int = 30_000, floor_ms: int = 86_400_000) -> DataFrame:
+    """Rows past each key's cursor (key, cursor_ms), read again ``overlap_ms`` back, and never further back than ``floor_ms``."""
+    joined = rows.join(cursors, key, "left")
+    since = F.greatest(F.coalesce("cursor_ms", F.lit(0).cast("long")) - overlap_ms, F.lit(now_ms - floor_ms))
+    return joined.where((F.col(at) > since) & (F.col(at) <= now_ms)).drop("cursor_ms")

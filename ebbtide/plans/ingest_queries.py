@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sketch import LOG_GAMMA
 from ..operators import monitors as mon
+from ..operators import product
 from ..sources import normalise as norm
 from ..sources.telemetry import epoch_ms, table
 from .registry import register
@@ -287,3 +288,23 @@ signal(
     {"container": "CAST(event_id AS STRING)", "path": "unnest(['0', '0.0', '0.0.0', '0.1'])", "exe": "unnest(['init', event_type, 'leaf', 'b'])"},
     lambda f: norm.flatten_tree(f, "tree", ["container"]),
 )
+
+
+def read(name: str, signal_name: str, of, sql: str) -> None:
+    """Register a read of a signal's facts."""
+    intake, body = SIMPLE[signal_name][:2]
+    register(name, lambda s, d: of(facts(s, d, intake, body)), f"{GOOD} {sql}")
+
+
+read("fleet_versions", "norm_hosts", product.fleet_versions, f"SELECT agent_version, count(*) AS hosts FROM (SELECT {HOST.replace('STRING', 'VARCHAR')} AS host, arg_max('7.' || CAST(q AS VARCHAR), (ms, '7.' || CAST(q AS VARCHAR))) AS agent_version FROM good GROUP BY 1) GROUP BY 1")
+read("images_without_digest", "norm_container_images", product.without_digest, "SELECT DISTINCT 'id' || CAST(h AS VARCHAR) AS image, event_type AS name FROM good WHERE q = 0")
+KINDS = {"clusterId": "'k'", "manifests": [{"uid": "'u' || CAST(user_id AS STRING)", "kind": "CASE WHEN q < 2 THEN NULL ELSE event_type END", "resourceVersion": "CAST(event_id AS STRING)", "content": "'{}'"}]}
+register(
+    "manifest_kind_repair",
+    lambda s, d: product.repaired_kinds(facts(s, d, "k8s_manifests", KINDS)).select("uid", "version", "kind"),
+    f"{GOOD}, k AS (SELECT user_id, arg_max(event_type, (ms + 1000, CAST(event_id AS VARCHAR))) AS known FROM good WHERE q >= 2 GROUP BY user_id) SELECT 'u' || CAST(user_id AS VARCHAR) AS uid, CAST(event_id AS VARCHAR) AS version, CASE WHEN q < 2 THEN known ELSE event_type END AS kind FROM good LEFT JOIN k USING (user_id)",
+)
+read("ci_run", "norm_ci_tests", product.test_run, "SELECT event_type AS suite, count(DISTINCT h) AS tests, CAST(count(*) FILTER (q = 0) AS BIGINT) AS failed, max(user_id) AS slowest, CAST(sum(user_id) AS BIGINT) AS total FROM good GROUP BY 1")
+read("sds_rule_hits", "norm_sds", product.rule_hits, "SELECT event_type AS rule, count(DISTINCT h) AS resources, CAST(coalesce(sum(q) FILTER (q <> 0), 0) AS BIGINT) AS matches, count(*) FILTER (q = 0) AS failed FROM good GROUP BY 1")
+read("dbm_volume", "norm_dbm_events", lambda f: product.statement_volume(f, 3_600_000), "SELECT 'pg' AS track, ms // 3600000 * 3600000 AS bucket_ms, count(*) AS events, count(DISTINCT q) AS signatures, CAST(sum(strlen('select ' || event_type)) AS BIGINT) AS bytes FROM good GROUP BY 2")
+read("container_exit_lateness", "norm_container_events", lambda f: product.exit_lateness(f).withColumn("late_ms", F.round("late_ms", 4)), "SELECT CASE WHEN q <> 0 THEN q END AS exit_code, count(*) AS exits, round(avg(ms + 1000 - sec * 1000), 4) AS late_ms, max(ms + 1000 - sec * 1000) AS latest_ms FROM good GROUP BY 1")

@@ -54,7 +54,6 @@ AT = 900_000_000_000
 register("snapshot_complete", lambda s, d: product.snapshot_complete(frames(s, d)), f"WITH {FRAMES} SELECT group_id, count(*) AS frames, max(group_size) AS group_size FROM frames GROUP BY group_id HAVING count(*) = max(group_size)")
 register("processes_at", lambda s, d: product.processes_at(frames(s, d), AT).select("host", "group_id", "span_id"), f"WITH {FRAMES}, n AS (SELECT host, arg_max(group_id, (t_ms, group_id)) AS group_id FROM frames WHERE t_ms <= {AT} GROUP BY host) SELECT host, group_id, span_id FROM frames JOIN n USING (host, group_id)")
 register("host_stopped_sending", lambda s, d: product.silent_hosts(points(s, d), FROM + 30 * DAY * 1000, 2 * 3_600_000), f"WITH {POINTS_SQL} SELECT host, max(t_ms) AS last_ms FROM pts GROUP BY host HAVING {FROM + 30 * DAY * 1000} - max(t_ms) > {2 * 3_600_000}")
-register("fleet_versions", lambda s, d: points(s, d).groupBy((F.col("user_id") % 4).alias("version")).agg(F.count_distinct("host").alias("hosts")), f"WITH {POINTS_SQL} SELECT user_id % 4 AS version, count(DISTINCT host) AS hosts FROM pts GROUP BY 1")
 register(
     "latest_check_status",
     lambda s, d: catalog.replace_by_version(telemetry.check_runs(table(s, d, "events")).select("check_name", "host", "t_ms", "event_id", "status"), ["check_name", "host"], ["t_ms", "event_id"]).select("check_name", "host", "status"),
@@ -87,14 +86,9 @@ register(
     f"WITH {OBJECTS_SQL} SELECT t_ms // {30 * DAY * 1000} * {30 * DAY * 1000} AS bucket_ms, what, CAST(sum(n) AS BIGINT) AS n FROM (SELECT t_ms, unnest(['ready', 'desired']) AS what, unnest([ready, desired]) AS n FROM obj) GROUP BY ALL",
 )
 register("k8s_manifest_versions", lambda s, d: objects(s, d).groupBy("kind").agg(F.count_distinct("id", "version").alias("versions"), F.round(F.count_distinct("id") / F.count("*"), 6).alias("share")), f"WITH {OBJECTS_SQL} SELECT kind, count(DISTINCT (id, version)) AS versions, round(count(DISTINCT id) / count(*), 6) AS share FROM obj GROUP BY kind")
-register("manifest_kind_repair", lambda s, d: table(s, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 != 0, F.col("event_type")), F.concat(F.lit("k"), F.get_json_object("props", "$.k"))).alias("kind")), "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type ELSE 'k' || json_extract_string(props, '$.k') END AS kind FROM events")
-register("container_exit_lateness", lambda s, d: points(s, d).groupBy("host", (F.col("k") % 3).alias("exit_code")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("t_ms") % 60000), 4).alias("late_ms")), f"WITH {POINTS_SQL} SELECT host, k % 3 AS exit_code, count(*) AS n, round(avg(t_ms % 60000), 4) AS late_ms FROM pts GROUP BY ALL")
-register("images_without_digest", lambda s, d: table(s, d, "part").where(F.col("p_partkey") % 3 == 0).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")
 register("metric_namespaces", lambda s, d: points(s, d).groupBy(F.split("metric", r"\.")[0].alias("namespace")).agg(F.count("*").alias("points"), F.count_distinct("metric", "host").alias("series"), F.count_distinct("metric").alias("metrics")), f"WITH {POINTS_SQL} SELECT split_part(metric, '.', 1) AS namespace, count(*) AS points, count(DISTINCT (metric, host)) AS series, count(DISTINCT metric) AS metrics FROM pts GROUP BY 1")
 register("log_noisiest", lambda s, d: telemetry.logs(table(s, d, "documents")).groupBy("service", "host").agg(F.count("*").alias("n"), F.round(F.avg(F.length("message")), 4).alias("length")).orderBy(F.col("n").desc(), "service", "host").limit(40), f"WITH {LOGS_SQL} SELECT service, host, count(*) AS n, round(avg(length(message)), 4) AS length FROM logs GROUP BY ALL ORDER BY n DESC, service, host LIMIT 40")
-register("dbm_volume", lambda s, d: table(s, d, "conversations").groupBy(F.col("role").alias("track")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "SELECT role AS track, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY role")
 register("dbm_event_shape", lambda s, d: product.event_shape(table(s, d, "events"), "props"), "SELECT key, 'number' AS kind, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
-register("sds_rule_hits", lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("rule")).agg(F.count_if(F.col("value") > 60).alias("failed"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("matches")), "SELECT event_type AS rule, count(*) FILTER (value > 60) AS failed, CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS matches FROM events GROUP BY event_type")
 register("rum_view_final", lambda s, d: catalog.replace_by_version(table(s, d, "conversations"), ["conv_id"], ["turn", "role"]).select("conv_id", "turn", "role"), "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS rn FROM conversations) WHERE rn = 1")
 register("rum_event_lag", lambda s, d: points(s, d).groupBy("metric").agg(F.round(F.percentile(F.col("t_ms") % 10000, F.lit(0.9)), 4).alias("lag")), f"WITH {POINTS_SQL} SELECT metric, round(quantile_cont(t_ms % 10000, 0.9), 4) AS lag FROM pts GROUP BY metric")
 register(
@@ -102,7 +96,6 @@ register(
     lambda s, d: product.test_history(telemetry.check_runs(table(s, d, "events")), ["check_name", "host"]),
     f"WITH {CHECKS_SQL}, f AS (SELECT *, CASE WHEN status <> lag(status) OVER (PARTITION BY check_name, host ORDER BY t_ms, event_id) THEN 1 ELSE 0 END AS flip FROM runs) SELECT check_name, host, count(*) AS runs, CAST(sum(CASE WHEN status <> 'OK' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(flip) AS BIGINT) AS flips FROM f GROUP BY ALL",
 )
-register("ci_run", lambda s, d: telemetry.check_runs(table(s, d, "events")).where("host = 'host-3'").groupBy("check_name", "status").agg(F.count("*").alias("n")), f"WITH {CHECKS_SQL} SELECT check_name, status, count(*) AS n FROM runs WHERE host = 'host-3' GROUP BY ALL")
 register("webhook_dedup", lambda s, d: (lambda e: e.unionAll(e).dropDuplicates(["event_id"]).select("event_id", "event_type"))(table(s, d, "events")), "SELECT event_id, event_type FROM events")
 register(
     "flow_top_talkers",
@@ -112,10 +105,14 @@ register(
 register("ttl_by_table", lambda s, d: catalog.dropped_by_age(points(s, d), NOW, 7).groupBy("metric").agg(F.count("*").alias("n")), f"WITH {POINTS_SQL} SELECT metric, count(*) AS n FROM pts WHERE t_ms > {NOW - 7 * DAY * 1000} GROUP BY metric")
 register(
     "late_by_evaluation_delay",
-    lambda s, d: points(s, d).withColumn("arrived", F.col("t_ms") + F.col("k") * 1000).where((F.col("arrived") <= NOW) & (F.col("t_ms") < NOW - 60_000)).groupBy("metric").agg(F.count("*").alias("n")),
-    f"WITH {POINTS_SQL} SELECT metric, count(*) AS n FROM pts WHERE t_ms + k * 1000 <= {NOW} AND t_ms < {NOW - 60_000} GROUP BY metric",
+    lambda s, d: product.late_points(points(s, d).withColumn("arrived", F.col("t_ms") + F.col("k") * 1000), "arrived", 60_000, 30_000),
+    f"WITH {POINTS_SQL} SELECT metric, count(*) FILTER (t_ms + k * 1000 > (t_ms // 60000 + 1) * 60000 + 30000) AS late, count(*) AS points FROM pts GROUP BY metric",
+)
+register(
+    "incremental_cursor",
+    lambda s, d: product.past_cursor(telemetry.transitions(table(s, d, "events")), telemetry.notifications(table(s, d, "events")).groupBy("monitor_id").agg((F.max("transition_at") - 6 * DAY * 1000).alias("cursor_ms")), "monitor_id", "inserted_at", NOW).select("event_id", "inserted_at"),
+    f"WITH {MONITORS_SQL} SELECT event_id, inserted_at FROM trans LEFT JOIN (SELECT monitor_id, max(transition_at) - {6 * DAY * 1000} AS c FROM notes GROUP BY monitor_id) USING (monitor_id) WHERE inserted_at > greatest(coalesce(c, 0) - 30000, {NOW - DAY * 1000}) AND inserted_at <= {NOW}",
 )
-register("incremental_cursor", lambda s, d: telemetry.transitions(table(s, d, "events")).where(F.col("inserted_at") > NOW - 30_000 - DAY * 1000).select("event_id", "inserted_at"), f"WITH {MONITORS_SQL} SELECT event_id, inserted_at FROM trans WHERE inserted_at > {NOW - 30_000 - DAY * 1000}")
 #: The bench's large series: order lines as points.
 register(
     "lineitem_weekly",

@@ -61,13 +61,19 @@ for name in ("robust", "agile"):
 register("model_fit", lambda s, d: models.model_fit(hourly(s, d), "robust", "weekly", FROM + 24 * DAY * 1000).select("kind", "season", "fitted_to", F.round("level", 4).alias("level"), F.round("sigma", 4).alias("sigma"), F.size("profile").alias("steps")))
 register("model_apply", lambda s, d: models.model_apply(hourly(s, d), models.model_fit(hourly(s, d), "agile", "weekly", FROM + 24 * DAY * 1000), "weekly").agg(F.count("*").alias("banded")))
 SEASON_TO = FROM + 28 * DAY * 1000
-RESAMPLED = f"""WITH {POINTS_SQL}, {series_ctes(by=(), step=HOUR)},
+
+
+def resampled_sql(frm: int = FROM) -> str:
+    return f"""WITH {POINTS_SQL}, {series_ctes(by=(), step=HOUR, frm=frm)},
  g AS (SELECT unnest(range((SELECT min(bucket_ms) FROM base), {SEASON_TO}, 3600000)) AS bucket_ms), j AS (SELECT g.bucket_ms, b.value FROM g LEFT JOIN base b ON g.bucket_ms = b.bucket_ms),
  w AS (SELECT *, last_value(value IGNORE NULLS) OVER p AS v0, max(CASE WHEN value IS NOT NULL THEN bucket_ms END) OVER p AS t0, first_value(value IGNORE NULLS) OVER n AS v1, min(CASE WHEN value IS NOT NULL THEN bucket_ms END) OVER n AS t1
   FROM j WINDOW p AS (ORDER BY bucket_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (ORDER BY bucket_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
  SELECT bucket_ms, round(coalesce(value, v0 + (v1 - v0) * ((bucket_ms - t0) / (t1 - t0)), v0, v1), 6) AS value FROM w WHERE (SELECT count(*) FROM g) >= 504 AND (SELECT count(*) FROM base WHERE bucket_ms < {SEASON_TO}) >= 0.8 * (SELECT count(*) FROM g)"""
-register("resample_season", lambda s, d: rounded(models.resample_season(hourly(s, d), "weekly", SEASON_TO), "value"), RESAMPLED)
-register("seasonal_history", lambda s, d: rounded(models.resample_season(hourly(s, d, from_ms=SEASON_TO - 6 * 604_800_000), "weekly", SEASON_TO), "value"), RESAMPLED)
+
+
+register("resample_season", lambda s, d: rounded(models.resample_season(hourly(s, d), "weekly", SEASON_TO), "value"), resampled_sql())
+HISTORY = SEASON_TO - 22 * DAY * 1000
+register("seasonal_history", lambda s, d: rounded(models.resample_season(hourly(s, d, from_ms=HISTORY), "weekly", SEASON_TO), "value"), resampled_sql(HISTORY))
 FUTURE = [TO + k * STEP * 1000 for k in range(8)]
 for model in ("default", "simple", "reactive"):
     text = None
@@ -253,7 +259,11 @@ def tick_sql(select: str, source: str = "base", before: str = "", **how) -> str:
     return sql(f", {TICKS}{before} {select} FROM {ON.format(source)} GROUP BY tick, env", **({"step": HOUR} | how))
 
 
-register("mon_ticks", lambda s, d: mon.mon_ticks(s, [1, 2], FIRST, LAST_TICK, EVERY).join(hourly_env(s, d).df.select(F.col("bucket_ms").alias("tick")).distinct(), "tick", "left"), f"SELECT unnest([1, 2])::BIGINT AS monitor_id, tick FROM (SELECT unnest(range({FIRST}, {LAST_TICK}, {EVERY})) AS tick)")
+register(
+    "mon_ticks",
+    lambda s, d: mon.ticks_between(evals(s, d), "at_ms", EVERY),
+    monitors_sql(f"SELECT monitor_id, unnest(range(CAST(ceil(min(at_ms) / {EVERY}) * {EVERY} AS BIGINT), max(at_ms) + 1, {EVERY})) AS tick FROM evals GROUP BY monitor_id"),
+)
 register(
     "mon_period",
     lambda s, d: mon.on_ticks(hourly_env(s, d), periods(s)).groupBy("tick").agg(F.max("to_ms").alias("to_ms"), F.max("from_ms").alias("from_ms"), F.count("*").alias("n")),
@@ -310,10 +320,12 @@ register(
 
 
 def cached_models(s, d):
-    at = [FROM + k * DAY * 1000 for k in (22, 23, 24)]
-    fitted = [models.model_fit(hourly(s, d), "agile", "weekly", t) for t in at]
-    kept = fitted[0].unionByName(fitted[1]).unionByName(fitted[2]).where(F.col("fitted_to") >= at[-1] - 2 * DAY * 1000)
-    return catalog.replace_by_version(kept.withColumn("one", F.lit(1)), ["one"], ["fitted_to"]).select("kind", "fitted_to")
+    """Models asked for on three days: fitted on the first, used again on the second, too old on the fourth."""
+    days = [FROM + k * DAY * 1000 for k in (22, 23, 25)]
+    held = models.model_fit(hourly(s, d), "agile", "weekly", days[0])
+    asked = [(day, models.model_cached(hourly(s, d), "agile", "weekly", day, held, 2 * DAY * 1000)) for day in days]
+    rows = [f.select(F.lit(day).alias("asked_at"), "kind", "fitted_to") for day, f in asked]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 register("mon_model_cache", cached_models)
@@ -505,4 +517,8 @@ register(
     lambda s, d: rounded(sketch.sketch_summary(sketch.sketch_build(signed(s, d), ["metric"]), ["metric"]), "sum", "min", "max", digits=4),
     f"WITH {POINTS_SQL}, x AS (SELECT metric, {SIGNED} AS v FROM pts), c AS (SELECT metric, {KEY.format('v')} AS k, count(*) AS n FROM x GROUP BY ALL) SELECT metric, 'ok' AS state, CAST(sum(n) AS BIGINT) AS count, round(sum(n * {BACK}), 4) AS sum, round(min({BACK}), 4) AS min, round(max({BACK}), 4) AS max FROM c GROUP BY metric",
 )
-register("sketch_quantile", lambda s, d: rounded(sketch.sketch_quantile(sketch.sketch_build(signed(s, d), ["metric"]), ["metric"], 0.95), "value"))
+register(
+    "sketch_quantile",
+    lambda s, d: rounded(sketch.sketch_quantile(sketch.sketch_build(signed(s, d), ["metric"]), ["metric"], 0.95), "value"),
+    f"WITH {POINTS_SQL}, x AS (SELECT metric, {SIGNED} AS v FROM pts), c AS (SELECT metric, {KEY.format('v')} AS b, count(*) AS n FROM x GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY b) AS run, sum(n) OVER (PARTITION BY metric) AS total FROM c), f AS (SELECT metric, min(b) AS k FROM r WHERE run > total * 0.95::DOUBLE GROUP BY metric) SELECT metric, round({BACK}, 6) AS value FROM f",
+)
