@@ -80,20 +80,21 @@ def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
 class Objects:
     """Adds to a frame, once each, the parsed objects that paths go through."""
 
-    def __init__(self, rows: DataFrame, roots: dict[int, str], paths: list[str], mark: str) -> None:
-        """``roots``: level -> column; a column of text is parsed, one that is a map already is used as it is."""
-        self.rows, self.names = rows, {}
+    def __init__(self, rows: DataFrame, roots: dict[int, str], paths: list[str], mark: str, parsed: bool = False) -> None:
+        """``roots``: level -> column, of JSON text; those above level 0, and with ``parsed`` all, are maps already."""
+        self.rows, self.names, self.listed, self.roots = rows, {}, set(), roots
         places = {steps(p) for p in paths}
-        through = sorted({(up, keys[:n]) for up, keys in places for n in range(len(keys))}, key=lambda x: (x[0], len(x[1]), str(x[1])))
-        for up, keys in through:
-            name = f"{mark}_{len(self.names)}"
-            raw = self._at(up, keys) if keys else F.col(roots[up])
-            inside = {k[len(keys)] for u, k in places if u == up and len(k) > len(keys) and k[: len(keys)] == keys}
-            listed = all(isinstance(k, int) for k in inside)
-            parsed = raw if not keys and dict(rows.dtypes)[roots[up]] == TEXTS else F.from_json(raw, "array<string>" if listed else TEXTS)
-            self.rows = self.rows.withColumn(name, parsed)
-            self.names[(up, keys)] = name
-        self.roots, self.listed = roots, {x for x in self.names if dict(self.rows.dtypes)[self.names[x]].startswith("array")}
+        through = {(up, keys[:n]) for up, keys in places for n in range(len(keys))}
+        for depth in sorted({len(keys) for _, keys in through}):
+            made = {}
+            for up, keys in sorted((x for x in through if len(x[1]) == depth), key=str):
+                raw = self._at(up, keys) if keys else F.col(roots[up])
+                if all(isinstance(k[depth], int) for u, k in places if u == up and len(k) > depth and k[:depth] == keys):
+                    self.listed.add((up, keys))
+                name = f"{mark}_{len(self.names) + len(made)}"
+                made[(up, keys)] = name, raw if not keys and (up or parsed) else F.from_json(raw, "array<string>" if (up, keys) in self.listed else TEXTS)
+            self.rows = self.rows.withColumns(dict(made.values()))
+            self.names |= {x: name for x, (name, _) in made.items()}
 
     def _at(self, up: int, keys: tuple) -> Column:
         held = F.col(self.names[(up, keys[:-1])])
@@ -149,7 +150,7 @@ def documents(landing: DataFrame, spec: Spec) -> DataFrame:
     rows = landing.where(F.col("intake") == spec.intake).select("tenant_id", "received_ms", "intake", "path", "query", F.explode(F.filter(lines, lambda x: x != "")).alias("doc"))
     rows = rows.withColumn("top", F.from_json("doc", TEXTS))
     if spec.items:
-        rows = Objects(rows, {0: "top"}, [spec.items], "at")
+        rows = Objects(rows, {0: "top"}, [spec.items], "at", True)
         rows = rows.rows.withColumn("listed", rows.text(spec.items))
     else:
         rows = rows.withColumn("listed", F.when(F.col("doc").startswith("["), F.col("doc")).when(F.col("top").isNotNull(), F.concat(F.lit("["), F.col("doc"), F.lit("]"))))
@@ -159,27 +160,27 @@ def documents(landing: DataFrame, spec: Spec) -> DataFrame:
 def frames(landing: DataFrame, spec: Spec) -> tuple[DataFrame, list[DataFrame]]:
     """Rows for the innermost items, with the envelope's fields as text and the outer objects without their lists; and what did not fit, as dead letters."""
     docs = documents(landing, spec)
-    around = Objects(docs, {0: "top"}, [p for _, *ps in spec.envelope.values() for p in ps], "e")
+    around = Objects(docs, {0: "top"}, [p for _, *ps in spec.envelope.values() for p in ps], "e", True)
     docs = around.rows.withColumns({f"r_{n}": around.first(tuple(ps)) for n, (_, *ps) in spec.envelope.items()})
     broken = F.col("top").isNull() & (~F.col("doc").startswith("[") | F.col("elements").isNull())
     reason = F.when(broken, "decode_error").when(F.col("elements").isNull(), "unexpected_shape")
     dead = [docs.withColumns({"reason": reason, "body": F.col("doc"), "note": F.lit("")}).where("reason is not null")]
     base = ["tenant_id", "received_ms", "intake", "path", "query", *(f"r_{n}" for n in spec.envelope)]
     if spec.keyed:
-        held = docs.select(*base, F.explode("elements").alias(f"f_{spec.keyed}", "listed"))
-        rows = held.select(*base, f"f_{spec.keyed}", F.explode(F.from_json("listed", "array<string>")).alias("item"))
+        held = docs.select(*base, F.explode_outer("elements").alias(f"f_{spec.keyed}", "listed"))
+        rows = held.select(*base, f"f_{spec.keyed}", F.explode_outer(F.from_json("listed", "array<string>")).alias("item"))
         base.append(f"f_{spec.keyed}")
         dead.append(_unfit(held, F.from_json("listed", "array<string>").isNull(), "listed"))
     else:
-        rows = docs.select(*base, F.explode("elements").alias("item"))
+        rows = docs.select(*base, F.explode_outer("elements").alias("item"))
     outer: list[str] = []
     for n, key in enumerate(spec.levels):
         name = f"up{len(spec.levels) - n}"
         held = rows.withColumn("object", F.from_json("item", TEXTS)).withColumn("listed", F.try_element_at("object", F.lit(key)))
         dead.append(_unfit(held, F.col("object").isNull() | (F.col("listed").isNotNull() & F.from_json("listed", "array<string>").isNull()), "item"))
-        rows = held.select(*base, *outer, _without("object", key).alias(name), F.explode(F.from_json("listed", "array<string>")).alias("item"))
+        rows = held.select(*base, *outer, _without("object", key).alias(name), F.explode_outer(F.from_json("listed", "array<string>")).alias("item"))
         outer.append(name)
-    return rows, dead
+    return rows.where("item is not null"), dead
 
 
 def _without(held: str, key: str) -> Column:
@@ -240,7 +241,9 @@ def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     pairs = F.concat(*[F.coalesce(x, F.array().cast(PAIRS)) for x in lists]) if lists else F.array().cast(PAIRS)
     rows = rows.withColumn("pairs", F.filter(pairs, lambda e: ~e["key"].eqNullSafe(used)))
     out["note"], out["extra"] = note, last_of(F.col("pairs"))
-    facts = rows.where(~lacking).select("tenant_id", "received_ms", *[c.alias(n) for n, c in out.items()])
+    # an item gives one fact or none; a filter here would be pushed below and parse everything twice
+    one_fact = F.when(~lacking, F.array(F.struct(*[c.alias(n) for n, c in out.items()])))
+    facts = rows.select("tenant_id", "received_ms", F.inline(one_fact)) if spec.required else rows.select("tenant_id", "received_ms", *[c.alias(n) for n, c in out.items()])
     for n, make in spec.derive.items():
         facts = facts.withColumn(n, make())
     lost = rows.where(lacking).withColumns({"reason": F.lit("unexpected_shape"), "body": F.coalesce("item", F.lit("null")), "note": note})
@@ -257,7 +260,7 @@ def leftovers(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> D
     """
     docs = documents(landing, spec).where("top is not null")
     taken = [p for _, *ps in spec.envelope.values() for p in ps]
-    around = Objects(docs, {0: "top"}, [*taken, *([spec.items] if spec.items else []), "$.-"], "e")
+    around = Objects(docs, {0: "top"}, [*taken, *([spec.items] if spec.items else []), "$.-"], "e", True)
     lists = around.untaken([*taken, *([spec.items] if spec.items else []), *(f"$.{k}" for k in beside)])
     rows = around.rows.withColumn("pairs", F.concat(*[F.coalesce(x, F.array().cast(PAIRS)) for x in lists])).where("size(pairs) > 0")
     return rows.select("tenant_id", "received_ms", "intake", last_of(F.col("pairs")).alias("extra"))
