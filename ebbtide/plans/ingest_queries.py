@@ -43,6 +43,8 @@ def joined(x) -> Column:
 def landing(spark, d: str, intake: str, body) -> DataFrame:
     ev = table(spark, d, "events").withColumn("ms", epoch_ms("ts")).withColumns({"sec": F.expr("ms div 1000"), "h": F.expr("user_id % 20"), "q": F.expr("event_id % 4")})
     text = F.expr(body) if isinstance(body, str) else joined(body) if intake == "spans" else F.to_json(made(body))
+    if ev.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        ev = ev.repartition(cores)  # one small file is read by one task; parsing is worth more
     broken = F.expr("event_id % 50 = 0")
     return ev.select(
         F.lit("default").alias("tenant_id"),

@@ -203,7 +203,12 @@ def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     rows = inside.rows
     raw = {n: inside.first(tuple(ps)) for n, (_, *ps) in spec.fields.items()}
     kinds = {n: x[0] for n, x in (spec.fields | spec.envelope).items()}
-    rows = rows.withColumns({f"r_{n}": c for n, c in raw.items()}).withColumns({f"f_{n}": typed(F.col(f"r_{n}"), k) for n, k in kinds.items()})
+    # lists, maps and structs that are members of the item itself are read in one more parse, not in one each
+    own = {n: [steps(p)[1] for p in ps] for n, (kind, *ps) in spec.fields.items() if kind.startswith(("array", "map", "struct")) and all(steps(p)[0] == 0 and len(steps(p)[1]) == 1 and isinstance(steps(p)[1][0], str) for p in ps)}
+    members = ",".join(f"`{k}`:{kinds[n]}" for n, ks in own.items() for (k,) in ks)
+    made = {n: F.coalesce(*[F.col("whole").getField(k) for (k,) in ks]) if n in own and (ks := own[n]) else typed(F.col(f"r_{n}"), kind) for n, kind in kinds.items()}
+    rows = rows.withColumns({f"r_{n}": c for n, c in raw.items()} | ({"whole": F.from_json("item", f"struct<{members}>")} if own else {}))
+    rows = rows.withColumns({f"f_{n}": c for n, c in made.items()})
     lacking = F.lit(False)
     for n in spec.required:
         lacking = lacking | F.col(f"f_{n}").isNull()
