@@ -300,6 +300,19 @@ def test_shards(spark):
     assert {(r.doc_id, r.shard, r.slot) for r in rows} == {(r.doc_id, r.shard, r.slot) for r in sharding.shard_by_bytes(docs.repartition(7)).collect()}
 
 
+def test_shards_against_sort_and_cut(spark, texts):
+    order = sorted(texts, key=lambda i: (hashlib.md5((texts[i] or "").encode()).hexdigest(), i))
+    sizes = {i: len((texts[i] or "").encode()) + 16 for i in texts}
+    total, run, want, slots = sum(sizes.values()), 0, {}, Counter()
+    for i in order:
+        run += sizes[i]
+        shard = min(39, (run - sizes[i] // 2) * 40 // total)
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+    got = {r.doc_id: (r.shard, r.slot) for r in QUERIES["op5_shards"](spark, SMALL).collect()}
+    assert got == want
+
+
 def test_shards_split_a_hot_text(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "hot text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     rows = sharding.shard_by_bytes(docs).collect()
