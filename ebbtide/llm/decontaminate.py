@@ -154,12 +154,16 @@ def phrase_matches(index: DataFrame, tests: TestWindows) -> DataFrame:
 def _near_starts(index: DataFrame, tests: TestWindows, slop: int, share: float) -> DataFrame:
     """Where windows may begin if ``share`` of their terms stand within ``slop`` of their places, in a row's text or before it.
 
-    At most size - ceil(size * share) terms are missing, so that one of any more of them, here the rarest, is not.
+    At most size - ceil(size * share) terms are missing, so that of the two more rarest ones two are met, and their
+    postings ask for begins at most 2 * slop apart. A window that needs one term only is looked up by each of its terms.
     """
-    ranked = _ranked(index, tests).join(tests.windows.select("win", "size"), "win")
-    keys = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * share) + 1) & F.col("n").isNotNull())
-    first = F.col("pos") - F.col("at")
-    return durable(_listed(index, keys.select("win", "at", "term", "n")).select("row", "win", F.explode(F.sequence(first - slop, first + slop)).alias("begin")).distinct())
+    need = F.greatest(F.lit(1), F.ceil(F.col("size") * share).cast("int"))
+    ranked = _ranked(index, tests).join(tests.windows.select("win", "size"), "win").withColumn("least", F.least(F.lit(2), need))
+    keys = ranked.where((F.col("nth") <= F.col("size") - need + F.col("least")) & F.col("n").isNotNull())
+    listed = _listed(index, keys.select("win", "at", "term", "n", "least")).select("row", "win", "least", (F.col("pos") - F.col("at")).alias("first"))
+    before = F.lag("first").over(Window.partitionBy("row", "win").orderBy("first"))
+    met = listed.withColumn("other", F.when(F.col("least") == 1, F.col("first")).otherwise(before)).where(F.col("first") - F.col("other") <= 2 * slop)
+    return durable(met.select("row", "win", F.explode(F.sequence(F.col("first") - slop, F.col("other") + slop)).alias("begin")).distinct())
 
 
 def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 2, share: float = 0.8) -> DataFrame:
