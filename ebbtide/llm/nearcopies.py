@@ -21,12 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import durable, durable_buckets
 from ..operators.components import connected_components
 from .decontaminate import BLOCK, marked
 from .simhash import fingerprint_links
-from .text import bounded
+from .text import bounded, packed
 
 BANDS, WIDTH = 32, 4
 LARGE_RUN = 32
@@ -66,8 +67,8 @@ def sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
     return node, fp, [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, WIDTH))]
 
 
-def sketches(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(row, doc_id, node, fp, n, keys): one row per input row."""
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row, doc_id, node, fp, n, keys): one row per input row. Ids are of any type that can be ordered."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
@@ -78,8 +79,11 @@ def sketches(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
             columns = [batch.column(0), batch.column(1), signed([m[0] for m in made]), signed([m[1] for m in made]), pa.array([x.size for x in sets], pa.int64()), keys]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "fp", "n", "keys"])
 
-    picked = docs.select("row", "doc_id", F.col(text_col).cast("string").alias("text"))
-    return bounded(picked).mapInArrow(of, "row long, doc_id long, node long, fp long, n long, keys array<long>")
+    picked = docs.select("row", "doc_id", F.col("text").cast("string").alias("text"))
+    kind = picked.select("row", "doc_id").schema
+    for name in ("node", "fp", "n"):
+        kind = kind.add(name, "long")
+    return bounded(picked).mapInArrow(of, kind.add("keys", T.ArrayType(T.LongType())))
 
 
 def _near(fp: np.ndarray, n: np.ndarray, one, others, share: float) -> np.ndarray:
@@ -210,7 +214,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return durable(met.select("a", "b", "x", "y").mapInArrow(of, "a long, b long"))
 
 
-def _sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes) of the rows given. Their texts are read where they stand."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +223,7 @@ def _sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> Data
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
 
-    there = marked(docs, rows).select(F.col(text_col).cast("string").alias("text"))
+    there = marked(docs, rows).select(F.col("text").cast("string").alias("text"))
     return durable(bounded(there).mapInArrow(of, "node long, hashes binary"))
 
 
@@ -233,27 +237,27 @@ def _printed(nodes: DataFrame) -> DataFrame:
     return alike.unionAll(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a key for each row (``row``), written once; ``block`` is what the table is bucketed by."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents ``packed`` under a key for each row, written once; ``block`` is what the table is bucketed by."""
     # a task's rows make few blocks, so bucketing by block writes few files and moves nothing
-    return durable_buckets(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.expr(f"row div {BLOCK}")), "block")
+    return durable_buckets(packed(docs, id_col, text_col).withColumn("block", F.expr(f"row div {BLOCK}")), "block")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
     """Rows of ``keyed`` -> (row, doc_id, keep): for each row the row of its group that stays.
 
     A group is a linked set: each member has a similarity of ``share`` or more to some other. The row with the
     smallest id stays, of rows with one id the first; a row without id stays only if no member has one.
     Wordless and null texts are one group.
     """
-    prints = durable(sketches(docs.select("row", F.col(id_col).cast("long").alias("doc_id"), text_col), text_col, shingle))
+    prints = durable(sketches(docs, shingle))
     first = durable(prints.groupBy("node").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("row").alias("at"))).alias("best")))
     nodes = durable(prints.join(first.select("row"), "row", "left_semi").select("node", "fp", "n", "keys"))
     met = durable(_by_bucket(nodes.select(F.explode("keys").alias("key"), "node", "fp", "n"), _candidates(share), "a long, b long, large boolean"))
     large = met.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
     pairs = durable(met.where("not large").select("a", "b").unionAll(_printed(nodes)).distinct())
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(large.select("node")).distinct()
-    sets = _sets(docs, durable(first.join(asked, "node").select("row")), text_col, shingle)
+    sets = _sets(docs, durable(first.join(asked, "node").select("row")), shingle)
     roots = durable(connected_components(_similar(pairs, sets, share).unionAll(_large(large, nodes, sets, share))))
     own = durable(first.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root")))
     named = durable(own.join(own.groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.at").alias("keep")), "root").select("node", "keep"))

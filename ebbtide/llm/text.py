@@ -20,6 +20,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text, rest): every input row under a number of its own, with its other columns in one struct.
+
+    A stage's own columns then clash with none of the input's, whatever their names; ``unpacked`` gives them back.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.struct(F.lit(0).alias("none"), *[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others)])
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns that ``packed`` was given, in their order."""
+    others = [c for c in columns if c not in (id_col, text_col)]
+    own = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col(f"rest.c{k}") for k, c in enumerate(others)}
+    return rows.select(*[own[c].alias(c) for c in columns])
+
+
 BATCH_BYTES = 8 << 20
 
 

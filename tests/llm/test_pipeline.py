@@ -86,3 +86,17 @@ def test_contaminated_rows_go_row_by_row(spark):
     rows = [(1, "a clean text"), (1, f"before {passage} after"), (None, passage), (None, "another clean text")]
     left = pipeline.benchmark_passages(spark, rows_of(spark, [(i, t, "en", "s", 1) for i, t in rows]), SMALL)
     assert {(r.doc_id, r.text) for r in left.collect()} == {(1, "a clean text"), (None, "another clean text")}
+
+
+def test_every_column_comes_through_whatever_its_name(spark):
+    names = ["row", "block", "score", "lang_pred", "rest", "keep", "size", "node", "c0", "a.b", "path"]
+    texts = [" ".join(f"word{c}{i} number" for i in range(40)) for c in "xyz"]
+    rows = [(f"id-{k}", t, "en", "s", len(t), *[f"{n}{k}" for n in names]) for k, t in enumerate([*texts, texts[1]])]
+    fields = ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, f"doc_id string, text string, lang string, source string, n_chars long, {fields}")
+    want = {tuple(r) for r in rows}
+    for stage, left in ((pipeline.by_language, want), (pipeline.near_duplicates, want - {rows[3]}), (pipeline.benchmark_passages, want)):
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(left)
+    mixed = pipeline.mixture(spark, docs.drop("a.b"), SMALL)
+    assert mixed.columns == docs.drop("a.b").columns and {tuple(r) for r in mixed.collect()} <= {tuple(r[k] for k, c in enumerate(docs.columns) if c != "a.b") for r in rows}
