@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, mixing, pii, quality, secrets, sharding, simhash, warc
+from . import codes, decontaminate, exact, language, licenses, mixing, negatives, pii, quality, secrets, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_rows(_read(spark, sf_dir, "documents")).drop("n_candidates")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_rows(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mix": op2_mix,
@@ -64,6 +76,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact": op8_exact,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op11_negatives": op11_negatives,
+    "op12_codes": op12_codes,
+    "op13_licenses": op13_licenses,
 }
 
-ORACLES: dict[str, str] = {"op2_mix": mixing.MIX_SQL, "op8_exact": exact.EXACT_SQL, "op9_decontaminate": decontaminate.CONTAMINATION_SQL}
+ORACLES: dict[str, str] = {
+    "op2_mix": mixing.MIX_SQL,
+    "op8_exact": exact.EXACT_SQL,
+    "op9_decontaminate": decontaminate.CONTAMINATION_SQL,
+    "op11_negatives": negatives.NEGATIVES_SQL,
+    "op12_codes": codes.CODES_SQL,
+}
