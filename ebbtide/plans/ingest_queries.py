@@ -13,6 +13,7 @@ from ..operators import monitors as mon
 from ..operators import product
 from ..sources import normalise as norm
 from ..sources.telemetry import epoch_ms, table
+from ..storage import durable
 from .registry import register
 
 EV = """ev AS (SELECT *, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS sec, user_id % 20 AS h, event_id % 4 AS q FROM events)"""
@@ -112,12 +113,12 @@ signal(
     {"check_name": "'c.' || event_type", "host": HOST, "status": "CASE q WHEN 0 THEN 'WARNING' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'UNKNOWN' ELSE '4' END", "t_ms": "CASE WHEN q = 0 THEN ms + 1000 ELSE sec * 1000 END", "timestamp_source": "CASE WHEN q = 0 THEN 'arrival' ELSE 'sender' END"},
     lambda f: f.withColumn("status", norm.named(F.col("status_code"), norm.CHECK_STATUS)),
 )
-LOG = {"message": "'said ' || event_type", "hostname": HOST, "app": "event_type", "ddsource": "'src'", "level": "CASE q WHEN 0 THEN 'ERR' WHEN 1 THEN 'warning' ELSE 'Info' END", "ddtags": "'env:e' || CAST(user_id % 5 AS STRING) || ',canary'", "timestamp": "CASE WHEN q = 3 THEN NULL ELSE ms END", "odd": "'x'"}
+LOG = {"message": "'said ' || event_type", "hostname": "''", "host": HOST, "dd_service": "event_type", "ddsource": "'src'", "level": "'INFO'", "status": "CASE q WHEN 0 THEN 'ERR' WHEN 1 THEN 'warning' END", "ddtags": "'env:e' || CAST(user_id % 5 AS STRING) || ',canary'", "timestamp": "CASE WHEN q = 3 THEN NULL ELSE ms END", "odd": "'x'"}
 signal(
     "norm_logs", "logs", LOG,
-    {"message": "message", "host": "host", "service": "service", "status": "status", "t_ms": "t_ms", "tag_text": "tag_text", "odd": "extra['odd']"},
-    {"message": "'said ' || event_type", "host": HOST, "service": "event_type", "status": "CASE q WHEN 0 THEN 'error' WHEN 1 THEN 'warn' ELSE 'info' END", "t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "tag_text": "'canary,env:e' || CAST(user_id % 5 AS STRING)", "odd": "'x'"},
-    lambda f: with_tags(f).withColumn("status", norm.log_status(F.col("status_raw"))),
+    {"message": "message", "host": "host", "service": "service", "status": "status", "t_ms": "t_ms", "tag_text": "tag_text", "odd": "extra['odd']", "level": "extra['level']"},
+    {"message": "'said ' || event_type", "host": HOST, "service": "event_type", "level": "'INFO'", "status": "CASE q WHEN 0 THEN 'ERR' WHEN 1 THEN 'warning' ELSE '' END", "t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "tag_text": "'canary,env:e' || CAST(user_id % 5 AS STRING)", "odd": "'x'"},
+    with_tags,
 )
 signal("arrival_time_fallback", "logs", LOG, {"t_ms": "t_ms", "timestamp_source": "timestamp_source"}, {"t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "timestamp_source": "CASE WHEN q = 3 THEN 'arrival' ELSE 'timestamp_ms' END"})
 signal("late_old_event_time", "logs", LOG, {"t_ms": "t_ms", "lag": "received_ms - t_ms", "day": "t_ms div 86400000"}, {"t_ms": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END", "lag": "CASE WHEN q = 3 THEN 0::BIGINT ELSE 1000::BIGINT END", "day": "CASE WHEN q = 3 THEN ms + 1000 ELSE ms END // 86400000"})
@@ -126,7 +127,6 @@ signal(
     "norm_logs_compact", "logs", COMPACT,
     {"message": "message", "service": "service", "status": "status", "t_ms": "t_ms", "source": "timestamp_source", "unread": "extra['timestamp']", "deep": "extra['deep']"},
     {"message": "'said ' || event_type", "service": "event_type", "status": "'warn'", "t_ms": "ms", "source": "'compact_string'", "unread": "'soon'", "deep": "'{\"a\":' || CAST(q AS STRING) || '}'"},
-    lambda f: f.withColumn("status", norm.log_status(F.col("status_raw"))),
 )
 LINES = """concat('{"message":"one","n":{"a":', q, '}}\\r\\n{"message":"two"}\\r\\n{"message":"three"}\\r\\n')"""
 signal("norm_logs_lines", "logs", LINES, {"message": "message", "n": "extra['n']"}, {"message": "unnest(['one', 'two', 'three'])", "n": "unnest(['{\"a\":' || CAST(q AS STRING) || '}', NULL, NULL])"})
@@ -260,6 +260,31 @@ signal(
 BESIDE = {"series": [{"metric": "'m'", "points": []}], "sender": {"version": "q"}, "sent_at": "ms"}
 register("norm_batch_keys", lambda s, d: norm.leftovers(landing(s, d, "series_v2", BESIDE), norm.SPECS["series_v2"]).selectExpr("received_ms", "get_json_object(extra['sender'], '$.version') AS version", "extra['sent_at'] AS sent_at", "size(extra) AS n"), f"{GOOD} SELECT ms + 1000 AS received_ms, CAST(q AS VARCHAR) AS version, CAST(ms AS VARCHAR) AS sent_at, 2 AS n FROM good")
 
+
+def tagged(s, d, intake, body):
+    """The outcomes of a landing, written once and read back: facts, letters and leftovers by tag."""
+    return durable(norm.outcomes(landing(s, d, intake, body), norm.SPECS[intake])).where("coalesce(letter.reason, '') <> 'decode_error'")
+
+
+#: Items that are no objects, declared fields that are no strings, and one of two spellings of the host.
+MIXED = """concat('[', q, ',"plain ', event_type, '",null,{"message":"m', h, '","host":7},{"message":', h, '},{"ddtags":{"a":', q, '},"message":"x"},{"status":3,"host":"h","date":', ms, '}]')"""
+register(
+    "norm_outcomes_of_logs",
+    lambda s, d: tagged(s, d, "logs", MIXED).selectExpr("received_ms", "tag", "coalesce(letter.body, fact.message, fact.host) AS text", "coalesce(letter.note, fact.note) AS note", "array_join(array_sort(map_keys(fact.extra)), ',') AS kept", "fact.t_ms"),
+    f"""{GOOD}, i AS (SELECT ms + 1000 AS received_ms, ms, unnest(['letter', 'letter', 'letter', 'fact', 'letter', 'letter', 'fact']) AS tag,
+    unnest([CAST(q AS VARCHAR), '"plain ' || event_type || '"', 'null', 'm' || CAST(h AS VARCHAR), '{{"message":' || CAST(h AS VARCHAR) || '}}', '{{"ddtags":{{"a":' || CAST(q AS VARCHAR) || '}},"message":"x"}}', 'h']) AS text,
+    unnest(['', '', '', 'hostname', 'message', 'ddtags', 'status']) AS note, unnest([NULL, NULL, NULL, 'host', NULL, NULL, 'status']) AS kept, unnest([false, false, false, false, false, false, true]) AS dated FROM good)
+    SELECT received_ms, tag, text, note, kept, CASE WHEN dated THEN ms WHEN tag = 'fact' THEN received_ms END AS t_ms FROM i""",
+)
+#: Members of a wrong type inside lists, tags that are no texts, and keys beside the list.
+MEMBERS = """concat('{"series":[{"metric":"m","points":[{"timestamp":"x","value":', h, '},{"timestamp":', sec, ',"value":2}],"tags":["a:1",{"b":', q, '}],"resources":[{"name":"h","type":"host"},5]},{"metric":"n","points":[{"timestamp":', sec, ',"value":1}],"tags":{"c":1}}],"sent":', h, '}')"""
+register(
+    "norm_outcomes_of_series",
+    lambda s, d: tagged(s, d, "series_v2", MEMBERS).selectExpr("received_ms", "tag", "fact.metric", "fact.note", "get_json_object(fact.extra['points'], '$[0].timestamp') AS bad_time", "fact.points[0].timestamp AS time", "fact.points[0].value AS value", "get_json_object(coalesce(fact.extra['tags'], '[]'), '$[1].b') AS bad_tag", "fact.tags['a'][0] AS tag_a", "rest['sent'] AS sent"),
+    f"""{GOOD} SELECT ms + 1000 AS received_ms, unnest(['fact', 'fact', 'rest']) AS tag, unnest(['m', 'n', NULL]) AS metric, unnest(['points,resources,tags', 'tags', NULL]) AS note, unnest(['x', NULL, NULL]) AS bad_time,
+    unnest([NULL, sec, NULL]) AS time, unnest([CAST(h AS DOUBLE), 1.0, NULL]) AS value, unnest([CAST(q AS VARCHAR), NULL, NULL]) AS bad_tag, unnest(['1', NULL, NULL]) AS tag_a, unnest([NULL, NULL, CAST(h AS VARCHAR)]) AS sent FROM good""",
+)
+
 signal(
     "norm_intake_events", "intake_events",
     {"internalHostname": HOST, "events": {"api": [{"msg_title": "'t' || event_type", "msg_text": "'x'", "timestamp": "sec", "host": "CASE WHEN q = 0 THEN NULL ELSE 'own' END", "tags": TAGS}], "nagios": [{"msg_title": "'n'", "msg_text": "'y'", "timestamp": "sec", "host": "'own'", "tags": TAGS}]}},

@@ -1,11 +1,12 @@
-"""Landing payloads to typed facts, with a dead-letter side: one job, driven by a spec for each signal.
+"""Landing payloads to typed facts, dead letters and leftovers: one job with one tagged row for each outcome, driven by a spec for each signal.
 
 landing: (tenant_id, received_ms, intake, path, query map, body). A spec names the list that holds the items, lists
-below the items, the fields to take by paths with fallbacks, the tag field, and where a timestamp may be. Every
-JSON object is parsed once, into a map from key to text; a nested object is parsed from its own text. No list is copied
-into its items. What does not parse, or lacks a required field, goes to the dead letters with a reason. Nothing else
+below the items, the fields to take by paths with fallbacks, the tag field, and where a timestamp may be. A body is parsed
+once, into a variant, and everything below is read from its binary form; what items need of the objects around them is taken
+from these before their lists are dealt out. Each item becomes one row: a fact, or a letter with the reason why it is none. Nothing
 is lost: keys that no field takes, at any level that fields reach into, are in ``extra`` under their dotted names, and
-so are values of a wrong type, which ``note`` names; keys beside the list are in ``leftovers``, once a body.
+so are values of a wrong type and lists with members of one, which ``note`` names; keys beside the list, and those of
+objects whose list is empty, are leftovers.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sketch import sketch_key
 from ..storage import durable
@@ -31,6 +33,7 @@ class Spec:
 
     A path from ``$`` is in the item, from ``$1`` in the object that holds the item's list, and so on up; ``levels`` are the
     lists below the first. ``times``: (path, milliseconds a unit, or 0 for RFC 3339 text, what to call it), the first good one counts.
+    A ``string`` is a JSON string; of type ``text`` is any JSON, as text.
     """
 
     intake: str
@@ -44,6 +47,7 @@ class Spec:
     levels: tuple[str, ...] = ()
     defaults: dict[str, str] = field(default_factory=dict)  # query parameters that stand in for missing fields; their tags come first
     derive: dict[str, Callable[[], Column]] = field(default_factory=dict)
+    strict: tuple[str, ...] = ()  # paths of the item where anything but a string makes it a letter
 
 
 def multimap(pairs: Column) -> Column:
@@ -55,21 +59,6 @@ def multimap(pairs: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(clean, lambda x: key(x) == k), value)))
 
 
-def tag_texts(raw: Column) -> Column:
-    """Tags as a JSON list, or as one comma-separated text."""
-    return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, r",\s*"))
-
-
-def typed(raw: Column, kind: str) -> Column:
-    if kind.startswith(("array", "map", "struct")):
-        return F.from_json(raw, kind)
-    if kind == "u64":  # the 64 bits as a signed number
-        whole = raw.try_cast("decimal(20,0)")
-        wrapped = F.when(whole >= F.lit(str(1 << 63)).cast("decimal(20,0)"), whole - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(whole)
-        return F.when(raw.rlike("^[0-9]+$"), wrapped.try_cast("bigint"))
-    return raw if kind == "string" else raw.try_cast(kind)
-
-
 def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
     """``$1.a.b\\.c[0]`` -> (1, ("a", "b.c", 0))."""
     up, rest = re.fullmatch(r"\$(\d*)(.*)", path).groups()
@@ -77,59 +66,59 @@ def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
     return int(up or 0), tuple(keys)
 
 
-class Objects:
-    """Adds to a frame, once each, the parsed objects that paths go through."""
-
-    def __init__(self, rows: DataFrame, roots: dict[int, str], paths: list[str], mark: str, parsed: bool = False) -> None:
-        """``roots``: level -> column, of JSON text; those above level 0, and with ``parsed`` all, are maps already."""
-        self.rows, self.names, self.listed, self.roots = rows, {}, set(), roots
-        places = {steps(p) for p in paths}
-        through = {(up, keys[:n]) for up, keys in places for n in range(len(keys))}
-        for depth in sorted({len(keys) for _, keys in through}):
-            made = {}
-            for up, keys in sorted((x for x in through if len(x[1]) == depth), key=str):
-                raw = self._at(up, keys) if keys else F.col(roots[up])
-                if all(isinstance(k[depth], int) for u, k in places if u == up and len(k) > depth and k[:depth] == keys):
-                    self.listed.add((up, keys))
-                name = f"{mark}_{len(self.names) + len(made)}"
-                made[(up, keys)] = name, raw if not keys and (up or parsed) else F.from_json(raw, "array<string>" if (up, keys) in self.listed else TEXTS)
-            self.rows = self.rows.withColumns(dict(made.values()))
-            self.names |= {x: name for x, (name, _) in made.items()}
-
-    def _at(self, up: int, keys: tuple) -> Column:
-        held = F.col(self.names[(up, keys[:-1])])
-        return F.get(held, F.lit(keys[-1])) if isinstance(keys[-1], int) else F.try_element_at(held, F.lit(keys[-1]))
-
-    def text(self, path: str) -> Column:
-        up, keys = steps(path)
-        return self._at(up, keys) if keys else F.col(self.roots[up])
-
-    def first(self, paths: tuple[str, ...]) -> Column:
-        """The first that is there and not empty, else the first that is there."""
-        found = [self.text(p) for p in paths]
-        return F.coalesce(*found) if len(found) == 1 else F.coalesce(*[F.nullif(x, F.lit("")) for x in found], *found)
-
-    def untaken(self, taken: list[str], level: int = 0) -> list[Column]:
-        """Lists of (key, value): what no taken path covers, in each parsed object of a level."""
-        places = {steps(p)[1] for p in taken if steps(p)[0] == level}
-        out = []
-        for (up, keys), name in self.names.items():
-            if up != level or any(keys[: len(p)] == p for p in places):
-                continue
-            inside = {p[len(keys)] for p in places if len(p) > len(keys) and p[: len(keys)] == keys} | {k[len(keys)] for u, k in self.names if u == up and len(k) > len(keys) and k[: len(keys)] == keys}
-            before = "".join(f"{k}." for k in keys)
-            if (up, keys) in self.listed:
-                entries = F.zip_with(F.col(name), F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(name) - 1)), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
-            else:
-                entries = F.map_entries(name)
-            out.append(_renamed(entries, [str(k) for k in inside], before))
-        return out
-
-
-def _renamed(entries: Column, known: list[str], before: str) -> Column:
-    """The entries of other keys than the known ones, with ``before`` put before their keys."""
-    rest = F.filter(entries, lambda e: ~e["key"].isin(*known) & e["value"].isNotNull()) if known else entries
-    return F.transform(rest, lambda e: F.struct(F.concat(F.lit(before), e["key"]).alias("key"), e["value"].alias("value")))
+def there(held: Column, *keys: str | int) -> Column:
+    """The variant below these keys; null where there is none, and for a JSON null."""
+    path = "$" + "".join(f"[{k}]" if isinstance(k, int) else f"['{k}']" for k in keys)
+    found = F.try_variant_get(held, path, "variant")
+    return F.when(~F.is_variant_null(found), found)
+
+
+def listed(held: Column) -> Column:
+    """A JSON list's members; null for anything else."""
+    return F.try_variant_get(held, "$", "array<variant>")
+
+
+def members(held: Column) -> Column:
+    """A JSON object's members; null for anything else."""
+    return F.try_variant_get(held, "$", "map<string,variant>")
+
+
+def is_text(held: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(held) == "STRING", F.lit(False))
+
+
+def tag_texts(raw: Column) -> Column:
+    """Tags as one comma-separated text."""
+    return F.split(raw, r",\s*")
+
+
+def typed(raw: Column, kind: str) -> Column:
+    """A scalar of a variant, which a number or flag written as text also gives."""
+    text = raw.cast("string")
+    if kind == "u64":  # the 64 bits as a signed number
+        whole = text.try_cast("decimal(20,0)")
+        wrapped = F.when(whole >= F.lit(str(1 << 63)).cast("decimal(20,0)"), whole - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(whole)
+        return F.when(text.rlike("^[0-9]+$"), wrapped.try_cast("bigint"))
+    if kind.startswith(("array", "map", "struct")):
+        return F.try_variant_get(raw, "$", kind)
+    if kind == "string":
+        return F.when(is_text(raw), text)
+    return text if kind == "text" else text.try_cast(kind)
+
+
+def unfit(kind: T.DataType, raw: Column, made: Column) -> Column:
+    """Whether a value, or any member of it at any depth, is there and was not of the type asked for."""
+    missing = raw.isNotNull() & ~F.is_variant_null(raw) & made.isNull()
+    inner = F.lit(False)
+    if isinstance(kind, T.ArrayType):
+        pairs = F.arrays_zip(listed(raw).alias("raw"), made.alias("made"))
+        inner = F.exists(pairs, lambda p: unfit(kind.elementType, p["raw"], p["made"]))
+    elif isinstance(kind, T.MapType):
+        inner = F.exists(F.map_entries(members(raw)), lambda e: unfit(kind.valueType, e["value"], F.try_element_at(made, e["key"])))
+    elif isinstance(kind, T.StructType):
+        for f in kind.fields:
+            inner = inner | unfit(f.dataType, F.try_variant_get(raw, f"$['{f.name}']", "variant"), made[f.name])
+    return F.coalesce(missing | F.coalesce(inner, F.lit(False)), F.lit(False))
 
 
 PAIRS = "array<struct<key:string,value:string>>"
@@ -142,94 +131,158 @@ def last_of(pairs: Column) -> Column:
     return F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs)).otherwise(F.map_from_arrays(keys, last))
 
 
-def documents(landing: DataFrame, spec: Spec) -> DataFrame:
-    """A row for each JSON text of a body, parsed: framed by lines, of either ending, or whole. ``elements`` is its list of items."""
-    body = F.regexp_replace("body", r"^\s+|\s+$", "")
-    framed = ~body.startswith("[") & body.rlike(r"\}\s*[\r\n]\s*\{")
-    lines = F.when(framed, F.split(body, r"\s*[\r\n]+\s*")).otherwise(F.array(body))
-    rows = landing.where(F.col("intake") == spec.intake).select("tenant_id", "received_ms", "intake", "path", "query", F.explode(F.filter(lines, lambda x: x != "")).alias("doc"))
-    rows = rows.withColumn("top", F.from_json("doc", TEXTS))
-    if spec.items:
-        rows = Objects(rows, {0: "top"}, [spec.items], "at", True)
-        rows = rows.rows.withColumn("listed", rows.text(spec.items))
-    else:
-        rows = rows.withColumn("listed", F.when(F.col("doc").startswith("["), F.col("doc")).when(F.col("top").isNotNull(), F.concat(F.lit("["), F.col("doc"), F.lit("]"))))
-    return rows.withColumn("elements", F.from_json("listed", TEXTS if spec.keyed else "array<string>"))
-
-
-def frames(landing: DataFrame, spec: Spec) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows for the innermost items, with the envelope's fields as text and the outer objects without their lists; and what did not fit, as dead letters."""
-    docs = documents(landing, spec)
-    around = Objects(docs, {0: "top"}, [p for _, *ps in spec.envelope.values() for p in ps], "e", True)
-    docs = around.rows.withColumns({f"r_{n}": around.first(tuple(ps)) for n, (_, *ps) in spec.envelope.items()})
-    broken = F.col("top").isNull() & (~F.col("doc").startswith("[") | F.col("elements").isNull())
-    reason = F.when(broken, "decode_error").when(F.col("elements").isNull(), "unexpected_shape")
-    dead = [docs.withColumns({"reason": reason, "body": F.col("doc"), "note": F.lit("")}).where("reason is not null")]
-    base = ["tenant_id", "received_ms", "intake", "path", "query", *(f"r_{n}" for n in spec.envelope)]
-    if spec.keyed:
-        held = docs.select(*base, F.explode_outer("elements").alias(f"f_{spec.keyed}", "listed"))
-        rows = held.select(*base, f"f_{spec.keyed}", F.explode_outer(F.from_json("listed", "array<string>")).alias("item"))
-        base.append(f"f_{spec.keyed}")
-        dead.append(_unfit(held, F.from_json("listed", "array<string>").isNull(), "listed"))
+def untaken(held: Column, taken: list[tuple], before: str = "") -> list[Column]:
+    """Lists of (key, value): what no taken path covers in an object, or list, and in those that paths go through."""
+    leaves = {p[0] for p in taken if len(p) == 1}
+    through = sorted({p[0] for p in taken if len(p) > 1} - leaves, key=str)
+    if any(isinstance(k, int) for k in leaves | set(through)):
+        whole = listed(held)
+        entries = F.zip_with(whole, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(whole) - 1)), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
     else:
-        rows = docs.select(*base, F.explode_outer("elements").alias("item"))
-    outer: list[str] = []
-    for n, key in enumerate(spec.levels):
-        name = f"up{len(spec.levels) - n}"
-        held = rows.withColumn("object", F.from_json("item", TEXTS)).withColumn("listed", F.try_element_at("object", F.lit(key)))
-        dead.append(_unfit(held, F.col("object").isNull() | (F.col("listed").isNotNull() & F.from_json("listed", "array<string>").isNull()), "item"))
-        rows = held.select(*base, *outer, _without("object", key).alias(name), F.explode_outer(F.from_json("listed", "array<string>")).alias("item"))
-        outer.append(name)
-    return rows.where("item is not null"), dead
+        entries = F.map_entries(members(held))
+    gone = lambda e: e["key"].isin(*map(str, leaves)) if leaves else F.lit(False)
+    for k in through:
+        deeper = {p[1] for p in taken if len(p) > 1 and p[0] == k}
+        opened = (listed if any(isinstance(x, int) for x in deeper) else members)
+        gone = (lambda g, k, opened: lambda e: g(e) | ((e["key"] == str(k)) & opened(e["value"]).isNotNull()))(gone, k, opened)
+    rest = F.transform(F.filter(entries, lambda e: ~gone(e)), lambda e: F.struct(F.concat(F.lit(before), e["key"]).alias("key"), e["value"].cast("string").alias("value")))
+    out = [F.coalesce(F.filter(rest, lambda e: e["value"].isNotNull()), F.array().cast(PAIRS))]
+    for k in through:
+        out += untaken(there(held, k), [p[1:] for p in taken if len(p) > 1 and p[0] == k], f"{before}{k}.")
+    return out
 
 
-def _without(held: str, key: str) -> Column:
-    return F.map_filter(held, lambda k, _: k != key)
+LETTER = "struct<reason:string,body:string,note:string>"
 
 
-def _unfit(rows: DataFrame, when: Column, body: str) -> DataFrame:
-    return rows.where(when).withColumns({"reason": F.lit("unexpected_shape"), "body": F.col(body), "note": F.lit("")})
+def _letter(reason: Column | str, body: Column, note: Column | None = None) -> Column:
+    return F.struct((F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), body.alias("body"), (F.lit("") if note is None else note).alias("note"))
 
 
-def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """(facts, dead letters). Facts are typed; ``timestamp_source`` says whose clock the time is; ``note`` names members
-    of a wrong type, which stay as text in ``extra``."""
-    rows, dead = frames(landing, spec)
+def _parts(carried: dict[str, str], items: Column | None = None, letter: Column | None = None, rest: Column | None = None, **more) -> Column:
+    """A list of parts: items, variants, each with the columns ``more``; or one letter; or one list of leftover pairs."""
+    given = {"item": lambda x: x, **{k: (lambda c: lambda x: c)(c) for k, c in more.items()}} if items is not None else {}
+    given |= {"letter": lambda x: letter} if letter is not None else {}
+    given |= {"rest": lambda x: rest} if rest is not None else {}
+    kinds = {"item": "variant", "letter": LETTER, "rest": PAIRS, **carried}
+    one = lambda x: F.struct(*[(given[k](x) if k in given else F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()])
+    return F.transform(items, one) if items is not None else F.array(one(None))
+
+
+def _some(pairs: list[Column], carried: dict[str, str]) -> Column:
+    """A part for the pairs, if there are any."""
+    return F.when(F.size(F.concat(*pairs)) > 0, _parts(carried, rest=F.concat(*pairs))).otherwise(F.filter(_parts(carried), lambda _: F.lit(False)))
+
+
+def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """A row for each innermost item, letter or list of leftover pairs, and the columns of paths into outer objects.
+
+    A body is framed by lines, of either ending, or whole."""
+    landing.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of members with one name the last counts
+    body = F.regexp_replace("body", r"^\s+|\s+$", "")
+    framed = ~body.startswith("[") & body.rlike(r"\}\s*[\r\n]\s*\{")
+    lines = F.when(framed, F.split(body, r"\s*[\r\n]+\s*")).otherwise(F.array(body))
+    docs = landing.where(F.col("intake") == spec.intake).select("tenant_id", "received_ms", "intake", "path", "query", F.explode(F.filter(lines, lambda x: x != "")).alias("doc"))
+    docs = docs.withColumn("v", F.try_parse_json("doc"))
+    base = ["tenant_id", "received_ms", "intake", "path", "query", *(f"e_{n}" for n in spec.envelope)]
+    docs = docs.withColumns({f"e_{n}": _first(kind, [there(F.col("v"), *steps(p)[1]) for p in ps]) for n, (kind, *ps) in spec.envelope.items()})
+    carried: dict[str, str] = {}
+    if spec.items:
+        docs = docs.withColumn("holder", there(F.col("v"), *steps(spec.items)[1]))
+        taken = [steps(p)[1] for p in (*(p for _, *ps in spec.envelope.values() for p in ps), spec.items, *(f"$.{k}" for k in beside))]
+        around = _some(untaken(F.col("v"), taken), carried)
+        docs = docs.withColumn("list", F.map_entries(members(F.col("holder"))) if spec.keyed else listed(F.col("holder")))
+    else:
+        around = F.filter(_parts(carried), lambda _: F.lit(False))
+        docs = docs.withColumn("list", F.coalesce(listed(F.col("v")), F.when(members(F.col("v")).isNotNull(), F.array("v"))))
+    reason = F.when(F.col("v").isNull(), "decode_error").otherwise("unexpected_shape")
+    if spec.keyed:
+        carried = {f"f_{spec.keyed}": "string"}
+        around = _some(untaken(F.col("v"), taken), carried)
+        one = lambda e: F.struct(e["value"].alias("item"), *[F.lit(None).cast(k).alias(n) for n, k in (("letter", LETTER), ("rest", PAIRS))], e["key"].alias(f"f_{spec.keyed}"))
+        whole = F.concat(F.transform("list", one), around)
+    else:
+        whole = F.concat(_parts(carried, F.col("list")), around)
+    rows = docs.select(*base, F.inline(F.when(F.col("list").isNull(), F.concat(_parts(carried, letter=_letter(reason, F.col("doc"))), around)).otherwise(whole)))
+    found: dict[str, str] = {}
+    for n, key in enumerate(("", *spec.levels) if spec.keyed else spec.levels):
+        up = len(spec.levels) - n
+        paths = sorted({p for _, *ps in spec.fields.values() for p in ps if steps(p)[0] == up}) if key else []
+        fresh = {p: f"u_{len(found) + k}" for k, p in enumerate(paths)}
+        pairs = F.concat(*untaken(F.col("item"), [*(steps(p)[1] for p in paths), (key,)], f"${up}.")) if key else None
+        rows = rows.withColumns({"list": listed(there(F.col("item"), key) if key else F.col("item")), **{c: there(F.col("item"), *steps(p)[1]) for p, c in fresh.items()}, **({f"p_{up}": pairs} if key else {})})
+        bad = (members(F.col("item")).isNull() | (there(F.col("item"), key).isNotNull() & F.col("list").isNull())) if key else F.col("list").isNull()
+        after = carried | dict.fromkeys(fresh.values(), "variant") | ({f"p_{up}": PAIRS} if key else {})
+        made = {c: F.col(c) for c in after}
+        passed = F.array(F.struct(*[F.col(c) if c in ("item", "letter", "rest", *carried) else F.lit(None).cast(kind).alias(c) for c, kind in {"item": "variant", "letter": LETTER, "rest": PAIRS, **after}.items()]))
+        empty = F.when(F.size(F.col(f"p_{up}")) > 0, _parts(after, rest=F.col(f"p_{up}"))).otherwise(F.filter(passed, lambda _: F.lit(False))) if key else F.filter(passed, lambda _: F.lit(False))
+        parts = F.when(F.col("item").isNull(), passed).when(bad, _parts(after, letter=_letter("unexpected_shape", F.to_json("item")))).when(F.coalesce(F.size("list"), F.lit(0)) <= 0, empty)
+        rows = rows.select(*base, F.inline(parts.otherwise(_parts(after, F.col("list"), **made))))
+        carried, found = after, found | fresh
+    return rows, found
+
+
+def _first(kind: str, found: list[Column]) -> Column:
+    """The first that is there and not empty, else the first that is there; of strings, only strings count, if there is one."""
+    if len(found) == 1:
+        return found[0]
+    good = [F.when(is_text(x), x) if kind == "string" else x for x in found]
+    return F.coalesce(*[F.when(x.cast("string") != "", x) for x in good], *good, *found)
+
+
+def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(tenant_id, received_ms, intake, path, query, tag, fact, letter, rest): one row for each fact, letter or leftover map, from one pass.
+
+    ``fact`` is the typed struct; ``timestamp_source`` in it says whose clock the time is; ``note`` names members of a wrong type.
+    ``beside`` are keys of the body that other specs of it take. A JSON null in place of an item is a letter.
+    """
+    rows, found = _opened(landing, spec, beside)
+    item = F.col("item")
+    at = lambda p: F.col(found[p]) if steps(p)[0] else there(item, *steps(p)[1])
     paths = [p for _, *ps in spec.fields.values() for p in ps]
-    times = [p for p, _, _ in spec.times]
-    tags = [spec.tags] if spec.tags else []
-    roots = {0: "item"} | {k + 1: f"up{k + 1}" for k in range(len(spec.levels))}
-    inside = Objects(rows, roots, [*paths, *times, *tags, *(f"${k}.-" for k in roots if k)], "o")
-    rows = inside.rows
-    raw = {n: inside.first(tuple(ps)) for n, (_, *ps) in spec.fields.items()}
+    rows = rows.withColumns({f"v_{n}": _first(kind, [at(p) for p in ps]) for n, (kind, *ps) in spec.fields.items()} | {f"v_{n}": F.col(f"e_{n}") for n in spec.envelope})
     kinds = {n: x[0] for n, x in (spec.fields | spec.envelope).items()}
-    # lists, maps and structs that are members of the item itself are read in one more parse, not in one each
-    own = {n: [steps(p)[1] for p in ps] for n, (kind, *ps) in spec.fields.items() if kind.startswith(("array", "map", "struct")) and all(steps(p)[0] == 0 and len(steps(p)[1]) == 1 and isinstance(steps(p)[1][0], str) for p in ps)}
-    members = ",".join(f"`{k}`:{kinds[n]}" for n, ks in own.items() for (k,) in ks)
-    made = {n: F.coalesce(*[F.col("whole").getField(k) for (k,) in ks]) if n in own and (ks := own[n]) else typed(F.col(f"r_{n}"), kind) for n, kind in kinds.items()}
-    rows = rows.withColumns({f"r_{n}": c for n, c in raw.items()} | ({"whole": F.from_json("item", f"struct<{members}>")} if own else {}))
-    rows = rows.withColumns({f"f_{n}": c for n, c in made.items()})
-    lacking = F.lit(False)
+    rows = rows.withColumns({f"f_{n}": typed(F.col(f"v_{n}"), kind) for n, kind in kinds.items()})
+    shown = lambda p: "".join(f"{k}." for k in steps(p)[1]).rstrip(".") or "item"
+    wrong = {shown((spec.fields | spec.envelope)[n][1]): (unfit(_type(kind), F.col(f"v_{n}"), F.col(f"f_{n}")), F.col(f"v_{n}"), n in spec.fields) for n, kind in kinds.items() if kind != "text"}
+    tags = F.array().cast("array<string>")
+    if spec.tags:
+        held = at(spec.tags)
+        listed_tags = F.transform(F.filter(listed(held), is_text), lambda x: x.cast("string"))
+        own = F.coalesce(listed_tags, F.when(is_text(held), tag_texts(held.cast("string"))), F.array().cast("array<string>"))
+        odd = F.coalesce(F.exists(listed(held), lambda x: ~is_text(x) & ~F.is_variant_null(x)), held.isNotNull() & ~is_text(held), F.lit(False))
+        wrong[shown(spec.tags)] = (odd, held, True)
+        given = F.coalesce(tag_texts(F.try_element_at("query", F.lit(spec.defaults["tags"]))), F.array().cast("array<string>")) if "tags" in spec.defaults else None
+        tags = multimap(own if given is None else F.concat(given, own))
+    rows = rows.withColumns({f"w_{k}": w for k, (w, _, _) in enumerate(wrong.values())})
+    note = F.concat_ws(",", *[F.when(F.col(f"w_{k}"), name) for k, name in enumerate(wrong)]) if wrong else F.lit("")
+    lacking = item.isNull()
     for n in spec.required:
         lacking = lacking | F.col(f"f_{n}").isNull()
-    # a member of a wrong type, and a spelling that another stands before, are kept
-    wrong = {n: F.col(f"r_{n}").isNotNull() & F.col(f"f_{n}").isNull() for n in kinds if kinds[n] != "string"}
-    shown = lambda p: "".join(f"{k}." for k in steps(p)[1]).rstrip(".") or "item"
-    note = F.concat_ws(",", *[F.when(w, shown((spec.fields | spec.envelope)[n][1])) for n, w in wrong.items()]) if wrong else F.lit("")
+    below = [steps(p)[1] for p in (*paths, *([spec.tags] if spec.tags else []), *(p for p, _, _ in spec.times)) if not steps(p)[0]]
+    if any(p and isinstance(p[0], int) for p in below):
+        lacking = lacking | listed(item).isNull()
+    elif () not in below:
+        lacking = lacking | members(item).isNull()
+    else:
+        lacking = lacking | F.is_variant_null(item)
+    for p in spec.strict:
+        lacking = lacking | (at(p).isNotNull() & ~is_text(at(p)))
     one = lambda key, value, when: F.struct(F.when(when, key).alias("key"), value.cast("string").alias("value"))
-    kept = [one(shown(spec.fields[n][1]), F.col(f"r_{n}"), w) for n, w in wrong.items() if n in spec.fields]
-    for n, (_, *ps) in spec.fields.items():
-        kept += [one(shown(p), inside.text(p), inside.text(p).isNotNull() & ~inside.text(p).eqNullSafe(F.col(f"r_{n}"))) for p in ps if len(ps) > 1]
+    several = {shown(ps[0]): (n, ps) for n, (_, *ps) in spec.fields.items() if len(ps) > 1}
+    kept = [one(F.lit(name), v, F.col(f"w_{k}")) for k, (name, (_, v, own)) in enumerate(wrong.items()) if own and name not in several]
+    marks = {name: F.col(f"w_{k}") for k, name in enumerate(wrong)}
+    for name, (n, ps) in several.items():  # of several spellings, the one that is of a wrong type and those that another stands before
+        other = lambda p, n=n: ~at(p).cast("string").eqNullSafe(F.col(f"v_{n}").cast("string"))
+        kept += [one(F.lit(shown(p)), at(p), at(p).isNotNull() & (marks.get(name, F.lit(False)) | other(p))) for p in ps]
     out = {n: F.coalesce(F.col(f"f_{n}"), F.nullif(F.try_element_at("query", F.lit(spec.defaults[n])), F.lit(""))) if n in spec.defaults else F.col(f"f_{n}") for n in [*kinds, *([spec.keyed] if spec.keyed else [])]}
     if spec.tags:
-        own = F.coalesce(tag_texts(inside.text(spec.tags)), F.array().cast("array<string>"))
-        given = F.coalesce(tag_texts(F.try_element_at("query", F.lit(spec.defaults["tags"]))), F.array().cast("array<string>")) if "tags" in spec.defaults else None
-        out["tags"] = multimap(own if given is None else F.concat(given, own))
+        out["tags"] = tags
     used = F.lit(None).cast("string")
     if spec.times:
         sent = []
         for path, unit, label in spec.times:
-            text = inside.text(path)
+            text = at(path).cast("string")
             clock = F.when(text.rlike(r"^\d{4}-\d\d-\d\d[Tt ].*([Zz]|[+-]\d\d:\d\d)$"), F.unix_millis(text.try_cast("timestamp")))
             ms = clock if unit == 0 else F.when(text.try_cast("double") > 0, (text.try_cast("double") * unit).try_cast("bigint"))
             sent.append(F.when(ms.isNotNull(), F.struct(ms.alias("ms"), F.lit(label).alias("label"), F.lit(shown(path)).alias("key"))))
@@ -237,50 +290,64 @@ def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
         out["t_ms"] = F.coalesce("sent.ms", "received_ms")
         out["timestamp_source"] = F.coalesce("sent.label", F.lit("arrival"))
         used = F.col("sent.key")
-    lists = inside.untaken([*paths, *tags])
-    for k in roots:
-        if k:
-            outer = inside.untaken(paths, k)
-            lists += [_renamed(x, [], f"${k}.") for x in outer]
+    taken = [steps(p)[1] for p in (*paths, *([spec.tags] if spec.tags else [])) if not steps(p)[0]]
+    lists = [] if () in taken else untaken(item, taken)
+    lists += [F.coalesce(F.col(f"p_{k + 1}"), F.array().cast(PAIRS)) for k in range(len(spec.levels))]
     lists += [F.filter(F.array(*kept), lambda e: e["key"].isNotNull())] if kept else []
-    pairs = F.concat(*[F.coalesce(x, F.array().cast(PAIRS)) for x in lists]) if lists else F.array().cast(PAIRS)
+    pairs = F.concat(*lists) if lists else F.array().cast(PAIRS)
     rows = rows.withColumn("pairs", F.filter(pairs, lambda e: ~e["key"].eqNullSafe(used)))
     out["note"], out["extra"] = note, last_of(F.col("pairs"))
-    # an item gives one fact or none; a filter here would be pushed below and parse everything twice
-    one_fact = F.when(~lacking, F.array(F.struct(*[c.alias(n) for n, c in out.items()])))
-    facts = rows.select("tenant_id", "received_ms", F.inline(one_fact)) if spec.required else rows.select("tenant_id", "received_ms", *[c.alias(n) for n, c in out.items()])
-    for n, make in spec.derive.items():
-        facts = facts.withColumn(n, make())
-    lost = rows.where(lacking).withColumns({"reason": F.lit("unexpected_shape"), "body": F.coalesce("item", F.lit("null")), "note": note})
-    parts = [dead_letters(x) for x in [*dead, lost]]
-    for x in parts[1:]:
-        parts[0] = parts[0].unionByName(x)
-    return facts, parts[0]
+    fact = F.struct(*[c.alias(n) for n, c in out.items()])
+    none = lambda like: F.lit(None).cast(like)
+    tag = F.when(F.col("letter").isNotNull(), "letter").when(F.col("rest").isNotNull(), "rest").when(lacking, "letter").otherwise("fact")
+    rows = rows.withColumns({"tag": tag, "fact": fact})
+    # the last generator: nothing above it is pushed below the parse, and an outcome is made once
+    return rows.select(
+        "tenant_id", "received_ms", "intake", "path", "query",
+        F.inline(F.array(F.struct(
+            "tag", F.when(F.col("tag") == "fact", F.col("fact")).alias("fact"),
+            F.coalesce("letter", F.when(F.col("tag") == "letter", _letter("unexpected_shape", F.coalesce(F.to_json("item"), F.lit("null")), note))).alias("letter"),
+            F.when(F.col("tag") == "rest", last_of(F.col("rest"))).alias("rest"),
+        ))),
+    )
 
 
-def leftovers(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> DataFrame:
-    """(tenant_id, received_ms, intake, extra): once a body, its keys beside the list that no envelope field takes.
+def _type(kind: str) -> T.DataType:
+    return T.LongType() if kind == "u64" else T.DataType.fromDDL(kind)
 
-    ``beside`` are keys that other specs of the same body take.
-    """
-    docs = documents(landing, spec).where("top is not null")
-    taken = [p for _, *ps in spec.envelope.values() for p in ps]
-    around = Objects(docs, {0: "top"}, [*taken, *([spec.items] if spec.items else []), "$.-"], "e", True)
-    lists = around.untaken([*taken, *([spec.items] if spec.items else []), *(f"$.{k}" for k in beside)])
-    rows = around.rows.withColumn("pairs", F.concat(*[F.coalesce(x, F.array().cast(PAIRS)) for x in lists])).where("size(pairs) > 0")
-    return rows.select("tenant_id", "received_ms", "intake", last_of(F.col("pairs")).alias("extra"))
+
+def facts_of(made: DataFrame, spec: Spec) -> DataFrame:
+    facts = made.where("tag = 'fact'").select("tenant_id", "received_ms", "fact.*")
+    for n, make in spec.derive.items():
+        facts = facts.withColumn(n, make())
+    return facts
 
 
-def dead_letters(rows: DataFrame) -> DataFrame:
+def letters_of(made: DataFrame) -> DataFrame:
     """Undecodable input with its reason; empty probes are not kept, and secrets are cut from path and query."""
-    kept = rows.where(~F.trim("body").isin(*PROBES))
+    rows = made.where("tag = 'letter'").select("tenant_id", "received_ms", "intake", "path", "query", "letter.*")
     secret = "|".join(SECRET_PARAMS)
     path = F.regexp_replace("path", f"(?i)((?:{secret})=)[^&]*", "$1-")
     query = F.map_filter("query", lambda k, _: ~F.lower(k).isin(*SECRET_PARAMS))
-    return kept.select("tenant_id", "received_ms", "intake", "reason", path.alias("path"), query.alias("query"), "body", F.octet_length("body").alias("body_bytes"), "note")
+    return rows.where(~F.trim("body").isin(*PROBES)).select("tenant_id", "received_ms", "intake", "reason", path.alias("path"), query.alias("query"), "body", F.octet_length("body").alias("body_bytes"), "note")
+
+
+def leftovers_of(made: DataFrame) -> DataFrame:
+    """(tenant_id, received_ms, intake, extra): the keys of a body, or of an object without items, that belong to no item."""
+    return made.where("tag = 'rest'").select("tenant_id", "received_ms", "intake", F.col("rest").alias("extra"))
+
+
+def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """(facts, dead letters), each a plan of one scan; to have both, and the leftovers, from one, write ``outcomes`` first."""
+    made = outcomes(landing, spec)
+    return facts_of(made, spec), letters_of(made)
+
+
+def leftovers(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> DataFrame:
+    return leftovers_of(outcomes(landing, spec, beside))
 
 
-S, L, D, B, U = "string", "bigint", "double", "boolean", "u64"
+S, X, L, D, B, U = "string", "text", "bigint", "double", "boolean", "u64"
 #: One spec for each signal. Paths after the type are tried in order.
 SPECS: dict[str, Spec] = {
     "series_v2": Spec("series_v2", {"metric": (S, "$.metric"), "type_code": (L, "$.type"), "unit": (S, "$.unit"), "interval": (L, "$.interval"), "points": ("array<struct<timestamp:bigint,value:double>>", "$.points"), "resources": ("array<struct<name:string,type:string>>", "$.resources")}, "$.series", required=("metric",), tags="$.tags"),
@@ -289,8 +356,9 @@ SPECS: dict[str, Spec] = {
     "distribution_points": Spec("distribution_points", {"metric": (S, "$.metric"), "host": (S, "$.host"), "points": ("array<struct<ts:bigint,values:array<double>>>", "$.points")}, "$.series", required=("metric",), tags="$.tags"),
     "check_runs": Spec("check_runs", {"check_name": (S, "$.check"), "host": (S, "$.host_name"), "status_code": (L, "$.status"), "message": (S, "$.message")}, required=("check_name",), tags="$.tags", times=(("$.timestamp", 1000, "sender"),)),
     "events": Spec("events", {"title": (S, "$.title"), "text": (S, "$.text"), "host": (S, "$.host"), "alert_type": (S, "$.alert_type"), "priority": (S, "$.priority")}, required=("title",), tags="$.tags", times=(("$.date_happened", 1000, "sender"),)),
-    "logs": Spec("logs", {"message": (S, "$.message", "$.msg", "$.@m"), "host": (S, "$.hostname", "$.host"), "service": (S, "$.service", "$.app", "$.dd_service"), "source": (S, "$.ddsource", "$.source"), "status_raw": (S, "$.status", "$.level", "$.severity", "$.@l")}, tags="$.ddtags",
-        defaults={"source": "ddsource", "service": "service", "host": "hostname", "tags": "ddtags"}, times=(("$.timestamp", 1, "timestamp_ms"), ("$.timestamp", 0, "timestamp_string"), ("$.date", 1, "date_ms"), ("$.date", 0, "date_string"), ("$.@t", 0, "compact_string"))),
+    "logs": Spec("logs", {"message": (S, "$.message", "$.@m"), "host": (S, "$.hostname", "$.host"), "service": (S, "$.service", "$.dd_service"), "source": (S, "$.ddsource"), "status_sent": (S, "$.status"), "level": (S, "$.status", "$.@l"), "compact": (S, "$.@m")}, tags="$.ddtags",
+        defaults={"source": "ddsource", "service": "service", "host": "hostname", "tags": "ddtags"}, times=(("$.timestamp", 1, "timestamp_ms"), ("$.timestamp", 0, "timestamp_string"), ("$.date", 1, "date_ms"), ("$.date", 0, "date_string"), ("$.@t", 0, "compact_string")),
+        derive={"status": lambda: log_status()}, strict=("$.message", "$.hostname", "$.service", "$.ddsource", "$.ddtags")),
     "spans": Spec(
         "spans",
         {
@@ -309,7 +377,7 @@ SPECS: dict[str, Spec] = {
     "containers": Spec("containers", {"container_id": (S, "$.id"), "image": (S, "$.image"), "cpu": (D, "$.cpu"), "rss": (L, "$.memRss"), "state": (S, "$.state")}, "$.containers", {"host": (S, "$.hostName")}, ("container_id",), tags="$.tags"),
     "connections": Spec("connections", {"pid": (L, "$.pid"), "src": (S, "$.laddr.ip"), "dst": (S, "$.raddr.ip"), "port": (L, "$.raddr.port"), "bytes_sent": (L, "$.lastBytesSent")}, "$.connections", {"host": (S, "$.hostName")}, ("pid",)),
     "k8s_resources": Spec("k8s_resources", {"namespace": (S, "$.metadata.namespace"), "name": (S, "$.metadata.name"), "uid": (S, "$.metadata.uid"), "resource_version": (S, "$.metadata.resourceVersion"), "phase": (S, "$.status.phase"), "desired": (L, "$.spec.replicas", "$.replicasDesired"), "ready": (L, "$.status.readyReplicas"), "labels": ("map<string,string>", "$.metadata.labels"), "annotations": ("map<string,string>", "$.metadata.annotations"), "owners": ("array<struct<kind:string,name:string,uid:string>>", "$.metadata.ownerReferences"), "conditions": ("array<struct<type:string,status:string,reason:string,message:string,lastTransitionTime:string>>", "$.status.conditions"), "available": (L, "$.status.availableReplicas"), "updated": (L, "$.status.updatedReplicas"), "node": (S, "$.spec.nodeName"), "qos": (S, "$.status.qosClass"), "capacity": ("map<string,string>", "$.status.capacity"), "containers": ("array<struct<ready:boolean,restarts:bigint>>", "$.status.containers")}, "$.items", {"kind": (S, "$.kind"), "cluster_id": (S, "$.clusterId")}, ("name",)),
-    "k8s_manifests": Spec("k8s_manifests", {"uid": (S, "$.uid"), "kind": (S, "$.kind", "$.content.kind"), "version": (S, "$.resourceVersion"), "content": (S, "$.content")}, "$.manifests", {"cluster_id": (S, "$.clusterId")}, ("uid",)),
+    "k8s_manifests": Spec("k8s_manifests", {"uid": (S, "$.uid"), "kind": (S, "$.kind", "$.content.kind"), "version": (S, "$.resourceVersion"), "content": (X, "$.content")}, "$.manifests", {"cluster_id": (S, "$.clusterId")}, ("uid",)),
     "container_events": Spec("container_events", {"container_id": (S, "$.containerID"), "exit_code": (L, "$.exitCode"), "exited_at": (L, "$.exitTimestamp")}, "$.events", {"host": (S, "$.host"), "event_type": (S, "$.eventType")}, ("container_id",)),
     "container_images": Spec("container_images", {"digest": (S, "$.digest", "$.id"), "name": (S, "$.name"), "size": (L, "$.size"), "layers": ("array<struct<size:bigint>>", "$.layers")}, "$.images", required=("digest",), tags="$.tags"),
     "dbm_events": Spec("dbm_events", {"host": (S, "$.host"), "track": (S, "$.ddsource"), "statement": (S, "$.db.statement"), "plan": (S, "$.db.plan.definition"), "signature": (S, "$.db.query_signature")}, tags="$.ddtags", times=(("$.timestamp", 1, "sender"),)),
@@ -320,10 +388,10 @@ SPECS: dict[str, Spec] = {
     "network_paths": Spec("network_paths", {"origin": (S, "$.source.hostname"), "target": (S, "$.destination.hostname"), "hops": ("array<struct<ttl:bigint,ip_address:string,rtt:double>>", "$.hops")}, times=(("$.timestamp", 1, "sender"),)),
     "rum": Spec("rum", {"kind": (S, "$.type"), "view_id": (S, "$.view.id"), "session_id": (S, "$.session.id"), "document_version": (L, "$._dd.document_version"), "name": (S, "$.action.name", "$.action.target.name", "$.resource.url", "$.error.message"), "loading_time": (L, "$.view.loading_time", "$.view.performance.loading_time")}, times=(("$.date", 1, "sender"),)),
     "security_events": Spec("security_events", {"rule": (S, "$.agent.rule_id"), "category": (S, "$.evt.category"), "process": (S, "$.process.executable.path")}, tags="$.ddtags", times=(("$.timestamp", 1, "sender"),)),
-    "sbom": Spec("sbom", {"entity": (S, "$.id"), "kind": (S, "$.type"), "in_use": (B, "$.inUse"), "status": (S, "$.status"), "error": (S, "$.error"), "bom": (S, "$.cyclonedx")}, "$.entities", {"host": (S, "$.host"), "source": (S, "$.source"), "env": (S, "$.ddEnv")}, ("entity",)),
+    "sbom": Spec("sbom", {"entity": (S, "$.id"), "kind": (S, "$.type"), "in_use": (B, "$.inUse"), "status": (S, "$.status"), "error": (S, "$.error"), "bom": (X, "$.cyclonedx")}, "$.entities", {"host": (S, "$.host"), "source": (S, "$.source"), "env": (S, "$.ddEnv")}, ("entity",)),
     "sds": Spec("sds", {"rule": (S, "$.rule"), "resource": (S, "$.resource"), "matches": (L, "$.matches"), "failed": (B, "$.failed"), "found": ("array<struct<path:string,start:bigint,end:bigint,confidence:string>>", "$.matchDetails")}, "$.results", {"scan_id": (S, "$.scanId")}),
     "synthetics": Spec("synthetics", {"test_id": (S, "$.testId"), "location": (S, "$.location"), "passed": (B, "$.passed"), "duration": (D, "$.duration")}, "$.results", required=("test_id",)),
-    "telemetry": Spec("telemetry", {"name": (S, "$.name"), "value": (S, "$.value"), "origin": (S, "$.origin")}, "$.payload.configuration", {"service": (S, "$.application.service_name"), "request_type": (S, "$.request_type")}, ("name",)),
+    "telemetry": Spec("telemetry", {"name": (S, "$.name"), "value": (X, "$.value"), "origin": (S, "$.origin")}, "$.payload.configuration", {"service": (S, "$.application.service_name"), "request_type": (S, "$.request_type")}, ("name",)),
     "ci_tests": Spec("ci_tests", {"kind": (S, "$.type"), "test": (S, "$.content.meta.test\\.name", "$.content.resource"), "suite": (S, "$.content.meta.suite", "$.content.service"), "status": (S, "$.content.meta.status"), "start": (L, "$.content.start"), "duration": (L, "$.content.duration")}, "$.events", {"env": (S, "$.metadata.env"), "runtime": (S, "$.metadata.runtime")}),
     "ci_webhooks": Spec("ci_webhooks", {"delivery": (S, "$.delivery"), "action": (S, "$.action"), "repository": (S, "$.repository.full_name", "$.project.path")}, required=("delivery",)),
     "git_commits": Spec("git_commits", {"sha": (S, "$.id")}, "$.data", {"repository": (S, "$.meta.repository_url")}, ("sha",)),
@@ -334,7 +402,7 @@ SPECS: dict[str, Spec] = {
 }
 SPECS |= {
     "intake_events": Spec("intake_events", {"title": (S, "$.msg_title"), "text": (S, "$.msg_text"), "host": (S, "$.host"), "alert_type": (S, "$.alert_type")}, "$.events", {"agent_host": (S, "$.internalHostname")}, keyed="source", tags="$.tags", times=(("$.timestamp", 1000, "sender"),)),
-    "agent_checks": Spec("agent_checks", {"name": (S, "$[0]"), "source": (S, "$[1]"), "instance": (S, "$[2]"), "status": (S, "$[3]"), "message": (S, "$[4]")}, "$.agent_checks", {"host": (S, "$.internalHostname")}, ("name",)),
+    "agent_checks": Spec("agent_checks", {"name": (X, "$[0]"), "source": (X, "$[1]"), "instance": (X, "$[2]"), "status": (X, "$[3]"), "message": (X, "$[4]")}, "$.agent_checks", {"host": (S, "$.internalHostname")}, ("name",)),
     "external_host_tags": Spec("external_host_tags", {"host": (S, "$[0]"), "by_source": ("map<string,array<string>>", "$[1]")}, "$.external_host_tags", required=("host",)),
     "process_groups": Spec("process_groups", {"user": (S, "$[0]"), "cpu": (D, "$[1]"), "mem": (D, "$[2]"), "name": (S, "$[5]"), "pids": (L, "$[6]")}, "$.processes", {"host": (S, "$.internalHostname")}),
     "pipeline_points": Spec("pipeline_points", {"hash": (L, "$.Hash"), "parent_hash": (L, "$.ParentHash"), "edge_tags": ("array<string>", "$.EdgeTags"), "bucket_start": (L, "$1.Start")}, "$.Stats", {"service": (S, "$.Service"), "env": (S, "$.Env")}, levels=("Stats",)),
@@ -370,11 +438,12 @@ SPECS |= {
     "symbol_queries": Spec("symbol_queries", {"build_id": (S, "$")}, "$.data.buildIds", {"arch": (S, "$.data.arch")}),
     "debugger_diagnostics": Spec("debugger_diagnostics", {"probe_id": (S, "$.debugger.diagnostics.probeId"), "status": (S, "$.debugger.diagnostics.status"), "service": (S, "$.service")}, times=(("$.timestamp", 1, "sender"),)),
     "symdb": Spec("symdb", {"service": (S, "$.service"), "language": (S, "$.language"), "scopes": ("array<string>", "$.scopes")}),
-    "cws_dump": Spec("cws_dump", {"container": (S, "$.metadata.container_id"), "tree": (S, "$.tree")}),
+    "cws_dump": Spec("cws_dump", {"container": (S, "$.metadata.container_id"), "tree": (X, "$.tree")}),
 }
 METRIC_TYPES = ("UNSPECIFIED", "COUNT", "RATE", "GAUGE")
 CHECK_STATUS = ("OK", "WARNING", "CRITICAL", "UNKNOWN")
-LEVELS = {"emerg": "emergency", "fatal": "critical", "err": "error", "eror": "error", "warning": "warn", "notice": "info", "trace": "debug", "verbose": "debug", "information": "info", "": "info"}  # fixed values
+#: Levels of the compact form that go by another name.
+LEVELS = {"trace": "debug", "verbose": "debug", "information": "info", "warning": "warn", "fatal": "critical"}
 
 
 def named(code: Column, names: tuple[str, ...]) -> Column:
@@ -383,9 +452,11 @@ def named(code: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(known, code.cast("string"))
 
 
-def log_status(raw: Column) -> Column:
-    text = F.lower(F.coalesce(raw, F.lit("")))
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), text), text)
+def log_status() -> Column:
+    """The status as sent; else the compact level under its usual name, which a compact message without one leaves at info; else empty."""
+    level = F.lower("level")
+    named_level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), level), level)
+    return F.coalesce("status_sent", named_level, F.when(F.col("compact").eqNullSafe(F.col("message")), "info").otherwise(""))
 
 
 def metric_rows(series: DataFrame, version: int = 2) -> DataFrame:

@@ -65,13 +65,31 @@ def release(spark: SparkSession) -> int:
     return gone
 
 
+class Folder:
+    """A folder of any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self._store = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return bool(self._store.exists(self._path))
+
+    def create(self) -> None:
+        self._store.mkdirs(self._path)
+
+    def remove(self) -> bool:
+        return bool(self._store.delete(self._path, True))
+
+    def names(self) -> list[str]:
+        """What is in it, sorted; nothing if it is not there."""
+        return sorted(x.getPath().getName() for x in self._store.listStatus(self._path)) if self.exists() else []
+
+
 def _remove(spark: SparkSession, written: list[tuple[str, str | None]]) -> int:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
     for place, name in written:
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = hadoop.Path(place)
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+        gone += Folder(spark, place).remove()
     return gone
