@@ -25,6 +25,7 @@ EMBED = 4
 FILTERS = 16
 CHUNK = 4096  # positions of a chunk
 BATCH = 32  # texts of a training step
+TEXTS_AT_LEAST = 64  # that fit into the sample's bytes, whatever their lengths
 
 
 @dataclass
@@ -123,9 +124,10 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 14, rate: float
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_label: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
     """About ``per_label`` labelled rows of each label, by a hash of the id, with their whole texts, up to ``most_bytes`` in all.
 
-    An id with both labels, or with another label than 0 and 1, is left out; of rows that repeat an id one is taken.
+    No single text takes more than a 64th of these bytes: longer ones are passed over, so they never crowd out the sample.
+    An id with both labels, or with another label than 0 and 1, is left out; of rows that repeat an id one is taken. Ids meet as text.
     """
-    known = labels.select(F.col("label_id"), F.col("label").cast("int").alias("label")).where("label is not null and label_id is not null")
+    known = labels.select(F.col("label_id").cast("string").alias("label_id"), F.col("label").cast("int").alias("label")).where("label is not null and label_id is not null")
     known = known.groupBy("label_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most and label in (0, 1)").drop("most")
     count = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not count:
@@ -136,8 +138,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     if drawn.count() <= 8 * per_label:  # about two samples' size; then no text is shuffled to find them
         drawn = F.broadcast(drawn)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    found = docs.join(drawn, docs[id_col] == drawn["label_id"]).select("label_id", "label", text.alias("text"), F.xxhash64(text).alias("name"))
-    found = durable(found.groupBy("label_id", "label").agg(F.min_by("text", "name").alias("text")).withColumn("bytes", F.octet_length("text")))
+    found = docs.join(drawn, docs[id_col].cast("string") == drawn["label_id"]).select("label_id", "label", text.alias("text"), F.xxhash64(text).alias("name"))
+    found = durable(found.groupBy("label_id", "label").agg(F.min_by("text", "name").alias("text")).withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= most_bytes // TEXTS_AT_LEAST))
     run = Window.orderBy(F.xxhash64("label_id"), "label_id").rowsBetween(Window.unboundedPreceding, 0)  # over the sample's ids and sizes
     within = found.select("label_id", F.sum("bytes").over(run).alias("run")).where(F.col("run") <= most_bytes).select("label_id")
     rows = found.join(F.broadcast(within), "label_id").select("label_id", "label", "text").toArrow().sort_by([("label_id", "ascending")])
