@@ -2,8 +2,8 @@
 
 The index holds all trigrams of all texts: a posting list for each trigram and block of documents, written to a table
 once and asked by any rule thereafter. Each rule is a regular expression. From its syntax tree comes a Boolean query
-over trigrams that every match must contain: a run of single letters gives the AND of its trigrams, a choice the
-OR of its branches. A query intersects and unites the lists of a block; the regular expression then runs over
+over trigrams that every match must contain: a run of letters gives the AND of its trigrams, a class of few letters or
+a choice the OR of its alternatives. A query intersects and unites the lists of a block; the regular expression then runs over
 the candidates only. A rule without mandatory trigrams runs over every text.
 """
 
@@ -13,6 +13,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -27,6 +29,7 @@ from .text import bounded
 BLOCK = 32768  # rows of a posting list's block
 POSTINGS = 2_000_000  # that a task holds before it writes their lists
 PIECE = 1 << 20
+WIDEST, MOST_RUNS = 8, 64  # letters of a class that are told apart, and runs of letters held at once
 Query = bool | str | tuple  # True: every document; a trigram; ("and" | "or", query, ...)
 
 
@@ -67,48 +70,79 @@ def _join(kind: str, parts: list[Query]) -> Query:
     return True if not parts else parts[0] if len(parts) == 1 else (kind, *parts)
 
 
-def _letter(op, arg) -> str | None:
-    """The lower-case character that this item must be, if there is just one."""
+def _letters(op, arg, any_case: bool) -> list[str] | None:
+    """The characters that this item can be, A-Z as a-z, if they are at most ``WIDEST``. Beyond ASCII nothing is folded, as in the index."""
     if op is sre.LITERAL:
-        return chr(arg).lower()
-    if op is sre.IN:
-        chars = {chr(v).lower() if o is sre.LITERAL else None for o, v in arg}
-        if len(chars) == 1:
-            return chars.pop()
-    return None
+        found = {arg}
+    elif op is sre.IN and all(o in (sre.LITERAL, sre.RANGE) for o, _ in arg):
+        spans = [(v, v) if o is sre.LITERAL else v for o, v in arg]
+        if sum(b - a + 1 for a, b in spans) > 2 * WIDEST:
+            return None
+        found = {c for a, b in spans for c in range(a, b + 1)}
+    else:
+        return None
+    chars = {c.lower() if c.isascii() else c for c in map(chr, found)}
+    if any_case and not chars <= set("abcdefghijlmnopqrtuvwxyz0123456789_-./:=+ \"'"):
+        return None  # k and s, and letters beyond ASCII, have partners of other codes
+    return sorted(chars) if len(chars) <= WIDEST else None
+
+
+def _trigrams(runs: list[str]) -> Query:
+    """What holds of a text with one of the runs."""
+    each = []
+    for run in runs:
+        grams = [run[i : i + 3] for i in range(len(run) - 2)]
+        each.append(_join("and", [g for g in grams if len(g.encode("utf-8", "surrogatepass")) == 3]))
+    return _join("or", each)
 
 
-def _trigrams(run: str) -> Query:
-    grams = [run[i : i + 3] for i in range(len(run) - 2)]
-    return _join("and", [g for g in grams if len(g.encode()) == 3])
+def trigram_query(pattern: str) -> Query:
+    """The Boolean trigram query that every text with a match of the pattern meets; True if there is none.
 
+    Runs of letters are held with all alternatives of small classes, up to ``MOST_RUNS`` at once.
+    """
 
-def trigram_query(pattern: str) -> Query:
-    """The Boolean trigram query that every text with a match of the pattern meets; True if there is none."""
+    def longer(runs: list[str], letters: list[str]) -> list[str]:
+        return [r + c for r in runs for c in letters]
+
+    def of(items, any_case: bool) -> Query:
+        parts, runs = [], [""]
+
+        def cut() -> None:
+            nonlocal runs
+            parts.append(_trigrams(runs))
+            runs = [""]
+
+        def add(letters: list[str]) -> None:
+            nonlocal runs
+            if len(runs) * len(letters) > MOST_RUNS:
+                ends = sorted({r[-2:] for r in runs})
+                parts.append(_trigrams(runs))  # what follows still meets the last two letters
+                runs = ends if len(ends) * len(letters) <= MOST_RUNS else [""]
+            runs = longer(runs, letters)
 
-    def of(items) -> Query:
-        parts, run = [], ""
         for op, arg in items:
-            letter = _letter(op, arg)
-            if letter:
-                run += letter
+            if (letters := _letters(op, arg, any_case)) is not None:
+                add(letters)
                 continue
-            if op is sre.MAX_REPEAT and arg[0] >= 1 and (one := [_letter(*x) for x in arg[2]]) and None not in one:
-                run += "".join(one) * arg[0]
-                parts.append(_trigrams(run))
-                run = "" if arg[0] != arg[1] else run
+            if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and 1 <= arg[0] <= 64 and None not in (inner := [_letters(*x, any_case) for x in arg[2]]):
+                for letters in inner * arg[0]:
+                    add(letters)
+                if arg[0] != arg[1]:
+                    cut()
                 continue
-            parts.append(_trigrams(run))
-            run = ""
+            cut()
             if op is sre.SUBPATTERN:
-                parts.append(of(arg[3]))
+                parts.append(of(arg[3], (any_case or bool(arg[1] & re.IGNORECASE)) and not arg[2] & re.IGNORECASE))
             elif op is sre.BRANCH:
-                parts.append(_join("or", [of(x) for x in arg[1]]))
+                parts.append(_join("or", [of(x, any_case) for x in arg[1]]))
             elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
-                parts.append(of(arg[2]))
-        return _join("and", [*parts, _trigrams(run)])
+                parts.append(of(arg[2], any_case))
+        cut()
+        return _join("and", parts)
 
-    return of(sre_parser.parse(pattern))
+    parsed = sre_parser.parse(pattern)
+    return of(parsed, bool(parsed.state.flags & re.IGNORECASE))
 
 
 def trigrams_in(query: Query) -> set[str]:
@@ -168,13 +202,14 @@ def trigram_index(texts: DataFrame) -> DataFrame:
         if size:
             yield from lists(grams, rows)
 
-    return durable(bounded(texts.select("row", "text")).mapInArrow(of, "gram int, block long, rows binary"), "zstd")
+    # in order of the trigram, so the few lists that a rule asks for lie in few pages of a file
+    return durable(bounded(texts.select("row", "text")).mapInArrow(of, "gram int, block long, rows binary").sortWithinPartitions("gram"), "zstd")
 
 
 def candidates(index: DataFrame, asked: list[Query]) -> DataFrame:
     """(block, masks): for each row of a block a mask of the queries that it meets; blocks in which none is met may be absent.
 
-    Only the lists of the queries' trigrams are read.
+    The lists of the queries' trigrams are asked for one by one, so that each test of theirs reaches the files' statistics.
     """
     wanted = sorted(set().union(*map(trigrams_in, asked)))
 
@@ -194,7 +229,7 @@ def candidates(index: DataFrame, asked: list[Query]) -> DataFrame:
                 masks |= answer(query, held).astype(np.int64) << k
         return pa.table({"block": table.column("block").slice(0, 1), "masks": pa.array([masks], pa.list_(pa.int64()))})
 
-    lists = index.where(F.col("gram").isin([numbered(g) for g in wanted]))
+    lists = index.where(reduce(or_, [F.col("gram") == numbered(g) for g in wanted], F.lit(False)))
     return lists.groupBy("block").applyInArrow(of, "block long, masks array<long>")
 
 
