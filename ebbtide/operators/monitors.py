@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import SeriesFrame, same_keys
-from .across import reduction
 from .aggregate import group_key, has_missing_group
 from .models import anomalies_basic, band_check, outliers_mad
+from .sliding import on_windows, reduced, sliding, window_reach
 
 LEAST_DELAY_MS = 30_000
 SEVERITY = {"Alert": 3, "Warn": 2, "No Data": 1, "OK": 0}
@@ -50,18 +50,9 @@ def mon_period(ticks: DataFrame, step_ms: int, reach_ms: int, delay_ms: int = 0)
     return ticks.withColumn("to_ms", to).withColumn("from_ms", F.col("to_ms") - reach_ms)
 
 
-def windows(periods: DataFrame, step_ms: int) -> DataFrame:
-    """A row for each bucket that a tick reads, so that series meet ticks by equality."""
-    return periods.select("tick", "from_ms", "to_ms", F.explode(F.sequence("from_ms", F.col("to_ms") - step_ms, F.lit(step_ms))).alias("bucket_ms"))
-
-
-def on_ticks(sf: SeriesFrame, periods: DataFrame) -> DataFrame:
-    return windows(periods, sf.step_ms).join(sf.df, "bucket_ms")
-
-
 def mon_threshold(sf: SeriesFrame, periods: DataFrame, how: str = "avg") -> DataFrame:
     """(tick, keys..., value): each group's window reduced to one value."""
-    return on_ticks(sf, periods).groupBy("tick", *sf.keys).agg(reduction(how, sf.step_ms).alias("value"))
+    return on_windows(sf.df, sf.keys, periods).select("tick", *sf.keys, reduced(how, sf.step_ms).alias("value"))
 
 
 def mon_change(sf: SeriesFrame, periods: DataFrame, shift_ms: int, percent: bool = False, how: str = "avg") -> DataFrame:
@@ -76,9 +67,12 @@ def mon_change(sf: SeriesFrame, periods: DataFrame, shift_ms: int, percent: bool
 def mon_anomaly(sf: SeriesFrame, periods: DataFrame, bounds: float = 3.0, direction: str = "both", recovery_ms: int | None = None) -> DataFrame:
     """(tick, keys..., value, recovery): share of banded buckets outside, in the window and in its last ``recovery_ms``."""
     flags = anomalies_basic(sf, bounds).select(*sf.keys, "bucket_ms", band_check(direction).cast("double").alias("value"))
-    late = F.col("bucket_ms") >= F.col("to_ms") - (recovery_ms or 0)
-    rows = on_ticks(sf.with_df(flags), periods).groupBy("tick", *sf.keys)
-    return rows.agg(F.avg("value").alias("value"), F.avg(F.when(late, F.col("value"))).alias("recovery"))
+    share = reduced("avg", sf.step_ms)
+    whole = on_windows(flags, sf.keys, periods).select("tick", *sf.keys, share.alias("value"))
+    if not recovery_ms:
+        return whole.withColumn("recovery", F.lit(None).cast("double"))
+    late = on_windows(flags, sf.keys, periods, recovery_ms).select("tick", *sf.keys, share.alias("recovery"))
+    return whole.alias("l").join(late.alias("r"), same_keys(("tick", *sf.keys)), "left").select("l.*", "r.recovery")
 
 
 def mon_outlier(sf: SeriesFrame, **how) -> DataFrame:
@@ -90,9 +84,15 @@ def mon_outlier(sf: SeriesFrame, **how) -> DataFrame:
 
 def mon_full_window(sf: SeriesFrame, periods: DataFrame, bucket_ms: int) -> DataFrame:
     """(tick, keys..., full): the window's first bucket is filled and at most three are empty."""
-    slot = F.floor((F.col("bucket_ms") - F.col("from_ms")) / bucket_ms)
-    count = F.ceil((F.max("to_ms") - F.max("from_ms")) / bucket_ms)
-    return on_ticks(sf, periods).groupBy("tick", *sf.keys).agg(((F.min(slot) == 0) & (count - F.count_distinct(slot) <= 3)).alias("full"))
+    phase = F.pmod("from_ms", F.lit(bucket_ms))
+    phases = sorted(r.phase for r in periods.select(phase.alias("phase")).distinct().collect())  # at most buckets over steps
+    begin = F.floor((F.col("bucket_ms") - F.col("phase")) / bucket_ms) * bucket_ms + F.col("phase")
+    slots = sf.df.withColumn("phase", F.explode(F.array(*map(F.lit, phases)).cast("array<bigint>"))).select(*sf.keys, "phase", begin.cast("long").alias("bucket_ms")).distinct()
+    asked = periods.withColumn("phase", phase)
+    reach = window_reach(periods) or bucket_ms
+    found = sliding(slots.withColumn("value", F.lit(1.0)), (*sf.keys, "phase"), asked.select("to_ms", "phase"), reach)
+    full = (F.col("first_ms") == F.col("from_ms")) & (F.lit(-(-reach // bucket_ms)) - F.col("n") <= 3)
+    return asked.select("tick", "from_ms", "to_ms", "phase").join(found, ["to_ms", "phase"]).select("tick", *sf.keys, full.alias("full"))
 
 
 def mon_groups(evaluated: DataFrame, keys: tuple[str, ...], most: int = 1000) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import across, catalog, models
 from ..operators import aggregate as ag
 from ..operators import monitors as mon
 from ..operators import predicates as pr
+from ..operators.sliding import on_windows
 from ..sources import telemetry
 from ..sources.telemetry import CHECKS_SQL, LOGS_SQL, MONITORS_SQL, POINTS_SQL, table
 from ..streaming import state
@@ -266,7 +267,7 @@ register(
 )
 register(
     "mon_period",
-    lambda s, d: mon.on_ticks(hourly_env(s, d), periods(s)).groupBy("tick").agg(F.max("to_ms").alias("to_ms"), F.max("from_ms").alias("from_ms"), F.count("*").alias("n")),
+    lambda s, d: on_windows(hourly_env(s, d).df, ("env",), periods(s)).groupBy("tick").agg(F.max("to_ms").alias("to_ms"), F.max("from_ms").alias("from_ms"), F.sum("n").alias("n")),
     sql(f", {TICKS} SELECT tick, max(to_ms) AS to_ms, max(from_ms) AS from_ms, count(*) AS n FROM {ON.format('base')} GROUP BY tick", step=HOUR),
 )
 for how, text in (("avg", "avg(value)"), ("max", "max(value)")):
