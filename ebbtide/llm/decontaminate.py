@@ -20,6 +20,7 @@ TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 32768  # rows that one bitmap covers
 SLICES = 32  # a term's places in the tables of test terms
 LONG_LISTS = 1000  # a list of more than this share of all postings is dealt in slices
+EARLY = 4  # terms met before a near match's other terms are looked up
 END = ""  # the term that marks a row's end; its position is the row's number of words
 
 
@@ -93,16 +94,21 @@ def _postings_of(index: DataFrame, rows: DataFrame) -> DataFrame:
     return marked(index.where(F.col("term") != END), rows).select("row", "pos", "term")
 
 
-def _meet(index: DataFrame, starts: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
-    """Candidates (row, win, begin) -> with ``met``, how many of the window's terms stand within ``slop`` of their places."""
-    rows = starts.select("row").distinct()
+def _meet(index: DataFrame, starts: DataFrame, terms: DataFrame, slop: int, held: DataFrame | None = None) -> DataFrame:
+    """Candidates (row, win, begin) -> with ``met``, how many of the window's terms stand within ``slop`` of their places.
+
+    ``held``: the postings to look in, if others than those of the candidates' rows. Places are looked up by stretches
+    of the reach, of which a place can be in two at most.
+    """
+    postings = _postings_of(index, starts.select("row").distinct()) if held is None else held
     wanted = starts.join(terms.select("win", "at", "term"), "win").withColumn("place", F.col("begin") + F.col("at"))
-    if slop:
-        wanted = wanted.withColumn("pos", F.explode(F.sequence(F.col("place") - slop, F.col("place") + slop)))
-    else:
-        wanted = wanted.withColumnRenamed("place", "pos")
-    met = wanted.join(_postings_of(index, rows), ["row", "pos", "term"])
-    return met.groupBy("row", "win", "begin").agg(F.count_distinct("at").alias("met") if slop else F.count("*").alias("met"))
+    if not slop:
+        met = wanted.withColumnRenamed("place", "pos").join(postings, ["row", "pos", "term"])
+        return met.groupBy("row", "win", "begin").agg(F.count("*").alias("met"))
+    stretch = lambda c: F.floor(c / (2 * slop + 1)).cast("long")
+    wanted = wanted.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(F.col("place") - slop), stretch(F.col("place") + slop)))))
+    met = wanted.join(postings.withColumn("stretch", stretch(F.col("pos"))), ["row", "stretch", "term"]).where(F.abs(F.col("pos") - F.col("place")) <= slop)
+    return met.groupBy("row", "win", "begin").agg(F.count_distinct("at").alias("met"))
 
 
 def _ranked(index: DataFrame, tests: TestWindows) -> DataFrame:
@@ -131,9 +137,8 @@ def _listed(index: DataFrame, keys: DataFrame) -> DataFrame:
     return places.join(dealt, ["term", "slice"])
 
 
-def _starts(index: DataFrame, tests: TestWindows, lists: int) -> DataFrame:
+def _starts(index: DataFrame, tests: TestWindows, ranked: DataFrame, lists: int) -> DataFrame:
     """Where windows may begin: the shifted lists of their ``lists`` rarest terms, intersected."""
-    ranked = _ranked(index, tests)
     keys = ranked.where("nth = 1 and n is not null")  # a term that no row has: no match
     found = _listed(index, keys.drop("nth")).select("row", "win", (F.col("pos") - F.col("at")).alias("begin")).where("begin >= 0")
     for nth in range(2, lists + 1):
@@ -145,54 +150,68 @@ def _starts(index: DataFrame, tests: TestWindows, lists: int) -> DataFrame:
     return durable(found)
 
 
-def phrase_matches(index: DataFrame, tests: TestWindows) -> DataFrame:
+def phrase_matches(index: DataFrame, tests: TestWindows, ranked: DataFrame | None = None) -> DataFrame:
     """(row, win, begin, size): every exact occurrence of a test window."""
-    met = _meet(index, _starts(index, tests, 2), tests.terms, 0)
+    met = _meet(index, _starts(index, tests, ranked or _ranked(index, tests), 2), tests.terms, 0)
     return met.join(tests.windows.select("win", "size"), "win").where("met = size").select("row", "win", "begin", "size")
 
 
-def _near_starts(index: DataFrame, tests: TestWindows, slop: int, share: float) -> DataFrame:
+def _near_starts(index: DataFrame, keys: DataFrame, slop: int) -> DataFrame:
     """Where windows may begin if ``share`` of their terms stand within ``slop`` of their places, in a row's text or before it.
 
-    At most size - ceil(size * share) terms are missing, so that of the two more rarest ones two are met, and their
+    At most size - need terms are missing, so that of the two more rarest ones two are met, and their
     postings ask for begins at most 2 * slop apart. A window that needs one term only is looked up by each of its terms.
     """
-    need = F.greatest(F.lit(1), F.ceil(F.col("size") * share).cast("int"))
-    ranked = _ranked(index, tests).join(tests.windows.select("win", "size"), "win").withColumn("least", F.least(F.lit(2), need))
-    keys = ranked.where((F.col("nth") <= F.col("size") - need + F.col("least")) & F.col("n").isNotNull())
+    keys = keys.withColumn("least", F.least(F.lit(2), F.col("need"))).where((F.col("nth") <= F.col("size") - F.col("need") + F.col("least")) & F.col("n").isNotNull())
     listed = _listed(index, keys.select("win", "at", "term", "n", "least")).select("row", "win", "least", (F.col("pos") - F.col("at")).alias("first"))
     before = F.lag("first").over(Window.partitionBy("row", "win").orderBy("first"))
     met = listed.withColumn("other", F.when(F.col("least") == 1, F.col("first")).otherwise(before)).where(F.col("first") - F.col("other") <= 2 * slop)
     return durable(met.select("row", "win", F.explode(F.sequence(F.col("first") - slop, F.col("other") + slop)).alias("begin")).distinct())
 
 
-def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 2, share: float = 0.8) -> DataFrame:
+def proximity_matches(index: DataFrame, tests: TestWindows, slop: int = 2, share: float = 0.8, ranked: DataFrame | None = None) -> DataFrame:
     """(row, win, begin, size, met): every begin from which at least ``share`` of a window's terms stand within ``slop``
     words of their places. Exact occurrences are among them, as are begins beside them. A begin is negative
     where a text lacks the window's first words.
+
+    The two next rarest terms are asked before all others: of size - need + 4 terms four are met, so most begins end there.
     """
-    met = _meet(index, _near_starts(index, tests, slop, share), tests.terms, slop)
-    return met.join(tests.windows.select("win", "size"), "win").where(F.col("met") >= F.col("size") * share).select("row", "win", "begin", "size", "met")
+    sizes = tests.windows.select("win", "size", F.greatest(F.lit(1), F.ceil(F.col("size") * share).cast("int")).alias("need"))
+    keys = durable((ranked or _ranked(index, tests)).join(sizes, "win"))
+    starts = _near_starts(index, keys, slop)
+    held = durable(_postings_of(index, starts.select("row").distinct()))
+    early = keys.where(F.col("nth") <= F.col("size") - F.col("need") + F.least(F.lit(EARLY), F.col("need")))
+    likely = _meet(index, starts, early, slop, held).join(sizes, "win").where(F.col("met") >= F.least(F.lit(EARLY), F.col("need")))
+    met = _meet(index, durable(likely.select("row", "win", "begin")), tests.terms, slop, held)
+    return met.join(sizes, "win").where(F.col("met") >= F.col("need")).select("row", "win", "begin", "size", "met")
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, near: bool = True
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): one row per training row.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_items): one row per training row.
 
-    A word inside any occurrence of a test window is hit. Null or empty texts have no words and
+    A word inside any occurrence of a test window is hit. ``n_near`` counts the different windows that stand in the row exactly or nearly,
+    with four fifths of their words within two words of their places, and ``near_items`` names their items; without ``near`` both
+    are left out. They do not decide ``contaminated``. Null or empty texts have no words and
     null-text items no windows; items without id count for hits but not as items. Repeated rows are judged
     each; repeated items share their windows. With no items every row is clean.
     """
     tests = test_windows(benchmark, item_col, item_text, width)
     index = positional_index(docs, tests.terms, id_col, text_col)
-    found = durable(phrase_matches(index, tests))
+    ranked = _ranked(index, tests)
+    found = durable(phrase_matches(index, tests, ranked))
     order = Window.partitionBy("row").orderBy("begin", F.col("size").desc(), "win")
     reach = F.max(F.col("begin") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("begin") + F.col("size") - F.greatest(F.col("begin"), F.coalesce("reach", F.lit(0))))
     hits = found.withColumn("reach", reach).groupBy("row").agg(F.sum(new).cast("long").alias("n_hit"))
     named = found.select("row", "win").distinct().join(tests.items, "win").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    marks = durable(hits.join(named, "row", "left"))
+    marks = hits.join(named, "row", "left")
+    if near:
+        close = durable(proximity_matches(index, tests, ranked=ranked).select("row", "win").distinct())
+        of = close.join(tests.items, "win", "left").groupBy("row").agg(F.count_distinct("win").alias("n_near"), F.array_sort(F.collect_set("item_id")).alias("near"))
+        marks = marks.join(of, "row", "full")
+    marks = durable(marks)
     rows = index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(marks, "row", "left").select(
@@ -202,6 +221,7 @@ def contamination(
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce(F.array_join("near", ","), F.lit("")).alias("near_items")] if near else []),
     )
 
 
@@ -215,8 +235,20 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN bw ON dw.phrase = bw.phrase AND dw.n = bw.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM m)) GROUP BY doc_id),
-t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id)
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id),
+tok AS (SELECT doc_id, w[p] AS term, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+wins AS (SELECT DISTINCT n, phrase FROM bw),
+wt AS (SELECT phrase, n, i AS place, x[i] AS term FROM (SELECT phrase, n, string_split(phrase, ' ') AS x, unnest(range(1, n + 1)) AS i FROM wins)),
+often AS (SELECT term, count(*) AS k FROM tok GROUP BY term),
+rare AS (SELECT phrase, n, place, term FROM (SELECT wt.*, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(k, 0), place) AS nth FROM wt LEFT JOIN often ON wt.term = often.term)
+         WHERE nth <= n - greatest(1, ceil(n * 0.8)) + 1),
+cand AS (SELECT DISTINCT doc_id, phrase, n, p - place + shift AS b FROM tok JOIN rare ON tok.term = rare.term, range(-2, 3) AS s(shift)),
+around AS (SELECT doc_id, cand.phrase, cand.n, b, place, wt.term, b + place + shift AS p FROM cand JOIN wt ON cand.phrase = wt.phrase, range(-2, 3) AS s(shift)),
+closeby AS (SELECT DISTINCT doc_id, phrase FROM (SELECT around.doc_id, phrase, n, b FROM around JOIN tok ON around.doc_id = tok.doc_id AND around.p = tok.p AND around.term = tok.term
+          GROUP BY around.doc_id, phrase, n, b HAVING count(DISTINCT place) >= greatest(1, ceil(n * 0.8)))),
+ni AS (SELECT doc_id, count(DISTINCT closeby.phrase) AS n_near, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS near_items FROM closeby JOIN bw ON closeby.phrase = bw.phrase GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN ni ON d.doc_id = ni.doc_id LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
