@@ -35,7 +35,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents without any passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = durable(packed(docs))
-    marks = decontaminate.contamination(rows.select("row", "text"), benchmark, id_col="row")
+    marks = decontaminate.contamination(rows.select("row", "text"), benchmark, id_col="row", near=False)
     gone = durable(marks.where("contaminated").select(F.col("doc_id").alias("row")))
     return unpacked(rows.join(gone, "row", "left_anti"), docs.columns)
 
