@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..storage import durable
 from .mixing import uniform
 
-RANGES_PER_SHARD = 16
+RANGES_PER_SHARD = 16  # at least
+ROWS_PER_RANGE = 1 << 20  # about: a window sorts one range
 SAMPLES_PER_RANGE = 12
 MOST_ROUNDS = 8
 
@@ -24,7 +25,7 @@ def range_of(key: Column, bounds: list[str]) -> Column:
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    table = F.array(*map(F.lit, bounds))
+    table = F.split(F.lit(",".join(bounds)), ",")  # one constant, of however many boundaries
     return F.aggregate(
         F.array(*map(F.lit, steps)),
         F.lit(0),
@@ -40,13 +41,13 @@ def _splitters(rows: DataFrame, total: int, ranges: int, salt: str) -> list[str]
     return sorted({r.key for r in ranked.groupBy("part").agg(F.min("key").alias("key")).where("part > 1").collect()})
 
 
-def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, overhead: int = 16) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, overhead: int = 16, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): one row per input row.
 
     A row's size is its text's UTF-8 bytes plus ``overhead``. Shards get equal bytes to within one row;
     slots count from 0 without gaps. Null text is empty (size 16, checksum 0); null ids sort first, ids that are no numbers last; repeated rows
     are told apart by a row number. An empty table gives no rows. What reaches the driver is splitters and
-    range totals, whose number depends on ``shards`` only.
+    range totals: one for about every ``rows_per_range`` rows, and 16 a shard at least.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     number = F.col(id_col).cast("string").try_cast("long")
@@ -65,9 +66,10 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     rows, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bounds: list[str] = []
+    ranges = max(shards * RANGES_PER_SHARD, -(-rows // rows_per_range))
     if rows:
-        bounds = _splitters(base, total, shards * RANGES_PER_SHARD, "split")
-    share = max(1, total // (shards * RANGES_PER_SHARD))
+        bounds = _splitters(base, total, ranges, "split")
+    share = max(1, total // ranges)
     sums: list = []
     for turn in range(MOST_ROUNDS):
         placed = base.withColumn("part", range_of(F.col("key"), bounds))
