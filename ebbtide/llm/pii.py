@@ -218,6 +218,16 @@ def fit(found: DataFrame) -> DataFrame:
     return soft.select("kind", F.col("em.r").alias("reliability"), weights.alias("weights"))
 
 
+def _covered(base: Column, x: Column) -> Column:
+    """Whether a span overlaps a base span of its kind. These are sorted and apart, so only the last that begins before
+    the span's end can; a binary search, as a fold over the powers of two, finds it."""
+    before = lambda b: (b["kind"] < x["kind"]) | ((b["kind"] == x["kind"]) & (b["start"] < x["end"]))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(30))])
+    n = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at <= F.size(base) - step) & before(F.get(base, at + step - 1)), at + step).otherwise(at))
+    last = F.get(base, n - 1)
+    return F.coalesce((last["kind"] == x["kind"]) & (last["end"] > x["start"]), F.lit(False))
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row per input row.
 
@@ -233,7 +243,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = lambda x: F.floor(x["code"] / (8 * 3 ** (VOTERS - 2))) % 3 == 2
     accepted = F.filter("found", lambda x: loose(x) & ~failed(x) & (_logistic(_dot(F.get(weights, x["kind"]), features(x["code"]))) >= least))
     base = F.array_sort(F.filter("found", lambda x: x["base"]))
-    free = F.filter(accepted, lambda x: ~F.exists(base, lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = F.filter(accepted, lambda x: ~_covered(base, x))
     names = F.array(*map(F.lit, KINDS))
     line = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
     number = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long")

@@ -3,10 +3,11 @@
 import re
 
 from conftest import SMALL
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from ebbtide.llm import quality, secrets
+from ebbtide.llm import pii, quality, secrets, sharding
 
 
 def meets(query, grams):
@@ -38,3 +39,23 @@ def test_a_long_text_does_not_empty_the_sample(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").selectExpr("doc_id label_id", "quality label")
     texts, marks = quality.training_rows(docs, labels, "doc_id", "text", 1000, 64 * 100_000)
     assert len(texts) > 30 and max(map(len, texts)) <= 100_000 and set(marks.tolist()) == {0, 1}
+
+
+def test_shards_do_not_depend_on_their_ranges(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = lambda **how: sorted(map(tuple, sharding.shard_by_bytes(docs, **how).drop("grown_shard").collect()))
+    assert rows(shards=3, rows_per_range=2) == rows(shards=3) == rows(shards=3, rows_per_range=50)
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.integers(1, 5)), max_size=12), st.tuples(st.integers(0, 2), st.integers(0, 30), st.integers(1, 9)))
+def test_covered_spans(spark, found, asked):
+    base, end = [], {}
+    for kind, start, n in sorted(found):
+        if start >= end.get(kind, 0):
+            base.append((kind, start, start + n))
+            end[kind] = start + n
+    kind, start, n = asked
+    span = "struct<kind:int,start:int,end:int>"
+    row = spark.createDataFrame([(base, (kind, start, start + n))], f"base array<{span}>, x {span}").select(pii._covered(F.col("base"), F.col("x")).alias("c")).first()
+    assert row.c == any(b[0] == kind and b[1] < start + n and start < b[2] for b in base)
