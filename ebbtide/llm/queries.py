@@ -49,6 +49,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of op9's index."""
+    return decontaminate.near_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_rows(_read(spark, sf_dir, "documents")).drop("n_candidates")
 
@@ -79,12 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_negatives": op11_negatives,
     "op12_codes": op12_codes,
     "op13_licenses": op13_licenses,
+    "near_passages": near_passages,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mix": mixing.MIX_SQL,
     "op8_exact": exact.EXACT_SQL,
     "op9_decontaminate": decontaminate.CONTAMINATION_SQL,
+    "near_passages": decontaminate.NEAR_SQL,
     "op11_negatives": negatives.NEGATIVES_SQL,
     "op12_codes": codes.CODES_SQL,
 }
