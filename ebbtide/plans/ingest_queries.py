@@ -41,9 +41,12 @@ def joined(x) -> Column:
     return F.regexp_replace(F.to_json(F.struct(F.expr(x).alias("x"))), r'^\{"x":|\}$', "")
 
 
+UNLIKE = ("spans", "k8s_objects", "collector_proc")  # bodies with lists of unlike members
+
+
 def landing(spark, d: str, intake: str, body) -> DataFrame:
     ev = table(spark, d, "events").withColumn("ms", epoch_ms("ts")).withColumns({"sec": F.expr("ms div 1000"), "h": F.expr("user_id % 20"), "q": F.expr("event_id % 4")})
-    text = F.expr(body) if isinstance(body, str) else joined(body) if intake == "spans" else F.to_json(made(body))
+    text = F.expr(body) if isinstance(body, str) else joined(body) if intake in UNLIKE else F.to_json(made(body))
     if ev.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
         ev = ev.repartition(cores)  # one small file is read by one task; parsing is worth more
     broken = F.expr("event_id % 50 = 0")
@@ -335,3 +338,80 @@ read("ci_run", "norm_ci_tests", product.test_run, "SELECT event_type AS suite, c
 read("sds_rule_hits", "norm_sds", product.rule_hits, "SELECT event_type AS rule, count(DISTINCT h) AS resources, CAST(coalesce(sum(q) FILTER (q <> 0), 0) AS BIGINT) AS matches, count(*) FILTER (q = 0) AS failed FROM good GROUP BY 1")
 read("dbm_volume", "norm_dbm_events", lambda f: product.statement_volume(f, 3_600_000), "SELECT 'pg' AS track, ms // 3600000 * 3600000 AS bucket_ms, count(*) AS events, count(DISTINCT q) AS signatures, CAST(sum(strlen('select ' || event_type)) AS BIGINT) AS bytes FROM good GROUP BY 2")
 read("container_exit_lateness", "norm_container_events", lambda f: product.exit_lateness(f).withColumn("late_ms", F.round("late_ms", 4)), "SELECT CASE WHEN q <> 0 THEN q END AS exit_code, count(*) AS exits, round(avg(ms + 1000 - sec * 1000), 4) AS late_ms, max(ms + 1000 - sec * 1000) AS latest_ms FROM good GROUP BY 1")
+
+META = {"namespace": "event_type", "name": "'o' || CAST(user_id AS STRING)", "uid": "'u' || CAST(event_id AS STRING)", "resourceVersion": "CAST(event_id AS STRING)", "labels": ["'app:' || event_type", "'tier:a:b'"]}
+STATUS = {"name": "'main'", "containerID": "'c' || CAST(event_id AS STRING)", "ready": "q > 0", "restartCount": "h", "state": "'running'", "image": "'i'"}
+
+
+def cluster_object(name: str, kind: str, own: dict, out: dict[str, str], sql: dict[str, str]) -> None:
+    """Register the rows of one kind of cluster object."""
+    frame = {"kind": f"'{kind}'", "clusterId": "'k'", "clusterName": "'main'", "groupId": "1", "groupSize": "2", "tags": ["'cluster:main'"], "objects": [{"metadata": META, "tags": ["'own:' || CAST(q AS STRING)"]} | own]}
+    signal(name, "k8s_objects", frame, {"uid": "uid", "app": "labels['app']", "cluster": "tags['cluster'][0]", "own": "tags['own'][0]"} | out, {"uid": "'u' || CAST(event_id AS STRING)", "app": "event_type", "cluster": "'main'", "own": "CAST(q AS STRING)"} | sql, norm.object_rows)
+
+
+cluster_object(
+    "norm_k8s_pods", "Pod",
+    {"phase": "'Running'", "nodeName": "'n' || CAST(h AS STRING)", "restartCount": "user_id", "containerStatuses": [STATUS, STATUS | {"name": "'side'", "ready": "true", "restartCount": "1L"}], "initContainerStatuses": [STATUS | {"name": "'init'", "ready": "false"}], "conditions": [{"type": "'Ready'", "status": "CASE WHEN q > 0 THEN 'True' ELSE 'False' END", "lastTransitionTime": "sec"}, {"type": "'Scheduled'", "status": "'True'", "reason": "'r'"}]},
+    {"ready": "ready", "desired": "desired", "restarts": "counts['restarts']", "init": "counts['total_init_containers']", "agent_restarts": "counts['pod_restart_count']", "names": "array_join(container_names, ',')", "is_init": "array_join(transform(container_is_init, x -> string(x)), ',')", "types": "array_join(condition_types, ',')", "changed": "condition_last_transition_s[0]", "node_name": "node_name", "tier": "labels['tier']"},
+    {"ready": "1 + CASE WHEN q > 0 THEN 1 ELSE 0 END", "desired": "2", "restarts": "h + 1", "init": "1", "agent_restarts": "user_id", "names": "'main,side,init'", "is_init": "'0,0,1'", "types": "'Ready,Scheduled'", "changed": "sec", "node_name": "'n' || CAST(h AS STRING)", "tier": "'a:b'"},
+)
+cluster_object(
+    "norm_k8s_deployments", "Deployment", {"readyReplicas": "q", "replicasDesired": "h", "updatedReplicas": "1L", "replicas": "user_id"},
+    {"ready": "ready", "desired": "desired", "available": "available", "all": "counts['replicas']", "unavailable": "counts['unavailable']", "n": "size(counts)"}, {"ready": "q", "desired": "h", "available": "0", "all": "user_id", "unavailable": "0", "n": "6"},
+)
+cluster_object(
+    "norm_k8s_daemon_sets", "DaemonSet", {"status": {"numberReady": "q", "desiredNumberScheduled": "h", "numberAvailable": "1L", "numberMisscheduled": "2L"}},
+    {"ready": "ready", "desired": "desired", "available": "available", "misscheduled": "counts['misscheduled']"}, {"ready": "q", "desired": "h", "available": "1", "misscheduled": "2"},
+)
+cluster_object(
+    "norm_k8s_nodes", "Node", {"roles": ["'worker'"], "unschedulable": "q = 0", "taints": [{"key": "'a'"}, {"key": "'b'"}], "status": {"status": "'Ready'", "kubeletVersion": "'v1.' || CAST(q AS STRING)", "capacity": {"cpu": "h"}, "images": [{"x": "1L"}]}},
+    {"status": "status", "kubelet": "kubelet_version", "cpu": "capacity['cpu']", "taints": "counts['taints']", "images": "counts['images']", "closed": "unschedulable", "role": "roles[0]", "ready": "ready"},
+    {"status": "'Ready'", "kubelet": "'v1.' || CAST(q AS STRING)", "cpu": "h", "taints": "2", "images": "1", "closed": "q = 0", "role": "'worker'", "ready": "NULL::BIGINT"},
+)
+cluster_object("norm_k8s_jobs", "Job", {"status": {"succeeded": "q", "failed": "h"}, "spec": {"completions": "5L", "activeDeadlineSeconds": "600L"}}, {"succeeded": "counts['succeeded']", "failed": "counts['failed']", "completions": "counts['completions']", "active": "counts['active']", "deadline": "counts['active_deadline_seconds']"}, {"succeeded": "q", "failed": "h", "completions": "5", "active": "0", "deadline": "600"})
+cluster_object("norm_k8s_autoscalers", "HorizontalPodAutoscaler", {"spec": {"minReplicas": "1L", "maxReplicas": "h"}, "status": {"currentReplicas": "q", "desiredReplicas": "q + 1"}}, {"ready": "ready", "desired": "desired", "most": "counts['max_replicas']"}, {"ready": "q", "desired": "q + 1", "most": "h"})
+cluster_object("norm_k8s_other_kinds", "Widget", {"spec": {"odd": "q"}}, {"n": "size(counts)", "ready": "ready", "odd": "get_json_object(object, '$.spec.odd')"}, {"n": "0", "ready": "NULL::BIGINT", "odd": "CAST(q AS STRING)"})
+
+INSIDE = {"id": "'c' || CAST(event_id AS STRING)", "image": "event_type", "totalPct": "value", "memRss": "user_id", "addresses": [{"ip": "'10.0.0.1'", "port": "80L"}, {"ip": "'10.0.0.2'", "port": "80L"}]}
+
+
+def messages(s, d, bodies: dict[str, dict], stats: bool = False) -> DataFrame:
+    """Containers, or statistics, of all kinds of messages of the events."""
+    parts = [landing(s, d, intake, body) for intake, body in bodies.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return norm.container_rows(whole, stats)
+
+
+register(
+    "norm_container_messages",
+    lambda s, d: messages(s, d, {
+        "collector_container": {"hostName": HOST, "containers": [INSIDE | {"tags": TAGS}]},
+        "collector_proc": {"hostName": HOST, "containers": [INSIDE], "processes": [{"pid": "user_id", "container": INSIDE}, {"pid": "1L"}]},
+    }).selectExpr("source", "container_id", "host", "pid", "cpu", "rss", "tags['env'][0] AS env", "array_join(addresses.ip, ',') AS ips"),
+    f"""{GOOD} SELECT s.source, 'c' || CAST(event_id AS VARCHAR) AS container_id, 'host-' || CAST(h AS VARCHAR) AS host, CASE WHEN s.source = 'process' THEN user_id END AS pid, value AS cpu, user_id AS rss,
+    CASE WHEN s.source = 'collector_container' THEN 'e' || CAST(user_id % 5 AS VARCHAR) END AS env, '10.0.0.1,10.0.0.2' AS ips FROM good, (SELECT unnest(['collector_container', 'collector_proc', 'process']) AS source) s""",
+)
+register(
+    "norm_container_stat_messages",
+    lambda s, d: messages(s, d, {"collector_realtime": {"hostName": HOST, "orgId": "q", "numCpus": "8L", "containerStats": [INSIDE]}, "collector_container_realtime": {"hostName": HOST, "numCpus": "4L", "stats": [INSIDE]}}, True).selectExpr("source", "container_id", "cpus", "org_id", "cpu"),
+    f"""{GOOD} SELECT s.source, 'c' || CAST(event_id AS VARCHAR) AS container_id, CAST(CASE WHEN s.source = 'collector_realtime' THEN 8 ELSE 4 END AS BIGINT) AS cpus, CASE WHEN s.source = 'collector_realtime' THEN q END AS org_id, value AS cpu
+    FROM good, (SELECT unnest(['collector_realtime', 'collector_container_realtime']) AS source) s""",
+)
+#: Trace statistics: payload, client, bucket, group; summaries with sparse and dense bins, an empty and a broken one.
+TRACE_STATS = """concat('{"AgentHostname":"a', h, '","ClientComputed":true,"Stats":[{"Hostname":"c', q, '","Lang":"py","Tags":["t:1","t:2"],"Stats":[{"Start":', ms, ',"Duration":10,"Stats":[{"Service":"', event_type, '","Name":"web","Resource":"GET","Hits":', user_id, ',"Errors":', q,
+ ',"OkSummary":{"mapping":{"gamma":1.02},"positiveValues":{"binCounts":{"', h, '":1.0},"contiguousBinCounts":[2.0,0.0,1.0],"contiguousBinIndexOffset":', user_id, '},"zeroCount":', q, '},"ErrorSummary":', CASE q WHEN 0 THEN 'null' WHEN 1 THEN '{"mapping":{"gamma":1.02}}' ELSE '{"mapping":7}' END, '}]}]}]}')"""
+signal(
+    "norm_trace_stats", "trace_stats", TRACE_STATS,
+    {"service": "service", "agent": "agent_hostname", "client": "client_hostname", "tags": "array_join(client_tags['t'], ',')", "start": "bucket_start", "hits": "hits", "ok_state": "ok_state", "ok_count": "ok_count", "ok_bins": "size(ok_keys)", "error_state": "error_state"},
+    {"service": "event_type", "agent": "'a' || CAST(h AS STRING)", "client": "'c' || CAST(q AS STRING)", "tags": "'1,2'", "start": "ms", "hits": "user_id", "ok_state": "'ok'", "ok_count": "4.0::DOUBLE + q", "ok_bins": "3 + CASE WHEN q > 0 THEN 1 ELSE 0 END", "error_state": "CASE q WHEN 0 THEN 'absent' WHEN 1 THEN 'empty' ELSE 'undecodable' END"},
+    norm.stat_rows,
+)
+register(
+    "trace_latency_quantiles",
+    lambda s, d: norm.latency_quantiles(norm.stat_rows(facts(s, d, "trace_stats", TRACE_STATS)), ["service"], 0.95).selectExpr("service", "count", "round(value, 6) AS value"),
+    f"""{GOOD}, b AS (SELECT event_type AS service, unnest([h, user_id, user_id + 2, -1000000000]) AS k, unnest([1, 2, 1, q]) AS n FROM good), c AS (SELECT service, k, sum(n) AS n FROM b WHERE n > 0 GROUP BY ALL),
+    r AS (SELECT service, k, sum(n) OVER (PARTITION BY service ORDER BY k) AS run, sum(n) OVER (PARTITION BY service) AS total FROM c)
+    SELECT service, CAST(max(total) AS DOUBLE) AS count, round(CASE WHEN min(k) < 0 THEN 0.0 ELSE pow(1.02, min(k)) * 2.04 / 2.02 END, 6) AS value FROM r WHERE run > 0.95 * (total - 1) GROUP BY service""",
+)

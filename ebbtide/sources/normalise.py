@@ -15,7 +15,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,8 @@ def tag_texts(raw: Column) -> Column:
 
 def typed(raw: Column, kind: str) -> Column:
     """A scalar of a variant, which a number or flag written as text also gives."""
+    if kind == "variant":
+        return raw
     text = raw.cast("string")
     if kind == "u64":  # the 64 bits as a signed number
         whole = text.try_cast("decimal(20,0)")
@@ -372,12 +374,32 @@ SPECS: dict[str, Spec] = {
         },
         "$.tracerPayloads", {"env": (S, "$.env"), "host": (S, "$.hostName"), "agent_version": (S, "$.agentVersion")}, ("trace_id", "span_id"), levels=("chunks", "spans"),
     ),
+    "trace_stats": Spec(
+        "trace_stats",
+        {
+            "service": (S, "$.Service"), "name": (S, "$.Name"), "resource": (S, "$.Resource"), "http_status_code": (L, "$.HTTPStatusCode"), "span_type": (S, "$.Type"), "db_type": (S, "$.DBType"), "hits": (L, "$.Hits"), "errors": (L, "$.Errors"), "duration_ns": (L, "$.Duration"),
+            "top_level_hits": (L, "$.TopLevelHits"), "synthetics": (B, "$.Synthetics"), "span_kind": (S, "$.SpanKind"), "peer_tags": ("array<string>", "$.PeerTags"), "is_trace_root": (L, "$.IsTraceRoot"), "ok_summary": ("variant", "$.OkSummary"), "error_summary": ("variant", "$.ErrorSummary"),
+            "bucket_start": (L, "$1.Start"), "bucket_duration_ns": (L, "$1.Duration"), "agent_time_shift_ns": (L, "$1.AgentTimeShift"),
+            "client_hostname": (S, "$2.Hostname"), "client_env": (S, "$2.Env"), "client_version": (S, "$2.Version"), "client_lang": (S, "$2.Lang"), "client_tracer_version": (S, "$2.TracerVersion"), "client_runtime_id": (S, "$2.RuntimeID"), "client_sequence": (L, "$2.Sequence"),
+            "client_service": (S, "$2.Service"), "client_container_id": (S, "$2.ContainerID"), "client_tags": ("array<string>", "$2.Tags"),
+        },
+        "$.Stats", {"agent_hostname": (S, "$.AgentHostname"), "agent_env": (S, "$.AgentEnv"), "agent_version": (S, "$.AgentVersion"), "client_computed": (B, "$.ClientComputed"), "split_payload": (B, "$.SplitPayload")}, ("service",), levels=("Stats", "Stats"),
+    ),
     "apm_stats": Spec("apm_stats", {"service": (S, "$.Service"), "resource": (S, "$.Resource"), "hits": (L, "$.Hits"), "errors": (L, "$.Errors"), "duration_ns": (L, "$.Duration")}, "$.Stats", {"bucket_start": (L, "$.Start"), "bucket_duration_ns": (L, "$.Duration")}, ("service",)),
     "processes": Spec("processes", {"pid": (L, "$.pid"), "command": (S, "$.command.exe"), "user": (S, "$.user.name"), "parent_pid": (L, "$.command.ppid"), "args": ("array<string>", "$.command.args"), "cwd": (S, "$.command.cwd"), "uid": (L, "$.user.uid"), "created": (L, "$.createTime"), "state": (S, "$.state"), "container_id": (S, "$.containerId"), "cpu": (D, "$.cpu.totalPct"), "user_cpu": (D, "$.cpu.userPct"), "system_cpu": (D, "$.cpu.systemPct"), "threads": (L, "$.cpu.numThreads"), "rss": (L, "$.memory.rss"), "vms": (L, "$.memory.vms"), "open_files": (L, "$.openFdCount"), "read_rate": (D, "$.ioStat.readRate"), "write_rate": (D, "$.ioStat.writeRate")}, "$.processes", {"host": (S, "$.hostName"), "group_id": (L, "$.groupId"), "group_size": (L, "$.groupSize")}, ("pid",)),
     "containers": Spec("containers", {"container_id": (S, "$.id"), "image": (S, "$.image"), "cpu": (D, "$.cpu"), "rss": (L, "$.memRss"), "state": (S, "$.state")}, "$.containers", {"host": (S, "$.hostName")}, ("container_id",), tags="$.tags"),
     "connections": Spec("connections", {"pid": (L, "$.pid"), "src": (S, "$.laddr.ip"), "dst": (S, "$.raddr.ip"), "port": (L, "$.raddr.port"), "bytes_sent": (L, "$.lastBytesSent")}, "$.connections", {"host": (S, "$.hostName")}, ("pid",)),
     "k8s_resources": Spec("k8s_resources", {"namespace": (S, "$.metadata.namespace"), "name": (S, "$.metadata.name"), "uid": (S, "$.metadata.uid"), "resource_version": (S, "$.metadata.resourceVersion"), "phase": (S, "$.status.phase"), "desired": (L, "$.spec.replicas", "$.replicasDesired"), "ready": (L, "$.status.readyReplicas"), "labels": ("map<string,string>", "$.metadata.labels"), "annotations": ("map<string,string>", "$.metadata.annotations"), "owners": ("array<struct<kind:string,name:string,uid:string>>", "$.metadata.ownerReferences"), "conditions": ("array<struct<type:string,status:string,reason:string,message:string,lastTransitionTime:string>>", "$.status.conditions"), "available": (L, "$.status.availableReplicas"), "updated": (L, "$.status.updatedReplicas"), "node": (S, "$.spec.nodeName"), "qos": (S, "$.status.qosClass"), "capacity": ("map<string,string>", "$.status.capacity"), "containers": ("array<struct<ready:boolean,restarts:bigint>>", "$.status.containers")}, "$.items", {"kind": (S, "$.kind"), "cluster_id": (S, "$.clusterId")}, ("name",)),
     "k8s_manifests": Spec("k8s_manifests", {"uid": (S, "$.uid"), "kind": (S, "$.kind", "$.content.kind"), "version": (S, "$.resourceVersion"), "content": (X, "$.content")}, "$.manifests", {"cluster_id": (S, "$.clusterId")}, ("uid",)),
+    "k8s_objects": Spec(
+        "k8s_objects",
+        {
+            "object": ("variant", "$"), "namespace": (S, "$.metadata.namespace"), "name": (S, "$.metadata.name"), "uid": (S, "$.metadata.uid"), "resource_version": (S, "$.metadata.resourceVersion"), "owners": ("array<struct<kind:string,name:string,uid:string>>", "$.metadata.ownerReferences"),
+            "labels": ("array<string>", "$.metadata.labels"), "annotations": ("array<string>", "$.metadata.annotations"), "created_s": (L, "$.metadata.creationTimestamp"), "deleted_s": (L, "$.metadata.deletionTimestamp"),
+            "conditions": ("array<struct<type:string,status:string,reason:string,message:string,lastTransitionTime:bigint,lastUpdateTime:bigint,lastProbeTime:bigint>>", "$.conditions"), "condition_message": (S, "$.conditionMessage"),
+        },
+        "$.objects", {"kind": (S, "$.kind"), "cluster_id": (S, "$.clusterId"), "cluster_name": (S, "$.clusterName"), "group_id": (L, "$.groupId"), "group_size": (L, "$.groupSize"), "envelope_tags": ("array<string>", "$.tags")}, ("kind", "uid"), tags="$.tags",
+    ),
     "container_events": Spec("container_events", {"container_id": (S, "$.containerID"), "exit_code": (L, "$.exitCode"), "exited_at": (L, "$.exitTimestamp")}, "$.events", {"host": (S, "$.host"), "event_type": (S, "$.eventType")}, ("container_id",)),
     "container_images": Spec("container_images", {"digest": (S, "$.digest", "$.id"), "name": (S, "$.name"), "size": (L, "$.size"), "layers": ("array<struct<size:bigint>>", "$.layers")}, "$.images", required=("digest",), tags="$.tags"),
     "dbm_events": Spec("dbm_events", {"host": (S, "$.host"), "track": (S, "$.ddsource"), "statement": (S, "$.db.statement"), "plan": (S, "$.db.plan.definition"), "signature": (S, "$.db.query_signature")}, tags="$.ddtags", times=(("$.timestamp", 1, "sender"),)),
@@ -440,6 +462,28 @@ SPECS |= {
     "symdb": Spec("symdb", {"service": (S, "$.service"), "language": (S, "$.language"), "scopes": ("array<string>", "$.scopes")}),
     "cws_dump": Spec("cws_dump", {"container": (S, "$.metadata.container_id"), "tree": (X, "$.tree")}),
 }
+CONTAINER = {
+    "container_id": (S, "{0}.id"), "name": (S, "{0}.name"), "image": (S, "{0}.image"), "type": (S, "{0}.type"), "repo_digest": (S, "{0}.repoDigest"), "cpu_limit": (D, "{0}.cpuLimit"), "memory_limit": (L, "{0}.memoryLimit"), "state": (X, "{0}.state"), "health": (X, "{0}.health"), "created_s": (L, "{0}.created"), "started_s": (L, "{0}.started"),
+    "user_cpu": (D, "{0}.userPct"), "system_cpu": (D, "{0}.systemPct"), "cpu": (D, "{0}.totalPct"), "rss": (L, "{0}.memRss"), "cache": (L, "{0}.memCache"), "threads": (L, "{0}.threadCount"), "addresses": ("array<struct<ip:string,port:bigint,protocol:string>>", "{0}.addresses"),
+}
+CONTAINER_FRAME = {"host": (S, "$.hostName"), "network_id": (S, "$.networkId"), "group_id": (L, "$.groupId"), "group_size": (L, "$.groupSize")}
+STATS_FRAME = {"host": (S, "$.hostName"), "host_id": (L, "$.hostId"), "cpus": (L, "$.numCpus"), "total_memory": (L, "$.totalMemory")}
+
+
+def _inside(path: str) -> dict[str, tuple[str, ...]]:
+    return {n: (kind, *[p.format(path) for p in ps]) for n, (kind, *ps) in CONTAINER.items()}
+
+
+#: The messages in which containers and their statistics come: the source's name, and how its list is read.
+CONTAINER_MESSAGES = {
+    "collector_container": Spec("collector_container", _inside("$"), "$.containers", CONTAINER_FRAME, ("container_id",), tags="$.tags"),
+    "collector_proc": Spec("collector_proc", _inside("$"), "$.containers", CONTAINER_FRAME, ("container_id",), tags="$.tags"),
+    "process": Spec("collector_proc", {"pid": (L, "$.pid"), **_inside("$.container")}, "$.processes", CONTAINER_FRAME, tags="$.container.tags"),
+}
+STAT_MESSAGES = {
+    "collector_realtime": Spec("collector_realtime", _inside("$"), "$.containerStats", STATS_FRAME | {"org_id": (L, "$.orgId")}, ("container_id",)),
+    "collector_container_realtime": Spec("collector_container_realtime", _inside("$"), "$.stats", STATS_FRAME, ("container_id",)),
+}
 METRIC_TYPES = ("UNSPECIFIED", "COUNT", "RATE", "GAUGE")
 CHECK_STATUS = ("OK", "WARNING", "CRITICAL", "UNKNOWN")
 #: Levels of the compact form that go by another name.
@@ -568,3 +612,142 @@ def flatten_tree(rows: DataFrame, tree: str, keep: list[str], children: str = "$
         level = durable(level.select(*keep, "path", named(F.col("node")).alias("parent"), below).select(*keep, F.array_append("path", F.col("i")).alias("path"), "parent", F.col("child").alias("node")))
         out = out.unionAll(level)
     return out
+
+
+#: Where each kind of cluster object keeps its numbers, under the names that rows give them. ``#`` counts a list's members.
+OBJECT_COUNTS = {
+    "Deployment": {"ready": "$.readyReplicas", "desired": "$.replicasDesired", "updated": "$.updatedReplicas", "available": "$.availableReplicas", "unavailable": "$.unavailableReplicas", "replicas": "$.replicas"},
+    "ReplicaSet": {"ready": "$.readyReplicas", "desired": "$.replicasDesired", "available": "$.availableReplicas", "replicas": "$.replicas", "fully_labeled": "$.fullyLabeledReplicas"},
+    "DaemonSet": {"ready": "$.status.numberReady", "desired": "$.status.desiredNumberScheduled", "current": "$.status.currentNumberScheduled", "updated": "$.status.updatedNumberScheduled", "available": "$.status.numberAvailable", "misscheduled": "$.status.numberMisscheduled", "unavailable": "$.status.numberUnavailable"},
+    "StatefulSet": {"ready": "$.status.readyReplicas", "desired": "$.spec.desiredReplicas", "current": "$.status.currentReplicas", "updated": "$.status.updatedReplicas", "replicas": "$.status.replicas", "partition": "$.spec.partition"},
+    "Node": {"taints": "#$.taints", "images": "#$.status.images"},
+    "Service": {"ports": "#$.spec.ports"},
+    "Role": {"rules": "#$.rules"},
+    "ClusterRole": {"rules": "#$.rules", "aggregation_rules": "#$.aggregationRules"},
+    "RoleBinding": {"subjects": "#$.subjects"},
+    "ClusterRoleBinding": {"subjects": "#$.subjects"},
+    "Job": {"active": "$.status.active", "succeeded": "$.status.succeeded", "failed": "$.status.failed", "parallelism": "$.spec.parallelism", "completions": "$.spec.completions", "backoff_limit": "$.spec.backoffLimit", "active_deadline_seconds": "$.spec.activeDeadlineSeconds"},
+    "CronJob": {"active_jobs": "#$.status.active", "suspend": "?$.spec.suspend", "successful_jobs_history_limit": "$.spec.successfulJobsHistoryLimit", "failed_jobs_history_limit": "$.spec.failedJobsHistoryLimit", "starting_deadline_seconds": "$.spec.startingDeadlineSeconds"},
+    "HorizontalPodAutoscaler": {"min_replicas": "$.spec.minReplicas", "max_replicas": "$.spec.maxReplicas", "current_replicas": "$.status.currentReplicas", "desired_replicas": "$.status.desiredReplicas"},
+    "PodDisruptionBudget": {"disruptions_allowed": "$.status.disruptionsAllowed", "current_healthy": "$.status.currentHealthy", "desired_healthy": "$.status.desiredHealthy", "expected_pods": "$.status.expectedPods", "disrupted_pods": "%$.status.disruptedPods"},
+}
+#: Which count is the object's readiness, if it has any, as (ready, desired, available).
+OBJECT_READINESS = {
+    "Deployment": ("ready", "desired", "available"), "ReplicaSet": ("ready", "desired", "available"), "DaemonSet": ("ready", "desired", "available"), "StatefulSet": ("ready", "desired", None),
+    "HorizontalPodAutoscaler": ("current_replicas", "desired_replicas", None),
+}
+POD_CONTAINERS = "array<struct<name:string,containerID:string,ready:boolean,restartCount:bigint,state:string,message:string,image:string,imageID:string>>"
+
+
+def _counted(path: str) -> Column:
+    """A number of the object; 0 where it has none."""
+    held = there(F.col("object"), *steps(path.lstrip("#?%"))[1])
+    found = {"#": F.size(listed(held)), "%": F.size(members(held)), "?": held.cast("string").try_cast("boolean").cast("int")}.get(path[0], held.cast("string").try_cast("bigint"))
+    return F.greatest(F.lit(0).cast("long"), F.coalesce(found.cast("long"), F.lit(0).cast("long"))) if path[0] in "#%" else F.coalesce(found.cast("long"), F.lit(0).cast("long"))
+
+
+def object_rows(objects: DataFrame) -> DataFrame:
+    """Cluster objects with what depends on their kind: ``counts`` under stable names, ready, desired and available, a pod's
+    containers as aligned arrays (regular ones first, then those of its start), a node's facts, conditions as aligned arrays.
+
+    A kind without rules has no counts; ``object`` keeps every object whole, as text.
+    """
+    statuses = lambda key: F.coalesce(F.try_variant_get("object", f"$.{key}", POD_CONTAINERS), F.array().cast(POD_CONTAINERS))
+    rows = objects.withColumns({"regular": statuses("containerStatuses"), "first": statuses("initContainerStatuses")})
+    ready = lambda c: F.size(F.filter(c, lambda x: F.coalesce(x["ready"], F.lit(False)))).cast("long")
+    restarts = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["restartCount"], F.lit(0).cast("long")))
+    pod = {
+        "restarts": restarts("regular"), "ready_containers": ready("regular"), "total_containers": F.size("regular").cast("long"), "init_restarts": restarts("first"),
+        "ready_init_containers": ready("first"), "total_init_containers": F.size("first").cast("long"), "pod_restart_count": _counted("$.restartCount"),
+    }
+    table = {"Pod": pod} | {kind: {n: _counted(p) for n, p in paths.items()} for kind, paths in OBJECT_COUNTS.items()}
+    counts = F.lit(None).cast("map<string,bigint>")
+    for kind, made in table.items():
+        counts = F.when(F.col("kind") == kind, F.map_from_arrays(F.array(*map(F.lit, made)), F.array(*made.values()))).otherwise(counts)
+    rows = rows.withColumn("counts", F.coalesce(counts, F.create_map().cast("map<string,bigint>")))
+    readiness = {"Pod": ("ready_containers", "total_containers", None), **OBJECT_READINESS}
+    part = lambda k: F.coalesce(*[F.when(F.col("kind") == kind, F.try_element_at("counts", F.lit(names[k]))) for kind, names in readiness.items() if names[k]])
+    text = lambda p: there(F.col("object"), *steps(p)[1]).cast("string")
+    of = lambda kind, p: F.when(F.col("kind") == kind, text(p))
+    everyone = F.concat("regular", "first")
+    aligned = {"name": "names", "containerID": "ids", "ready": "ready", "restartCount": "restarts", "state": "states", "message": "messages", "image": "images", "imageID": "image_ids"}
+    conditions = {"type": "types", "status": "statuses", "reason": "reasons", "message": "messages", "lastTransitionTime": "last_transition_s", "lastUpdateTime": "last_update_s", "lastProbeTime": "last_probe_s"}
+    taken = lambda c, f: F.transform(c, lambda x: x[f])
+    each = lambda c, f: F.coalesce(taken(c, f), F.array())
+    return rows.withColumns(
+        {
+            **{n: part(k) for k, n in enumerate(("ready", "desired", "available"))}, "phase": of("Pod", "$.phase"), "node_name": of("Pod", "$.nodeName"), "pod_ip": of("Pod", "$.IP"), "qos_class": of("Pod", "$.QOSClass"),
+            "status": F.coalesce(of("Pod", "$.status"), of("Node", "$.status.status"), of("Namespace", "$.status")), "kubelet_version": of("Node", "$.status.kubeletVersion"), "os_image": of("Node", "$.status.osImage"),
+            "unschedulable": of("Node", "$.unschedulable").try_cast("boolean"), "roles": F.when(F.col("kind") == "Node", F.try_variant_get("object", "$.roles", "array<string>")), "capacity": F.when(F.col("kind") == "Node", F.try_variant_get("object", "$.status.capacity", "map<string,bigint>")),
+            "allocatable": F.when(F.col("kind") == "Node", F.try_variant_get("object", "$.status.allocatable", "map<string,bigint>")), "service_type": of("Service", "$.spec.type"), "cluster_ip": of("Service", "$.spec.clusterIP"),
+            **{f"container_{c}": taken(everyone, f) for f, c in aligned.items()}, "container_is_init": F.concat(F.transform("regular", lambda _: F.lit(0)), F.transform("first", lambda _: F.lit(1))),
+            **{f"condition_{c}": each("conditions", f) for f, c in conditions.items()}, "labels": last_of(_pairs("labels")), "annotations": last_of(_pairs("annotations")), "object": F.to_json("object"),
+            "tags": multimap(F.concat(F.coalesce("envelope_tags", F.array().cast("array<string>")), F.flatten(F.transform(F.map_entries("tags"), lambda e: F.transform(e["value"], lambda v: F.when(v == "", e["key"]).otherwise(F.concat(e["key"], F.lit(":"), v))))))),
+        }
+    ).drop("regular", "first", "conditions", "envelope_tags")
+
+
+def _pairs(name: str) -> Column:
+    split = lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.when(F.contains(x, F.lit(":")), F.substring(x, F.instr(x, ":") + 1, F.length(x))).otherwise("").alias("value"))
+    return F.coalesce(F.transform(name, split), F.array().cast(PAIRS))
+
+
+def container_rows(landing: DataFrame, stats: bool = False) -> DataFrame:
+    """Containers, or their statistics, of every message that has them, with ``source``, which message that was; a container on a process has its ``pid``."""
+    out = None
+    for source, spec in (STAT_MESSAGES if stats else CONTAINER_MESSAGES).items():
+        rows = normalise(landing, spec)[0].where("container_id is not null").withColumn("source", F.lit(source))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+SUMMARY = "struct<mapping:struct<gamma:double,indexOffset:double>,positiveValues:struct<binCounts:map<string,double>,contiguousBinCounts:array<double>,contiguousBinIndexOffset:bigint>,negativeValues:struct<binCounts:map<string,double>,contiguousBinCounts:array<double>,contiguousBinIndexOffset:bigint>,zeroCount:double>"
+BINS = "array<struct<key:bigint,n:double>>"
+
+
+def _bins(store: Column) -> Column:
+    """A store's bins as (key, count): the sparse ones by their keys, the dense ones from their offset on."""
+    sparse = F.transform(F.map_entries(store["binCounts"]), lambda e: F.struct(e["key"].try_cast("bigint").alias("key"), e["value"].alias("n")))
+    dense = F.transform(store["contiguousBinCounts"], lambda n, i: F.struct((F.coalesce(store["contiguousBinIndexOffset"], F.lit(0).cast("long")) + i).alias("key"), n.alias("n")))
+    return F.concat(F.coalesce(sparse, F.array().cast(BINS)), F.coalesce(dense, F.array().cast(BINS)))
+
+
+def summary_columns(raw: str, name: str) -> dict[str, Column]:
+    """What a latency summary says: ``_state`` (absent, undecodable, empty, ok), ``_gamma``, ``_keys`` and ``_counts`` (ascending by value; a bin of
+    negative values has the key -key - 2e9, that of zeros -1e9), ``_count``."""
+    made = F.try_variant_get(raw, "$", SUMMARY)
+    apart = F.lit(1_000_000_000).cast("long")
+    moved = lambda bins, key: F.transform(bins, lambda b: F.struct(key(b["key"]).alias("key"), b["n"].alias("n")))
+    zero = F.filter(F.array(F.struct((-apart).alias("key"), F.coalesce(made["zeroCount"], F.lit(0.0)).alias("n"))), lambda b: b["n"] > 0)
+    everything = F.concat(moved(_bins(made["negativeValues"]), lambda k: -k - 2 * apart), zero, _bins(made["positiveValues"]))
+    bins = F.array_sort(F.filter(everything, lambda b: b["n"] > 0))
+    gamma = made["mapping"]["gamma"]
+    odd = F.exists(everything, lambda b: b["key"].isNull() | b["n"].isNull() | (b["n"] < 0)) | (gamma <= 1)
+    state = F.when(F.col(raw).isNull(), "absent").when(made.isNull() | gamma.isNull() | odd, "undecodable").when(F.size(bins) == 0, "empty").otherwise("ok")
+    fine = state == "ok"
+    return {
+        f"{name}_state": state, f"{name}_gamma": F.when(fine, gamma), f"{name}_offset": F.when(fine, F.coalesce(made["mapping"]["indexOffset"], F.lit(0.0))), f"{name}_keys": F.when(fine, F.transform(bins, lambda b: b["key"])),
+        f"{name}_counts": F.when(fine, F.transform(bins, lambda b: b["n"])), f"{name}_count": F.when(fine, F.aggregate(bins, F.lit(0.0), lambda s, b: s + b["n"])),
+    }
+
+
+def stat_rows(stats: DataFrame) -> DataFrame:
+    """Grouped trace statistics with both latency summaries taken apart; a summary that is none stays a row, and says so. The tags of
+    the client as a map of lists."""
+    return stats.withColumns({**summary_columns("ok_summary", "ok"), **summary_columns("error_summary", "error"), "client_tags": multimap(F.col("client_tags"))}).drop("ok_summary", "error_summary")
+
+
+def latency_quantiles(stats: DataFrame, keys: list[str], q: float, name: str = "ok") -> DataFrame:
+    """(keys..., gamma, count, value): the q-quantile of the merged summaries, from bins summed map-side; summaries of one mapping merge.
+
+    The value stands for its bin within its relative error, (gamma - 1) / (gamma + 1)."""
+    by = [*keys, "gamma", "offset"]
+    cells = stats.where(F.col(f"{name}_state") == "ok").select(*keys, F.col(f"{name}_gamma").alias("gamma"), F.col(f"{name}_offset").alias("offset"), F.explode(F.arrays_zip(F.col(f"{name}_keys").alias("k"), F.col(f"{name}_counts").alias("n"))).alias("b"))
+    cells = cells.groupBy(*by, F.col("b.k").alias("k")).agg(F.sum("b.n").alias("n"))  # as many rows as bins, whatever the spans
+    run = Window.partitionBy(*by).orderBy("k")
+    cells = cells.withColumn("run", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+    apart = 1_000_000_000
+    size = lambda k: F.pow(F.col("gamma"), k - F.col("offset")) * 2 / (1 + F.col("gamma")) * F.col("gamma")
+    value = F.when(F.col("k") == -apart, 0.0).when(F.col("k") < -apart, -size(-F.col("k") - 2 * apart)).otherwise(size(F.col("k")))
+    first = cells.where(F.col("run") > q * (F.col("all") - 1)).groupBy(*by).agg(F.min_by(value, "k").alias("value"), F.max("all").alias("count"))
+    return first.select(*keys, "gamma", "count", "value")
