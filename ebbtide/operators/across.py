@@ -32,18 +32,29 @@ def keep_groups(sf: SeriesFrame, groups: DataFrame) -> DataFrame:
     return sf.df.alias("l").join(groups.alias("r"), same_keys(sf.keys), "left_semi").select("l.*")
 
 
-def ranked_groups(sf: SeriesFrame, by: str, descending: bool) -> DataFrame:
-    """(keys..., rank value, nth): ties go by group, N/A last."""
-    ranks = sf.df.groupBy(*sf.keys).agg(reduction(by, sf.step_ms).alias("rank"))
+def _ranks(sf: SeriesFrame, by: str, descending: bool) -> tuple[DataFrame, list[Column]]:
+    """(keys..., rank) and the order of the groups: ties go by group, N/A last."""
     first = F.col("rank").desc_nulls_last() if descending else F.col("rank").asc_nulls_last()
-    return ranks.withColumn("nth", F.row_number().over(Window.orderBy(first, *[F.col(k).asc_nulls_last() for k in sf.keys])).cast("long"))
+    return sf.df.groupBy(*sf.keys).agg(reduction(by, sf.step_ms).alias("rank")), [first, *[F.col(k).asc_nulls_last() for k in sf.keys]]
+
+
+def ranked_groups(sf: SeriesFrame, by: str, descending: bool) -> DataFrame:
+    """(keys..., rank value, nth) of every group; one window numbers them all. ``first_groups`` does without it."""
+    ranks, order = _ranks(sf, by, descending)
+    return ranks.withColumn("nth", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def first_groups(sf: SeriesFrame, by: str, descending: bool, n: int) -> DataFrame:
+    """(keys..., rank value) of the first ``n`` groups: every task keeps its own first ones, and only those are gathered."""
+    ranks, order = _ranks(sf, by, descending)
+    return ranks.orderBy(*order).limit(n)
 
 
 def fn_top(sf: SeriesFrame, n: int, by: str = "mean", order: str = "desc") -> SeriesFrame:
-    """The n series that rank first. The ranking window holds one row per group."""
+    """The n series that rank first."""
     if n not in (5, 10, 15, 20, 25, 50, 100) or by not in RANKS or order not in ("asc", "desc"):
         raise ValueError("n, by or order is not one of the allowed values")
-    return sf.with_df(keep_groups(sf, ranked_groups(sf, by, order == "desc").where(F.col("nth") <= n)))
+    return sf.with_df(keep_groups(sf, first_groups(sf, by, order == "desc", n)))
 
 
 def fn_top_shorthand(sf: SeriesFrame, name: str) -> SeriesFrame:
@@ -59,7 +70,7 @@ def series_limit(sf: SeriesFrame, count: int | None, order: str = "desc") -> Ser
     """The first ``count`` series by mean; without a count, all."""
     if count is None:
         return sf
-    return sf.with_df(keep_groups(sf, ranked_groups(sf, "mean", order == "desc").where(F.col("nth") <= count)))
+    return sf.with_df(keep_groups(sf, first_groups(sf, "mean", order == "desc", count)))
 
 
 def _count_series(sf: SeriesFrame, of: Column) -> SeriesFrame:
@@ -158,6 +169,6 @@ def scalar_table(columns: dict[str, SeriesFrame], limits: dict[str, tuple[int, s
     tall = reduce(DataFrame.unionByName, [sf.df.select(*keys, F.lit(name).alias("name"), "value") for name, sf in columns.items()])
     wide = tall.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in columns])
     for name, (count, order) in (limits or {}).items():
-        kept = ranked_groups(columns[name], "mean", order == "desc").where(F.col("nth") <= count)
+        kept = first_groups(columns[name], "mean", order == "desc", count)
         wide = wide.alias("l").join(kept.alias("r"), same_keys(keys), "left_semi").select("l.*")
     return wide

@@ -32,7 +32,8 @@ def fill_series(series: DataFrame, keys: tuple[str, ...], how: str = "linear", l
     point = F.when(F.col("value").isNotNull(), F.struct("bucket_ms", "value"))
     w = Window.partitionBy("series_id", *keys).orderBy("bucket_ms")
     rows = rows.withColumn("before", F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("after", F.first(point, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back = Window.partitionBy("series_id", *keys).orderBy(F.col("bucket_ms").desc())  # a frame that grows is kept up, one that shrinks is read anew for each row
+    rows = rows.withColumn("after", F.last(point, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     share = (F.col("bucket_ms") - F.col("before.bucket_ms")) / (F.col("after.bucket_ms") - F.col("before.bucket_ms"))
     made = {
         "linear": F.col("before.value") + (F.col("after.value") - F.col("before.value")) * share,
