@@ -11,6 +11,7 @@ from ebbtide.model import SeriesFrame
 from ebbtide.operators import across, fill, models, product
 from ebbtide.operators import predicates as pr
 from ebbtide.sources import normalise as norm
+from ebbtide.storage import Folder
 from ebbtide.streaming import state
 
 
@@ -253,6 +254,26 @@ def test_stream_and_replay_agree(spark, tmp_path):
     assert got == want and len(got) > 100 and any(r[1] == "g0" and r[4] == "No Data" for r in got)
 
 
+def test_stream_memory_is_snapshots_and_changes(spark, tmp_path):
+    minute = 60_000
+    groups = lambda k: ["g0"] + [f"g{i}" for i in range(1, 30)] * (k == 0)
+    rows = [(1, k * minute, g, "judged", 20.0 if g == "g0" and k % 2 else 1.0, k * minute, (k - 5) * minute, k * minute) for k in range(7) for g in groups(k)]
+    whole = spark.createDataFrame(rows, "monitor_id long, tick long, group_key string, status string, value double, last_point long, from_ms long, to_ms long")
+    for k in range(7):
+        whole.where(F.col("tick") == k * minute).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    calm = state.Definition(critical=10, new_group_delay=0, window=3600_000)
+    out = str(tmp_path / "out")
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state.follow(stream, calm, out, str(tmp_path / "cp"), snapshot_every=3).awaitTermination()
+    periods = whole.select("monitor_id", "tick", "from_ms", "to_ms").distinct()
+    whole_memory = state.memory(state.folded(state.complete_ticks(whole, periods), calm))
+    key = lambda df: sorted(str(r.asDict()) for r in df.collect())
+    assert key(state.remembered(spark, out, 6)) == key(whole_memory) and whole_memory.count() == 30
+    assert Folder(spark, f"{out}/snapshots").names() == ["batch=2", "batch=5"] and Folder(spark, f"{out}/changes").names() == [f"batch={n}" for n in range(3, 7)]
+    assert spark.read.parquet(f"{out}/changes/batch=6").count() == 1 and Folder(spark, f"{out}/after").names() == []
+    assert key(spark.read.parquet(f"{out}/transitions").drop("batch")) == key(state.replay(state.complete_ticks(whole, periods), calm))
+
+
 @pytest.mark.parametrize("paths", [True, False])
 def test_trees_of_any_depth(spark, paths):
     rows = [(1, i, i - 1 if i > 1 else None) for i in range(1, 101)] + [(1, 200, 50), (2, 5, None), (2, 6, 99), (2, 7, 6), (3, 1, 2), (3, 2, 1), (3, 3, 1)]
