@@ -415,3 +415,13 @@ register(
     r AS (SELECT service, k, sum(n) OVER (PARTITION BY service ORDER BY k) AS run, sum(n) OVER (PARTITION BY service) AS total FROM c)
     SELECT service, CAST(max(total) AS DOUBLE) AS count, round(CASE WHEN min(k) < 0 THEN 0.0 ELSE pow(1.02, min(k)) * 2.04 / 2.02 END, 6) AS value FROM r WHERE run > 0.95 * (total - 1) GROUP BY service""",
 )
+ORIGIN = {"series": [SERIES2["series"][0] | {"source_type_name": "'System'", "metadata": {"origin": {"origin_product": "q", "origin_service": "h", "odd": "1"}}}]}
+signal(
+    "norm_series_v2_origin", "series_v2", ORIGIN, {"metric": "metric", "source_type": "source_type", "product": "origin_product", "category": "origin_category", "service": "origin_service", "odd": "extra['metadata.origin.odd']"},
+    {"metric": "'m.' || event_type", "source_type": "'System'", "product": "q", "category": "NULL::BIGINT", "service": "h", "odd": "'1'"}, norm.metric_rows,
+)
+FOUND = {"scanId": "'s' || CAST(event_id AS STRING)", "results": [{"rule": "event_type", "resource": "'r'", "matches": "2L", "failed": "false", "matchDetails": [{"path": "'a.b'", "start": "q", "end": "h + 10", "confidence": "'high'"}, {"path": "'c'", "start": "1L", "end": "2L", "confidence": "'low'"}]}]}
+signal(
+    "norm_sds_matches", "sds", FOUND, {"scan_id": "scan_id", "rule": "rule", "nth": "nth", "path": "path", "begin": "start", "stop": "end", "confidence": "confidence"},
+    {"scan_id": "'s' || CAST(event_id AS STRING)", "rule": "event_type", "nth": "unnest([0, 1])", "path": "unnest(['a.b', 'c'])", "begin": "unnest([q, 1])", "stop": "unnest([h + 10, 2])", "confidence": "unnest(['high', 'low'])"}, norm.scan_matches,
+)

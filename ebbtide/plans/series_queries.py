@@ -300,6 +300,11 @@ register(
     lambda s, d: across.fn_count_nonzero(base(s, d, **HOSTS).values(F.greatest(F.col("value") - 6, F.lit(0.0)))).shown(),
     sql("SELECT bucket_ms, CAST(sum(CASE WHEN value > 6 THEN 1 ELSE 0 END) AS DOUBLE) AS value FROM base GROUP BY bucket_ms", **HOSTS),
 )
+register(
+    "fn_count_nonzero_finite",  # a quotient of which some values are no numbers: these are gaps, not counted
+    lambda s, d: across.fn_count_nonzero(base(s, d, **HOSTS).values(F.try_divide(F.col("value") - 6, F.floor(F.col("value") / 8)))).shown(),
+    sql("SELECT bucket_ms, CAST(sum(CASE WHEN value <> 6 THEN 1 ELSE 0 END) AS DOUBLE) AS value FROM base WHERE floor(value / 8) <> 0 GROUP BY bucket_ms", **HOSTS),
+)
 register("fn_count_not_null", lambda s, d: across.fn_count_not_null(base(s, d, **HOSTS)).shown(), sql("SELECT bucket_ms, CAST(count(*) AS DOUBLE) AS value FROM base GROUP BY bucket_ms", **HOSTS))
 register("fn_exclude_null", lambda s, d: across.fn_exclude_null(base(s, d)).shown(), sql(f"{SHOWN} WHERE env IS NOT NULL"))
 

@@ -352,7 +352,7 @@ def leftovers(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> D
 S, X, L, D, B, U = "string", "text", "bigint", "double", "boolean", "u64"
 #: One spec for each signal. Paths after the type are tried in order.
 SPECS: dict[str, Spec] = {
-    "series_v2": Spec("series_v2", {"metric": (S, "$.metric"), "type_code": (L, "$.type"), "unit": (S, "$.unit"), "interval": (L, "$.interval"), "points": ("array<struct<timestamp:bigint,value:double>>", "$.points"), "resources": ("array<struct<name:string,type:string>>", "$.resources")}, "$.series", required=("metric",), tags="$.tags"),
+    "series_v2": Spec("series_v2", {"metric": (S, "$.metric"), "type_code": (L, "$.type"), "unit": (S, "$.unit"), "interval": (L, "$.interval"), "points": ("array<struct<timestamp:bigint,value:double>>", "$.points"), "resources": ("array<struct<name:string,type:string>>", "$.resources"), "source_type": (S, "$.source_type_name", "$.sourceTypeName"), "origin_product": (L, "$.metadata.origin.origin_product", "$.metadata.origin.originProduct"), "origin_category": (L, "$.metadata.origin.origin_category", "$.metadata.origin.originCategory"), "origin_service": (L, "$.metadata.origin.origin_service", "$.metadata.origin.originService")}, "$.series", required=("metric",), tags="$.tags"),
     "series_v1": Spec("series_v1", {"metric": (S, "$.metric"), "type": (S, "$.type"), "host": (S, "$.host"), "device": (S, "$.device"), "interval": (L, "$.interval"), "source_type": (S, "$.source_type_name"), "unit": (S, "$.unit"), "points": ("array<string>", "$.points")}, "$.series", required=("metric",), tags="$.tags"),
     "sketches": Spec("sketches", {"metric": (S, "$.metric"), "host": (S, "$.host"), "points": ("array<struct<ts:bigint,cnt:bigint,min:double,max:double,avg:double,sum:double,k:array<int>,n:array<bigint>>>", "$.dogsketches")}, "$.sketches", required=("metric",), tags="$.tags"),
     "distribution_points": Spec("distribution_points", {"metric": (S, "$.metric"), "host": (S, "$.host"), "points": ("array<struct<ts:bigint,values:array<double>>>", "$.points")}, "$.series", required=("metric",), tags="$.tags"),
@@ -511,7 +511,7 @@ def metric_rows(series: DataFrame, version: int = 2) -> DataFrame:
         rest = F.map_from_entries(F.transform(F.filter("resources", lambda r: ~is_host(r)), lambda r: F.struct(r["type"], r["name"])))
         return series.withColumn("p", F.explode("points")).select(
             "tenant_id", "metric", (F.col("p.timestamp") * 1000).alias("t_ms"), F.col("p.value").alias("value"), named(F.col("type_code"), METRIC_TYPES).alias("metric_type"),
-            F.coalesce(F.col("interval"), F.lit(0)).alias("interval"), F.coalesce(host, F.lit("")).alias("host"), rest.alias("resources"), "tags",
+            F.coalesce(F.col("interval"), F.lit(0)).alias("interval"), F.coalesce(host, F.lit("")).alias("host"), rest.alias("resources"), "tags", "unit", "source_type", "origin_product", "origin_category", "origin_service", "extra", "note",
         )
     word = F.upper("type")
     rows = series.withColumn("raw", F.explode("points")).withColumn("p", F.from_json("raw", "array<double>")).where(pair_of_numbers())
@@ -589,6 +589,12 @@ def sbom_vulnerabilities(entities: DataFrame) -> DataFrame:
     return rows.select("entity", F.col("v.id").alias("id"), F.col("v.description").alias("description"), F.col("v.ratings").alias("ratings"), F.col("v.affects.ref").alias("affects"))
 
 
+def scan_matches(results: DataFrame) -> DataFrame:
+    """A row for each match of a scan's results: (scan_id, rule, resource, nth, path, start, end, confidence). Results that list none have none."""
+    rows = results.select("tenant_id", "received_ms", "scan_id", "rule", "resource", F.posexplode("found").alias("nth", "m"))
+    return rows.select("tenant_id", "received_ms", "scan_id", "rule", "resource", "nth", "m.path", "m.start", "m.end", "m.confidence")
+
+
 def pod_counts(resources: DataFrame) -> DataFrame:
     """(name, ready_containers, containers, restarts) over each pod's container array."""
     count = lambda f: F.aggregate("containers", F.lit(0).cast("bigint"), lambda a, c: a + f(c))
