@@ -425,3 +425,15 @@ signal(
     "norm_sds_matches", "sds", FOUND, {"scan_id": "scan_id", "rule": "rule", "nth": "nth", "path": "path", "begin": "start", "stop": "end", "confidence": "confidence"},
     {"scan_id": "'s' || CAST(event_id AS STRING)", "rule": "event_type", "nth": "unnest([0, 1])", "path": "unnest(['a.b', 'c'])", "begin": "unnest([q, 1])", "stop": "unnest([h + 10, 2])", "confidence": "unnest(['high', 'low'])"}, norm.scan_matches,
 )
+#: Spans of references: table entries 1 to 8; zero and 99 are none.
+INDEXED = """concat('{"env":"prod","idxTracerPayloads":[{"strings":["never","', event_type, '","web","GET \\\\"x\\\\"","route","size","c', h, '","inner","py"],"languageNameRef":8,"containerIDRef":6,"attributes":{"4":{"stringValueRef":2},"5":{"intValue":', q, '}},"chunks":[{"traceID":"AAAAAAAAAP8AAAAAAAAACQ==","priority":1,"originRef":99,"spans":[{"serviceRef":1,"nameRef":2,"resourceRef":3,"typeRef":0,"spanID":', event_id, ',"parentID":0,"start":', ms, ',"duration":', user_id, ',"error":', CASE WHEN q = 0 THEN 'true' ELSE 'false' END, ',"kind":2,
+ "attributes":{"4":{"stringValueRef":3},"5":{"intValue":9007199254740993},"7":{"keyValueList":{"keyValues":[{"key":4,"value":{"arrayValue":{"values":[{"stringValueRef":1},{"boolValue":true}]}}},{"key":0,"value":{"doubleValue":1.5}}]}},"6":{"bytesValue":"AQI="}},"links":[{"traceID":"AAAAAAAAAAEAAAAAAAAAAg==","spanID":7,"tracestateRef":2,"attributes":{"5":{"boolValue":false}}}],"events":[{"time":', ms, ',"nameRef":7}]}]}]}]}')"""
+signal(
+    "norm_indexed_spans", "indexed_spans", INDEXED,
+    {"service": "service", "name": "name", "resource": "resource", "span_type": "type", "trace_id": "trace_id", "high": "trace_id_high", "span_id": "span_id", "kind": "kind", "error": "error", "origin": "origin", "language": "language", "container": "container_id", "route": "meta['route']", "size": "metrics['size']", "bytes": "hex(meta_struct[concat('c', split(container_id, 'c')[1])])",
+     "json": "attributes_json", "tags": "concat(tracer_tags['route'], ',', tracer_tags['size'])", "link": "link_trace_id[0] * 10 + link_trace_id_high[0]", "state": "link_tracestate[0]", "link_json": "link_attributes[0]", "event": "event_name[0]", "event_json": "event_attributes[0]"},
+    {"service": "event_type", "name": "'web'", "resource": "'GET \"x\"'", "span_type": "''", "trace_id": "9", "high": "255", "span_id": "event_id", "kind": "'server'", "error": "CASE WHEN q = 0 THEN 1 ELSE 0 END", "origin": "''", "language": "'py'", "container": "'c' || CAST(h AS STRING)", "route": "'GET \"x\"'", "size": "9007199254740992.0::DOUBLE", "bytes": "'0102'",
+     "json": """'{"route":{"string":"GET \\"x\\""},"size":{"int":9007199254740993},"c' || CAST(h AS STRING) || '":{"bytes":"AQI="},"inner":{"kvlist":[{"key":"route","value":{"array":[{"string":"' || event_type || '"},{"bool":true}]}},{"key":"","value":{"double":1.5}}]}}'""",
+     "tags": "'web,' || CAST(q AS STRING)", "link": "21", "state": "'web'", "link_json": """'{"size":{"bool":false}}'""", "event": "'inner'", "event_json": "''"},
+    norm.indexed_span_rows,
+)

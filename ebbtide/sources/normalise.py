@@ -374,6 +374,18 @@ SPECS: dict[str, Spec] = {
         },
         "$.tracerPayloads", {"env": (S, "$.env"), "host": (S, "$.hostName"), "agent_version": (S, "$.agentVersion")}, ("trace_id", "span_id"), levels=("chunks", "spans"),
     ),
+    "indexed_spans": Spec(
+        "indexed_spans",
+        {
+            "strings": ("array<string>", "$2.strings"), "service_ref": (L, "$.serviceRef"), "name_ref": (L, "$.nameRef"), "resource_ref": (L, "$.resourceRef"), "type_ref": (L, "$.typeRef"), "env_ref": (L, "$.envRef"), "version_ref": (L, "$.versionRef"), "component_ref": (L, "$.componentRef"),
+            "span_id": (U, "$.spanID"), "parent_id": (U, "$.parentID"), "start": (L, "$.start"), "duration": (L, "$.duration"), "error": (B, "$.error"), "kind_code": (L, "$.kind"), "attributes": ("map<string,variant>", "$.attributes"),
+            "links": ("array<struct<traceID:string,spanID:decimal(20,0),attributes:map<string,variant>,tracestateRef:bigint,flags:bigint>>", "$.links"), "span_events": ("array<struct<time:bigint,nameRef:bigint,attributes:map<string,variant>>>", "$.events"),
+            "trace": (S, "$1.traceID"), "priority": (L, "$1.priority"), "origin_ref": (L, "$1.originRef"), "dropped_trace": (B, "$1.droppedTrace"), "chunk_attributes": ("map<string,variant>", "$1.attributes"),
+            "container_id_ref": (L, "$2.containerIDRef"), "language_ref": (L, "$2.languageNameRef"), "language_version_ref": (L, "$2.languageVersionRef"), "tracer_version_ref": (L, "$2.tracerVersionRef"), "runtime_id_ref": (L, "$2.runtimeIDRef"), "tracer_env_ref": (L, "$2.envRef"),
+            "tracer_hostname_ref": (L, "$2.hostnameRef"), "app_version_ref": (L, "$2.appVersionRef"), "tracer_attributes": ("map<string,variant>", "$2.attributes"),
+        },
+        "$.idxTracerPayloads", {"env": (S, "$.env"), "host": (S, "$.hostName"), "agent_version": (S, "$.agentVersion")}, ("span_id",), levels=("chunks", "spans"),
+    ),
     "trace_stats": Spec(
         "trace_stats",
         {
@@ -566,6 +578,84 @@ def span_rows(spans: DataFrame) -> DataFrame:
     ).withColumns({"meta": meta, "metrics": metrics}).drop("links", "span_events")
 
 
+SPAN_KINDS = ("", "internal", "server", "client", "producer", "consumer")  # fixed values, by their codes
+
+
+def _string_at(ref: Column) -> Column:
+    """A reference into the payload's own table; zero and what lies outside are empty."""
+    return F.when(ref > 0, F.coalesce(F.get("strings", ref.cast("int")), F.lit(""))).otherwise("")
+
+
+def _quoted(text: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
+def _readable(value: Column) -> Column:
+    """The JSON of a typed value with its references put in, at any depth: {"string": ...}, {"int": ...}, {"array": [...]}, {"kvlist": [{"key", "value"}]}.
+
+    Such a value has no text of its own, only references, numbers and base64, so its JSON can be cut at the references.
+    """
+    plain = F.to_json(value)
+    for wire, tag in (("boolValue", "bool"), ("intValue", "int"), ("doubleValue", "double"), ("bytesValue", "bytes")):
+        plain = F.replace(plain, F.lit(f'"{wire}":'), F.lit(f'"{tag}":'))
+    for wire, inner, tag in (("arrayValue", "values", "array"), ("keyValueList", "keyValues", "kvlist")):
+        plain = F.replace(F.replace(plain, F.lit(f'"{wire}":{{}}'), F.lit(f'"{wire}":{{"{inner}":[]}}')), F.lit(f'"{wire}":{{"{inner}":['), F.lit(f'"{tag}":['))
+    plain = F.replace(plain, F.lit("]}}"), F.lit("]}"))
+    reference = r'("stringValueRef"|"key"):(\d+)'
+    gaps = F.split(plain, reference, -1)
+    names, refs = (F.regexp_extract_all(plain, F.lit(reference), F.lit(k)) for k in (1, 2))
+    texts = F.zip_with(names, refs, lambda n, r: F.concat(F.when(n == '"key"', '"key":').otherwise('"string":'), _quoted(_string_at(r.try_cast("bigint")))))
+    return F.array_join(F.flatten(F.zip_with(gaps, texts, lambda g, t: F.array(g, F.coalesce(t, F.lit(""))))), "")
+
+
+def _by_reference(attributes: Column) -> Column:
+    """(ref, key, value) in order of the references, so that of two with one name the higher comes last."""
+    entries = F.transform(F.coalesce(F.map_entries(attributes), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: F.struct(e["key"].try_cast("bigint").alias("ref"), e["value"].alias("value")))
+    order = F.array_sort(F.transform(entries, lambda e: e["ref"]))
+    return F.transform(order, lambda r: F.struct(_string_at(r).alias("key"), F.get(F.filter(entries, lambda e: e["ref"] == r), F.lit(0))["value"].alias("value")))
+
+
+def _readable_attributes(attributes: Column) -> Column:
+    named_values = last_of(F.transform(_by_reference(attributes), lambda e: F.struct(e["key"].alias("key"), F.coalesce(_readable(e["value"]), F.lit("null")).alias("value"))))
+    each = F.transform(F.map_entries(named_values), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
+    return F.when(F.coalesce(F.size(attributes), F.lit(0)) <= 0, "").otherwise(F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")))
+
+
+def _scalars(attributes: Column, kinds: dict[str, str], of: str) -> Column:
+    """The attributes of these wire types as a map; ``of``: text, number or bytes."""
+
+    def value(e: Column) -> Column:
+        found = {k: F.try_variant_get(e["value"], f"$.{k}", t) for k, t in kinds.items()}
+        texts = [_string_at(v) if k == "stringValueRef" else v for k, v in found.items()]
+        texts = [F.when(found[k].isNotNull(), t) for k, t in zip(found, texts, strict=True)]
+        return F.coalesce(*[F.unbase64(t) if of == "bytes" else t.cast("double" if of == "number" else "string") for t in texts])
+
+    made = F.filter(F.transform(_by_reference(attributes), lambda e: F.struct(e["key"].alias("key"), value(e).alias("value"))), lambda e: e["value"].isNotNull())
+    return last_of(made)
+
+
+def indexed_span_rows(spans: DataFrame) -> DataFrame:
+    """Spans whose texts are references into their payload's string table, as ``span_rows`` has those with texts: strings and flags to
+    ``meta``, numbers to ``metrics``, bytes to ``meta_struct``; ``attributes_json`` keeps every value under its type, whole numbers exactly,
+    nested ones at any depth. The table goes with every span until it is resolved here, and no further."""
+    half = lambda c, k: F.when(F.length(F.unbase64(c)) == 16, F.conv(F.hex(F.substring(F.unbase64(c), 1 + 8 * k, 8)), 16, 10).cast("decimal(20,0)"))
+    signed = lambda c: F.coalesce(F.when(c >= F.lit(str(1 << 63)).cast("decimal(20,0)"), c - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(c).cast("bigint"), F.lit(0).cast("bigint"))
+    text, number = {"stringValueRef": "bigint", "boolValue": "boolean"}, {"intValue": "bigint", "doubleValue": "double"}
+    refs = [c for c in spans.columns if c.endswith("_ref")]
+    each = lambda column, of: F.transform(F.coalesce(F.col(column), F.array()), of)
+    return spans.withColumns(
+        {
+            **{c.removesuffix("_ref"): _string_at(F.col(c)) for c in refs}, "trace_id_high": signed(half(F.col("trace"), 0)), "trace_id": signed(half(F.col("trace"), 1)),
+            "kind": F.coalesce(F.get(F.array(*map(F.lit, SPAN_KINDS)), F.col("kind_code").cast("int")), F.lit("")), "error": F.coalesce(F.col("error").cast("long"), F.lit(0).cast("long")),
+            "meta": _scalars(F.col("attributes"), text, "text"), "metrics": _scalars(F.col("attributes"), number, "number"), "meta_struct": _scalars(F.col("attributes"), {"bytesValue": "string"}, "bytes"), "attributes_json": _readable_attributes(F.col("attributes")),
+            "tracer_tags": _scalars(F.col("tracer_attributes"), text | number, "text"), "chunk_tags": _scalars(F.col("chunk_attributes"), text | number, "text"),
+            "link_trace_id": each("links", lambda x: signed(half(x["traceID"], 1))), "link_trace_id_high": each("links", lambda x: signed(half(x["traceID"], 0))), "link_span_id": each("links", lambda x: signed(x["spanID"])),
+            "link_attributes": each("links", lambda x: _readable_attributes(x["attributes"])), "link_tracestate": each("links", lambda x: _string_at(x["tracestateRef"])), "link_flags": each("links", lambda x: x["flags"]),
+            "event_time": each("span_events", lambda x: x["time"]), "event_name": each("span_events", lambda x: _string_at(x["nameRef"])), "event_attributes": each("span_events", lambda x: _readable_attributes(x["attributes"])),
+        }
+    ).drop(*refs, "strings", "trace", "kind_code", "attributes", "tracer_attributes", "chunk_attributes", "links", "span_events")
+
+
 def split_attributes(attributes: Column) -> tuple[Column, Column]:
     """Attributes tagged by type ({"string": v}, {"int": n}...) -> pairs of texts and flags, and pairs of numbers."""
     entries = F.coalesce(F.map_entries(attributes), F.array().cast("array<struct<key:string,value:map<string,string>>>"))
