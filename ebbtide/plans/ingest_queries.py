@@ -437,3 +437,16 @@ signal(
      "tags": "'web,' || CAST(q AS STRING)", "link": "21", "state": "'web'", "link_json": """'{"size":{"bool":false}}'""", "event": "'inner'", "event_json": "''"},
     norm.indexed_span_rows,
 )
+TESTED = """concat('{"version":1,"metadata":{"*":{"env":"all","language":"py","git.branch":"main"},"test":{"env":"own"},"other":{"language":"no"}},"events":[{"type":"test","version":2,"content":{"test_session_id":', event_id, ',"service":"s","start":', ms, ',"meta":{"test.name":"t', h, '","test.status":"pass","test.is_new":"True","git.branch":""},"metrics":{"test.source.start":', q, '}}},{"type":"test_session_end","content":{"meta":{"env":"mine","test.source.start":" 7 "}}}]}')"""
+signal(
+    "norm_ci_test_metadata", "ci_test_events", TESTED,
+    {"event_type": "event_type", "env": "env", "language": "language", "branch": "branch", "test_name": "test_name", "session": "session_id", "line": "source_start", "is_new": "is_new"},
+    {"event_type": "unnest(['test', 'test_session_end'])", "env": "unnest(['own', 'mine'])", "language": "unnest(['py', 'py'])", "branch": "unnest(['main', 'main'])", "test_name": "unnest(['t' || CAST(h AS STRING), ''])", "session": "unnest([event_id, NULL])", "line": "unnest([q, 7])", "is_new": "unnest([true, NULL])"}, norm.test_event_rows,
+)
+BATCH = """concat('{"request_type":"', CASE WHEN q = 0 THEN 'app-started' ELSE 'message-batch' END, '","seq_id":', event_id, ',"runtime_id":"r', h, '","application":{"service_name":"', event_type, '"},"payload":', CASE q WHEN 0 THEN '{"a":1}' WHEN 1 THEN '[1]' ELSE '[{"request_type":"logs","payload":{"n":2}},null]' END, '}')"""
+signal(
+    "norm_telemetry_batches", "telemetry_requests", BATCH,
+    {"seq_id": "seq_id", "service": "service_name", "request_type": "request_type", "payload": "payload", "nth": "batch_index", "parent": "parent_request_type"},
+    {"seq_id": "event_id", "service": "event_type", "request_type": "unnest(CASE WHEN q = 0 THEN ['app-started'] WHEN q = 1 THEN ['message-batch'] ELSE ['message-batch', 'logs', ''] END)", "payload": """unnest(CASE q WHEN 0 THEN ['{"a":1}'] WHEN 1 THEN ['[1]'] ELSE ['[{"payload":{"n":2},"request_type":"logs"},null]', '{"n":2}', NULL] END)""",
+     "nth": "unnest(CASE WHEN q < 2 THEN [NULL] ELSE [NULL, 0, 1] END)", "parent": "unnest(CASE WHEN q < 2 THEN [''] ELSE ['', 'message-batch', 'message-batch'] END)"}, norm.telemetry_rows,
+)

@@ -472,6 +472,22 @@ SPECS |= {
     "symbol_queries": Spec("symbol_queries", {"build_id": (S, "$")}, "$.data.buildIds", {"arch": (S, "$.data.arch")}),
     "debugger_diagnostics": Spec("debugger_diagnostics", {"probe_id": (S, "$.debugger.diagnostics.probeId"), "status": (S, "$.debugger.diagnostics.status"), "service": (S, "$.service")}, times=(("$.timestamp", 1, "sender"),)),
     "symdb": Spec("symdb", {"service": (S, "$.service"), "language": (S, "$.language"), "scopes": ("array<string>", "$.scopes")}),
+    "ci_test_events": Spec(
+        "ci_test_events",
+        {
+            "event_type": (S, "$.type"), "event_version": (L, "$.version"), "session_id": (U, "$.content.test_session_id"), "module_id": (U, "$.content.test_module_id"), "suite_id": (U, "$.content.test_suite_id"), "trace_id": (U, "$.content.trace_id"), "span_id": (U, "$.content.span_id"),
+            "service": (S, "$.content.service"), "resource": (S, "$.content.resource"), "start": (L, "$.content.start"), "duration": (L, "$.content.duration"), "error": (L, "$.content.error"), "meta": ("map<string,string>", "$.content.meta"), "metrics": ("map<string,double>", "$.content.metrics"),
+        },
+        "$.events", {"payload_version": (L, "$.version"), "metadata": ("map<string,map<string,string>>", "$.metadata")}, ("event_type",),
+    ),
+    "telemetry_requests": Spec(
+        "telemetry_requests",
+        {
+            "request_type": (S, "$.request_type"), "api_version": (S, "$.api_version"), "runtime_id": (S, "$.runtime_id"), "seq_id": (L, "$.seq_id"), "tracer_time": (L, "$.tracer_time"), "service_name": (S, "$.application.service_name"), "service_version": (S, "$.application.service_version"),
+            "env": (S, "$.application.env"), "language_name": (S, "$.application.language_name"), "tracer_version": (S, "$.application.tracer_version"), "hostname": (S, "$.host.hostname"), "payload": ("variant", "$.payload"),
+        },
+        required=("request_type",),
+    ),
     "cws_dump": Spec("cws_dump", {"container": (S, "$.metadata.container_id"), "tree": (X, "$.tree")}),
 }
 CONTAINER = {
@@ -679,6 +695,35 @@ def sbom_vulnerabilities(entities: DataFrame) -> DataFrame:
     return rows.select("entity", F.col("v.id").alias("id"), F.col("v.description").alias("description"), F.col("v.ratings").alias("ratings"), F.col("v.affects.ref").alias("affects"))
 
 
+def test_event_rows(events: DataFrame) -> DataFrame:
+    """Test events with the batch's metadata put on each: what holds of all events, and over it what the batch says of the event's own type.
+
+    env, runtime and test names come from the event's tags, else from that metadata; a flag or number that no tag has is null, not false."""
+    merged = last_of(F.concat(*[F.coalesce(F.map_entries(F.try_element_at("metadata", k)), F.array().cast(PAIRS)) for k in (F.lit("*"), F.col("event_type"))]))
+    rows = events.withColumn("metadata", merged)
+    tag = lambda k: F.nullif(F.try_element_at("meta", F.lit(k)), F.lit(""))
+    either = lambda k: F.coalesce(tag(k), F.try_element_at("metadata", F.lit(k)), F.lit(""))
+    number = lambda k: F.coalesce(F.try_element_at("metrics", F.lit(k)).cast("long"), F.trim(tag(k)).try_cast("long"))
+    flag = lambda k: F.when(tag(k).isNotNull(), F.lower(F.trim(tag(k))).isin("true", "1", "yes"))
+    names = {"env": "env", "language": "language", "runtime": "runtime.name", "branch": "git.branch", "commit_sha": "git.commit.sha", "repository": "git.repository_url"}
+    own = {"test_name": "test.name", "suite": "test.suite", "module": "test.module", "status": "test.status", "framework": "test.framework", "skip_reason": "test.skip_reason"}
+    return rows.withColumns(
+        {n: either(k) for n, k in names.items()} | {n: F.coalesce(tag(k), F.lit("")) for n, k in own.items()} | {"source_start": number("test.source.start"), "is_new": flag("test.is_new"), "is_retry": flag("test.is_retry")}
+    )
+
+
+def telemetry_rows(requests: DataFrame) -> DataFrame:
+    """A row for each request, and for each message of a batch one more that has the request's columns, its place in the batch and the
+    request's type as ``parent_request_type``. A batch whose payload is no list of objects stays one row."""
+    batch = F.when(F.col("request_type") == "message-batch", listed(F.col("payload")))
+    fit = F.forall(batch, lambda x: F.is_variant_null(x) | members(x).isNotNull())
+    kept = [c for c in requests.columns if c not in ("request_type", "payload")]
+    entry = lambda kind, payload, nth, parent: F.struct(kind.alias("request_type"), F.to_json(payload).alias("payload"), nth.cast("int").alias("batch_index"), parent.alias("parent_request_type"))
+    own = F.array(entry(F.col("request_type"), F.col("payload"), F.lit(None), F.lit("")))
+    each = F.transform(F.when(fit, batch), lambda x, i: entry(F.coalesce(there(x, "request_type").cast("string"), F.lit("")), there(x, "payload"), i, F.col("request_type")))
+    return requests.select(*kept, F.inline(F.concat(own, F.coalesce(each, F.filter(own, lambda _: F.lit(False))))))
+
+
 def scan_matches(results: DataFrame) -> DataFrame:
     """A row for each match of a scan's results: (scan_id, rule, resource, nth, path, start, end, confidence). Results that list none have none."""
     rows = results.select("tenant_id", "received_ms", "scan_id", "rule", "resource", F.posexplode("found").alias("nth", "m"))
