@@ -11,6 +11,7 @@ from ..operators import catalog, product
 from ..operators.aggregate import rollup_1m
 from ..sources import telemetry
 from ..sources.telemetry import CHECKS_SQL, LOGS_SQL, MONITORS_SQL, POINTS_SQL, epoch_ms, table
+from ..functions.sketch import LOG_GAMMA
 from ..storage import shared_dir
 from ..streaming import views
 from .common import DAY, FROM, points
@@ -36,6 +37,13 @@ register("trace_by_id", lambda s, d: product.trace_by_id(spans(s, d), 7 * 4, 4).
 register("service_latest_spans", lambda s, d: product.service_latest_spans(spans(s, d), "supplier-3", 50).select("trace_id", "span_id", "start_ms"), f"WITH {SPANS_SQL} SELECT trace_id, span_id, start_ms FROM spans WHERE service = 'supplier-3' ORDER BY start_ms DESC, trace_id, span_id LIMIT 50")
 register("errors_by_resource", lambda s, d: product.errors_by_resource(spans(s, d)), f"WITH {SPANS_SQL} SELECT service, resource, count(*) AS errors FROM spans WHERE error = 1 GROUP BY ALL")
 register("p95_by_resource", lambda s, d: product.quantile_by_resource(spans(s, d), 0.95).withColumn("duration", F.round("duration", 4)), f"WITH {SPANS_SQL} SELECT service, resource, round(quantile_cont(duration, 0.95), 4) AS duration FROM spans GROUP BY ALL")
+register(
+    "p95_by_resource_sketch",  # the same from buckets
+    lambda s, d: product.sketched_quantile(spans(s, d), ["service", "resource"], "duration", 0.95).withColumn("duration", F.round("duration", 4)),
+    f"""WITH {SPANS_SQL}, c AS (SELECT service, resource, CAST(round_even(ln(duration) / {LOG_GAMMA!r}, 0) AS INT) AS k, count(*) AS n FROM spans GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY service, resource ORDER BY k) AS run, sum(n) OVER (PARTITION BY service, resource) AS total FROM c)
+    SELECT service, resource, round(exp(min(k) * {LOG_GAMMA!r}), 4) AS duration, CAST(max(total) AS BIGINT) AS count FROM r WHERE run > 0.95 * (total - 1) GROUP BY ALL""",
+)
 register("service_overview", lambda s, d: product.service_overview(spans(s, d)).withColumn("latency", F.round("latency", 4)), f"WITH {SPANS_SQL} SELECT service, count(*) AS hits, CAST(sum(error) AS BIGINT) AS errors, round(avg(duration), 4) AS latency FROM spans GROUP BY service")
 register("pathway_graph", lambda s, d: product.pathway_graph(spans(s, d)), f"WITH {SPANS_SQL} SELECT p.service AS from_node, c.service AS to_node, count(*) AS n FROM edges c JOIN edges p ON c.trace_id = p.trace_id AND c.parent_id = p.span_id GROUP BY ALL")
 register("process_tree", lambda s, d: product.span_depths(spans(s, d), paths=False).select("trace_id", "span_id", "depth", (F.col("depth") + 1).alias("length")), f"WITH {SPANS_SQL} SELECT trace_id, span_id, CAST(span_id - 1 AS INT) AS depth, CAST(span_id AS INT) AS length FROM spans")

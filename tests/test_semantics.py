@@ -327,3 +327,15 @@ def test_unsigned_ids_keep_their_bits(spark):
     facts, _ = norm.normalise(landed(spark, "spans", f'{{"tracerPayloads":[{{"chunks":[{{"spans":[{span}]}}]}}]}}'), norm.SPECS["spans"])
     row = norm.span_rows(facts).first()
     assert (row.trace_id, row.trace_id_high, row.span_id, row.parent_id, row.note) == (-1, -1, -(1 << 63), None, "parent_id")
+
+
+def test_sketched_quantiles_lie_within_their_error(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k in "ab" for v in rng.lognormal(3, 2, 500)] + [("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: (r.v, r["count"]) for r in product.sketched_quantile(df, ["k"], "v", q).collect()}
+        for k in "abc":
+            own = sorted(v for g, v in rows if g == k)
+            assert got[k] == (pytest.approx(own[int(np.floor(q * (len(own) - 1)))], rel=0.009), len(own))
+        assert "d" not in got
