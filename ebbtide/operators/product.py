@@ -30,10 +30,10 @@ def sketched_quantile(rows: DataFrame, keys: list[str], value: str, q: float) ->
     """(keys..., value, count): a quantile of each group within the sketch's relative error, about 0.8 %.
 
     Values are counted by bucket map-side, so a hot group sends as many rows as it has buckets, not as it has values."""
-    cells = rows.where(F.col(value).isNotNull()).groupBy(*keys, sketch_key(F.col(value)).alias("k")).agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.partitionBy(*keys).orderBy("k"))
-    cells = cells.withColumn("run", run).withColumn("count", F.sum("n").over(Window.partitionBy(*keys)))
-    return cells.where(F.col("run") > q * (F.col("count") - 1)).groupBy(*keys).agg(sketch_value(F.min("k")).alias(value), F.max("count").alias("count"))
+    cells = rows.where(F.col(value).isNotNull()).groupBy(*keys, sketch_key(F.col(value)).alias("_bucket")).agg(F.count("*").alias("_n"))
+    run = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket"))
+    cells = cells.withColumn("_run", run).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    return cells.where(F.col("_run") > q * (F.col("_all") - 1)).groupBy(*keys).agg(sketch_value(F.min("_bucket")).alias(value), F.max("_all").alias("count"))
 
 
 def service_overview(spans: DataFrame) -> DataFrame:

@@ -882,13 +882,13 @@ def latency_quantiles(stats: DataFrame, keys: list[str], q: float, name: str = "
     """(keys..., gamma, count, value): the q-quantile of the merged summaries, from bins summed map-side; summaries of one mapping merge.
 
     The value stands for its bin within its relative error, (gamma - 1) / (gamma + 1)."""
-    by = [*keys, "gamma", "offset"]
-    cells = stats.where(F.col(f"{name}_state") == "ok").select(*keys, F.col(f"{name}_gamma").alias("gamma"), F.col(f"{name}_offset").alias("offset"), F.explode(F.arrays_zip(F.col(f"{name}_keys").alias("k"), F.col(f"{name}_counts").alias("n"))).alias("b"))
-    cells = cells.groupBy(*by, F.col("b.k").alias("k")).agg(F.sum("b.n").alias("n"))  # as many rows as bins, whatever the spans
-    run = Window.partitionBy(*by).orderBy("k")
-    cells = cells.withColumn("run", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+    by = [*keys, "_gamma", "_offset"]
+    cells = stats.where(F.col(f"{name}_state") == "ok").select(*keys, F.col(f"{name}_gamma").alias("_gamma"), F.col(f"{name}_offset").alias("_offset"), F.explode(F.arrays_zip(F.col(f"{name}_keys").alias("k"), F.col(f"{name}_counts").alias("n"))).alias("_b"))
+    cells = cells.groupBy(*by, F.col("_b.k").alias("_k")).agg(F.sum("_b.n").alias("_n"))  # as many rows as bins, whatever the spans
+    run = Window.partitionBy(*by).orderBy("_k")
+    cells = cells.withColumn("_run", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
     apart = 1_000_000_000
-    size = lambda k: F.pow(F.col("gamma"), k - F.col("offset")) * 2 / (1 + F.col("gamma")) * F.col("gamma")
-    value = F.when(F.col("k") == -apart, 0.0).when(F.col("k") < -apart, -size(-F.col("k") - 2 * apart)).otherwise(size(F.col("k")))
-    first = cells.where(F.col("run") > q * (F.col("all") - 1)).groupBy(*by).agg(F.min_by(value, "k").alias("value"), F.max("all").alias("count"))
-    return first.select(*keys, "gamma", "count", "value")
+    size = lambda k: F.pow(F.col("_gamma"), k - F.col("_offset")) * 2 / (1 + F.col("_gamma")) * F.col("_gamma")
+    value = F.when(F.col("_k") == -apart, 0.0).when(F.col("_k") < -apart, -size(-F.col("_k") - 2 * apart)).otherwise(size(F.col("_k")))
+    first = cells.where(F.col("_run") > q * (F.col("_all") - 1)).groupBy(*by).agg(F.min_by(value, "_k").alias("value"), F.max("_all").alias("count"))
+    return first.select(*keys, F.col("_gamma").alias("gamma"), "count", "value")
