@@ -185,7 +185,8 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...]) -> tuple[Da
     framed = ~body.startswith("[") & body.rlike(r"\}\s*[\r\n]\s*\{")
     lines = F.when(framed, F.split(body, r"\s*[\r\n]+\s*")).otherwise(F.array(body))
     docs = landing.where(F.col("intake") == spec.intake).select("tenant_id", "received_ms", "intake", "path", "query", F.explode(F.filter(lines, lambda x: x != "")).alias("doc"))
-    docs = docs.withColumn("v", F.try_parse_json("doc"))
+    # in brackets, since the parser passes over what follows a whole value
+    docs = docs.withColumn("parsed", F.try_parse_json(F.concat(F.lit("["), "doc", F.lit("]")))).withColumn("v", F.try_variant_get("parsed", "$[0]", "variant"))
     base = ["tenant_id", "received_ms", "intake", "path", "query", *(f"e_{n}" for n in spec.envelope)]
     docs = docs.withColumns({f"e_{n}": _first(kind, [there(F.col("v"), *steps(p)[1]) for p in ps]) for n, (kind, *ps) in spec.envelope.items()})
     carried: dict[str, str] = {}

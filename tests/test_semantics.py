@@ -339,3 +339,18 @@ def test_sketched_quantiles_lie_within_their_error(spark):
             own = sorted(v for g, v in rows if g == k)
             assert got[k] == (pytest.approx(own[int(np.floor(q * (len(own) - 1)))], rel=0.009), len(own))
         assert "d" not in got
+
+
+def test_the_last_of_members_with_one_name_counts(spark):
+    facts, dead = norm.normalise(landed(spark, "logs", '{"message":"a","x":1,"message":"b","x":2}', '{"message":"c"} trailing', "7"), norm.SPECS["logs"])
+    assert [(r.message, r.extra) for r in facts.collect()] == [("b", {"x": "2"})]
+    assert sorted((r.reason, r.body) for r in dead.collect()) == [("decode_error", '{"message":"c"} trailing'), ("unexpected_shape", "7")]
+
+
+def test_objects_without_items_leave_their_keys(spark):
+    body = '{"env":"e","odd":1,"tracerPayloads":[{"languageName":"py","new":2,"chunks":[{"priority":1,"more":3,"spans":[]},{"spans":[{"trace_id":1,"span_id":2}]},{"spans":7},null]}]}'
+    spec = norm.SPECS["spans"]
+    made = norm.outcomes(landed(spark, "spans", body), spec)
+    assert norm.facts_of(made, spec).select("span_id", "language", "extra").collect() == [(2, "py", {"$2.new": "2"})]
+    assert sorted(r.body for r in norm.letters_of(made).collect()) == ["null", '{"spans":7}']
+    assert sorted((sorted(r.extra.items()) for r in norm.leftovers_of(made).collect())) == [[("$1.more", "3")], [("odd", "1")]]
