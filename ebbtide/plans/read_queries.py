@@ -235,8 +235,8 @@ register("sort_groups_nulls_last", lambda s, d: across.ranked_groups(base(s, d),
 register("topk_facets", lambda s, d: catalog.log_facet(trans(s, d), F.lit(True), "group_key", 7), monitors_sql("SELECT group_key AS value, count(*) AS n FROM trans GROUP BY 1 ORDER BY n DESC, value LIMIT 7"))
 register(
     "scan_transitions_final",
-    lambda s, d: trans(s, d).unionAll(trans(s, d)).dropDuplicates(["monitor_id", "group_key", "at_ms"]).select("monitor_id", "group_key", "at_ms", "to_state"),
-    monitors_sql("SELECT monitor_id, group_key, at_ms, to_state FROM trans"),
+    lambda s, d: catalog.replace_by_version(trans(s, d).unionAll(trans(s, d)).select("monitor_id", "group_key", "at_ms", "to_state", "inserted_at", "event_id"), ["monitor_id", "group_key", "at_ms"], ["inserted_at", "event_id"]).select("monitor_id", "group_key", "at_ms", "to_state"),
+    monitors_sql("SELECT monitor_id, group_key, at_ms, to_state FROM (SELECT *, row_number() OVER (PARTITION BY monitor_id, group_key, at_ms ORDER BY inserted_at DESC, event_id DESC) AS rn FROM trans) WHERE rn = 1"),
 )
 register("dedup_resend", lambda s, d: notes(s, d).dropDuplicates(["monitor_id", "group_key", "transition_at"]).select("monitor_id", "group_key", "transition_at"), monitors_sql("SELECT monitor_id, group_key, transition_at FROM notes"))
 
