@@ -5,6 +5,8 @@ Expressions are in the part of SQL that Spark and DuckDB share, so each signal s
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +40,21 @@ def joined(x) -> Column:
         return F.concat(F.lit("{"), *[part for n, (k, v) in enumerate(x.items()) for part in (F.lit(f'{"," if n else ""}"{k}":'), joined(v))], F.lit("}"))
     if isinstance(x, list):
         return F.concat(F.lit("["), *[part for n, v in enumerate(x) for part in (F.lit("," if n else ""), joined(v))], F.lit("]"))
-    return F.regexp_replace(F.to_json(F.struct(F.expr(x).alias("x"))), r'^\{"x":|\}$', "")
+    if re.fullmatch(r"'[^'\\\\\"]*'|\d+L", x):  # the same in every row
+        return F.lit(f'"{x[1:-1]}"' if x[0] == "'" else x[:-1])
+    return F.btrim(F.to_json(F.array(F.expr(x))), F.lit("[]"))
 
 
+ROWS_A_TASK = 1 << 16
 UNLIKE = ("spans", "k8s_objects", "collector_proc")  # bodies with lists of unlike members
 
 
 def landing(spark, d: str, intake: str, body) -> DataFrame:
     ev = table(spark, d, "events").withColumn("ms", epoch_ms("ts")).withColumns({"sec": F.expr("ms div 1000"), "h": F.expr("user_id % 20"), "q": F.expr("event_id % 4")})
     text = F.expr(body) if isinstance(body, str) else joined(body) if intake in UNLIKE else F.to_json(made(body))
-    if ev.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
-        ev = ev.repartition(cores)  # one small file is read by one task; parsing is worth more
+    parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, d, "events").count() // ROWS_A_TASK))
+    if ev.rdd.getNumPartitions() < parts:
+        ev = ev.repartition(parts)  # one small file is read by one task; parsing is worth more, and a task's rows stay as few however many there are
     broken = F.expr("event_id % 50 = 0")
     return ev.select(
         F.lit("default").alias("tenant_id"),

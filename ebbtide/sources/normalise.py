@@ -50,13 +50,18 @@ class Spec:
     strict: tuple[str, ...] = ()  # paths of the item where anything but a string makes it a letter
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it names it: inside lambdas nothing else shares results."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def multimap(pairs: Column) -> Column:
     """``key:value`` texts -> key to list of values in order; the first colon splits, a bare tag has the value ''."""
     clean = F.filter(F.coalesce(pairs, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    key = lambda x: F.substring_index(x, ":", 1)
     value = lambda x: F.when(F.contains(x, F.lit(":")), F.substring(x, F.instr(x, ":") + 1, F.length(x))).otherwise("")
-    keys = F.array_distinct(F.transform(clean, key))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(clean, lambda x: key(x) == k), value)))
+    halves = F.transform(clean, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), value(x).alias("value")))
+    values = lambda s, k: F.transform(F.filter(s, lambda e: e["key"] == k), lambda e: e["value"])
+    return let(halves, lambda s: let(F.array_distinct(F.transform(s, lambda e: e["key"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: values(s, k)))))
 
 
 def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
@@ -100,7 +105,7 @@ def typed(raw: Column, kind: str) -> Column:
     if kind == "u64":  # the 64 bits as a signed number
         whole = text.try_cast("decimal(20,0)")
         wrapped = F.when(whole >= F.lit(str(1 << 63)).cast("decimal(20,0)"), whole - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(whole)
-        return F.when(text.rlike("^[0-9]+$"), wrapped.try_cast("bigint"))
+        return F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("bigint")).when(text.rlike("^[0-9]+$"), wrapped.try_cast("bigint"))
     if kind.startswith(("array", "map", "struct")):
         return F.try_variant_get(raw, "$", kind)
     if kind == "string":
@@ -108,19 +113,34 @@ def typed(raw: Column, kind: str) -> Column:
     return text if kind == "text" else text.try_cast(kind)
 
 
+def gaps(kind: T.DataType, made: Column) -> Column:
+    """Whether a value, or any member of it at any depth, is null: only then can anything be of a wrong type."""
+    inner = F.lit(False)
+    if isinstance(kind, T.ArrayType):
+        inner = F.exists(made, lambda x: gaps(kind.elementType, x))
+    elif isinstance(kind, T.MapType):
+        inner = F.exists(F.map_values(made), lambda x: gaps(kind.valueType, x))
+    elif isinstance(kind, T.StructType):
+        for f in kind.fields:
+            inner = inner | gaps(f.dataType, made[f.name])
+    return made.isNull() | inner
+
+
 def unfit(kind: T.DataType, raw: Column, made: Column) -> Column:
     """Whether a value, or any member of it at any depth, is there and was not of the type asked for."""
-    missing = raw.isNotNull() & ~F.is_variant_null(raw) & made.isNull()
-    inner = F.lit(False)
+    missing = made.isNull() & raw.cast("string").isNotNull()
+    if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(missing, F.lit(False))
     if isinstance(kind, T.ArrayType):
         pairs = F.arrays_zip(listed(raw).alias("raw"), made.alias("made"))
         inner = F.exists(pairs, lambda p: unfit(kind.elementType, p["raw"], p["made"]))
     elif isinstance(kind, T.MapType):
         inner = F.exists(F.map_entries(members(raw)), lambda e: unfit(kind.valueType, e["value"], F.try_element_at(made, e["key"])))
-    elif isinstance(kind, T.StructType):
+    else:
+        inner = F.lit(False)
         for f in kind.fields:
             inner = inner | unfit(f.dataType, F.try_variant_get(raw, f"$['{f.name}']", "variant"), made[f.name])
-    return F.coalesce(missing | F.coalesce(inner, F.lit(False)), F.lit(False))
+    return F.coalesce(gaps(kind, made) & (missing | F.coalesce(inner, F.lit(False))), F.lit(False))
 
 
 PAIRS = "array<struct<key:string,value:string>>"
@@ -128,30 +148,63 @@ PAIRS = "array<struct<key:string,value:string>>"
 
 def last_of(pairs: Column) -> Column:
     """A map of (key, value) pairs; of pairs with one key the last counts."""
-    keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"])
-    return F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs)).otherwise(F.map_from_arrays(keys, last))
-
-
-def untaken(held: Column, taken: list[tuple], before: str = "") -> list[Column]:
-    """Lists of (key, value): what no taken path covers in an object, or list, and in those that paths go through."""
-    leaves = {p[0] for p in taken if len(p) == 1}
-    through = sorted({p[0] for p in taken if len(p) > 1} - leaves, key=str)
-    if any(isinstance(k, int) for k in leaves | set(through)):
-        whole = listed(held)
-        entries = F.zip_with(whole, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(whole) - 1)), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
-    else:
-        entries = F.map_entries(members(held))
-    gone = lambda e: e["key"].isin(*map(str, leaves)) if leaves else F.lit(False)
-    for k in through:
-        deeper = {p[1] for p in taken if len(p) > 1 and p[0] == k}
-        opened = (listed if any(isinstance(x, int) for x in deeper) else members)
-        gone = (lambda g, k, opened: lambda e: g(e) | ((e["key"] == str(k)) & opened(e["value"]).isNotNull()))(gone, k, opened)
-    rest = F.transform(F.filter(entries, lambda e: ~gone(e)), lambda e: F.struct(F.concat(F.lit(before), e["key"]).alias("key"), e["value"].cast("string").alias("value")))
-    out = [F.coalesce(F.filter(rest, lambda e: e["value"].isNotNull()), F.array().cast(PAIRS))]
-    for k in through:
-        out += untaken(there(held, k), [p[1:] for p in taken if len(p) > 1 and p[0] == k], f"{before}{k}.")
-    return out
+    last = lambda e, k: F.element_at(F.filter(e, lambda x: x["key"] == k), -1)["value"]
+    chosen = lambda e, keys: F.when(F.size(keys) == F.size(e), F.map_from_entries(e)).otherwise(F.map_from_arrays(keys, F.transform(keys, lambda k: last(e, k))))
+    return let(pairs, lambda e: let(F.array_distinct(F.transform(e, lambda x: x["key"])), lambda keys: chosen(e, keys)))
+
+
+@dataclass(frozen=True)
+class Opened:
+    """What is below a variant: columns with the members of it and of each object or list that paths go through."""
+
+    held: Column
+    nodes: dict[tuple, str]
+
+    def at(self, keys: tuple) -> Column:
+        """The variant at a path; null where there is none, and for a JSON null."""
+        if not keys:
+            return F.when(~F.is_variant_null(self.held), self.held)
+        around = F.col(self.nodes[keys[:-1]])
+        return F.get(around, F.lit(keys[-1])) if isinstance(keys[-1], int) else F.try_element_at(around, F.lit(keys[-1]))
+
+    def untaken(self, taken: list[tuple], before: str = "", at: tuple = ()) -> list[Column]:
+        """Lists of (key, value): what no taken path covers in an object, or list, and in those that paths go through."""
+        mine = [p[len(at) :] for p in taken if len(p) > len(at) and p[: len(at)] == at]
+        leaves = {p[0] for p in mine if len(p) == 1}
+        through = sorted({p[0] for p in mine if len(p) > 1} - leaves, key=str)
+        whole = F.col(self.nodes[at])
+        if any(isinstance(k, int) for k in leaves | set(through)):
+            entries = F.zip_with(whole, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(whole) - 1)), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+        else:
+            entries = F.map_entries(whole)
+        left = lambda e: ~e["key"].isin(*map(str, leaves)) if leaves else F.lit(True)
+        for k in through:
+            left = (lambda f, k: lambda e: f(e) & ~((e["key"] == str(k)) & F.col(self.nodes[(*at, k)]).isNotNull()))(left, k)
+        name = F.lit(before + "".join(f"{k}." for k in at))
+        rest = F.transform(F.filter(entries, left), lambda e: F.struct(F.concat(name, e["key"]).alias("key"), e["value"].cast("string").alias("value")))
+        out = [F.coalesce(F.filter(rest, lambda e: e["value"].isNotNull()), F.array().cast(PAIRS))]
+        for k in through:
+            out += self.untaken(taken, before, (*at, k))
+        return out
+
+
+def opened(rows: DataFrame, held: Callable[[str], Column], paths: list[tuple], mark: str) -> tuple[DataFrame, Opened]:
+    """``rows`` with what these paths go through, each object and list taken apart once; JSON nulls are left out.
+
+    ``held`` gives the variant as any type."""
+    nodes: dict[tuple, str] = {}
+    inner = sorted({p[:k] for p in paths for k in range(max(1, len(p)))}, key=lambda at: (len(at), str(at)))
+    for depth in sorted(set(map(len, inner))):
+        fresh = {}
+        for at in (x for x in inner if len(x) == depth):
+            as_list = any(isinstance(p[depth], int) for p in paths if len(p) > depth and p[:depth] == at)
+            kind = "array<variant>" if as_list else "map<string,variant>"
+            raw = held(kind) if not at else F.try_variant_get(Opened(held("variant"), nodes).at(at), "$", kind)
+            fresh[at] = F.transform(raw, lambda v: F.when(~F.is_variant_null(v), v)) if as_list else F.map_filter(raw, lambda _, v: ~F.is_variant_null(v))
+        names = {at: f"{mark}{len(nodes) + n}" for n, at in enumerate(fresh)}
+        rows = rows.withColumns({names[at]: c for at, c in fresh.items()})
+        nodes |= names
+    return rows, Opened(held("variant"), nodes)
 
 
 LETTER = "struct<reason:string,body:string,note:string>"
@@ -173,7 +226,8 @@ def _parts(carried: dict[str, str], items: Column | None = None, letter: Column
 
 def _some(pairs: list[Column], carried: dict[str, str]) -> Column:
     """A part for the pairs, if there are any."""
-    return F.when(F.size(F.concat(*pairs)) > 0, _parts(carried, rest=F.concat(*pairs))).otherwise(F.filter(_parts(carried), lambda _: F.lit(False)))
+    none = F.filter(_parts(carried), lambda _: F.lit(False))
+    return let(F.concat(*pairs), lambda p: F.when(F.size(p) > 0, _parts(carried, rest=p)).otherwise(none))
 
 
 def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
@@ -181,27 +235,32 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...]) -> tuple[Da
 
     A body is framed by lines, of either ending, or whole."""
     landing.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of members with one name the last counts
-    body = F.regexp_replace("body", r"^\s+|\s+$", "")
-    framed = ~body.startswith("[") & body.rlike(r"\}\s*[\r\n]\s*\{")
+    landing.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # longer methods the JVM never compiles
+    landing = landing.where(F.col("intake") == spec.intake).withColumn("body", F.btrim("body", F.lit(" \t\n\x0b\f\r")))
+    body = F.col("body")
+    framed = ~body.startswith("[") & (body.contains("\n") | body.contains("\r")) & body.rlike(r"\}\s*[\r\n]\s*\{")
     lines = F.when(framed, F.split(body, r"\s*[\r\n]+\s*")).otherwise(F.array(body))
-    docs = landing.where(F.col("intake") == spec.intake).select("tenant_id", "received_ms", "intake", "path", "query", F.explode(F.filter(lines, lambda x: x != "")).alias("doc"))
+    docs = landing.select("tenant_id", "received_ms", "intake", "path", "query", F.explode(F.filter(lines, lambda x: x != "")).alias("doc"))
     # in brackets, since the parser passes over what follows a whole value
     docs = docs.withColumn("parsed", F.try_parse_json(F.concat(F.lit("["), "doc", F.lit("]")))).withColumn("v", F.try_variant_get("parsed", "$[0]", "variant"))
     base = ["tenant_id", "received_ms", "intake", "path", "query", *(f"e_{n}" for n in spec.envelope)]
-    docs = docs.withColumns({f"e_{n}": _first(kind, [there(F.col("v"), *steps(p)[1]) for p in ps]) for n, (kind, *ps) in spec.envelope.items()})
+    asked = [steps(p)[1] for _, *ps in spec.envelope.values() for p in ps]
+    taken = [*asked, *([steps(spec.items)[1]] if spec.items else []), *(steps(f"$.{k}")[1] for k in beside)]
+    if spec.items or asked:
+        docs, outer = opened(docs, lambda kind: F.try_variant_get("parsed", "$[0]", kind), taken, "o_")
+        docs = docs.withColumns({f"e_{n}": _first(kind, [outer.at(steps(p)[1]) for p in ps]) for n, (kind, *ps) in spec.envelope.items()})
     carried: dict[str, str] = {}
     if spec.items:
-        docs = docs.withColumn("holder", there(F.col("v"), *steps(spec.items)[1]))
-        taken = [steps(p)[1] for p in (*(p for _, *ps in spec.envelope.values() for p in ps), spec.items, *(f"$.{k}" for k in beside))]
-        around = _some(untaken(F.col("v"), taken), carried)
-        docs = docs.withColumn("list", F.map_entries(members(F.col("holder"))) if spec.keyed else listed(F.col("holder")))
+        holder = outer.at(steps(spec.items)[1])
+        around = _some(outer.untaken(taken), carried)
+        docs = docs.withColumn("list", F.map_entries(members(holder)) if spec.keyed else listed(holder))
     else:
         around = F.filter(_parts(carried), lambda _: F.lit(False))
         docs = docs.withColumn("list", F.coalesce(listed(F.col("v")), F.when(members(F.col("v")).isNotNull(), F.array("v"))))
     reason = F.when(F.col("v").isNull(), "decode_error").otherwise("unexpected_shape")
     if spec.keyed:
         carried = {f"f_{spec.keyed}": "string"}
-        around = _some(untaken(F.col("v"), taken), carried)
+        around = _some(outer.untaken(taken), carried)
         one = lambda e: F.struct(e["value"].alias("item"), *[F.lit(None).cast(k).alias(n) for n, k in (("letter", LETTER), ("rest", PAIRS))], e["key"].alias(f"f_{spec.keyed}"))
         whole = F.concat(F.transform("list", one), around)
     else:
@@ -212,9 +271,14 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...]) -> tuple[Da
         up = len(spec.levels) - n
         paths = sorted({p for _, *ps in spec.fields.values() for p in ps if steps(p)[0] == up}) if key else []
         fresh = {p: f"u_{len(found) + k}" for k, p in enumerate(paths)}
-        pairs = F.concat(*untaken(F.col("item"), [*(steps(p)[1] for p in paths), (key,)], f"${up}.")) if key else None
-        rows = rows.withColumns({"list": listed(there(F.col("item"), key) if key else F.col("item")), **{c: there(F.col("item"), *steps(p)[1]) for p, c in fresh.items()}, **({f"p_{up}": pairs} if key else {})})
-        bad = (members(F.col("item")).isNull() | (there(F.col("item"), key).isNotNull() & F.col("list").isNull())) if key else F.col("list").isNull()
+        if key:
+            below = [*(steps(p)[1] for p in paths), (key,)]
+            rows, inside = opened(rows, lambda kind: F.try_variant_get("item", "$", kind), below, f"o{up}_")
+            rows = rows.withColumns({"held": inside.at((key,)), **{c: inside.at(steps(p)[1]) for p, c in fresh.items()}, f"p_{up}": F.concat(*inside.untaken(below, f"${up}."))}).withColumn("list", listed(F.col("held")))
+            bad = F.col(inside.nodes[()]).isNull() | (F.col("held").isNotNull() & F.col("list").isNull())
+        else:
+            rows = rows.withColumn("list", listed(F.col("item")))
+            bad = F.col("list").isNull()
         after = carried | dict.fromkeys(fresh.values(), "variant") | ({f"p_{up}": PAIRS} if key else {})
         made = {c: F.col(c) for c in after}
         passed = F.array(F.struct(*[F.col(c) if c in ("item", "letter", "rest", *carried) else F.lit(None).cast(kind).alias(c) for c, kind in {"item": "variant", "letter": LETTER, "rest": PAIRS, **after}.items()]))
@@ -241,8 +305,12 @@ def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> Da
     """
     rows, found = _opened(landing, spec, beside)
     item = F.col("item")
-    at = lambda p: F.col(found[p]) if steps(p)[0] else there(item, *steps(p)[1])
     paths = [p for _, *ps in spec.fields.values() for p in ps]
+    tagged = [spec.tags] if spec.tags else []
+    own_paths = sorted({p for p in (*paths, *tagged, *(p for p, _, _ in spec.times), *spec.strict) if not steps(p)[0]})
+    rows, inside = opened(rows, lambda kind: F.try_variant_get("item", "$", kind), [steps(p)[1] for p in own_paths], "i_")
+    rows = rows.withColumns({f"a_{k}": inside.at(steps(p)[1]) for k, p in enumerate(own_paths)})
+    at = lambda p: F.col(found[p] if steps(p)[0] else f"a_{own_paths.index(p)}")
     rows = rows.withColumns({f"v_{n}": _first(kind, [at(p) for p in ps]) for n, (kind, *ps) in spec.fields.items()} | {f"v_{n}": F.col(f"e_{n}") for n in spec.envelope})
     kinds = {n: x[0] for n, x in (spec.fields | spec.envelope).items()}
     rows = rows.withColumns({f"f_{n}": typed(F.col(f"v_{n}"), kind) for n, kind in kinds.items()})
@@ -251,9 +319,11 @@ def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> Da
     tags = F.array().cast("array<string>")
     if spec.tags:
         held = at(spec.tags)
-        listed_tags = F.transform(F.filter(listed(held), is_text), lambda x: x.cast("string"))
+        rows = rows.withColumn("tag_list", listed(held))
+        many = F.col("tag_list")
+        listed_tags = F.transform(F.filter(many, is_text), lambda x: x.cast("string"))
         own = F.coalesce(listed_tags, F.when(is_text(held), tag_texts(held.cast("string"))), F.array().cast("array<string>"))
-        odd = F.coalesce(F.exists(listed(held), lambda x: ~is_text(x) & ~F.is_variant_null(x)), held.isNotNull() & ~is_text(held), F.lit(False))
+        odd = F.coalesce(F.exists(many, lambda x: ~is_text(x) & ~F.is_variant_null(x)), held.isNotNull() & ~is_text(held), F.lit(False))
         wrong[shown(spec.tags)] = (odd, held, True)
         given = F.coalesce(tag_texts(F.try_element_at("query", F.lit(spec.defaults["tags"]))), F.array().cast("array<string>")) if "tags" in spec.defaults else None
         tags = multimap(own if given is None else F.concat(given, own))
@@ -263,10 +333,8 @@ def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> Da
     for n in spec.required:
         lacking = lacking | F.col(f"f_{n}").isNull()
     below = [steps(p)[1] for p in (*paths, *([spec.tags] if spec.tags else []), *(p for p, _, _ in spec.times)) if not steps(p)[0]]
-    if any(p and isinstance(p[0], int) for p in below):
-        lacking = lacking | listed(item).isNull()
-    elif () not in below:
-        lacking = lacking | members(item).isNull()
+    if any(p and isinstance(p[0], int) for p in below) or () not in below:
+        lacking = lacking | F.col(inside.nodes[()]).isNull()
     else:
         lacking = lacking | F.is_variant_null(item)
     for p in spec.strict:
@@ -294,7 +362,7 @@ def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> Da
         out["timestamp_source"] = F.coalesce("sent.label", F.lit("arrival"))
         used = F.col("sent.key")
     taken = [steps(p)[1] for p in (*paths, *([spec.tags] if spec.tags else [])) if not steps(p)[0]]
-    lists = [] if () in taken else untaken(item, taken)
+    lists = [] if () in taken else inside.untaken(taken)
     lists += [F.coalesce(F.col(f"p_{k + 1}"), F.array().cast(PAIRS)) for k in range(len(spec.levels))]
     lists += [F.filter(F.array(*kept), lambda e: e["key"].isNotNull())] if kept else []
     pairs = F.concat(*lists) if lists else F.array().cast(PAIRS)
@@ -617,19 +685,24 @@ def _readable(value: Column) -> Column:
         plain = F.replace(plain, F.lit(f'"{wire}":'), F.lit(f'"{tag}":'))
     for wire, inner, tag in (("arrayValue", "values", "array"), ("keyValueList", "keyValues", "kvlist")):
         plain = F.replace(F.replace(plain, F.lit(f'"{wire}":{{}}'), F.lit(f'"{wire}":{{"{inner}":[]}}')), F.lit(f'"{wire}":{{"{inner}":['), F.lit(f'"{tag}":['))
-    plain = F.replace(plain, F.lit("]}}"), F.lit("]}"))
+    return let(F.replace(plain, F.lit("]}}"), F.lit("]}")), _put_in)
+
+
+def _put_in(plain: Column) -> Column:
+    """The text with what its references stand for; one without references as it is."""
     reference = r'("stringValueRef"|"key"):(\d+)'
-    gaps = F.split(plain, reference, -1)
+    between = F.split(plain, reference, -1)
     names, refs = (F.regexp_extract_all(plain, F.lit(reference), F.lit(k)) for k in (1, 2))
     texts = F.zip_with(names, refs, lambda n, r: F.concat(F.when(n == '"key"', '"key":').otherwise('"string":'), _quoted(_string_at(r.try_cast("bigint")))))
-    return F.array_join(F.flatten(F.zip_with(gaps, texts, lambda g, t: F.array(g, F.coalesce(t, F.lit(""))))), "")
+    put = F.array_join(F.flatten(F.zip_with(between, texts, lambda g, t: F.array(g, F.coalesce(t, F.lit(""))))), "")
+    return F.when(plain.contains('"stringValueRef":') | plain.contains('"key":'), put).otherwise(plain)
 
 
 def _by_reference(attributes: Column) -> Column:
     """(ref, key, value) in order of the references, so that of two with one name the higher comes last."""
     entries = F.transform(F.coalesce(F.map_entries(attributes), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: F.struct(e["key"].try_cast("bigint").alias("ref"), e["value"].alias("value")))
-    order = F.array_sort(F.transform(entries, lambda e: e["ref"]))
-    return F.transform(order, lambda r: F.struct(_string_at(r).alias("key"), F.get(F.filter(entries, lambda e: e["ref"] == r), F.lit(0))["value"].alias("value")))
+    value = lambda all_of, r: F.get(F.filter(all_of, lambda e: e["ref"] == r), F.lit(0))["value"]
+    return let(entries, lambda a: F.transform(F.array_sort(F.transform(a, lambda e: e["ref"])), lambda r: F.struct(_string_at(r).alias("key"), value(a, r).alias("value"))))
 
 
 def _readable_attributes(attributes: Column) -> Column:
@@ -638,16 +711,15 @@ def _readable_attributes(attributes: Column) -> Column:
     return F.when(F.coalesce(F.size(attributes), F.lit(0)) <= 0, "").otherwise(F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")))
 
 
-def _scalars(attributes: Column, kinds: dict[str, str], of: str) -> Column:
-    """The attributes of these wire types as a map; ``of``: text, number or bytes."""
+def _scalars(entries: Column, kinds: dict[str, str], of: str) -> Column:
+    """Of (ref, key, value) those of these wire types as a map; ``of``: text, number or bytes."""
 
     def value(e: Column) -> Column:
         found = {k: F.try_variant_get(e["value"], f"$.{k}", t) for k, t in kinds.items()}
-        texts = [_string_at(v) if k == "stringValueRef" else v for k, v in found.items()]
-        texts = [F.when(found[k].isNotNull(), t) for k, t in zip(found, texts, strict=True)]
+        texts = [let(v, lambda r: F.when(r.isNotNull(), _string_at(r))) if k == "stringValueRef" else v for k, v in found.items()]
         return F.coalesce(*[F.unbase64(t) if of == "bytes" else t.cast("double" if of == "number" else "string") for t in texts])
 
-    made = F.filter(F.transform(_by_reference(attributes), lambda e: F.struct(e["key"].alias("key"), value(e).alias("value"))), lambda e: e["value"].isNotNull())
+    made = F.filter(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), value(e).alias("value"))), lambda e: e["value"].isNotNull())
     return last_of(made)
 
 
@@ -660,17 +732,19 @@ def indexed_span_rows(spans: DataFrame) -> DataFrame:
     text, number = {"stringValueRef": "bigint", "boolValue": "boolean"}, {"intValue": "bigint", "doubleValue": "double"}
     refs = [c for c in spans.columns if c.endswith("_ref")]
     each = lambda column, of: F.transform(F.coalesce(F.col(column), F.array()), of)
+    named_by = {c: f"by_reference_{c}" for c in ("attributes", "tracer_attributes", "chunk_attributes")}
+    spans = spans.withColumns({n: _by_reference(F.col(c)) for c, n in named_by.items()})
     return spans.withColumns(
         {
             **{c.removesuffix("_ref"): _string_at(F.col(c)) for c in refs}, "trace_id_high": signed(half(F.col("trace"), 0)), "trace_id": signed(half(F.col("trace"), 1)),
             "kind": F.coalesce(F.get(F.array(*map(F.lit, SPAN_KINDS)), F.col("kind_code").cast("int")), F.lit("")), "error": F.coalesce(F.col("error").cast("long"), F.lit(0).cast("long")),
-            "meta": _scalars(F.col("attributes"), text, "text"), "metrics": _scalars(F.col("attributes"), number, "number"), "meta_struct": _scalars(F.col("attributes"), {"bytesValue": "string"}, "bytes"), "attributes_json": _readable_attributes(F.col("attributes")),
-            "tracer_tags": _scalars(F.col("tracer_attributes"), text | number, "text"), "chunk_tags": _scalars(F.col("chunk_attributes"), text | number, "text"),
+            "meta": _scalars(F.col(named_by["attributes"]), text, "text"), "metrics": _scalars(F.col(named_by["attributes"]), number, "number"), "meta_struct": _scalars(F.col(named_by["attributes"]), {"bytesValue": "string"}, "bytes"), "attributes_json": _readable_attributes(F.col("attributes")),
+            "tracer_tags": _scalars(F.col(named_by["tracer_attributes"]), text | number, "text"), "chunk_tags": _scalars(F.col(named_by["chunk_attributes"]), text | number, "text"),
             "link_trace_id": each("links", lambda x: signed(half(x["traceID"], 1))), "link_trace_id_high": each("links", lambda x: signed(half(x["traceID"], 0))), "link_span_id": each("links", lambda x: signed(x["spanID"])),
             "link_attributes": each("links", lambda x: _readable_attributes(x["attributes"])), "link_tracestate": each("links", lambda x: _string_at(x["tracestateRef"])), "link_flags": each("links", lambda x: x["flags"]),
             "event_time": each("span_events", lambda x: x["time"]), "event_name": each("span_events", lambda x: _string_at(x["nameRef"])), "event_attributes": each("span_events", lambda x: _readable_attributes(x["attributes"])),
         }
-    ).drop(*refs, "strings", "trace", "kind_code", "attributes", "tracer_attributes", "chunk_attributes", "links", "span_events")
+    ).drop(*refs, "strings", "trace", "kind_code", "attributes", "tracer_attributes", "chunk_attributes", "links", "span_events", *named_by.values())
 
 
 def split_attributes(attributes: Column) -> tuple[Column, Column]:
@@ -854,29 +928,29 @@ def _bins(store: Column) -> Column:
     return F.concat(F.coalesce(sparse, F.array().cast(BINS)), F.coalesce(dense, F.array().cast(BINS)))
 
 
-def summary_columns(raw: str, name: str) -> dict[str, Column]:
+def with_summary(rows: DataFrame, raw: str, name: str) -> DataFrame:
     """What a latency summary says: ``_state`` (absent, undecodable, empty, ok), ``_gamma``, ``_keys`` and ``_counts`` (ascending by value; a bin of
     negative values has the key -key - 2e9, that of zeros -1e9), ``_count``."""
-    made = F.try_variant_get(raw, "$", SUMMARY)
-    apart = F.lit(1_000_000_000).cast("long")
+    made, apart = F.col("_made"), F.lit(1_000_000_000).cast("long")
     moved = lambda bins, key: F.transform(bins, lambda b: F.struct(key(b["key"]).alias("key"), b["n"].alias("n")))
     zero = F.filter(F.array(F.struct((-apart).alias("key"), F.coalesce(made["zeroCount"], F.lit(0.0)).alias("n"))), lambda b: b["n"] > 0)
     everything = F.concat(moved(_bins(made["negativeValues"]), lambda k: -k - 2 * apart), zero, _bins(made["positiveValues"]))
-    bins = F.array_sort(F.filter(everything, lambda b: b["n"] > 0))
+    rows = rows.withColumn("_made", F.try_variant_get(raw, "$", SUMMARY)).withColumn("_all", everything).withColumn("_bins", F.array_sort(F.filter("_all", lambda b: b["n"] > 0)))
+    bins = F.col("_bins")
     gamma = made["mapping"]["gamma"]
-    odd = F.exists(everything, lambda b: b["key"].isNull() | b["n"].isNull() | (b["n"] < 0)) | (gamma <= 1)
+    odd = F.exists("_all", lambda b: b["key"].isNull() | b["n"].isNull() | (b["n"] < 0)) | (gamma <= 1)
     state = F.when(F.col(raw).isNull(), "absent").when(made.isNull() | gamma.isNull() | odd, "undecodable").when(F.size(bins) == 0, "empty").otherwise("ok")
-    fine = state == "ok"
-    return {
-        f"{name}_state": state, f"{name}_gamma": F.when(fine, gamma), f"{name}_offset": F.when(fine, F.coalesce(made["mapping"]["indexOffset"], F.lit(0.0))), f"{name}_keys": F.when(fine, F.transform(bins, lambda b: b["key"])),
+    fine = F.col(f"{name}_state") == "ok"
+    return rows.withColumn(f"{name}_state", state).withColumns({
+        f"{name}_gamma": F.when(fine, gamma), f"{name}_offset": F.when(fine, F.coalesce(made["mapping"]["indexOffset"], F.lit(0.0))), f"{name}_keys": F.when(fine, F.transform(bins, lambda b: b["key"])),
         f"{name}_counts": F.when(fine, F.transform(bins, lambda b: b["n"])), f"{name}_count": F.when(fine, F.aggregate(bins, F.lit(0.0), lambda s, b: s + b["n"])),
-    }
+    }).drop("_made", "_all", "_bins")
 
 
 def stat_rows(stats: DataFrame) -> DataFrame:
     """Grouped trace statistics with both latency summaries taken apart; a summary that is none stays a row, and says so. The tags of
     the client as a map of lists."""
-    return stats.withColumns({**summary_columns("ok_summary", "ok"), **summary_columns("error_summary", "error"), "client_tags": multimap(F.col("client_tags"))}).drop("ok_summary", "error_summary")
+    return with_summary(with_summary(stats, "ok_summary", "ok"), "error_summary", "error").withColumns({"client_tags": multimap(F.col("client_tags"))}).drop("ok_summary", "error_summary")
 
 
 def latency_quantiles(stats: DataFrame, keys: list[str], q: float, name: str = "ok") -> DataFrame:

@@ -1,8 +1,19 @@
-"""Duplicate keys have a rule."""
+"""What a row of the normaliser costs: things taken apart once, tasks of bounded size; and duplicate keys with a rule."""
 
 from conftest import same_rows
 
-from ebbtide.plans import ORACLES, QUERIES
+from ebbtide.plans import ORACLES, QUERIES, ingest_queries
+
+
+def test_variants_are_opened_once(spark):
+    plan = QUERIES["norm_extra"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") < 60  # 183 when every use of a member looked it up again
+
+
+def test_tasks_stay_small_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(ingest_queries, "ROWS_A_TASK", 50)
+    landed = ingest_queries.landing(spark, "/root/testdata/sf0.001", "logs", ingest_queries.LOG)
+    assert landed.rdd.getNumPartitions() >= 20
 
 
 def test_transitions_of_one_key_take_the_newest(spark, duck, tmp_path):
