@@ -15,7 +15,6 @@ from ..operators import monitors as mon
 from ..operators import product
 from ..sources import normalise as norm
 from ..sources.telemetry import epoch_ms, table
-from ..storage import durable
 from .registry import register
 
 EV = """ev AS (SELECT *, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS sec, user_id % 20 AS h, event_id % 4 AS q FROM events)"""
@@ -34,13 +33,36 @@ def made(x) -> Column:
     return F.array(*map(made, x)) if isinstance(x, list) else F.expr(x)
 
 
+def alike(x) -> bool:
+    """Whether one struct can say it: no list of several members, which may differ."""
+    return all(map(alike, x.values())) if isinstance(x, dict) else len(x) == 1 and alike(x[0]) if isinstance(x, list) else True
+
+
+def fixed(x: str) -> bool:
+    """Whether it is the same in every row."""
+    return bool(re.fullmatch(r"'[^'\\\\\"]*'|\d+L", x))
+
+
 def joined(x) -> Column:
-    """JSON text of nested dicts, lists and expressions, of which the members of one list may differ."""
+    """JSON text of nested dicts, lists and expressions, of which the members of one list may differ.
+
+    Neighbours that one struct can say are written together."""
     if isinstance(x, dict):
-        return F.concat(F.lit("{"), *[part for n, (k, v) in enumerate(x.items()) for part in (F.lit(f'{"," if n else ""}"{k}":'), joined(v))], F.lit("}"))
+        parts, together = [], {}
+        for k, v in [*x.items(), ("", [])]:
+            if k and alike(v) and not (isinstance(v, str) and fixed(v)):
+                together[k] = v
+                continue
+            if together:
+                text = F.to_json(made(together), {"ignoreNullFields": "false"})
+                parts.append(F.substring(text, F.lit(2), F.length(text) - 2))
+                together = {}
+            if k:
+                parts.append(F.concat(F.lit(f'"{k}":'), joined(v)))
+        return F.concat(F.lit("{"), *[c for n, part in enumerate(parts) for c in ([F.lit(",")] if n else []) + [part]], F.lit("}"))
     if isinstance(x, list):
-        return F.concat(F.lit("["), *[part for n, v in enumerate(x) for part in (F.lit("," if n else ""), joined(v))], F.lit("]"))
-    if re.fullmatch(r"'[^'\\\\\"]*'|\d+L", x):  # the same in every row
+        return F.concat(F.lit("["), *[c for n, v in enumerate(x) for c in ([F.lit(",")] if n else []) + [joined(v)]], F.lit("]"))
+    if fixed(x):
         return F.lit(f'"{x[1:-1]}"' if x[0] == "'" else x[:-1])
     return F.btrim(F.to_json(F.array(F.expr(x))), F.lit("[]"))
 
@@ -271,15 +293,17 @@ register("norm_batch_keys", lambda s, d: norm.leftovers(landing(s, d, "series_v2
 
 
 def tagged(s, d, intake, body):
-    """The outcomes of a landing, written once and read back: facts, letters and leftovers by tag."""
-    return durable(norm.outcomes(landing(s, d, intake, body), norm.SPECS[intake])).where("coalesce(letter.reason, '') <> 'decode_error'")
+    """The outcomes of a landing in one pass: facts, whose columns begin with ``fact_``, letters and leftovers by tag."""
+    rows, names = norm.told(landing(s, d, intake, body), norm.SPECS[intake])
+    kept = rows.where("coalesce(letter.reason, '') <> 'decode_error'")
+    return kept.select("received_ms", "tag", "letter", norm.last_of(F.col("rest")).alias("rest"), *[F.when(F.col("tag") == "fact", F.col(f"x_{n}")).alias(f"fact_{n}") for n in names])
 
 
 #: Items that are no objects, declared fields that are no strings, and one of two spellings of the host.
 MIXED = """concat('[', q, ',"plain ', event_type, '",null,{"message":"m', h, '","host":7},{"message":', h, '},{"ddtags":{"a":', q, '},"message":"x"},{"status":3,"host":"h","date":', ms, '}]')"""
 register(
     "norm_outcomes_of_logs",
-    lambda s, d: tagged(s, d, "logs", MIXED).selectExpr("received_ms", "tag", "coalesce(letter.body, fact.message, fact.host) AS text", "coalesce(letter.note, fact.note) AS note", "array_join(array_sort(map_keys(fact.extra)), ',') AS kept", "fact.t_ms"),
+    lambda s, d: tagged(s, d, "logs", MIXED).selectExpr("received_ms", "tag", "coalesce(letter.body, fact_message, fact_host) AS text", "coalesce(letter.note, fact_note) AS note", "array_join(array_sort(map_keys(fact_extra)), ',') AS kept", "fact_t_ms AS t_ms"),
     f"""{GOOD}, i AS (SELECT ms + 1000 AS received_ms, ms, unnest(['letter', 'letter', 'letter', 'fact', 'letter', 'letter', 'fact']) AS tag,
     unnest([CAST(q AS VARCHAR), '"plain ' || event_type || '"', 'null', 'm' || CAST(h AS VARCHAR), '{{"message":' || CAST(h AS VARCHAR) || '}}', '{{"ddtags":{{"a":' || CAST(q AS VARCHAR) || '}},"message":"x"}}', 'h']) AS text,
     unnest(['', '', '', 'hostname', 'message', 'ddtags', 'status']) AS note, unnest([NULL, NULL, NULL, 'host', NULL, NULL, 'status']) AS kept, unnest([false, false, false, false, false, false, true]) AS dated FROM good)
@@ -289,7 +313,7 @@ register(
 MEMBERS = """concat('{"series":[{"metric":"m","points":[{"timestamp":"x","value":', h, '},{"timestamp":', sec, ',"value":2}],"tags":["a:1",{"b":', q, '}],"resources":[{"name":"h","type":"host"},5]},{"metric":"n","points":[{"timestamp":', sec, ',"value":1}],"tags":{"c":1}}],"sent":', h, '}')"""
 register(
     "norm_outcomes_of_series",
-    lambda s, d: tagged(s, d, "series_v2", MEMBERS).selectExpr("received_ms", "tag", "fact.metric", "fact.note", "get_json_object(fact.extra['points'], '$[0].timestamp') AS bad_time", "fact.points[0].timestamp AS time", "fact.points[0].value AS value", "get_json_object(coalesce(fact.extra['tags'], '[]'), '$[1].b') AS bad_tag", "fact.tags['a'][0] AS tag_a", "rest['sent'] AS sent"),
+    lambda s, d: tagged(s, d, "series_v2", MEMBERS).selectExpr("received_ms", "tag", "fact_metric AS metric", "fact_note AS note", "get_json_object(fact_extra['points'], '$[0].timestamp') AS bad_time", "fact_points[0].timestamp AS time", "fact_points[0].value AS value", "get_json_object(coalesce(fact_extra['tags'], '[]'), '$[1].b') AS bad_tag", "fact_tags['a'][0] AS tag_a", "rest['sent'] AS sent"),
     f"""{GOOD} SELECT ms + 1000 AS received_ms, unnest(['fact', 'fact', 'rest']) AS tag, unnest(['m', 'n', NULL]) AS metric, unnest(['points,resources,tags', 'tags', NULL]) AS note, unnest(['x', NULL, NULL]) AS bad_time,
     unnest([NULL, sec, NULL]) AS time, unnest([CAST(h AS DOUBLE), 1.0, NULL]) AS value, unnest([CAST(q AS VARCHAR), NULL, NULL]) AS bad_tag, unnest(['1', NULL, NULL]) AS tag_a, unnest([NULL, NULL, CAST(h AS VARCHAR)]) AS sent FROM good""",
 )

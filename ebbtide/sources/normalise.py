@@ -148,9 +148,10 @@ PAIRS = "array<struct<key:string,value:string>>"
 
 def last_of(pairs: Column) -> Column:
     """A map of (key, value) pairs; of pairs with one key the last counts."""
+    if_any = lambda e, made: F.when(F.size(e) == 0, F.create_map().cast(TEXTS)).otherwise(made)
     last = lambda e, k: F.element_at(F.filter(e, lambda x: x["key"] == k), -1)["value"]
     chosen = lambda e, keys: F.when(F.size(keys) == F.size(e), F.map_from_entries(e)).otherwise(F.map_from_arrays(keys, F.transform(keys, lambda k: last(e, k))))
-    return let(pairs, lambda e: let(F.array_distinct(F.transform(e, lambda x: x["key"])), lambda keys: chosen(e, keys)))
+    return let(pairs, lambda e: if_any(e, let(F.array_distinct(F.transform(e, lambda x: x["key"])), lambda keys: chosen(e, keys))))
 
 
 @dataclass(frozen=True)
@@ -162,16 +163,36 @@ class Opened:
 
     def at(self, keys: tuple) -> Column:
         """The variant at a path; null where there is none, and for a JSON null."""
-        if not keys:
-            return F.when(~F.is_variant_null(self.held), self.held)
-        around = F.col(self.nodes[keys[:-1]])
-        return F.get(around, F.lit(keys[-1])) if isinstance(keys[-1], int) else F.try_element_at(around, F.lit(keys[-1]))
+        found = self.held
+        if keys:
+            around = F.col(self.nodes[keys[:-1]])
+            found = F.get(around, F.lit(keys[-1])) if isinstance(keys[-1], int) else F.try_element_at(around, F.lit(keys[-1]))
+        return F.when(~F.is_variant_null(found), found)
+
+    def split(self, taken: list[tuple], at: tuple = ()) -> tuple[set, list]:
+        """Keys of an object, or list, that paths end at, and keys that paths go through."""
+        mine = [p[len(at) :] for p in taken if len(p) > len(at) and p[: len(at)] == at]
+        leaves = {p[0] for p in mine if len(p) == 1}
+        return leaves, sorted({p[0] for p in mine if len(p) > 1} - leaves, key=str)
+
+    def bare(self, taken: list[tuple], more: Column | None = None, at: tuple = ()) -> Column:
+        """Whether ``untaken`` has nothing, but for ``more`` members, by the numbers of members alone; what is hard to tell is false."""
+        leaves, through = self.split(taken, at)
+        if any(isinstance(k, int) for k in (*leaves, *through)):
+            return F.lit(False)
+        whole = F.col(self.nodes[at])
+        known = [F.map_contains_key(whole, k) for k in sorted(leaves)] + [F.col(self.nodes[(*at, k)]).isNotNull() for k in through]
+        number = F.lit(0) if more is None else more
+        for c in known:
+            number = number + F.coalesce(c.cast("int"), F.lit(0))
+        fine = whole.isNull() | (F.size(whole) == number)
+        for k in through:
+            fine = fine & self.bare(taken, None, (*at, k))
+        return fine
 
     def untaken(self, taken: list[tuple], before: str = "", at: tuple = ()) -> list[Column]:
         """Lists of (key, value): what no taken path covers in an object, or list, and in those that paths go through."""
-        mine = [p[len(at) :] for p in taken if len(p) > len(at) and p[: len(at)] == at]
-        leaves = {p[0] for p in mine if len(p) == 1}
-        through = sorted({p[0] for p in mine if len(p) > 1} - leaves, key=str)
+        leaves, through = self.split(taken, at)
         whole = F.col(self.nodes[at])
         if any(isinstance(k, int) for k in leaves | set(through)):
             entries = F.zip_with(whole, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(whole) - 1)), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
@@ -189,7 +210,7 @@ class Opened:
 
 
 def opened(rows: DataFrame, held: Callable[[str], Column], paths: list[tuple], mark: str) -> tuple[DataFrame, Opened]:
-    """``rows`` with what these paths go through, each object and list taken apart once; JSON nulls are left out.
+    """``rows`` with what these paths go through, each object and list taken apart once.
 
     ``held`` gives the variant as any type."""
     nodes: dict[tuple, str] = {}
@@ -199,8 +220,7 @@ def opened(rows: DataFrame, held: Callable[[str], Column], paths: list[tuple], m
         for at in (x for x in inner if len(x) == depth):
             as_list = any(isinstance(p[depth], int) for p in paths if len(p) > depth and p[:depth] == at)
             kind = "array<variant>" if as_list else "map<string,variant>"
-            raw = held(kind) if not at else F.try_variant_get(Opened(held("variant"), nodes).at(at), "$", kind)
-            fresh[at] = F.transform(raw, lambda v: F.when(~F.is_variant_null(v), v)) if as_list else F.map_filter(raw, lambda _, v: ~F.is_variant_null(v))
+            fresh[at] = held(kind) if not at else F.try_variant_get(Opened(held("variant"), nodes).at(at), "$", kind)
         names = {at: f"{mark}{len(nodes) + n}" for n, at in enumerate(fresh)}
         rows = rows.withColumns({names[at]: c for at, c in fresh.items()})
         nodes |= names
@@ -230,17 +250,22 @@ def _some(pairs: list[Column], carried: dict[str, str]) -> Column:
     return let(F.concat(*pairs), lambda p: F.when(F.size(p) > 0, _parts(carried, rest=p)).otherwise(none))
 
 
-def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+def staying(made: Column) -> Column:
+    """``made``, which no filter above is moved below of: the number of a task is part of it, and what it comes from is worked out once."""
+    return F.when(F.spark_partition_id() >= 0, made)
+
+
+def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...], items_only: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """A row for each innermost item, letter or list of leftover pairs, and the columns of paths into outer objects.
 
-    A body is framed by lines, of either ending, or whole."""
+    A body is framed by lines, of either ending, or whole. With ``items_only`` lists are dealt out as they are, without the rest."""
     landing.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of members with one name the last counts
     landing.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # longer methods the JVM never compiles
     landing = landing.where(F.col("intake") == spec.intake).withColumn("body", F.btrim("body", F.lit(" \t\n\x0b\f\r")))
     body = F.col("body")
     framed = ~body.startswith("[") & (body.contains("\n") | body.contains("\r")) & body.rlike(r"\}\s*[\r\n]\s*\{")
     lines = F.when(framed, F.split(body, r"\s*[\r\n]+\s*")).otherwise(F.array(body))
-    docs = landing.select("tenant_id", "received_ms", "intake", "path", "query", F.explode(F.filter(lines, lambda x: x != "")).alias("doc"))
+    docs = landing.select("tenant_id", "received_ms", "intake", "path", "query", F.explode(lines).alias("doc")).where("doc <> ''")
     # in brackets, since the parser passes over what follows a whole value
     docs = docs.withColumn("parsed", F.try_parse_json(F.concat(F.lit("["), "doc", F.lit("]")))).withColumn("v", F.try_variant_get("parsed", "$[0]", "variant"))
     base = ["tenant_id", "received_ms", "intake", "path", "query", *(f"e_{n}" for n in spec.envelope)]
@@ -265,7 +290,12 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...]) -> tuple[Da
         whole = F.concat(F.transform("list", one), around)
     else:
         whole = F.concat(_parts(carried, F.col("list")), around)
-    rows = docs.select(*base, F.inline(F.when(F.col("list").isNull(), F.concat(_parts(carried, letter=_letter(reason, F.col("doc"))), around)).otherwise(whole)))
+    if items_only:
+        rows = docs.withColumn("list", staying(F.col("list"))).select(*base, F.explode("list").alias("item"))
+        if spec.keyed:
+            rows = rows.select(*base, F.col("item.value").alias("item"), F.col("item.key").alias(f"f_{spec.keyed}"))
+    else:
+        rows = docs.select(*base, F.inline(F.when(F.col("list").isNull(), F.concat(_parts(carried, letter=_letter(reason, F.col("doc"))), around)).otherwise(whole)))
     found: dict[str, str] = {}
     for n, key in enumerate(("", *spec.levels) if spec.keyed else spec.levels):
         up = len(spec.levels) - n
@@ -280,6 +310,10 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...]) -> tuple[Da
             rows = rows.withColumn("list", listed(F.col("item")))
             bad = F.col("list").isNull()
         after = carried | dict.fromkeys(fresh.values(), "variant") | ({f"p_{up}": PAIRS} if key else {})
+        if items_only:
+            rows = rows.withColumn("list", staying(F.col("list"))).select(*base, *after, F.explode("list").alias("item"))
+            carried, found = after, found | fresh
+            continue
         made = {c: F.col(c) for c in after}
         passed = F.array(F.struct(*[F.col(c) if c in ("item", "letter", "rest", *carried) else F.lit(None).cast(kind).alias(c) for c, kind in {"item": "variant", "letter": LETTER, "rest": PAIRS, **after}.items()]))
         empty = F.when(F.size(F.col(f"p_{up}")) > 0, _parts(after, rest=F.col(f"p_{up}"))).otherwise(F.filter(passed, lambda _: F.lit(False))) if key else F.filter(passed, lambda _: F.lit(False))
@@ -303,7 +337,21 @@ def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> Da
     ``fact`` is the typed struct; ``timestamp_source`` in it says whose clock the time is; ``note`` names members of a wrong type.
     ``beside`` are keys of the body that other specs of it take. A JSON null in place of an item is a letter.
     """
-    rows, found = _opened(landing, spec, beside)
+    rows, names = told(landing, spec, beside)
+    fact = F.struct(*[F.col(f"x_{n}").alias(n) for n in names])
+    return rows.select(*LANDED, "tag", F.when(F.col("tag") == "fact", fact).alias("fact"), "letter", F.when(F.col("tag") == "rest", last_of(F.col("rest"))).alias("rest"))
+
+
+LANDED = ("tenant_id", "received_ms", "intake", "path", "query")
+
+
+def told(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = (), items_only: bool = False) -> tuple[DataFrame, list[str]]:
+    """Rows with ``tag``, ``letter``, ``rest`` (pairs) and a column ``x_`` for each of the names, which are given too.
+
+    The columns stand side by side, so that of facts only what is asked for is worked out. ``items_only``: no letters or
+    leftovers of the objects around the items.
+    """
+    rows, found = _opened(landing, spec, beside, items_only)
     item = F.col("item")
     paths = [p for _, *ps in spec.fields.values() for p in ps]
     tagged = [spec.tags] if spec.tags else []
@@ -339,7 +387,15 @@ def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> Da
         lacking = lacking | F.is_variant_null(item)
     for p in spec.strict:
         lacking = lacking | (at(p).isNotNull() & ~is_text(at(p)))
-    one = lambda key, value, when: F.struct(F.when(when, key).alias("key"), value.cast("string").alias("value"))
+    rows = rows.withColumn("lacking", lacking)
+    lacking = F.col("lacking")
+    noted = F.lit(False)
+
+    def one(key: Column, value: Column, when: Column) -> Column:
+        nonlocal noted
+        noted = noted | when
+        return F.struct(F.when(when, key).alias("key"), F.when(when, value.cast("string")).alias("value"))
+
     several = {shown(ps[0]): (n, ps) for n, (_, *ps) in spec.fields.items() if len(ps) > 1}
     kept = [one(F.lit(name), v, F.col(f"w_{k}")) for k, (name, (_, v, own)) in enumerate(wrong.items()) if own and name not in several]
     marks = {name: F.col(f"w_{k}") for k, name in enumerate(wrong)}
@@ -348,7 +404,7 @@ def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> Da
         kept += [one(F.lit(shown(p)), at(p), at(p).isNotNull() & (marks.get(name, F.lit(False)) | other(p))) for p in ps]
     out = {n: F.coalesce(F.col(f"f_{n}"), F.nullif(F.try_element_at("query", F.lit(spec.defaults[n])), F.lit(""))) if n in spec.defaults else F.col(f"f_{n}") for n in [*kinds, *([spec.keyed] if spec.keyed else [])]}
     if spec.tags:
-        out["tags"] = tags
+        out["tags"] = F.when(~lacking, tags)
     used = F.lit(None).cast("string")
     if spec.times:
         sent = []
@@ -366,21 +422,22 @@ def outcomes(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> Da
     lists += [F.coalesce(F.col(f"p_{k + 1}"), F.array().cast(PAIRS)) for k in range(len(spec.levels))]
     lists += [F.filter(F.array(*kept), lambda e: e["key"].isNotNull())] if kept else []
     pairs = F.concat(*lists) if lists else F.array().cast(PAIRS)
-    rows = rows.withColumn("pairs", F.filter(pairs, lambda e: ~e["key"].eqNullSafe(used)))
-    out["note"], out["extra"] = note, last_of(F.col("pairs"))
-    fact = F.struct(*[c.alias(n) for n, c in out.items()])
-    none = lambda like: F.lit(None).cast(like)
-    tag = F.when(F.col("letter").isNotNull(), "letter").when(F.col("rest").isNotNull(), "rest").when(lacking, "letter").otherwise("fact")
-    rows = rows.withColumns({"tag": tag, "fact": fact})
-    # the last generator: nothing above it is pushed below the parse, and an outcome is made once
-    return rows.select(
-        "tenant_id", "received_ms", "intake", "path", "query",
-        F.inline(F.array(F.struct(
-            "tag", F.when(F.col("tag") == "fact", F.col("fact")).alias("fact"),
-            F.coalesce("letter", F.when(F.col("tag") == "letter", _letter("unexpected_shape", F.coalesce(F.to_json("item"), F.lit("null")), note))).alias("letter"),
-            F.when(F.col("tag") == "rest", last_of(F.col("rest"))).alias("rest"),
-        ))),
-    )
+    pairs = F.filter(pairs, lambda e: ~e["key"].eqNullSafe(used))
+    clocks = sorted({steps(p)[1] for p, _, _ in spec.times if len(steps(p)[1]) == 1 and not steps(p)[0]} - set(taken))
+    none_left = ~noted & (F.lit(True) if () in taken else inside.bare(taken, F.coalesce(used.isin(*[k for (k,) in clocks]).cast("int"), F.lit(0)) if clocks else None))
+    for k in range(len(spec.levels)):
+        none_left = none_left & (F.coalesce(F.size(F.col(f"p_{k + 1}")), F.lit(0)) <= 0)
+    out["note"], out["extra"] = note, F.when(~lacking, F.when(none_left, F.create_map().cast(TEXTS)).otherwise(last_of(pairs)))
+    tag = F.when(lacking, "letter").otherwise("fact")
+    letter = F.lit(None).cast(LETTER)
+    if not items_only:
+        tag = F.when(F.col("letter").isNotNull(), "letter").when(F.col("rest").isNotNull(), "rest").otherwise(tag)
+        letter = F.col("letter")
+    own = F.when(lacking, _letter("unexpected_shape", F.coalesce(F.to_json("item"), F.lit("null")), note))
+    if not items_only:
+        own = F.coalesce(letter, F.when(F.col("rest").isNull(), own))
+    rest = F.lit(None).cast(PAIRS) if items_only else F.col("rest")
+    return rows.select(*LANDED, staying(tag).alias("tag"), own.alias("letter"), rest.alias("rest"), *[c.alias(f"x_{n}") for n, c in out.items()]), list(out)
 
 
 def _type(kind: str) -> T.DataType:
@@ -388,7 +445,10 @@ def _type(kind: str) -> T.DataType:
 
 
 def facts_of(made: DataFrame, spec: Spec) -> DataFrame:
-    facts = made.where("tag = 'fact'").select("tenant_id", "received_ms", "fact.*")
+    return _derived(made.where("tag = 'fact'").select("tenant_id", "received_ms", "fact.*"), spec)
+
+
+def _derived(facts: DataFrame, spec: Spec) -> DataFrame:
     for n, make in spec.derive.items():
         facts = facts.withColumn(n, make())
     return facts
@@ -410,12 +470,14 @@ def leftovers_of(made: DataFrame) -> DataFrame:
 
 def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     """(facts, dead letters), each a plan of one scan; to have both, and the leftovers, from one, write ``outcomes`` first."""
-    made = outcomes(landing, spec)
-    return facts_of(made, spec), letters_of(made)
+    items, names = told(landing, spec, items_only=True)
+    facts = items.where("tag = 'fact'").select("tenant_id", "received_ms", *[F.col(f"x_{n}").alias(n) for n in names])
+    return _derived(facts, spec), letters_of(told(landing, spec)[0])
 
 
 def leftovers(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> DataFrame:
-    return leftovers_of(outcomes(landing, spec, beside))
+    pairs = _opened(landing, spec, beside)[0].where("rest is not null")
+    return pairs.select("tenant_id", "received_ms", "intake", last_of(F.col("rest")).alias("extra"))
 
 
 S, X, L, D, B, U = "string", "text", "bigint", "double", "boolean", "u64"

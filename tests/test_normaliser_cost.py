@@ -25,3 +25,47 @@ def test_transitions_of_one_key_take_the_newest(spark, duck, tmp_path):
         rows = QUERIES["scan_transitions_final"](spark, str(tmp_path))
         assert rows.count() == 1
         same_rows(rows, c.execute(ORACLES["scan_transitions_final"]))
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_cost_what_is_asked_of_them(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = _plan(QUERIES["norm_container_messages"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("parseJson") == 3  # a parse a message, none repeated in a filter that was moved down
+    assert "map_entries" not in plan  # neither what is left over
+    assert "concat_ws" not in plan  # nor notes
+
+
+def test_outcomes_are_not_written_on_the_way(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    QUERIES["norm_outcomes_of_logs"](spark, "/root/testdata/sf0.001")
+    assert set(folder.iterdir()) == before
+
+
+def test_what_is_left_over_is_told_by_numbers_only_where_that_is_sure(spark):
+    from test_semantics import landed
+
+    from ebbtide.sources import normalise as norm
+
+    def extras(intake, *bodies):
+        return [dict(r.extra) for b in bodies for r in norm.normalise(landed(spark, intake, b), norm.SPECS[intake])[0].select("extra").collect()]
+
+    assert extras(
+        "logs", '{"message":"a","date":5}', '{"message":"a","date":5,"timestamp":7}', '{"message":"a","x":null}', '{"x":1,"host":null}', '{"message":"a","host":3}', '{"message":"a","host":"h","hostname":"g"}'
+    ) == [{}, {"date": "5"}, {}, {"x": "1"}, {"host": "3"}, {"host": "h"}]
+    assert extras("rum", '{"type":"view","view":7}', '{"type":"view","view":{"id":"v","y":2}}', '{"type":"view","view":{"id":"v"}}', '{"type":"view","view":null}') == [{"view": "7"}, {"view.y": "2"}, {}, {}]
+
+
+def test_bodies_of_unlike_members_are_the_same_text(spark):
+    body = {"a": "'x' || CAST(id AS STRING)", "n": "CASE WHEN id > 5 THEN 1 END", "list": [{"b": "id"}, {"c": "1L", "d": {"e": "id / 2", "f": ["id"]}}], "z": "'q\"' || id"}
+    rows = spark.range(1).select(ingest_queries.joined(body).alias("text"))
+    assert rows.first().text == '{"a":"x0","n":null,"list":[{"b":0},{"c":1,"d":{"e":0.0,"f":[0]}}],"z":"q\\"0"}'
