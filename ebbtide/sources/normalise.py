@@ -1003,8 +1003,8 @@ def with_summary(rows: DataFrame, raw: str, name: str) -> DataFrame:
     odd = F.exists("_all", lambda b: b["key"].isNull() | b["n"].isNull() | (b["n"] < 0)) | (gamma <= 1)
     state = F.when(F.col(raw).isNull(), "absent").when(made.isNull() | gamma.isNull() | odd, "undecodable").when(F.size(bins) == 0, "empty").otherwise("ok")
     fine = F.col(f"{name}_state") == "ok"
-    return rows.withColumn(f"{name}_state", state).withColumns({
-        f"{name}_gamma": F.when(fine, gamma), f"{name}_offset": F.when(fine, F.coalesce(made["mapping"]["indexOffset"], F.lit(0.0))), f"{name}_keys": F.when(fine, F.transform(bins, lambda b: b["key"])),
+    return rows.withColumn(f"{name}_state", staying(state)).withColumns({
+        f"{name}_gamma": F.when(fine, gamma), f"{name}_offset": F.when(fine, F.coalesce(made["mapping"]["indexOffset"], F.lit(0.0))), f"{name}_keys": staying(F.when(fine, F.transform(bins, lambda b: b["key"]))),
         f"{name}_counts": F.when(fine, F.transform(bins, lambda b: b["n"])), f"{name}_count": F.when(fine, F.aggregate(bins, F.lit(0.0), lambda s, b: s + b["n"])),
     }).drop("_made", "_all", "_bins")
 
