@@ -61,7 +61,9 @@ def multimap(pairs: Column) -> Column:
     value = lambda x: F.when(F.contains(x, F.lit(":")), F.substring(x, F.instr(x, ":") + 1, F.length(x))).otherwise("")
     halves = F.transform(clean, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), value(x).alias("value")))
     values = lambda s, k: F.transform(F.filter(s, lambda e: e["key"] == k), lambda e: e["value"])
-    return let(halves, lambda s: let(F.array_distinct(F.transform(s, lambda e: e["key"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: values(s, k)))))
+    one_each = lambda s, keys: F.map_from_arrays(keys, F.transform(s, lambda e: F.array(e["value"])))
+    chosen = lambda s, keys: F.when(F.size(keys) == F.size(s), one_each(s, keys)).otherwise(F.map_from_arrays(keys, F.transform(keys, lambda k: values(s, k))))
+    return let(halves, lambda s: let(F.array_distinct(F.transform(s, lambda e: e["key"])), lambda keys: chosen(s, keys)))
 
 
 def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
