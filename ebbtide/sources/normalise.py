@@ -73,10 +73,14 @@ def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
     return int(up or 0), tuple(keys)
 
 
+def below(held: Column | str, keys: tuple[str | int, ...], kind: str) -> Column:
+    """What is below these keys, as a type; nothing on the way there is copied."""
+    return F.try_variant_get(held, "$" + "".join(f"[{k}]" if isinstance(k, int) else f"['{k}']" for k in keys), kind)
+
+
 def there(held: Column, *keys: str | int) -> Column:
     """The variant below these keys; null where there is none, and for a JSON null."""
-    path = "$" + "".join(f"[{k}]" if isinstance(k, int) else f"['{k}']" for k in keys)
-    found = F.try_variant_get(held, path, "variant")
+    found = below(held, keys, "variant")
     return F.when(~F.is_variant_null(found), found)
 
 
@@ -156,20 +160,25 @@ def last_of(pairs: Column) -> Column:
     return let(pairs, lambda e: if_any(e, let(F.array_distinct(F.transform(e, lambda x: x["key"])), lambda keys: chosen(e, keys))))
 
 
+KEYS = "map<string,struct<>>"  # an object's keys alone: of its members nothing is copied
+
+
 @dataclass(frozen=True)
 class Opened:
-    """What is below a variant: columns with the members of it and of each object or list that paths go through."""
+    """What is below a variant. Each path is followed in the binary form, down to what is asked for and no further."""
+
+    column: str
+    start: tuple = ()  # where the variant begins in the column
 
-    held: Column
-    nodes: dict[tuple, str]
+    def get(self, keys: tuple, kind: str) -> Column:
+        return below(self.column, (*self.start, *keys), kind)
 
-    def at(self, keys: tuple) -> Column:
-        """The variant at a path; null where there is none, and for a JSON null."""
-        found = self.held
-        if keys:
-            around = F.col(self.nodes[keys[:-1]])
-            found = F.get(around, F.lit(keys[-1])) if isinstance(keys[-1], int) else F.try_element_at(around, F.lit(keys[-1]))
-        return F.when(~F.is_variant_null(found), found)
+    def raw(self, keys: tuple) -> Column:
+        """The variant at a path, a JSON null too."""
+        return self.get(keys, "variant") if keys or self.start else F.col(self.column)
+
+    def is_object(self, at: tuple = ()) -> Column:
+        return self.get(at, "struct<>").isNotNull()
 
     def split(self, taken: list[tuple], at: tuple = ()) -> tuple[set, list]:
         """Keys of an object, or list, that paths end at, and keys that paths go through."""
@@ -177,17 +186,21 @@ class Opened:
         leaves = {p[0] for p in mine if len(p) == 1}
         return leaves, sorted({p[0] for p in mine if len(p) > 1} - leaves, key=str)
 
+    def entered(self, taken: list[tuple], at: tuple) -> Column:
+        """Whether there is a list or an object, whichever the paths through it want."""
+        as_list = any(isinstance(k, int) for part in self.split(taken, at) for k in part)
+        return self.get(at, "array<struct<>>").isNotNull() if as_list else self.is_object(at)
+
     def bare(self, taken: list[tuple], more: Column | None = None, at: tuple = ()) -> Column:
-        """Whether ``untaken`` has nothing, but for ``more`` members, by the numbers of members alone; what is hard to tell is false."""
+        """Whether ``untaken`` has nothing, but for ``more`` members, by the keys alone; what is hard to tell is false."""
         leaves, through = self.split(taken, at)
         if any(isinstance(k, int) for k in (*leaves, *through)):
             return F.lit(False)
-        whole = F.col(self.nodes[at])
-        known = [F.map_contains_key(whole, k) for k in sorted(leaves)] + [F.col(self.nodes[(*at, k)]).isNotNull() for k in through]
         number = F.lit(0) if more is None else more
-        for c in known:
-            number = number + F.coalesce(c.cast("int"), F.lit(0))
-        fine = whole.isNull() | (F.size(whole) == number)
+        for k in through:
+            number = number + self.entered(taken, (*at, k)).cast("int")
+        others = F.array_except(F.map_keys(self.get(at, KEYS)), F.array(*map(F.lit, sorted(leaves))).cast("array<string>"))
+        fine = F.coalesce(F.size(others) == number, F.lit(True))
         for k in through:
             fine = fine & self.bare(taken, None, (*at, k))
         return fine
@@ -195,14 +208,13 @@ class Opened:
     def untaken(self, taken: list[tuple], before: str = "", at: tuple = ()) -> list[Column]:
         """Lists of (key, value): what no taken path covers in an object, or list, and in those that paths go through."""
         leaves, through = self.split(taken, at)
-        whole = F.col(self.nodes[at])
         if any(isinstance(k, int) for k in leaves | set(through)):
-            entries = F.zip_with(whole, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(whole) - 1)), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+            entries = F.transform(self.get(at, "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
         else:
-            entries = F.map_entries(whole)
+            entries = F.map_entries(self.get(at, "map<string,variant>"))
         left = lambda e: ~e["key"].isin(*map(str, leaves)) if leaves else F.lit(True)
         for k in through:
-            left = (lambda f, k: lambda e: f(e) & ~((e["key"] == str(k)) & F.col(self.nodes[(*at, k)]).isNotNull()))(left, k)
+            left = (lambda f, k: lambda e: f(e) & ~((e["key"] == str(k)) & self.entered(taken, (*at, k))))(left, k)
         name = F.lit(before + "".join(f"{k}." for k in at))
         rest = F.transform(F.filter(entries, left), lambda e: F.struct(F.concat(name, e["key"]).alias("key"), e["value"].cast("string").alias("value")))
         out = [F.coalesce(F.filter(rest, lambda e: e["value"].isNotNull()), F.array().cast(PAIRS))]
@@ -211,22 +223,9 @@ class Opened:
         return out
 
 
-def opened(rows: DataFrame, held: Callable[[str], Column], paths: list[tuple], mark: str) -> tuple[DataFrame, Opened]:
-    """``rows`` with what these paths go through, each object and list taken apart once.
-
-    ``held`` gives the variant as any type."""
-    nodes: dict[tuple, str] = {}
-    inner = sorted({p[:k] for p in paths for k in range(max(1, len(p)))}, key=lambda at: (len(at), str(at)))
-    for depth in sorted(set(map(len, inner))):
-        fresh = {}
-        for at in (x for x in inner if len(x) == depth):
-            as_list = any(isinstance(p[depth], int) for p in paths if len(p) > depth and p[:depth] == at)
-            kind = "array<variant>" if as_list else "map<string,variant>"
-            fresh[at] = held(kind) if not at else F.try_variant_get(Opened(held("variant"), nodes).at(at), "$", kind)
-        names = {at: f"{mark}{len(nodes) + n}" for n, at in enumerate(fresh)}
-        rows = rows.withColumns({names[at]: c for at, c in fresh.items()})
-        nodes |= names
-    return rows, Opened(held("variant"), nodes)
+def given(found: Column) -> Column:
+    """A variant, or null for a JSON null."""
+    return F.when(~F.is_variant_null(found), found)
 
 
 LETTER = "struct<reason:string,body:string,note:string>"
@@ -257,10 +256,11 @@ def staying(made: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, made)
 
 
-def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...], items_only: bool = False) -> tuple[DataFrame, dict[str, str]]:
+def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...], items_only: bool = False, rest_only: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """A row for each innermost item, letter or list of leftover pairs, and the columns of paths into outer objects.
 
-    A body is framed by lines, of either ending, or whole. With ``items_only`` lists are dealt out as they are, without the rest."""
+    A body is framed by lines, of either ending, or whole. With ``items_only`` lists are dealt out as they are, without the rest,
+    and with ``rest_only`` no items or letters are, unless there are levels below them."""
     landing.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of members with one name the last counts
     landing.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # longer methods the JVM never compiles
     landing = landing.where(F.col("intake") == spec.intake).withColumn("body", F.btrim("body", F.lit(" \t\n\x0b\f\r")))
@@ -269,22 +269,22 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...], items_only:
     lines = F.when(framed, F.split(body, r"\s*[\r\n]+\s*")).otherwise(F.array(body))
     docs = landing.select("tenant_id", "received_ms", "intake", "path", "query", F.explode(lines).alias("doc")).where("doc <> ''")
     # in brackets, since the parser passes over what follows a whole value
-    docs = docs.withColumn("parsed", F.try_parse_json(F.concat(F.lit("["), "doc", F.lit("]")))).withColumn("v", F.try_variant_get("parsed", "$[0]", "variant"))
+    docs = docs.withColumn("parsed", F.try_parse_json(F.concat(F.lit("["), "doc", F.lit("]"))))
+    outer = Opened("parsed", (0,))
     base = ["tenant_id", "received_ms", "intake", "path", "query", *(f"e_{n}" for n in spec.envelope)]
     asked = [steps(p)[1] for _, *ps in spec.envelope.values() for p in ps]
     taken = [*asked, *([steps(spec.items)[1]] if spec.items else []), *(steps(f"$.{k}")[1] for k in beside)]
-    if spec.items or asked:
-        docs, outer = opened(docs, lambda kind: F.try_variant_get("parsed", "$[0]", kind), taken, "o_")
-        docs = docs.withColumns({f"e_{n}": _first(kind, [outer.at(steps(p)[1]) for p in ps]) for n, (kind, *ps) in spec.envelope.items()})
+    if spec.envelope:
+        docs = docs.withColumns({f"e_{n}": _first(kind, [given(outer.raw(steps(p)[1])) if len(ps) > 1 or kind == "variant" else outer.raw(steps(p)[1]) for p in ps]) for n, (kind, *ps) in spec.envelope.items()})
     carried: dict[str, str] = {}
     if spec.items:
-        holder = outer.at(steps(spec.items)[1])
+        holder = steps(spec.items)[1]
         around = _some(outer.untaken(taken), carried)
-        docs = docs.withColumn("list", F.map_entries(members(holder)) if spec.keyed else listed(holder))
+        docs = docs.withColumn("list", F.map_entries(outer.get(holder, "map<string,variant>")) if spec.keyed else outer.get(holder, "array<variant>"))
     else:
         around = F.filter(_parts(carried), lambda _: F.lit(False))
-        docs = docs.withColumn("list", F.coalesce(listed(F.col("v")), F.when(members(F.col("v")).isNotNull(), F.array("v"))))
-    reason = F.when(F.col("v").isNull(), "decode_error").otherwise("unexpected_shape")
+        docs = docs.withColumn("list", F.coalesce(outer.get((), "array<variant>"), F.when(outer.is_object(), listed(F.col("parsed")))))
+    reason = F.when(outer.raw(()).isNull(), "decode_error").otherwise("unexpected_shape")
     if spec.keyed:
         carried = {f"f_{spec.keyed}": "string"}
         around = _some(outer.untaken(taken), carried)
@@ -292,7 +292,9 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...], items_only:
         whole = F.concat(F.transform("list", one), around)
     else:
         whole = F.concat(_parts(carried, F.col("list")), around)
-    if items_only:
+    if rest_only and not spec.levels:
+        rows = docs.select(*base, F.inline(around))
+    elif items_only:
         rows = docs.withColumn("list", staying(F.col("list"))).select(*base, F.explode("list").alias("item"))
         if spec.keyed:
             rows = rows.select(*base, F.col("item.value").alias("item"), F.col("item.key").alias(f"f_{spec.keyed}"))
@@ -304,10 +306,11 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...], items_only:
         paths = sorted({p for _, *ps in spec.fields.values() for p in ps if steps(p)[0] == up}) if key else []
         fresh = {p: f"u_{len(found) + k}" for k, p in enumerate(paths)}
         if key:
-            below = [*(steps(p)[1] for p in paths), (key,)]
-            rows, inside = opened(rows, lambda kind: F.try_variant_get("item", "$", kind), below, f"o{up}_")
-            rows = rows.withColumns({"held": inside.at((key,)), **{c: inside.at(steps(p)[1]) for p, c in fresh.items()}, f"p_{up}": F.concat(*inside.untaken(below, f"${up}."))}).withColumn("list", listed(F.col("held")))
-            bad = F.col(inside.nodes[()]).isNull() | (F.col("held").isNotNull() & F.col("list").isNull())
+            passed_by = [*(steps(p)[1] for p in paths), (key,)]
+            inside = Opened("item")
+            rows = rows.withColumns({c: inside.raw(steps(p)[1]) for p, c in fresh.items()})
+            rows = rows.withColumns({**{c: given(F.col(c)) for c in fresh.values()}, f"p_{up}": F.concat(*inside.untaken(passed_by, f"${up}.")), "list": inside.get((key,), "array<variant>")})
+            bad = ~inside.is_object() | (F.col("list").isNull() & given(inside.raw((key,))).isNotNull())
         else:
             rows = rows.withColumn("list", listed(F.col("item")))
             bad = F.col("list").isNull()
@@ -358,33 +361,38 @@ def told(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = (), items_onl
     paths = [p for _, *ps in spec.fields.values() for p in ps]
     tagged = [spec.tags] if spec.tags else []
     own_paths = sorted({p for p in (*paths, *tagged, *(p for p, _, _ in spec.times), *spec.strict) if not steps(p)[0]})
-    rows, inside = opened(rows, lambda kind: F.try_variant_get("item", "$", kind), [steps(p)[1] for p in own_paths], "i_")
-    rows = rows.withColumns({f"a_{k}": inside.at(steps(p)[1]) for k, p in enumerate(own_paths)})
+    inside = Opened("item")
+    rows = rows.withColumns({f"g_{k}": inside.raw(steps(p)[1]) for k, p in enumerate(own_paths)})
+    rows = rows.withColumns({f"a_{k}": given(F.col(f"g_{k}")) for k in range(len(own_paths))})
     at = lambda p: F.col(found[p] if steps(p)[0] else f"a_{own_paths.index(p)}")
-    rows = rows.withColumns({f"v_{n}": _first(kind, [at(p) for p in ps]) for n, (kind, *ps) in spec.fields.items()} | {f"v_{n}": F.col(f"e_{n}") for n in spec.envelope})
     kinds = {n: x[0] for n, x in (spec.fields | spec.envelope).items()}
-    rows = rows.withColumns({f"f_{n}": typed(F.col(f"v_{n}"), kind) for n, kind in kinds.items()})
+    #: Fields of one path in the item, which are read from it as what they are, without a variant on the way.
+    plain = {n: steps(ps[0])[1] for n, (kind, *ps) in spec.fields.items() if len(ps) == 1 and kind not in ("variant", "string") and not steps(ps[0])[0]}
+    scalar = {n for n in plain if not kinds[n].startswith(("array", "map", "struct"))}
+    rows = rows.withColumns({f"v_{n}": _first(kind, [at(p) for p in ps]) for n, (kind, *ps) in spec.fields.items() if n not in plain} | {f"v_{n}": F.col(f"e_{n}") for n in spec.envelope} | {f"v_{n}": inside.get(plain[n], "string") for n in scalar})
+    value = lambda n: inside.raw(plain[n]) if n in plain and n not in scalar else F.col(f"v_{n}")
+    rows = rows.withColumns({f"f_{n}": inside.get(plain[n], kind) if n in plain and n not in scalar else typed(value(n), kind) for n, kind in kinds.items()})
     shown = lambda p: "".join(f"{k}." for k in steps(p)[1]).rstrip(".") or "item"
-    wrong = {shown((spec.fields | spec.envelope)[n][1]): (unfit(_type(kind), F.col(f"v_{n}"), F.col(f"f_{n}")), F.col(f"v_{n}"), n in spec.fields) for n, kind in kinds.items() if kind != "text"}
+    wrong = {shown((spec.fields | spec.envelope)[n][1]): (unfit(_type(kind), value(n), F.col(f"f_{n}")), value(n), n in spec.fields) for n, kind in kinds.items() if kind != "text"}
     tags = F.array().cast("array<string>")
     if spec.tags:
-        held = at(spec.tags)
-        rows = rows.withColumn("tag_list", listed(held))
+        held = at(spec.tags) if steps(spec.tags)[0] else given(inside.raw(steps(spec.tags)[1]))  # looked up only where it is no list
+        rows = rows.withColumn("tag_list", listed(held) if steps(spec.tags)[0] else inside.get(steps(spec.tags)[1], "array<variant>"))
         many = F.col("tag_list")
         listed_tags = F.transform(F.filter(many, is_text), lambda x: x.cast("string"))
         own = F.coalesce(listed_tags, F.when(is_text(held), tag_texts(held.cast("string"))), F.array().cast("array<string>"))
         odd = F.coalesce(F.exists(many, lambda x: ~is_text(x) & ~F.is_variant_null(x)), held.isNotNull() & ~is_text(held), F.lit(False))
         wrong[shown(spec.tags)] = (odd, held, True)
-        given = F.coalesce(tag_texts(F.try_element_at("query", F.lit(spec.defaults["tags"]))), F.array().cast("array<string>")) if "tags" in spec.defaults else None
-        tags = multimap(own if given is None else F.concat(given, own))
+        first = F.coalesce(tag_texts(F.try_element_at("query", F.lit(spec.defaults["tags"]))), F.array().cast("array<string>")) if "tags" in spec.defaults else None
+        tags = multimap(own if first is None else F.concat(first, own))
     rows = rows.withColumns({f"w_{k}": w for k, (w, _, _) in enumerate(wrong.values())})
     note = F.concat_ws(",", *[F.when(F.col(f"w_{k}"), name) for k, name in enumerate(wrong)]) if wrong else F.lit("")
     lacking = item.isNull()
     for n in spec.required:
         lacking = lacking | F.col(f"f_{n}").isNull()
-    below = [steps(p)[1] for p in (*paths, *([spec.tags] if spec.tags else []), *(p for p, _, _ in spec.times)) if not steps(p)[0]]
-    if any(p and isinstance(p[0], int) for p in below) or () not in below:
-        lacking = lacking | F.col(inside.nodes[()]).isNull()
+    below_item = [steps(p)[1] for p in (*paths, *([spec.tags] if spec.tags else []), *(p for p, _, _ in spec.times)) if not steps(p)[0]]
+    if any(p and isinstance(p[0], int) for p in below_item) or () not in below_item:
+        lacking = lacking | ~inside.entered(below_item, ())
     else:
         lacking = lacking | F.is_variant_null(item)
     for p in spec.strict:
@@ -478,7 +486,7 @@ def normalise(landing: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
 
 
 def leftovers(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = ()) -> DataFrame:
-    pairs = _opened(landing, spec, beside)[0].where("rest is not null")
+    pairs = _opened(landing, spec, beside, rest_only=True)[0].where("rest is not null")
     return pairs.select("tenant_id", "received_ms", "intake", last_of(F.col("rest")).alias("extra"))
 
 
