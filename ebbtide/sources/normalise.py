@@ -61,9 +61,9 @@ def multimap(pairs: Column) -> Column:
     value = lambda x: F.when(F.contains(x, F.lit(":")), F.substring(x, F.instr(x, ":") + 1, F.length(x))).otherwise("")
     halves = F.transform(clean, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), value(x).alias("value")))
     values = lambda s, k: F.transform(F.filter(s, lambda e: e["key"] == k), lambda e: e["value"])
-    one_each = lambda s, keys: F.map_from_arrays(keys, F.transform(s, lambda e: F.array(e["value"])))
-    chosen = lambda s, keys: F.when(F.size(keys) == F.size(s), one_each(s, keys)).otherwise(F.map_from_arrays(keys, F.transform(keys, lambda k: values(s, k))))
-    return let(halves, lambda s: let(F.array_distinct(F.transform(s, lambda e: e["key"])), lambda keys: chosen(s, keys)))
+    one_each = lambda s: F.map_from_arrays(s["key"], F.transform(s["value"], lambda v: F.array(v)))
+    several = lambda s: let(F.array_distinct(s["key"]), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: values(s, k))))
+    return let(halves, lambda s: F.when(F.size(F.array_distinct(s["key"])) == F.size(s), one_each(s)).otherwise(several(s)))
 
 
 def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
@@ -154,10 +154,14 @@ PAIRS = "array<struct<key:string,value:string>>"
 
 def last_of(pairs: Column) -> Column:
     """A map of (key, value) pairs; of pairs with one key the last counts."""
-    if_any = lambda e, made: F.when(F.size(e) == 0, F.create_map().cast(TEXTS)).otherwise(made)
-    last = lambda e, k: F.element_at(F.filter(e, lambda x: x["key"] == k), -1)["value"]
-    chosen = lambda e, keys: F.when(F.size(keys) == F.size(e), F.map_from_entries(e)).otherwise(F.map_from_arrays(keys, F.transform(keys, lambda k: last(e, k))))
-    return let(pairs, lambda e: if_any(e, let(F.array_distinct(F.transform(e, lambda x: x["key"])), lambda keys: chosen(e, keys))))
+    return let(pairs, last_of_given)
+
+
+def last_of_given(pairs: Column) -> Column:
+    """As ``last_of``, of pairs that stand in a column already."""
+    last = lambda k: F.element_at(F.filter(pairs, lambda x: x["key"] == k), -1)["value"]
+    repeated = let(F.array_distinct(pairs["key"]), lambda keys: F.map_from_arrays(keys, F.transform(keys, last)))
+    return F.when(F.size(pairs) == 0, F.create_map().cast(TEXTS)).when(F.size(F.array_distinct(pairs["key"])) == F.size(pairs), F.map_from_entries(pairs)).otherwise(repeated)
 
 
 KEYS = "map<string,struct<>>"  # an object's keys alone: of its members nothing is copied
@@ -205,21 +209,35 @@ class Opened:
             fine = fine & self.bare(taken, None, (*at, k))
         return fine
 
-    def untaken(self, taken: list[tuple], before: str = "", at: tuple = ()) -> list[Column]:
-        """Lists of (key, value): what no taken path covers in an object, or list, and in those that paths go through."""
+    def objects(self, taken: list[tuple], at: tuple = ()) -> list[tuple]:
+        """The objects that ``untaken`` looks through, lists not among them."""
+        leaves, through = self.split(taken, at)
+        mine = [] if any(isinstance(k, int) for k in leaves | set(through)) else [at]
+        return mine + [x for k in through for x in self.objects(taken, (*at, k))]
+
+    def untaken(self, taken: list[tuple], before: str = "", at: tuple = (), wholes: dict[tuple, str] | None = None) -> list[Column]:
+        """Lists of (key, value): what no taken path covers in an object, or list, and in those that paths go through.
+
+        ``wholes`` are columns with the members of the objects; only what is left over of these is looked at."""
         leaves, through = self.split(taken, at)
-        if any(isinstance(k, int) for k in leaves | set(through)):
-            entries = F.transform(self.get(at, "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
-        else:
-            entries = F.map_entries(self.get(at, "map<string,variant>"))
-        left = lambda e: ~e["key"].isin(*map(str, leaves)) if leaves else F.lit(True)
-        for k in through:
-            left = (lambda f, k: lambda e: f(e) & ~((e["key"] == str(k)) & self.entered(taken, (*at, k))))(left, k)
         name = F.lit(before + "".join(f"{k}." for k in at))
-        rest = F.transform(F.filter(entries, left), lambda e: F.struct(F.concat(name, e["key"]).alias("key"), e["value"].cast("string").alias("value")))
+        pair = lambda key, held: F.struct(F.concat(name, key).alias("key"), held.cast("string").alias("value"))
+        if wholes and at in wholes:
+            whole = F.col(wholes[at])
+            others = F.array_except(F.map_keys(whole), F.array(*map(F.lit, sorted(leaves)), *[F.when(self.entered(taken, (*at, k)), F.lit(k)) for k in through]).cast("array<string>"))
+            rest = F.transform(others, lambda k: pair(k, F.try_element_at(whole, k)))
+        else:
+            if any(isinstance(k, int) for k in leaves | set(through)):
+                entries = F.transform(self.get(at, "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+            else:
+                entries = F.map_entries(self.get(at, "map<string,variant>"))
+            left = lambda e: ~e["key"].isin(*map(str, leaves)) if leaves else F.lit(True)
+            for k in through:
+                left = (lambda f, k: lambda e: f(e) & ~((e["key"] == str(k)) & self.entered(taken, (*at, k))))(left, k)
+            rest = F.transform(F.filter(entries, left), lambda e: pair(e["key"], e["value"]))
         out = [F.coalesce(F.filter(rest, lambda e: e["value"].isNotNull()), F.array().cast(PAIRS))]
         for k in through:
-            out += self.untaken(taken, before, (*at, k))
+            out += self.untaken(taken, before, (*at, k), wholes)
         return out
 
 
@@ -428,16 +446,22 @@ def told(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = (), items_onl
         out["timestamp_source"] = F.coalesce("sent.label", F.lit("arrival"))
         used = F.col("sent.key")
     taken = [steps(p)[1] for p in (*paths, *([spec.tags] if spec.tags else [])) if not steps(p)[0]]
-    lists = [] if () in taken else inside.untaken(taken)
-    lists += [F.coalesce(F.col(f"p_{k + 1}"), F.array().cast(PAIRS)) for k in range(len(spec.levels))]
-    lists += [F.filter(F.array(*kept), lambda e: e["key"].isNotNull())] if kept else []
-    pairs = F.concat(*lists) if lists else F.array().cast(PAIRS)
-    pairs = F.filter(pairs, lambda e: ~e["key"].eqNullSafe(used))
     clocks = sorted({steps(p)[1] for p, _, _ in spec.times if len(steps(p)[1]) == 1 and not steps(p)[0]} - set(taken))
     none_left = ~noted & (F.lit(True) if () in taken else inside.bare(taken, F.coalesce(used.isin(*[k for (k,) in clocks]).cast("int"), F.lit(0)) if clocks else None))
     for k in range(len(spec.levels)):
         none_left = none_left & (F.coalesce(F.size(F.col(f"p_{k + 1}")), F.lit(0)) <= 0)
-    out["note"], out["extra"] = note, F.when(~lacking, F.when(none_left, F.create_map().cast(TEXTS)).otherwise(last_of(pairs)))
+    # each step looks only at rows that the one before left something in
+    rows = rows.withColumns({"noted": noted, "none_left": none_left})
+    wholes = {} if () in taken else {at: f"m_{k}" for k, at in enumerate(inside.objects(taken))}
+    rows = rows.withColumns({c: F.when(~F.col("none_left"), inside.get(at, "map<string,variant>")) for at, c in wholes.items()})
+    lists = [] if () in taken else inside.untaken(taken, wholes=wholes)
+    lists += [F.coalesce(F.col(f"p_{k + 1}"), F.array().cast(PAIRS)) for k in range(len(spec.levels))]
+    lists += [F.when(F.col("noted"), F.filter(F.array(*kept), lambda e: e["key"].isNotNull())).otherwise(F.array().cast(PAIRS))] if kept else []
+    pairs = F.concat(*lists) if lists else F.array().cast(PAIRS)
+    if spec.times:
+        pairs = F.filter(pairs, lambda e: ~e["key"].eqNullSafe(used))
+    rows = rows.withColumn("pairs", F.when(~F.col("none_left"), pairs))
+    out["note"], out["extra"] = note, F.when(~lacking, F.when(F.col("none_left"), F.create_map().cast(TEXTS)).otherwise(last_of_given(F.col("pairs"))))
     tag = F.when(lacking, "letter").otherwise("fact")
     letter = F.lit(None).cast(LETTER)
     if not items_only:
