@@ -69,3 +69,31 @@ def test_bodies_of_unlike_members_are_the_same_text(spark):
     body = {"a": "'x' || CAST(id AS STRING)", "n": "CASE WHEN id > 5 THEN 1 END", "list": [{"b": "id"}, {"c": "1L", "d": {"e": "id / 2", "f": ["id"]}}], "z": "'q\"' || id"}
     rows = spark.range(1).select(ingest_queries.joined(body).alias("text"))
     assert rows.first().text == '{"a":"x0","n":null,"list":[{"b":0},{"c":1,"d":{"e":0.0,"f":[0]}}],"z":"q\\"0"}'
+
+
+def test_nothing_is_copied_on_the_way_to_what_is_asked_for(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plans = {name: _plan(QUERIES[name](spark, "/root/testdata/sf0.001")) for name in ("norm_rum_events", "norm_rum_telemetry", "norm_batch_keys")}
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    for name in set(plans) - {"norm_batch_keys"}:
+        assert "MapType(StringType,VariantType" not in plans[name], name  # an object's members are not all taken out for a few of them
+    assert "ArrayType(VariantType" not in plans["norm_batch_keys"]  # neither are items, where only what stands beside them is
+
+
+def test_what_is_left_over_keeps_its_rules_by_paths(spark):
+    from test_semantics import landed
+
+    from ebbtide.sources import normalise as norm
+
+    def extras(intake, body):
+        return [dict(r.extra) for r in norm.normalise(landed(spark, intake, body), norm.SPECS[intake])[0].select("extra").collect()]
+
+    series = '{"series":[%s]}'
+    assert extras("series_v2", series % '{"metric":"m","metadata":{"origin":7,"b":1}},{"metric":"n","metadata":[1]},{"metric":"o","metadata":{"origin":{"origin_product":3,"x":"y"}},"it\'s":1,"a?":null,"":2}') == [
+        {"metadata.origin": "7", "metadata.b": "1"}, {"metadata": "[1]"}, {"metadata.origin.x": "y", "it's": "1", "": "2"},
+    ]
+    assert extras("series_v2", series % '{"metric":"m","type":"x","unit":4,"source_type_name":null,"sourceTypeName":"s"}') == [{"type": "x", "unit": "4"}]
+    spans = '{"tracerPayloads":[{"odd":1,"chunks":[{"spans":[{"trace_id":1,"span_id":"2","meta":{"a":"b"},"q":{"r":1}}]}]}]}'
+    assert extras("spans", spans) == [{"q": '{"r":1}', "$2.odd": "1"}]
