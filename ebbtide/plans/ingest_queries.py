@@ -75,8 +75,7 @@ def landing(spark, d: str, intake: str, body) -> DataFrame:
     ev = table(spark, d, "events").withColumn("ms", epoch_ms("ts")).withColumns({"sec": F.expr("ms div 1000"), "h": F.expr("user_id % 20"), "q": F.expr("event_id % 4")})
     text = F.expr(body) if isinstance(body, str) else joined(body) if intake in UNLIKE else F.to_json(made(body))
     parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, d, "events").count() // ROWS_A_TASK))
-    if ev.rdd.getNumPartitions() < parts:
-        ev = ev.repartition(parts)  # one small file is read by one task; parsing is worth more, and a task's rows stay as few however many there are
+    ev = ev.repartition(parts)  # parsing is worth more than the exchange, and a task's rows stay as few however many there are and however files share them
     broken = F.expr("event_id % 50 = 0")
     return ev.select(
         F.lit("default").alias("tenant_id"),
