@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,8 +75,18 @@ def steps(path: str) -> tuple[int, tuple[str | int, ...]]:
 
 
 def below(held: Column | str, keys: tuple[str | int, ...], kind: str) -> Column:
-    """What is below these keys, as a type; nothing on the way there is copied."""
-    return F.try_variant_get(held, "$" + "".join(f"[{k}]" if isinstance(k, int) else f"['{k}']" for k in keys), kind)
+    """What is below these keys, as a type; nothing on the way there is copied.
+
+    Names are asked for as members of a struct: a path that ends nowhere is an exception within ``try_variant_get``, which costs more than a walk."""
+    first = next((n for n, k in enumerate(keys) if not isinstance(k, int)), len(keys))
+    last = next((n for n in range(first, len(keys)) if isinstance(keys[n], int)), len(keys))
+    for k in reversed(keys[first:last]) if last == len(keys) else ():
+        kind = f"struct<`{k.replace('`', '``')}`:{kind}>"
+    rest = keys[:first] if last == len(keys) else keys
+    found = F.try_variant_get(held, "$" + "".join(f"[{k}]" if isinstance(k, int) else f"['{k}']" for k in rest), kind)
+    for k in keys[len(rest) :]:
+        found = found.getField(k)
+    return found
 
 
 def there(held: Column, *keys: str | int) -> Column:
@@ -143,9 +154,8 @@ def unfit(kind: T.DataType, raw: Column, made: Column) -> Column:
     elif isinstance(kind, T.MapType):
         inner = F.exists(F.map_entries(members(raw)), lambda e: unfit(kind.valueType, e["value"], F.try_element_at(made, e["key"])))
     else:
-        inner = F.lit(False)
-        for f in kind.fields:
-            inner = inner | unfit(f.dataType, F.try_variant_get(raw, f"$['{f.name}']", "variant"), made[f.name])
+        any_of = lambda held: reduce(lambda a, b: a | b, [unfit(f.dataType, held[f.name], made[f.name]) for f in kind.fields], F.lit(False))
+        inner = let(F.try_variant_get(raw, "$", _ddl({f.name: "variant" for f in kind.fields})), any_of)
     return F.coalesce(gaps(kind, made) & (missing | F.coalesce(inner, F.lit(False))), F.lit(False))
 
 
@@ -241,6 +251,54 @@ class Opened:
         return out
 
 
+def _room(shape: dict, keys: tuple, kind: str) -> bool:
+    """Whether one struct can also hold what is at these keys: nothing above or below it is asked for, and no name differs by case only."""
+    for n, k in enumerate(keys):
+        if k not in shape:
+            return all(k.lower() != other.lower() for other in shape)
+        if n == len(keys) - 1 or not isinstance(shape[k], dict):
+            return n == len(keys) - 1 and shape[k] == kind
+        shape = shape[k]
+    return False
+
+
+def _ddl(shape: dict | str) -> str:
+    return shape if isinstance(shape, str) else "struct<" + ",".join(f"`{k.replace('`', '``')}`:{_ddl(v)}" for k, v in shape.items()) + ">"
+
+
+def walked(held: Opened, wanted: list[tuple[tuple, str]], name: str) -> tuple[dict[str, Column], Callable[[tuple, str], Column]]:
+    """Columns to add, called ``name`` and a number, and what then gives the value below keys as a type.
+
+    One walk through the members finds all that is wanted of them, while a search for each costs the more the fewer are there.
+    Paths through lists are followed by themselves."""
+    shapes: list[dict] = []
+    spot: dict[tuple[tuple, str], int] = {}
+    for keys, kind in dict.fromkeys(wanted):
+        if not keys or any(isinstance(k, int) for k in keys):
+            continue
+        n = next((n for n, shape in enumerate(shapes) if _room(shape, keys, kind)), len(shapes))
+        shapes += [{}] if n == len(shapes) else []
+        at = shapes[n]
+        for k in keys[:-1]:
+            at = at.setdefault(k, {})
+        at[keys[-1]], spot[keys, kind] = kind, n
+
+    def value(keys: tuple, kind: str) -> Column:
+        if (keys, kind) not in spot:
+            return held.raw(keys) if kind == "variant" else held.get(keys, kind)
+        out = F.col(f"{name}{spot[keys, kind]}")
+        for k in keys:
+            out = out.getField(k)
+        return out
+
+    return {f"{name}{n}": held.get((), _ddl(shape)) for n, shape in enumerate(shapes)}, value
+
+
+def single(kind: str) -> bool:
+    """Whether it is the type of one value, not of a list or an object, which may be large."""
+    return kind != "variant" and not kind.startswith(("array", "map", "struct"))
+
+
 def given(found: Column) -> Column:
     """A variant, or null for a JSON null."""
     return F.when(~F.is_variant_null(found), found)
@@ -293,7 +351,9 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...], items_only:
     asked = [steps(p)[1] for _, *ps in spec.envelope.values() for p in ps]
     taken = [*asked, *([steps(spec.items)[1]] if spec.items else []), *(steps(f"$.{k}")[1] for k in beside)]
     if spec.envelope:
-        docs = docs.withColumns({f"e_{n}": _first(kind, [given(outer.raw(steps(p)[1])) if len(ps) > 1 or kind == "variant" else outer.raw(steps(p)[1]) for p in ps]) for n, (kind, *ps) in spec.envelope.items()})
+        made, raw = walked(outer, [(steps(p)[1], "variant") for kind, *ps in spec.envelope.values() if single(kind) for p in ps], "o_")
+        docs = docs.withColumns(made)
+        docs = docs.withColumns({f"e_{n}": _first(kind, [given(raw(steps(p)[1], "variant")) if len(ps) > 1 or kind == "variant" else raw(steps(p)[1], "variant") for p in ps]) for n, (kind, *ps) in spec.envelope.items()})
     carried: dict[str, str] = {}
     if spec.items:
         holder = steps(spec.items)[1]
@@ -326,7 +386,9 @@ def _opened(landing: DataFrame, spec: Spec, beside: tuple[str, ...], items_only:
         if key:
             passed_by = [*(steps(p)[1] for p in paths), (key,)]
             inside = Opened("item")
-            rows = rows.withColumns({c: inside.raw(steps(p)[1]) for p, c in fresh.items()})
+            made, raw = walked(inside, [(steps(p)[1], "variant") for kind, *ps in spec.fields.values() if single(kind) for p in ps if p in fresh], "o_")
+            rows = rows.withColumns(made) if made else rows
+            rows = rows.withColumns({c: raw(steps(p)[1], "variant") for p, c in fresh.items()})
             rows = rows.withColumns({**{c: given(F.col(c)) for c in fresh.values()}, f"p_{up}": F.concat(*inside.untaken(passed_by, f"${up}.")), "list": inside.get((key,), "array<variant>")})
             bad = ~inside.is_object() | (F.col("list").isNull() & given(inside.raw((key,))).isNotNull())
         else:
@@ -380,27 +442,35 @@ def told(landing: DataFrame, spec: Spec, beside: tuple[str, ...] = (), items_onl
     tagged = [spec.tags] if spec.tags else []
     own_paths = sorted({p for p in (*paths, *tagged, *(p for p, _, _ in spec.times), *spec.strict) if not steps(p)[0]})
     inside = Opened("item")
-    rows = rows.withColumns({f"g_{k}": inside.raw(steps(p)[1]) for k, p in enumerate(own_paths)})
-    rows = rows.withColumns({f"a_{k}": given(F.col(f"g_{k}")) for k in range(len(own_paths))})
-    at = lambda p: F.col(found[p] if steps(p)[0] else f"a_{own_paths.index(p)}")
     kinds = {n: x[0] for n, x in (spec.fields | spec.envelope).items()}
     #: Fields of one path in the item, which are read from it as what they are, without a variant on the way.
     plain = {n: steps(ps[0])[1] for n, (kind, *ps) in spec.fields.items() if len(ps) == 1 and kind not in ("variant", "string") and not steps(ps[0])[0]}
-    scalar = {n for n in plain if not kinds[n].startswith(("array", "map", "struct"))}
-    rows = rows.withColumns({f"v_{n}": _first(kind, [at(p) for p in ps]) for n, (kind, *ps) in spec.fields.items() if n not in plain} | {f"v_{n}": F.col(f"e_{n}") for n in spec.envelope} | {f"v_{n}": inside.get(plain[n], "string") for n in scalar})
+    scalar = {n for n in plain if single(kinds[n])}
+    small = [p for n, (kind, *ps) in spec.fields.items() if single(kind) and n not in plain for p in ps if not steps(p)[0]]
+    made, read = walked(inside, [*((plain[n], "string") for n in sorted(scalar)), *((steps(spec.tags)[1], "array<variant>") for _ in range(bool(spec.tags and not steps(spec.tags)[0]))), *((steps(p)[1], "variant") for p in (*small, *(p for p, _, _ in spec.times), *spec.strict) if not steps(p)[0])], "s_")
+    rows = rows.withColumns(made) if made else rows
+    rows = rows.withColumns({f"g_{k}": read(steps(p)[1], "variant") for k, p in enumerate(own_paths)})
+    rows = rows.withColumns({f"a_{k}": given(F.col(f"g_{k}")) for k in range(len(own_paths))})
+    at = lambda p: F.col(found[p] if steps(p)[0] else f"a_{own_paths.index(p)}")
+    rows = rows.withColumns({f"v_{n}": _first(kind, [at(p) for p in ps]) for n, (kind, *ps) in spec.fields.items() if n not in plain} | {f"v_{n}": F.col(f"e_{n}") for n in spec.envelope} | {f"v_{n}": read(plain[n], "string") for n in sorted(scalar)})
     value = lambda n: inside.raw(plain[n]) if n in plain and n not in scalar else F.col(f"v_{n}")
     rows = rows.withColumns({f"f_{n}": inside.get(plain[n], kind) if n in plain and n not in scalar else typed(value(n), kind) for n, kind in kinds.items()})
     shown = lambda p: "".join(f"{k}." for k in steps(p)[1]).rstrip(".") or "item"
     wrong = {shown((spec.fields | spec.envelope)[n][1]): (unfit(_type(kind), value(n), F.col(f"f_{n}")), value(n), n in spec.fields) for n, kind in kinds.items() if kind != "text"}
     tags = F.array().cast("array<string>")
     if spec.tags:
-        held = at(spec.tags) if steps(spec.tags)[0] else given(inside.raw(steps(spec.tags)[1]))  # looked up only where it is no list
-        rows = rows.withColumn("tag_list", listed(held) if steps(spec.tags)[0] else inside.get(steps(spec.tags)[1], "array<variant>"))
+        rows = rows.withColumn("tag_list", listed(at(spec.tags)) if steps(spec.tags)[0] else read(steps(spec.tags)[1], "array<variant>"))
         many = F.col("tag_list")
+        if steps(spec.tags)[0]:
+            held = whole_tags = at(spec.tags)
+        else:  # looked up only where it is no list, or has members of a wrong type
+            whole_tags = given(inside.raw(steps(spec.tags)[1]))
+            rows = rows.withColumn("tag_held", F.when(many.isNull(), read(steps(spec.tags)[1], "variant")))
+            held = given(F.col("tag_held"))
         listed_tags = F.transform(F.filter(many, is_text), lambda x: x.cast("string"))
         own = F.coalesce(listed_tags, F.when(is_text(held), tag_texts(held.cast("string"))), F.array().cast("array<string>"))
         odd = F.coalesce(F.exists(many, lambda x: ~is_text(x) & ~F.is_variant_null(x)), held.isNotNull() & ~is_text(held), F.lit(False))
-        wrong[shown(spec.tags)] = (odd, held, True)
+        wrong[shown(spec.tags)] = (odd, whole_tags, True)
         first = F.coalesce(tag_texts(F.try_element_at("query", F.lit(spec.defaults["tags"]))), F.array().cast("array<string>")) if "tags" in spec.defaults else None
         tags = multimap(own if first is None else F.concat(first, own))
     rows = rows.withColumns({f"w_{k}": w for k, (w, _, _) in enumerate(wrong.values())})
@@ -948,13 +1018,14 @@ OBJECT_READINESS = {
     "Deployment": ("ready", "desired", "available"), "ReplicaSet": ("ready", "desired", "available"), "DaemonSet": ("ready", "desired", "available"), "StatefulSet": ("ready", "desired", None),
     "HorizontalPodAutoscaler": ("current_replicas", "desired_replicas", None),
 }
+COUNTED = {"#": "array<struct<>>", "%": KEYS}  # what is only counted is not copied
 POD_CONTAINERS = "array<struct<name:string,containerID:string,ready:boolean,restartCount:bigint,state:string,message:string,image:string,imageID:string>>"
 
 
-def _counted(path: str) -> Column:
-    """A number of the object; 0 where it has none."""
-    held = there(F.col("object"), *steps(path.lstrip("#?%"))[1])
-    found = {"#": F.size(listed(held)), "%": F.size(members(held)), "?": held.cast("string").try_cast("boolean").cast("int")}.get(path[0], held.cast("string").try_cast("bigint"))
+def _counted(path: str, value: Callable[[tuple, str], Column]) -> Column:
+    """A number of the object; 0 where it has none. ``value`` finds what is below keys."""
+    held = value(steps(path.lstrip("#?%"))[1], COUNTED.get(path[0], "string"))
+    found = {"#": F.size(held), "%": F.size(held), "?": held.try_cast("boolean").cast("int")}.get(path[0], held.try_cast("bigint"))
     return F.greatest(F.lit(0).cast("long"), F.coalesce(found.cast("long"), F.lit(0).cast("long"))) if path[0] in "#%" else F.coalesce(found.cast("long"), F.lit(0).cast("long"))
 
 
@@ -964,15 +1035,17 @@ def object_rows(objects: DataFrame) -> DataFrame:
 
     A kind without rules has no counts; ``object`` keeps every object whole, as text.
     """
-    statuses = lambda key: F.coalesce(F.try_variant_get("object", f"$.{key}", POD_CONTAINERS), F.array().cast(POD_CONTAINERS))
-    rows = objects.withColumns({"regular": statuses("containerStatuses"), "first": statuses("initContainerStatuses")})
+    statuses = lambda key: F.coalesce(below("object", (key,), POD_CONTAINERS), F.array().cast(POD_CONTAINERS))
+    paths = ["$.restartCount", *(p for of in OBJECT_COUNTS.values() for p in of.values())]
+    made, value = walked(Opened("object"), [(steps(p.lstrip("#?%"))[1], COUNTED.get(p[0], "string")) for p in paths], "n_")
+    rows = objects.withColumns({**made, "regular": statuses("containerStatuses"), "first": statuses("initContainerStatuses")})
     ready = lambda c: F.size(F.filter(c, lambda x: F.coalesce(x["ready"], F.lit(False)))).cast("long")
     restarts = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["restartCount"], F.lit(0).cast("long")))
     pod = {
         "restarts": restarts("regular"), "ready_containers": ready("regular"), "total_containers": F.size("regular").cast("long"), "init_restarts": restarts("first"),
-        "ready_init_containers": ready("first"), "total_init_containers": F.size("first").cast("long"), "pod_restart_count": _counted("$.restartCount"),
+        "ready_init_containers": ready("first"), "total_init_containers": F.size("first").cast("long"), "pod_restart_count": _counted("$.restartCount", value),
     }
-    table = {"Pod": pod} | {kind: {n: _counted(p) for n, p in paths.items()} for kind, paths in OBJECT_COUNTS.items()}
+    table = {"Pod": pod} | {kind: {n: _counted(p, value) for n, p in of.items()} for kind, of in OBJECT_COUNTS.items()}
     counts = F.lit(None).cast("map<string,bigint>")
     for kind, made in table.items():
         counts = F.when(F.col("kind") == kind, F.map_from_arrays(F.array(*map(F.lit, made)), F.array(*made.values()))).otherwise(counts)
@@ -996,7 +1069,7 @@ def object_rows(objects: DataFrame) -> DataFrame:
             **{f"condition_{c}": each("conditions", f) for f, c in conditions.items()}, "labels": last_of(_pairs("labels")), "annotations": last_of(_pairs("annotations")), "object": F.to_json("object"),
             "tags": multimap(F.concat(F.coalesce("envelope_tags", F.array().cast("array<string>")), F.flatten(F.transform(F.map_entries("tags"), lambda e: F.transform(e["value"], lambda v: F.when(v == "", e["key"]).otherwise(F.concat(e["key"], F.lit(":"), v))))))),
         }
-    ).drop("regular", "first", "conditions", "envelope_tags")
+    ).drop(*made, "regular", "first", "conditions", "envelope_tags")
 
 
 def _pairs(name: str) -> Column:

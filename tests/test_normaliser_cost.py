@@ -97,3 +97,54 @@ def test_what_is_left_over_keeps_its_rules_by_paths(spark):
     assert extras("series_v2", series % '{"metric":"m","type":"x","unit":4,"source_type_name":null,"sourceTypeName":"s"}') == [{"type": "x", "unit": "4"}]
     spans = '{"tracerPayloads":[{"odd":1,"chunks":[{"spans":[{"trace_id":1,"span_id":"2","meta":{"a":"b"},"q":{"r":1}}]}]}]}'
     assert extras("spans", spans) == [{"q": '{"r":1}', "$2.odd": "1"}]
+
+
+def test_a_tasks_rows_are_few_however_files_share_them(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    (tmp_path / "events.parquet").mkdir()
+    for n in range(24):
+        span = "event_id >= 100" if n == 23 else f"event_id BETWEEN {n * 4} AND {n * 4 + 3}"
+        duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/events.parquet' WHERE {span}) TO '{tmp_path}/events.parquet/{n}.parquet' (FORMAT parquet)")
+    monkeypatch.setattr(ingest_queries, "ROWS_A_TASK", 50)
+    landed = ingest_queries.landing(spark.newSession(), str(tmp_path), "logs", ingest_queries.LOG).select("path")
+    assert landed.count() > 800
+    assert max(landed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 120  # all of the large file's before
+
+
+def test_members_are_asked_for_together_and_none_by_a_path_of_names(spark):
+    names = ("norm_logs_lines", "norm_k8s_other_kinds", "norm_k8s_jobs", "norm_k8s_resources", "norm_k8s_daemon_sets", "norm_rum_events")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plans = {name: _plan(QUERIES[name](spark, "/root/testdata/sf0.001")) for name in names}
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    most = {"norm_logs_lines": 16, "norm_k8s_other_kinds": 60, "norm_k8s_jobs": 60, "norm_k8s_resources": 60, "norm_k8s_daemon_sets": 60, "norm_rum_events": 8}
+    for name, plan in plans.items():
+        assert "$['" not in plan and "]['" not in plan, name  # where such a path ends nowhere, an exception is thrown for the row
+        assert plan.count("variant_get(") <= most[name], (name, plan.count("variant_get("))
+
+
+def test_one_walk_finds_what_paths_find(spark):
+    from pyspark.sql import functions as F
+
+    from ebbtide.sources import normalise as norm
+
+    body = '{"a":{"b":1,"c":null},"A":"u","x`y":{"it\'s":[1,"2"]},"q.r":true,"n":null,"l":[{"k":5}],"s":7}'
+    wanted = [(("a", "b"), "variant"), (("a", "b"), "string"), (("a",), "variant"), (("A",), "string"), (("a", "c"), "variant"), (("x`y", "it's"), "array<string>"), (("q.r",), "string"), (("n",), "variant"), (("l", 0, "k"), "string"), (("s", "t"), "string"), (("gone", "too"), "variant"), ((), "variant")]
+    rows = spark.range(1).select(F.parse_json(F.lit(body)).alias("v"))
+    made, value = norm.walked(norm.Opened("v"), wanted, "s_")
+    assert len(made) == 4  # of one path two types, above another, and by another case
+    found = rows.withColumns(made).select(*[value(keys, kind).cast("string").alias(str(n)) for n, (keys, kind) in enumerate(wanted)]).first()
+    assert list(found)[:-1] == ["1", "1", '{"b":1,"c":null}', "u", None, "[1, 2]", "true", None, "5", None, None]
+    assert rows.withColumns(made).select(F.is_variant_null(value(("n",), "variant")).alias("n")).first().n
+
+
+def test_tags_of_a_wrong_type_are_kept_whole(spark):
+    from test_semantics import landed
+
+    from ebbtide.sources import normalise as norm
+
+    bodies = ['{"message":"a","ddtags":["x:1",7]}', '{"message":"a","ddtags":["x:1",null]}', '{"message":"a","ddtags":"x:1"}', '{"message":"a","ddtags":null}', '{"message":"a"}']
+    rows = [norm.normalise(landed(spark, "events", b.replace("message", "title").replace("ddtags", "tags")), norm.SPECS["events"])[0].select("note", "extra", "tags").first() for b in bodies]
+    assert [(r.note, dict(r.extra), dict(r.tags)) for r in rows] == [("tags", {"tags": '["x:1",7]'}, {"x": ["1"]}), ("", {}, {"x": ["1"]}), ("", {}, {"x": ["1"]}), ("", {}, {}), ("", {}, {})]
